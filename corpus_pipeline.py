@@ -7,9 +7,9 @@ columns of documents.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import DataFrame, SparkSession
 
-from opsloom.llm import common, decontam, langid, mixing, sharding
+from opsloom.llm import common, decontam, jaccard, langid, mixing, sharding
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -17,6 +17,11 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return langid.keep_identified(docs)
 
 
+def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of each group linked by five-word shingles with a similarity of 0.8 the smallest doc_id stays."""
+    return jaccard.keep_one(docs)
+
+
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that overlap a benchmark item go."""
     return decontam.drop_contaminated(docs, common.benchmark(spark, sf_dir))
@@ -35,6 +40,7 @@ def shards(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 STAGES = [
     ("language_id", language_id),
+    ("near_duplicates", near_duplicates),
     ("decontamination", decontamination),
     ("mix_sources", mix_sources),
     ("shards", shards),

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import decontam, langid, linededup, mixing, pii, quality, sharding, tokencount
+from . import decontam, jaccard, langid, linededup, mixing, pii, quality, sharding, tokencount
 from .common import benchmark, documents, new_path
 
 
@@ -22,6 +22,10 @@ def op4_pii_pseudonyms(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", F.size("findings").alias("n_found"), F.transform("findings", lambda f: f["kind"]).alias("kinds"), "text")
 
 
+def op5_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard.link(documents(spark, sf_dir))
+
+
 def op6_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokencount.count_tokens(documents(spark, sf_dir), tokencount.default_vocabulary())
 
@@ -44,6 +48,6 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.replicate(documents(spark, sf_dir))
 
 
-QUERIES = {f.__name__: f for f in (op1_language_id, op3_line_dedup, op4_pii_pseudonyms, op6_token_counts, op7_quality_rules, op8_decontamination, op9_sharding, op10_mixing)}
+QUERIES = {f.__name__: f for f in (op1_language_id, op3_line_dedup, op4_pii_pseudonyms, op5_jaccard_join, op6_token_counts, op7_quality_rules, op8_decontamination, op9_sharding, op10_mixing)}
 
 ORACLE_SQL = {"op3_line_dedup": linededup.oracle(), "op10_mixing": mixing.oracle()}
