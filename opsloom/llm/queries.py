@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import decontam, jaccard, langid, linededup, mixing, pii, quality, sharding, tokencount
+from . import decontam, jaccard, langid, linededup, mixing, pii, quality, sharding, suffixdedup, tokencount
 from .common import benchmark, documents, new_path
 
 
@@ -12,6 +12,10 @@ def op1_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.identify(documents(spark, sf_dir)).select("doc_id", "held_out", "lang_pred", "score", F.size("langs").alias("n_langs"))
 
 
+def op2_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffixdedup.find_repeats(documents(spark, sf_dir)).drop("spans")
+
+
 def op3_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = linededup.drop_repeated_lines(documents(spark, sf_dir))
     return out.select("doc_id", "n_lines", "n_removed", F.size("runs").cast("bigint").alias("n_runs"), F.sha2("text", 256).alias("kept_sha256"))
@@ -48,6 +52,6 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.replicate(documents(spark, sf_dir))
 
 
-QUERIES = {f.__name__: f for f in (op1_language_id, op3_line_dedup, op4_pii_pseudonyms, op5_jaccard_join, op6_token_counts, op7_quality_rules, op8_decontamination, op9_sharding, op10_mixing)}
+QUERIES = {f.__name__: f for f in (op1_language_id, op2_suffix_dedup, op3_line_dedup, op4_pii_pseudonyms, op5_jaccard_join, op6_token_counts, op7_quality_rules, op8_decontamination, op9_sharding, op10_mixing)}
 
 ORACLE_SQL = {"op3_line_dedup": linededup.oracle(), "op10_mixing": mixing.oracle()}
