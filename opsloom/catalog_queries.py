@@ -1,4 +1,621 @@
-"""The queries over the driver's tables and their SQL twins."""
+"""The queries over the driver's tables and their SQL twins for DuckDB.
+
+Jobs come from events (``jobs``) and from orders with their lines (``freight``); see ``jobs_sql``.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession, Window, functions as F
+
+from .functions import transforms as T
+from .operators import history, mapping, metrics, quality, similarity, windows
+from .plans import catalog, characterize
+from .sources import readers
+
+N, H, L = 20, 6, 7
+JOBS = f"""jobs AS (SELECT event_id AS job_id, ts AS submit_time, value * 60 AS runtime_seconds, ts + to_microseconds(CAST(round(value * 60000000) AS BIGINT)) AS end_time,
+  user_id, event_type AS partition, CAST(json_extract(props, '$.k') AS BIGINT) AS k,
+  CASE WHEN value * 60 <= 600 THEN 600 WHEN value * 60 <= 3600 THEN 3600 WHEN value * 60 <= 14400 THEN 14400 ELSE 86400 END AS requested_seconds FROM events)"""
+GRID = f"""a AS (SELECT date_trunc('hour', max(submit_time)) AS latest FROM jobs),
+w AS (SELECT CAST(i AS INTEGER) AS window_id, latest - to_hours(({N} - 1 - i) * {H}) AS t0 FROM a, range({N}) t(i)),
+tr AS (SELECT window_id, j.* FROM w JOIN jobs j ON end_time >= t0 - INTERVAL {L} DAY AND end_time < t0),
+te AS (SELECT window_id, j.* FROM w JOIN jobs j ON submit_time >= t0 AND submit_time < t0 + INTERVAL {H} HOUR)"""
+
+
+def table(spark: SparkSession, d: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{d}/{name}.parquet")
+
+
+def jobs(spark: SparkSession, d: str) -> DataFrame:
+    v = F.col("value") * 60
+    end = F.expr("timestampadd(MICROSECOND, cast(round(value * 60000000) AS bigint), ts)")
+    asked = F.when(v <= 600, 600).when(v <= 3600, 3600).when(v <= 14400, 14400).otherwise(86400)
+    k = F.get_json_object("props", "$.k").try_cast("bigint")
+    return table(spark, d, "events").select(
+        F.col("event_id").alias("job_id"), F.col("ts").alias("submit_time"), v.alias("runtime_seconds"), end.alias("end_time"), "user_id", F.col("event_type").alias("partition"), k.alias("k"), asked.alias("requested_seconds")
+    )
+
+
+def _grid(j: DataFrame) -> windows.Grid:
+    return windows.grid(j, n_windows=N, hours=H, lookback_days=L)
+
+
+def _rows(spark: SparkSession, column: str, values: list, kind: str = "string") -> DataFrame:
+    return spark.createDataFrame(list(enumerate(values)), f"i int, {column} {kind}")
+
 
 QUERIES: dict = {}
 ORACLE_SQL: dict = {}
+
+
+def query(sql: str | None):
+    def add(f):
+        QUERIES[f.__name__] = f
+        if sql:
+            ORACLE_SQL[f.__name__] = sql
+        return f
+
+    return add
+
+
+# -- evaluation -----------------------------------------------------------------------------
+MEANS = "m AS (SELECT window_id, count(*) AS n_train, CAST(sum(CAST(runtime_seconds AS DECIMAL(28,6))) AS DOUBLE) / count(*) AS y_pred FROM tr GROUP BY window_id)"
+PRED = f"WITH {JOBS}, {GRID}, {MEANS}, p AS (SELECT te.window_id, n_train, runtime_seconds AS y_true, y_pred FROM te JOIN m USING (window_id))"
+
+
+@query(PRED + " SELECT window_id, CAST(n_train AS BIGINT) AS n_train, count(*) AS n_test, round(avg(abs(y_true - y_pred)), 5) AS mae, round(sqrt(avg((y_true - y_pred) ^ 2)), 5) AS rmse FROM p GROUP BY window_id, n_train")
+def rolling_baseline_windows(spark, d):
+    j = jobs(spark, d)
+    p = windows.rolling_mean(j, _grid(j))
+    return p.groupBy("window_id", F.col("n_train").cast("bigint").alias("n_train")).agg(F.count(F.lit(1)).alias("n_test"), F.round(metrics.metric("mae"), 5).alias("mae"), F.round(metrics.metric("rmse"), 5).alias("rmse"))
+
+
+@query(PRED + """ SELECT window_id, count(*) AS n_test, round(avg(abs(y_true - y_pred)), 5) AS mae, round(sqrt(avg((y_true - y_pred) ^ 2)), 5) AS rmse,
+ round(100.0 * count(*) FILTER (WHERE y_pred < y_true) / count(*), 5) AS underprediction_ratio, round(avg(abs(y_true - y_pred) / abs(y_true)) FILTER (WHERE y_true <> 0), 5) AS mape,
+ round(CASE WHEN var_pop(y_true) > 0 THEN 1 - avg((y_true - y_pred) ^ 2) / var_pop(y_true) ELSE 0 END, 5) AS r2 FROM p GROUP BY ROLLUP (window_id)""")
+def rolling_baseline_rollup(spark, d):
+    j = jobs(spark, d)
+    names = ["mae", "rmse", "underprediction_ratio", "mape", "r2"]
+    r = metrics.report(windows.rolling_mean(j, _grid(j)), names)
+    return r.select("window_id", "n_test", *(F.round(n, 5).alias(n) for n in names))
+
+
+@query(f"""WITH {JOBS}, {GRID}, x AS (SELECT window_id, count(*) AS n FROM tr GROUP BY 1), y AS (SELECT window_id, count(*) AS n FROM te GROUP BY 1)
+SELECT window_id, strftime(t0, '%Y-%m-%d') AS day, coalesce(strftime(t0, '%Y-%m-%d') <> lag(strftime(t0, '%Y-%m-%d')) OVER (ORDER BY window_id), true) AS refresh,
+ coalesce(x.n, 0) AS n_train, coalesce(y.n, 0) AS n_test, CASE WHEN coalesce(x.n, 0) < 1 THEN 'insufficient_training_rows' WHEN coalesce(y.n, 0) < 1 THEN 'insufficient_test_rows' ELSE 'ok' END AS status
+FROM w LEFT JOIN x USING (window_id) LEFT JOIN y USING (window_id)""")
+def split_plan_counts(spark, d):
+    j = jobs(spark, d)
+    return windows.split_plan(j, _grid(j)).select("window_id", "day", "refresh", F.col("n_train").cast("bigint").alias("n_train"), "n_test", "status")
+
+
+@query(f"""WITH {JOBS}, {GRID}, x AS (SELECT window_id, strftime(t0, '%Y-%m-%d') AS day, (SELECT count(*) FROM tr WHERE tr.window_id = w.window_id) AS n FROM w)
+SELECT day, min(window_id) AS window_id FROM x WHERE n >= 2 GROUP BY day""")
+def daily_artifact_windows(spark, d):
+    j = jobs(spark, d)
+    return windows.daily_artifact_window(windows.split_plan(j, _grid(j)))
+
+
+@query(f"""WITH {JOBS}, r AS (SELECT *, row_number() OVER (ORDER BY submit_time, job_id) - 1 AS i, count(*) OVER () AS n FROM jobs),
+t AS (SELECT CAST(sum(CAST(runtime_seconds AS DECIMAL(28,6))) AS DOUBLE) / count(*) AS m FROM r WHERE i < greatest(1, CAST(floor(n * 0.8) AS BIGINT)))
+SELECT count(*) AS n_test, round(avg(abs(runtime_seconds - m)), 5) AS mae, round(sqrt(avg((runtime_seconds - m) ^ 2)), 5) AS rmse FROM r, t WHERE i >= greatest(1, CAST(floor(n * 0.8) AS BIGINT))""")
+def fixed_baseline(spark, d):
+    s = windows.fixed_split(jobs(spark, d), 0.8, ["submit_time", "job_id"])
+    mean = s.where("is_train").agg(T.exact_mean(F.col("runtime_seconds")).alias("y_pred"))
+    p = s.where("is_test").withColumnRenamed("runtime_seconds", "y_true").join(F.broadcast(mean))
+    return p.agg(F.count(F.lit(1)).alias("n_test"), F.round(metrics.metric("mae"), 5).alias("mae"), F.round(metrics.metric("rmse"), 5).alias("rmse"))
+
+
+@query(f"""WITH {JOBS}, {GRID} SELECT window_id, count(*) AS n_train, round(sum(exp(-0.05 * (epoch_us(t0) - epoch_us(end_time)) / 86400000000.0) * runtime_seconds) / sum(exp(-0.05 * (epoch_us(t0) - epoch_us(end_time)) / 86400000000.0)), 5) AS mean
+FROM tr JOIN w USING (window_id) GROUP BY window_id""")
+def time_decay_mean(spark, d):
+    j = jobs(spark, d)
+    return windows.time_decay_mean(j, _grid(j), 0.05).select("window_id", F.col("n_train").cast("bigint").alias("n_train"), F.round("mean", 5).alias("mean"))
+
+
+@query(f"WITH {JOBS} SELECT job_id, round(ln(1 + greatest(runtime_seconds, 0)), 9) AS y, round(greatest(exp(least(ln(1 + greatest(runtime_seconds, 0)), 700)) - 1, 0), 5) AS back FROM jobs")
+def log_target(spark, d):
+    y = T.log_target(F.col("runtime_seconds"))
+    return jobs(spark, d).select("job_id", F.round(y, 9).alias("y"), F.round(T.unlog_target(y), 5).alias("back"))
+
+
+# -- functions ------------------------------------------------------------------------------
+ISO = ["2023-05-31T22:21:04 UTC", "2023-05-31 22:21:04", "2023-05-31T22:21:04Z", "2023-05-31T22:21:04+09", "2023-05-31T22:21:04+09:00", " 2023-05-31T22:21:04 GMT ", "", None, "not-a-time"]
+
+
+@query("""SELECT * FROM (VALUES (0, 1685571664), (1, 1685571664), (2, 1685571664), (3, 1685539264), (4, 1685539264), (5, 1685571664), (6, NULL), (7, NULL), (8, NULL)) t(i, seconds)""")
+def parse_iso8601(spark, d):
+    return _rows(spark, "s", ISO).select("i", F.unix_timestamp(T.iso8601(F.col("s"))).cast("int").alias("seconds"))
+
+
+@query("SELECT event_id, epoch_us(ts) // 1000000 AS s, epoch_us(ts) // 1000 AS ms, epoch_us(ts) AS us FROM events")
+def parse_epoch(spark, d):
+    us = F.unix_micros(F.col("ts").cast("timestamp"))
+    e = table(spark, d, "events").select("event_id", F.floor(us / 1_000_000).alias("a"), F.floor(us / 1000).alias("b"), us.alias("c"))
+    back = [F.unix_micros(T.epoch(F.col(c), k)) for c, k in (("a", "epoch_s"), ("b", "epoch_ms"), ("c", "epoch_us"))]
+    return e.select("event_id", (back[0] / 1_000_000).cast("bigint").alias("s"), (back[1] / 1000).cast("bigint").alias("ms"), back[2].alias("us"))
+
+
+@query("SELECT event_id, epoch_us(date_trunc('second', ts)) AS us FROM events")
+def parse_strptime(spark, d):
+    text = F.date_format(F.col("ts").cast("timestamp"), "MM/dd/yyyy HH:mm:ss")
+    return table(spark, d, "events").select("event_id", F.unix_micros(T.strptime(text, "%m/%d/%Y %H:%M:%S")).alias("us"))
+
+
+@query("""SELECT l_orderkey, l_linenumber, CASE WHEN l_linenumber = 1 THEN NULL ELSE l_quantity * 60 END AS seconds FROM lineitem""")
+def duration_sentinels(spark, d):
+    text = F.when(F.col("l_linenumber") == 1, F.lit("4294967295")).otherwise(F.col("l_quantity").cast("string"))
+    return table(spark, d, "lineitem").select("l_orderkey", "l_linenumber", T.duration(text, "minutes").alias("seconds"))
+
+
+@query("SELECT o_orderkey, CAST(o_orderkey % 90000 AS DOUBLE) AS hms, CAST(o_orderkey % 90000 AS DOUBLE) + 86400 * (o_orderkey % 7) AS delta FROM orders")
+def duration_clock(spark, d):
+    s = F.col("o_orderkey") % 90000
+    clock = F.format_string("%02d:%02d:%02d", F.floor(s / 3600), F.floor(s % 3600 / 60), s % 60)
+    days = F.concat((F.col("o_orderkey") % 7).cast("string"), F.lit(" days "), clock)
+    return table(spark, d, "orders").select("o_orderkey", T.duration(clock, "hh:mm:ss").alias("hms"), T.duration(days, "timedelta").alias("delta"))
+
+
+@query("""SELECT p_partkey, CASE p_partkey % 6 WHEN 0 THEN p_size * 1024.0 WHEN 1 THEN p_size / 1024.0 WHEN 2 THEN p_size * 1.0 WHEN 3 THEN NULL WHEN 4 THEN p_size * 1048576.0 ELSE p_size * 1.0 END AS mib,
+ p_size / 1024.0 AS from_kb, p_size * 1024.0 AS from_gib FROM part""")
+def memory_units(spark, d):
+    size = F.col("p_size").cast("string")
+    m = F.col("p_partkey") % 6
+    text = F.when(m == 0, F.concat(size, F.lit("G"))).when(m == 1, F.concat(size, F.lit("Kn"))).when(m == 2, size).when(m == 3, F.concat(size, F.lit("Gc"))).when(m == 4, F.concat(size, F.lit("tN"))).otherwise(F.concat(F.lit(" "), size, F.lit("Mn ")))
+    return table(spark, d, "part").select("p_partkey", T.memory_slurm(text).alias("mib"), T.memory(size, "kb").alias("from_kb"), T.memory(size, "gib").alias("from_gib"))
+
+
+@query("SELECT c_custkey, sha256('s:' || c_name) AS salted, sha256(c_name) AS plain FROM customer")
+def hash_identifier(spark, d):
+    return table(spark, d, "customer").select("c_custkey", T.hash_identifier(F.col("c_name"), "s").alias("salted"), T.hash_identifier(F.col("c_name")).alias("plain"))
+
+
+@query("SELECT p_partkey, CAST(CASE p_partkey % 3 WHEN 0 THEN p_size * 1000000000::BIGINT WHEN 1 THEN p_size * 1048576::BIGINT ELSE p_size END AS BIGINT) AS bytes FROM part")
+def parse_size(spark, d):
+    size, m = F.col("p_size").cast("string"), F.col("p_partkey") % 3
+    return table(spark, d, "part").select("p_partkey", T.parse_size(F.when(m == 0, F.concat(size, F.lit("GB"))).when(m == 1, F.concat(size, F.lit(" MiB"))).otherwise(size)).alias("bytes"))
+
+
+@query("SELECT event_id, strftime(ts, '%A %H:00') AS slot, strftime(date_trunc('hour', ts), '%Y-%m-%dT%H:%M:%SZ') AS hour FROM events")
+def time_features(spark, d):
+    t = F.col("ts").cast("timestamp")
+    return table(spark, d, "events").select("event_id", T.weekday_hour(t).alias("slot"), T.iso_z(T.floor_hour(t)).alias("hour"))
+
+
+@query("SELECT p_partkey, CAST(p_size AS BIGINT) AS whole, p_size + 0.5 AS num FROM part")
+def number_casts(spark, d):
+    text = F.concat(F.col("p_size").cast("string"), F.lit(".0"))
+    return table(spark, d, "part").select("p_partkey", T.integer(text).alias("whole"), T.number(F.concat(F.lit(" "), F.col("p_size").cast("string"), F.lit(".5 "))).alias("num"))
+
+
+@query("SELECT vec_id, round(list_sum(list_transform(embedding, lambda x: (x::DOUBLE / sqrt(list_sum(list_transform(embedding, lambda z: z::DOUBLE * z)))) ^ 2)), 9) AS norm, round(embedding[1]::DOUBLE / sqrt(list_sum(list_transform(embedding, lambda z: z::DOUBLE * z))), 9) AS first FROM embeddings")
+def l2_normalise(spark, d):
+    v = T.l2_normalise(F.transform("embedding", lambda x: x.cast("double")))
+    return table(spark, d, "embeddings").select("vec_id", v.alias("v")).select("vec_id", F.round(F.aggregate("v", F.lit(0.0), lambda a, x: a + x * x), 9).alias("norm"), F.round(F.element_at("v", 1), 9).alias("first"))
+
+
+# -- mapping and filters --------------------------------------------------------------------
+MAPPING = {
+    "job_id": {"from": "event_id"}, "submit_time": {"from": "ts_text", "type": "timestamp", "format": "iso8601"}, "start_time": {"from": "start_us", "type": "timestamp", "format": "epoch_us"},
+    "end_time": {"from": "end_us", "type": "timestamp", "format": "epoch_us"}, "user": {"from": "user_id", "type": "hash_identifier", "salt": "x"}, "num_cores_req": {"from": "cores", "type": "integer"},
+    "requested_seconds": {"from": "minutes", "type": "duration", "unit": "minutes"}, "partition": {"from": "event_type"}, "queue": {"from": "absent"},
+}
+MAPPED = """mapped AS (SELECT event_id AS job_id, epoch_us(ts) AS submit_us, epoch_us(ts) + 60000000 AS start_us, epoch_us(ts) + 60000000 + CAST(round(value * 60000000) AS BIGINT) AS end_us,
+ sha256('x:' || user_id::VARCHAR) AS "user", event_id % 64 AS num_cores_req, CASE WHEN event_id % 50 = 0 THEN NULL ELSE (event_id % 50) * 60.0 END AS requested_seconds, event_type AS partition, CAST(NULL AS VARCHAR) AS queue,
+ greatest(0, CAST(round(value * 60000000) AS BIGINT)) / 1000000.0 AS runtime_seconds FROM events)"""
+
+
+def _mapped(spark, d) -> DataFrame:
+    us = F.unix_micros(F.col("ts").cast("timestamp"))
+    raw = table(spark, d, "events").select(
+        "event_id", "event_type", "user_id", F.date_format("ts", "yyyy-MM-dd'T'HH:mm:ss.SSSSSS").alias("ts_text"), (us + 60_000_000).alias("start_us"), (us + 60_000_000 + F.round(F.col("value") * 60_000_000).cast("bigint")).alias("end_us"),
+        F.concat((F.col("event_id") % 64).cast("string"), F.lit(".0")).alias("cores"), F.when(F.col("event_id") % 50 == 0, "UNLIMITED").otherwise((F.col("event_id") % 50).cast("string")).alias("minutes"),
+    )
+    return mapping.project(raw, MAPPING)
+
+
+@query(f"WITH {MAPPED} SELECT * FROM mapped")
+def map_jobs(spark, d):
+    m = _mapped(spark, d)
+    us = [F.unix_micros(f"{c}_time").alias(f"{c}_us") for c in ("submit", "start", "end")]
+    return m.select("job_id", *us, "user", "num_cores_req", "requested_seconds", "partition", "queue", "runtime_seconds")
+
+
+@query("SELECT event_id AS job_id, user_id FROM events WHERE value >= 5 AND event_type <> 'view'")
+def completeness_filter(spark, d):
+    e = table(spark, d, "events").select(F.col("event_id").alias("job_id"), F.when(F.col("value") >= 5, F.col("value")).alias("v"), F.when(F.col("event_type") == "view", "").otherwise(F.col("event_type")).alias("t"), "user_id")
+    return mapping.complete(e, ("job_id", "v", "t")).select("job_id", "user_id")
+
+
+@query("SELECT o_orderkey, o_orderstatus FROM orders WHERE o_orderstatus IN ('F', 'P')")
+def state_allowlist(spark, d):
+    return mapping.allow_states(table(spark, d, "orders").select("o_orderkey", "o_orderstatus"), "o_orderstatus", ["F", "P"])
+
+
+FREIGHT = "freight AS (SELECT l_orderkey, l_linenumber, CASE WHEN l_linenumber = 7 THEN NULL ELSE o_orderdate END AS start_time, l_shipdate AS end_time, CASE WHEN l_linenumber = 6 THEN NULL ELSE l_quantity - 10 END AS amount FROM lineitem JOIN orders ON l_orderkey = o_orderkey)"
+
+
+def freight(spark, d) -> DataFrame:
+    li, o = table(spark, d, "lineitem"), table(spark, d, "orders")
+    j = li.join(o, li["l_orderkey"] == o["o_orderkey"])
+    line = F.col("l_linenumber")
+    return j.select("l_orderkey", "l_linenumber", F.when(line != 7, F.col("o_orderdate")).alias("start_time"), F.col("l_shipdate").alias("end_time"), F.when(line != 6, F.col("l_quantity") - 10).alias("amount"))
+
+
+@query(f"WITH {FREIGHT} SELECT l_orderkey, l_linenumber FROM freight WHERE amount IS NULL OR amount > 0")
+def require_positive(spark, d):
+    return mapping.apply_filters(freight(spark, d), {"require_positive": ["amount", "absent"]}).select("l_orderkey", "l_linenumber")
+
+
+@query(f"WITH {FREIGHT} SELECT l_orderkey, l_linenumber FROM freight WHERE start_time <= end_time OR start_time IS NULL OR end_time IS NULL")
+def end_after_start(spark, d):
+    return mapping.apply_filters(freight(spark, d), {"require_end_after_start": True}).select("l_orderkey", "l_linenumber")
+
+
+@query(f"WITH {FREIGHT} SELECT l_orderkey, l_linenumber FROM freight WHERE start_time IS NOT NULL AND amount IS NOT NULL")
+def require_nonnull(spark, d):
+    return mapping.apply_filters(freight(spark, d), {"require_nonnull": ["start_time", "amount", "absent"]}).select("l_orderkey", "l_linenumber")
+
+
+@query(f"WITH {JOBS} SELECT job_id FROM jobs WHERE submit_time < TIMESTAMP '2024-01-11' AND end_time >= TIMESTAMP '2024-01-04'")
+def overlap_slice(spark, d):
+    return mapping.overlap(jobs(spark, d), "2024-01-05", "2024-01-10", extra_days=1).select("job_id")
+
+
+@query("SELECT event_id, row_number() OVER (ORDER BY ts, event_id) - 1 AS row_idx FROM events")
+def surrogate_ids(spark, d):
+    return windows.row_index(table(spark, d, "events"), ["ts", "event_id"]).select("event_id", "row_idx")
+
+
+_DICE = "r AS (SELECT event_id, event_type, row_number() OVER (ORDER BY event_id) - 1 AS i, count(*) OVER () AS n FROM events), x AS (SELECT *, sha256('7:' || i) AS dice FROM r)"
+
+
+@query("SELECT event_id FROM events ORDER BY event_id LIMIT 300")
+def head_sample(spark, d):
+    return mapping.sample(table(spark, d, "events"), ["event_id"], rows=300).select("event_id")
+
+
+@query(f"WITH {_DICE} SELECT event_id FROM x ORDER BY dice LIMIT 300")
+def random_sample(spark, d):
+    return mapping.sample(table(spark, d, "events"), ["event_id"], rows=300, strategy="random", seed=7).select("event_id")
+
+
+@query(f"WITH {_DICE}, q AS (SELECT event_type, round_even(300.0 * count(*) / min(n), 0) AS quota FROM x GROUP BY event_type), k AS (SELECT event_id, i, row_number() OVER (PARTITION BY event_type ORDER BY dice, i) AS r, quota FROM x JOIN q USING (event_type)) SELECT event_id FROM k WHERE r <= quota ORDER BY i LIMIT 300")
+def stratified_sample(spark, d):
+    return mapping.sample(table(spark, d, "events"), ["event_id"], rows=300, strategy="stratified", by=["event_type"], seed=7).select("event_id")
+
+
+@query("SELECT c AS \"column\", c AS name, t AS dtype, k AS kind, 0.0::DOUBLE AS null_rate FROM (VALUES ('event_id', 'bigint', 'number'), ('ts', 'timestamp_ntz', 'time'), ('user_id', 'bigint', 'number'), ('event_type', 'string', 'text'), ('value', 'double', 'number'), ('props', 'string', 'text')) v(c, t, k)")
+def column_profile(spark, d):
+    return mapping.profile(table(spark, d, "events"), ["event_id"]).drop("samples")
+
+
+@query("""SELECT * FROM (VALUES ('job_id', 'event_id', 1.0::DOUBLE, 1), ('job_id', 'user_id', 1.0, 2), ('submit_time', 'ts', 1.0, 1), ('start_time', 'x', 0, 0), ('runtime_seconds', 'value', 1.0, 1), ('user', 'user_id', 1.0, 1), ('partition', 'event_type', 1.0, 1)) v(field, "column", confidence, rank) WHERE rank > 0""")
+def mapping_suggestions(spark, d):
+    return mapping.suggest(table(spark, d, "events"))
+
+
+# -- quality and characterisation -----------------------------------------------------------
+@query(f"""WITH {FREIGHT} SELECT 'start_time' AS "column", count(*) FILTER (WHERE start_time IS NULL) AS missing, count(*) FILTER (WHERE start_time IS NULL) / count(*) AS rate FROM freight
+UNION ALL SELECT 'amount', count(*) FILTER (WHERE amount IS NULL), count(*) FILTER (WHERE amount IS NULL) / count(*) FROM freight""")
+def missingness(spark, d):
+    return quality.missingness(freight(spark, d), ["start_time", "amount"])
+
+
+@query(f"""WITH {FREIGHT}, r AS (SELECT l_orderkey * 10 + l_linenumber AS key, start_time, end_time, amount FROM freight),
+i AS (SELECT key, 'missing_start_time' AS issue FROM r WHERE start_time IS NULL UNION ALL SELECT key, 'missing_runtime_seconds' FROM r WHERE amount IS NULL
+ UNION ALL SELECT key, 'negative_runtime' FROM r WHERE amount < 0 UNION ALL SELECT key, 'start_after_end' FROM r WHERE start_time > end_time)
+SELECT issue, count(*) AS count, array_to_string(list_sort(list(key))[1:3], ',') AS examples FROM i GROUP BY issue""")
+def issue_summary(spark, d):
+    t = freight(spark, d).select((F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("job_id"), "start_time", "end_time", F.col("amount").alias("runtime_seconds"))
+    return quality.issue_summary(t, "job_id").withColumn("examples", F.array_join("examples", ","))
+
+
+@query("SELECT o_orderpriority AS value, count(*) AS count FROM orders GROUP BY 1")
+def label_distribution(spark, d):
+    return quality.value_counts(table(spark, d, "orders"), "o_orderpriority")
+
+
+@query("SELECT p_brand AS value, count(*) AS count FROM part GROUP BY 1 ORDER BY 2 DESC, 1 LIMIT 20")
+def top_states(spark, d):
+    return quality.value_counts(table(spark, d, "part"), "p_brand", 20)
+
+
+@query("""SELECT 'p_brand' AS "column", count(DISTINCT p_brand) AS cardinality, 0.0::DOUBLE AS missingness FROM part UNION ALL SELECT 'p_type', count(DISTINCT p_type), 0 FROM part UNION ALL SELECT 'p_size', count(DISTINCT p_size), 0 FROM part""")
+def column_cardinality(spark, d):
+    return quality.cardinality(table(spark, d, "part"), ["p_brand", "p_type", "p_size"])
+
+
+CATEGORIES = """c AS (SELECT 'user_id' AS col, user_id::VARCHAR AS value, count(*) AS n FROM events GROUP BY 2 UNION ALL SELECT 'event_type', event_type, count(*) FROM events GROUP BY 2)"""
+
+
+@query(f"""WITH {CATEGORIES} SELECT col AS "column", count(value) AS cardinality, 0.0::DOUBLE AS null_rate, count(*) FILTER (WHERE n <= 2) AS rare_values, round(coalesce(sum(n) FILTER (WHERE n <= 2), 0) / sum(n), 6) AS rare_fraction,
+ (list(value ORDER BY n DESC, value))[1] AS top_value, max(n) AS top_count FROM c GROUP BY col""")
+def categorical_profile(spark, d):
+    return quality.category_profile(table(spark, d, "events"), ["user_id", "event_type"])
+
+
+@query(f"""WITH {CATEGORIES}, f AS (SELECT DISTINCT n + 1 AS f FROM c WHERE n + 1 >= 2 UNION SELECT 2), g AS (SELECT f, col, count(*) FILTER (WHERE n >= f) + max((n < f)::INT) AS w FROM f, c GROUP BY f, col), s AS (SELECT f, sum(w) AS w FROM g GROUP BY f)
+SELECT f AS min_frequency, CAST(w AS BIGINT) AS width FROM s WHERE w <= 100 ORDER BY f LIMIT 1""")
+def one_hot_width(spark, d):
+    return quality.one_hot_width(table(spark, d, "events"), ["user_id", "event_type"], most=100).select("min_frequency", F.col("width").cast("bigint").alias("width"))
+
+
+@query(f"WITH {JOBS} SELECT count(*) AS n, 0.0::DOUBLE AS required_missing, round(avg((runtime_seconds > 0)::INT), 6) AS positive_runtime, count(DISTINCT partition) AS partitions FROM jobs")
+def coverage_score(spark, d):
+    return quality.coverage(jobs(spark, d))
+
+
+SPAN = """sp AS (SELECT CAST(quantile_cont(CAST(floor(epoch_us(ts) / 1000000.0) AS DOUBLE), 0.001) AS BIGINT) AS lo0, quantile_cont(floor(epoch_us(ts) / 1000000.0), 0.001) AS lo, quantile_cont(floor(epoch_us(ts) / 1000000.0), 0.999) AS hi FROM events),
+b AS (SELECT CAST(floor(trunc(lo) / 86400) AS INTEGER) AS lo_day, CAST(floor(trunc(hi) / 86400) AS INTEGER) AS hi_day FROM sp),
+dv AS (SELECT d, DATE '1970-01-01' + d AS day, coalesce(c, 0) AS n FROM (SELECT unnest(range(lo_day, hi_day + 1))::INTEGER AS d FROM b) LEFT JOIN (SELECT CAST(floor(epoch_us(ts) / 86400000000.0) AS INTEGER) AS d, count(*) AS c FROM events GROUP BY 1) USING (d))"""
+
+
+@query(f"WITH {SPAN} SELECT CAST(day AS DATE) AS day, n FROM dv")
+def daily_volume(spark, d):
+    return characterize.daily_volume(table(spark, d, "events"), "ts")
+
+
+@query(f"WITH {SPAN} SELECT count(*) AS days, CAST(sum(n) AS BIGINT) AS rows, median(n) FILTER (WHERE n > 0) AS median, min(n) FILTER (WHERE n > 0) AS min, max(n) AS max, greatest(1.0, 0.05 * median(n) FILTER (WHERE n > 0)) AS gap_floor, round(sum(n) / count(*), 1) AS rate FROM dv")
+def healthy_span(spark, d):
+    return characterize.volume_stats(characterize.daily_volume(table(spark, d, "events"), "ts"))
+
+
+SPARSE = "sparse AS (SELECT DISTINCT CAST(o_orderdate AS DATE) AS day FROM orders WHERE o_custkey % 97 = 0)"
+SERIES = f"WITH {SPARSE}, lo AS (SELECT min(day) AS a, max(day) AS b FROM sparse), ds AS (SELECT CAST(unnest(generate_series(a, b, INTERVAL 1 DAY)) AS DATE) AS day FROM lo), dv AS (SELECT ds.day, (s.day IS NOT NULL)::BIGINT AS n FROM ds LEFT JOIN sparse s USING (day)), g AS (SELECT day, day - CAST(row_number() OVER (ORDER BY day) AS INTEGER) AS isl FROM dv WHERE n < 1), gp AS (SELECT min(day) AS gap_start, max(day) AS gap_end, count(*) AS days FROM g GROUP BY isl HAVING count(*) >= 3)"
+
+
+def _sparse(spark, d) -> DataFrame:
+    days = table(spark, d, "orders").where("o_custkey % 97 = 0").select(F.col("o_orderdate").cast("date").alias("day")).distinct()
+    every = days.agg(F.min("day").alias("a"), F.max("day").alias("b")).select(F.explode(F.sequence("a", "b")).alias("day"))
+    return every.join(days.withColumn("n", F.lit(1)), "day", "left").select("day", F.coalesce("n", F.lit(0)).cast("bigint").alias("n"))
+
+
+@query(SERIES + " SELECT * FROM gp")
+def gaps(spark, d):
+    return characterize.gaps(_sparse(spark, d))
+
+
+@query(SERIES + """, e AS (SELECT min(day) AS lo, max(day) AS hi, date_diff('day', min(day), max(day)) + 1 AS span FROM dv),
+x AS (SELECT *, least(5, span) AS size FROM e), an AS (SELECT *, greatest(lo + CAST(size - 1 AS INTEGER), least(hi, lo + CAST(round_even(0.9 * (span - 1), 0) AS INTEGER))) AS anchor FROM x),
+c AS (SELECT an.*, CAST(unnest(generate_series(lo + CAST(size - 1 AS INTEGER), hi, INTERVAL 1 DAY)) AS DATE) AS e FROM an), t AS (SELECT *, e - CAST(size - 1 AS INTEGER) AS s, abs(date_diff('day', anchor, e)) AS shift, (SELECT count(*) FROM gp WHERE gap_start <= e AND gap_end >= e - CAST(size - 1 AS INTEGER)) AS touches FROM c)
+SELECT s AS window_start, e AS window_end, greatest(s, e - 1) AS test_start, shift, (SELECT CAST(sum(n) AS BIGINT) FROM dv WHERE day BETWEEN s AND e) AS n_rows, touches = 0 AS healthy FROM t ORDER BY touches > 0, shift, e DESC LIMIT 1""")
+def select_window(spark, d):
+    daily = _sparse(spark, d)
+    return characterize.select_window(daily, characterize.gaps(daily), train_days=3, test_days=2)
+
+
+@query(SERIES + ", c AS (SELECT day AS e, day - 4 AS s FROM dv) SELECT s, e FROM c WHERE NOT EXISTS (SELECT 1 FROM gp WHERE gap_start <= e AND gap_end >= s)")
+def clear_windows(spark, d):
+    daily = _sparse(spark, d)
+    ends = daily.select(F.date_sub("day", 4).alias("s"), F.col("day").alias("e"))
+    return ends.join(F.broadcast(characterize.gaps(daily)), (F.col("gap_start") <= F.col("e")) & (F.col("gap_end") >= F.col("s")), "left_anti")
+
+
+@query(f"WITH {JOBS} SELECT min(runtime_seconds) AS min, round(quantile_cont(runtime_seconds, 0.5), 1) AS median, round(quantile_cont(runtime_seconds, 0.9), 1) AS p90, round(quantile_cont(runtime_seconds, 0.99), 1) AS p99, max(runtime_seconds) AS max FROM jobs")
+def runtime_quantiles(spark, d):
+    return characterize.runtime_quantiles(jobs(spark, d))
+
+
+# -- routing and history --------------------------------------------------------------------
+EDGES = """mo AS (SELECT window_id, requested_seconds AS v, count(*) AS n, row_number() OVER (PARTITION BY window_id ORDER BY count(*) DESC, requested_seconds) AS r, sum(count(*)) OVER (PARTITION BY window_id) AS total FROM tr GROUP BY 1, 2),
+md AS (SELECT window_id, list(v::DOUBLE ORDER BY v) AS modes FROM mo WHERE r < 5 AND n >= 0.02 * total GROUP BY 1),
+qt AS (SELECT window_id, list_distinct([quantile_cont(requested_seconds, 0.2), quantile_cont(requested_seconds, 0.4), quantile_cont(requested_seconds, 0.6), quantile_cont(requested_seconds, 0.8)]) AS q FROM tr GROUP BY 1),
+ed AS (SELECT window_id, list_concat(CASE WHEN len(modes) >= 2 THEN modes ELSE q END, ['infinity'::DOUBLE]) AS edges FROM qt LEFT JOIN md USING (window_id))"""
+POWER = "uc AS (SELECT window_id, user_id, count(*) AS n FROM tr GROUP BY 1, 2), pu AS (SELECT window_id, user_id, n FROM (SELECT *, quantile_cont(n, 0.99) OVER (PARTITION BY window_id) AS cut FROM uc) WHERE n >= cut)"
+
+
+def _split(spark, d):
+    j = jobs(spark, d)
+    g = _grid(j)
+    return windows.train_rows(j, g), windows.test_rows(j, g)
+
+
+@query(f"WITH {JOBS}, {GRID}, {EDGES} SELECT window_id, array_to_string(list_transform(edges, lambda x: CASE WHEN isinf(x) THEN 'inf' ELSE CAST(x AS INTEGER)::VARCHAR END), ',') AS edges FROM ed")
+def wallclock_modes(spark, d):
+    e = history.wallclock_edges(_split(spark, d)[0], "window_id", "requested_seconds")
+    return e.select("window_id", F.array_join(F.transform("edges", lambda x: F.when(x == float("inf"), "inf").otherwise(x.cast("int").cast("string"))), ",").alias("edges"))
+
+
+@query(f"WITH {JOBS}, {GRID}, {POWER} SELECT window_id, user_id, n FROM pu")
+def power_users(spark, d):
+    return history.power_users(_split(spark, d)[0], "window_id", "user_id")
+
+
+BIN = "CASE WHEN requested_seconds > 0 THEN coalesce(list_position(list_transform(edges, lambda x: requested_seconds <= x), true) - 1, len(edges) - 1) ELSE -1 END"
+
+
+@query(f"WITH {JOBS}, {GRID}, {EDGES} SELECT job_id, window_id, CAST({BIN} AS INTEGER) AS bin FROM te JOIN ed USING (window_id)")
+def route_bins(spark, d):
+    train, test = _split(spark, d)
+    e = history.wallclock_edges(train, "window_id", "requested_seconds")
+    return test.join(F.broadcast(e), "window_id").select("job_id", "window_id", history.bin_of(F.col("requested_seconds"), F.col("edges")).cast("int").alias("bin"))
+
+
+@query(f"""WITH {JOBS}, {GRID}, {EDGES}, {POWER},
+ra AS (SELECT x.window_id, x.runtime_seconds, CASE WHEN pu.user_id IS NOT NULL THEN x.user_id::VARCHAR ELSE '*' END AS key, {BIN} AS bin FROM tr x JOIN ed USING (window_id) LEFT JOIN pu ON pu.window_id = x.window_id AND pu.user_id = x.user_id),
+rb AS (SELECT x.window_id, job_id, x.runtime_seconds, CASE WHEN pu.user_id IS NOT NULL THEN x.user_id::VARCHAR ELSE '*' END AS key, {BIN} AS bin FROM te x JOIN ed USING (window_id) LEFT JOIN pu ON pu.window_id = x.window_id AND pu.user_id = x.user_id),
+ex AS (SELECT window_id, key, bin, CAST(sum(CAST(runtime_seconds AS DECIMAL(28,6))) AS DOUBLE) / count(*) AS m FROM ra GROUP BY 1, 2, 3 HAVING count(*) >= 50),
+al AS (SELECT window_id, CAST(sum(CAST(runtime_seconds AS DECIMAL(28,6))) AS DOUBLE) / count(*) AS m FROM tr GROUP BY 1)
+SELECT rb.window_id, job_id, CASE WHEN ex.m IS NOT NULL THEN 'expert' ELSE 'fallback' END AS route, round(coalesce(ex.m, al.m), 6) AS y_pred FROM rb JOIN al USING (window_id) LEFT JOIN ex ON ex.window_id = rb.window_id AND ex.key = rb.key AND ex.bin = rb.bin""")
+def moe_mean_experts(spark, d):
+    train, test = _split(spark, d)
+    out = history.routed_means(train, test, group="window_id", user="user_id", value="requested_seconds", target="runtime_seconds", least=50)
+    return out.select("window_id", "job_id", "route", F.round("y_pred", 6).alias("y_pred"))
+
+
+@query(f"WITH {JOBS} SELECT job_id, count(*) OVER w AS n_context, CAST(sum(CAST(runtime_seconds AS DECIMAL(28,6))) OVER w AS DOUBLE) / nullif(count(*) OVER w, 0) AS y_pred FROM jobs WINDOW w AS (PARTITION BY user_id ORDER BY end_time, job_id ROWS BETWEEN 50 PRECEDING AND 1 PRECEDING)")
+def user_context_mean(spark, d):
+    return history.context_mean(jobs(spark, d), user="user_id", order=["end_time", "job_id"], target="runtime_seconds").select("job_id", "n_context", "y_pred")
+
+
+@query(f"""WITH {JOBS}, r AS (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY end_time, job_id) AS p FROM jobs),
+n AS (SELECT a.job_id, b.runtime_seconds AS y, row_number() OVER (PARTITION BY a.job_id ORDER BY abs(b.k - a.k), b.job_id) AS r FROM r a JOIN r b ON a.user_id = b.user_id AND b.p BETWEEN a.p - 50 AND a.p - 1),
+m AS (SELECT job_id, CAST(sum(CAST(y AS DECIMAL(28,6))) AS DOUBLE) / count(*) AS y_pred FROM n WHERE r <= 5 GROUP BY 1) SELECT job_id, y_pred FROM jobs LEFT JOIN m USING (job_id)""")
+def user_context_knn(spark, d):
+    return history.context_knn(jobs(spark, d), user="user_id", order=["end_time", "job_id"], key="job_id", feature="k", target="runtime_seconds").select("job_id", "y_pred")
+
+
+# -- similarity -----------------------------------------------------------------------------
+VECS = "v AS (SELECT vec_id, embedding::DOUBLE[] AS e, label, CAST(vec_id % 4 AS INTEGER) AS g FROM embeddings), nb AS (SELECT a.g, a.vec_id AS query, b.vec_id AS neighbour, round(list_cosine_similarity(a.e, b.e), 9) AS s, b.label AS y FROM v a JOIN v b ON a.g = b.g AND a.vec_id <> b.vec_id), rk AS (SELECT *, row_number() OVER (PARTITION BY query ORDER BY s DESC, neighbour) AS rank FROM nb)"
+
+
+def _neighbours(spark, d) -> DataFrame:
+    v = table(spark, d, "embeddings").withColumn("g", (F.col("vec_id") % 4).cast("int"))
+    near = similarity.dense_neighbours(v, v, key="vec_id", vector="embedding", value="label", group="g", k=6).where("query <> neighbour")
+    again = F.row_number().over(Window.partitionBy("g", "query").orderBy(F.desc("similarity"), "neighbour"))
+    return near.withColumn("rank", again).where("rank <= 5")
+
+
+@query(f"WITH {VECS} SELECT g, query, neighbour, round(s, 6) AS similarity, CAST(rank AS INTEGER) AS rank FROM rk WHERE rank <= 5")
+def dense_knn(spark, d):
+    return _neighbours(spark, d).select("g", "query", "neighbour", F.round("similarity", 6).alias("similarity"), "rank")
+
+
+@query(f"WITH {VECS} SELECT g, query, round(CASE WHEN sum(greatest(s, 0)) > 0 THEN sum(greatest(s, 0) * y) / sum(greatest(s, 0)) ELSE avg(y) END, 6) AS y_pred FROM rk WHERE rank <= 5 GROUP BY 1, 2")
+def dense_knn_weighted(spark, d):
+    return similarity.weighted_prediction(_neighbours(spark, d), "g").select("g", "query", F.round("y_pred", 6).alias("y_pred"))
+
+
+TERMS = """t AS (SELECT p_partkey AS key, term, count(*) AS tf FROM (SELECT p_partkey, unnest(regexp_split_to_array(lower(p_name || ' ' || p_brand || ' ' || p_type), '[^a-z0-9_]+')) AS term FROM part) WHERE length(term) >= 2 GROUP BY 1, 2),
+tn AS (SELECT * FROM t WHERE key % 2 = 0), ts AS (SELECT * FROM t WHERE key % 2 = 1), n AS (SELECT count(DISTINCT key) AS n FROM tn), idf AS (SELECT term, ln((1.0 + n) / (1.0 + count(*))) + 1 AS idf FROM tn, n GROUP BY term, n),
+wa AS (SELECT key, term, tf * idf AS w, sqrt(sum((tf * idf) ^ 2) OVER (PARTITION BY key)) AS nr FROM ts JOIN idf USING (term)), wb AS (SELECT key, term, tf * idf AS w, sqrt(sum((tf * idf) ^ 2) OVER (PARTITION BY key)) AS nr FROM tn JOIN idf USING (term)),
+s AS (SELECT wa.key AS query, wb.key AS neighbour, round(sum(wa.w / wa.nr * wb.w / wb.nr), 9) AS sim FROM wa JOIN wb USING (term) GROUP BY 1, 2), r AS (SELECT *, row_number() OVER (PARTITION BY query ORDER BY sim DESC, neighbour) AS rank FROM s)"""
+
+
+@query(f"WITH {TERMS} SELECT query, CAST(rank AS INTEGER) AS rank, round(sim, 6) AS similarity FROM r WHERE rank <= 5")
+def tfidf_knn(spark, d):
+    p = table(spark, d, "part")
+    terms = similarity.term_counts(p, "p_partkey", F.concat_ws(" ", "p_name", "p_brand", "p_type"))
+    out = similarity.tfidf_neighbours(terms.where("key % 2 = 0"), terms.where("key % 2 = 1"))
+    return out.select("query", "rank", F.round("similarity", 6).alias("similarity"))
+
+
+@query("SELECT event_id, props, min(event_id) OVER (PARTITION BY props) AS first_key FROM events")
+def text_dedup_scatter(spark, d):
+    return similarity.first_of_equal(table(spark, d, "events").select("event_id", "props"), "props", "event_id")
+
+
+@query("SELECT event_id, sha256(props) AS made FROM events")
+def encode_distinct(spark, d):
+    return similarity.map_distinct(table(spark, d, "events").select("event_id", "props"), "props", lambda c: F.sha2(c, 256), "made").select("event_id", "made")
+
+
+PARTS = """SELECT event_id, event_type, user_id, ts, CASE WHEN event_id % 3 = 0 THEN NULL ELSE event_id % 64 END AS c, CASE WHEN event_id % 5 = 0 THEN '' ELSE 'q' || event_id % 5 END AS q FROM events"""
+
+
+def _described(spark, d) -> DataFrame:
+    i = F.col("event_id")
+    return table(spark, d, "events").select(i, F.col("event_type").alias("partition"), F.col("user_id").alias("user"), F.col("ts").alias("submit_time"), F.when(i % 3 != 0, i % 64).alias("num_cores_req"), F.when(i % 5 == 0, "").otherwise(F.concat(F.lit("q"), (i % 5).cast("string"))).alias("queue"))
+
+
+@query(f"""SELECT event_id, 'An HPC batch job on the ' || event_type || ' partition' || CASE WHEN q = '' THEN '' ELSE ' (queue ' || q || ')' END || CASE WHEN c IS NULL THEN '' ELSE ', requesting ' || c || ' cores' END || ', submitted by ' || user_id || ', submitted on ' || strftime(ts, '%A %H:00') || '.' AS text FROM ({PARTS})""")
+def serialize_prose(spark, d):
+    df = _described(spark, d)
+    return df.select("event_id", similarity.serialise(df).alias("text"))
+
+
+@query(f"""SELECT event_id, 'partition: ' || event_type || CASE WHEN q = '' THEN '' ELSE chr(10) || 'queue: ' || q END || chr(10) || 'user: ' || user_id || CASE WHEN c IS NULL THEN '' ELSE chr(10) || 'requested cores: ' || c END || chr(10) || 'submitted: ' || strftime(ts, '%A %H:00') AS text FROM ({PARTS})""")
+def serialize_kv(spark, d):
+    df = _described(spark, d)
+    return df.select("event_id", similarity.serialise(df, form="kv").alias("text"))
+
+
+# -- sources --------------------------------------------------------------------------------
+@query("SELECT o_orderkey AS job_number, epoch_us(date_trunc('day', o_orderdate)) + CAST(o_orderkey % 100 AS BIGINT) * 1000000 AS start_us, CASE WHEN o_orderkey % 10 = 0 THEN NULL ELSE CAST(o_orderkey % 1000 AS DOUBLE) END AS run_time FROM orders")
+def swf_lines(spark, d):
+    o = table(spark, d, "orders")
+    i, day = F.col("o_orderkey"), F.unix_timestamp(F.date_trunc("day", F.col("o_orderdate").cast("timestamp")))
+    rows = o.select(F.concat_ws(" ", i.cast("string"), (day - 1000).cast("string"), (i % 100).cast("string"), F.when(i % 10 == 0, "-1").otherwise((i % 1000).cast("string")), F.lit("4 -1 -1")).alias("value"))
+    lines = rows.union(spark.createDataFrame([("; UnixStartTime: 1000",), ("1 2",)], "value string")).withColumn("__file", F.lit("f"))
+    out = readers.swf_lines(lines)
+    return out.select(F.col("job_number").cast("bigint").alias("job_number"), F.unix_micros("start_time").alias("start_us"), "run_time")
+
+
+@query("SELECT event_id AS job_id, epoch_us(date_trunc('second', ts)) AS start_us, 60.0 * (event_id % 50) AS runtime_seconds, event_type AS partition, CAST(event_id % 8 + 1 AS BIGINT) AS allocated_cpus FROM events WHERE event_id % 7 <> 0")
+def event_pairing(spark, d):
+    i, t = F.col("event_id"), F.date_trunc("second", F.col("ts").cast("timestamp"))
+    at = lambda c: F.date_format(c, "yyyy-MM-dd'T'HH:mm:ss")
+    e = table(spark, d, "events")
+    a = e.select(F.format_string("[%s] sched: Allocate JobId=%d NodeList=n%d #CPUs=%d Partition=%s", at(t), i, i % 9, i % 8 + 1, F.col("event_type")).alias("value"), (i * 2).alias("line"))
+    b = e.where(i % 7 != 0).select(F.format_string("[%s] _job_complete: JobId=%d done", at(F.timestamp_seconds(F.unix_timestamp(t) + 60 * (i % 50))), i).alias("value"), (i * 2 + 1).alias("line"))
+    out = readers.scheduler_log(a.union(b), "line")
+    return out.select("job_id", F.unix_micros("start_time").alias("start_us"), "runtime_seconds", "partition", "allocated_cpus")
+
+
+@query("SELECT DISTINCT o_custkey::VARCHAR AS job_id, last_value(o_orderstatus) OVER (PARTITION BY o_custkey ORDER BY o_orderkey ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING) AS state FROM orders")
+def accounting_states(spark, d):
+    lines = table(spark, d, "orders").select(F.concat_ws("|", F.concat(F.col("o_custkey").cast("string"), F.lit(".batch")), "o_orderstatus").alias("value"), F.col("o_orderkey").alias("line"))
+    return readers.accounting(lines, "line")
+
+
+@query("SELECT o_orderkey AS k, o_totalprice AS v, NULL::VARCHAR AS s FROM orders UNION ALL SELECT p_partkey, p_size::DOUBLE, p_brand FROM part")
+def permissive_union(spark, d):
+    a = table(spark, d, "orders").select(F.col("o_orderkey").alias("k"), F.col("o_totalprice").alias("v"))
+    b = table(spark, d, "part").select(F.col("p_partkey").alias("k"), F.col("p_size").alias("v"), F.col("p_brand").alias("s"))
+    return readers.union([a, b]).select("k", "v", "s")
+
+
+# -- catalogue ------------------------------------------------------------------------------
+def _entries(spark, d) -> DataFrame:
+    n, r = table(spark, d, "nation"), table(spark, d, "region")
+    j = n.join(r, n["n_regionkey"] == r["r_regionkey"])
+    return j.select(F.col("n_name").alias("id"), F.when(F.col("n_nationkey") % 2 == 0, "model").otherwise("dataset").alias("type"), F.col("n_name").alias("label"), F.col("r_name").alias("domain"), F.array(F.lower("r_name"), F.concat(F.lit("t"), (F.col("n_nationkey") % 3).cast("string"))).alias("tags"), F.lit("local").alias("source"), F.lit("job").alias("input_schema"), F.col("r_name").alias("output_schema"))
+
+
+@query("SELECT n_name AS id FROM nation WHERE n_nationkey % 2 = 0 AND n_nationkey % 3 = 1")
+def registry_filter(spark, d):
+    return catalog.registry_filter(_entries(spark, d), kind="model", tag="t1", source="local").select("id")
+
+
+@query("SELECT n_name AS source, r_name AS target, 'output' AS type FROM nation JOIN region ON n_regionkey = r_regionkey UNION ALL SELECT n_name, lower(r_name), 'tag' FROM nation JOIN region ON n_regionkey = r_regionkey UNION ALL SELECT n_name, 't' || (n_nationkey % 3), 'tag' FROM nation")
+def metadata_graph_edges(spark, d):
+    return catalog.graph(_entries(spark, d), {"output_schema": "output", "tags": "tag"})[1]
+
+
+@query("SELECT n_name AS id, CASE WHEN n_nationkey % 2 = 0 THEN 'model' ELSE 'dataset' END AS type FROM nation UNION ALL SELECT DISTINCT r_name, 'output' FROM nation JOIN region ON n_regionkey = r_regionkey UNION ALL SELECT DISTINCT lower(r_name), 'tag' FROM nation JOIN region ON n_regionkey = r_regionkey UNION ALL SELECT DISTINCT 't' || (n_nationkey % 3), 'tag' FROM nation")
+def metadata_graph_nodes(spark, d):
+    return catalog.graph(_entries(spark, d), {"output_schema": "output", "tags": "tag"})[0].select("id", "type")
+
+
+@query("""WITH c AS (SELECT c_mktsegment AS dataset, count(*) * 2500 AS n_rows, min(c_custkey) % 5 <> 0 AS healthy FROM customer GROUP BY 1), s AS (SELECT 'BUILDING' AS dataset, 100 AS slice_rows), m AS (SELECT r_name AS model FROM region)
+SELECT dataset, model, coalesce(slice_rows, n_rows) AS rows, CASE WHEN coalesce(slice_rows, n_rows) < 300000 THEN 'light' WHEN coalesce(slice_rows, n_rows) < 2000000 THEN 'heavy' ELSE 'extreme' END AS tier,
+CASE WHEN NOT healthy THEN 'skipped: unhealthy window' WHEN coalesce(slice_rows, n_rows) > 750000 THEN 'skipped: too many rows' ELSE 'cell' END AS status FROM c LEFT JOIN s USING (dataset), m""")
+def plan_matrix(spark, d):
+    cards = table(spark, d, "customer").groupBy(F.col("c_mktsegment").alias("dataset")).agg((F.count(F.lit(1)) * 2500).alias("n_rows"), (F.min("c_custkey") % 5 != 0).alias("healthy"))
+    side = spark.createDataFrame([("BUILDING", 100)], "dataset string, slice_rows bigint")
+    return catalog.matrix(cards, table(spark, d, "region").select(F.col("r_name").alias("model")), sidecars=side, most_rows=750_000)
+
+
+@query("WITH r AS (SELECT s_name AS run, 'm' || s_nationkey % 3 AS metric, s_acctbal AS value FROM supplier) SELECT run, metric, value, abs(value - CASE WHEN metric = 'm2' THEN max(value) OVER (PARTITION BY metric) ELSE min(value) OVER (PARTITION BY metric) END) < 1e-9 AS is_best FROM r")
+def leaderboard_best(spark, d):
+    r = table(spark, d, "supplier").select(F.col("s_name").alias("run"), F.concat(F.lit("m"), (F.col("s_nationkey") % 3).cast("string")).alias("metric"), F.col("s_acctbal").alias("value"), F.lit(None).cast("string").alias("created_at"))
+    return catalog.leaderboard(r, ("m2",)).select("run", "metric", "value", "is_best")
+
+
+# -- fitted models and streams: values are not portable, so there is no SQL twin ----------------
+@query(None)
+def forest_rolling(spark, d):
+    from .operators import models
+
+    j = jobs(spark, d)
+    g = windows.grid(j, n_windows=2, hours=6, lookback_days=2)
+    return metrics.report(models.rolling_trees(j, g, "forest", numTrees=10, maxDepth=6), ["mae", "rmse"])
+
+
+@query(None)
+def boosted_rolling(spark, d):
+    from .operators import models
+
+    j = jobs(spark, d)
+    g = windows.grid(j, n_windows=1, hours=6, lookback_days=2)
+    return metrics.report(models.rolling_trees(j, g, "gbt", maxIter=5, maxDepth=4, log=True), ["mae", "rmse"])
+
+
+@query(None)
+def perceptron_rolling(spark, d):
+    from .operators import models
+
+    j = jobs(spark, d)
+    g = windows.grid(j, n_windows=4, hours=6, lookback_days=2)
+    return metrics.report(models.rolling_perceptron(j, g, hidden=(16, 8), rounds=10), ["mae", "rmse"])
