@@ -4,19 +4,17 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-Y, P = F.col("y_true"), F.col("y_pred")
-
-
 def metric(name: str) -> Column:
     """The aggregate of a metric; mape is a fraction over non-zero truths, r2 is 0 where truths are constant."""
-    err = Y - P
+    y, p = F.col("y_true"), F.col("y_pred")
+    err = y - p
     made = {
         "mae": lambda: F.avg(F.abs(err)),
         "rmse": lambda: F.sqrt(F.avg(err * err)),
         "median_ae": lambda: F.percentile(F.abs(err), F.lit(0.5)),
-        "underprediction_ratio": lambda: F.lit(100.0) * F.count_if(P < Y) / F.count(F.lit(1)),
-        "mape": lambda: F.avg(F.when(Y != 0, F.abs(err) / F.abs(F.nullif(Y, F.lit(0.0))))),
-        "r2": lambda: F.when(F.var_pop(Y) > 0, F.lit(1.0) - F.avg(err * err) / F.nullif(F.var_pop(Y), F.lit(0.0))).otherwise(0.0),
+        "underprediction_ratio": lambda: F.lit(100.0) * F.count_if(p < y) / F.count(F.lit(1)),
+        "mape": lambda: F.avg(F.when(y != 0, F.abs(err) / F.abs(F.nullif(y, F.lit(0.0))))),
+        "r2": lambda: F.when(F.var_pop(y) > 0, F.lit(1.0) - F.avg(err * err) / F.nullif(F.var_pop(y), F.lit(0.0))).otherwise(0.0),
     }
     if name not in made:
         raise ValueError(f"unknown metric {name!r}")
