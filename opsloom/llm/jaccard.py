@@ -46,6 +46,8 @@ SMALL = 64
 #: Documents of one key in one block of the search.
 BLOCK = 2048
 LEAF = 32
+#: More candidates than this meet their texts by shuffle instead of broadcast.
+BROADCAST_IDS = 2_000_000
 CACHE = 500_000
 _P1, _P2 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
 
@@ -299,7 +301,9 @@ def link(docs: DataFrame, *, words: int = 4, percent: int = 85) -> DataFrame:
 
     candidates = members.groupBy("doc_id").agg(F.min("m").alias("m"))
     candidates = stages.write("candidates", candidates)
-    sets = stages.write("sets", texts.join(candidates, "doc_id", "left_semi").dropDuplicates(["doc_id"]).mapInArrow(partial(_sets, size=words), SETS))
+    ids = candidates.select("doc_id")
+    ids = F.broadcast(ids) if candidates.count() <= BROADCAST_IDS else ids  # saves the shuffle of all texts
+    sets = stages.write("sets", texts.join(ids, "doc_id", "left_semi").dropDuplicates(["doc_id"]).mapInArrow(partial(_sets, size=words), SETS))
 
     stars = stages.write("stars", _verified(candidates.where("m < doc_id").select(F.col("doc_id").alias("u"), F.col("m").alias("v")), sets, percent))
     comps = stages.write("comps", components(stars, stages, "c1"))
