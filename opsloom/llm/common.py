@@ -12,6 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 WORD_SPLIT = r"[\x20\x09-\x0D]+"
 
 _FILE_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+_BATCH_ROWS = "spark.sql.execution.arrow.maxRecordsPerBatch"
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -53,17 +54,19 @@ def remove(spark: SparkSession, *paths: str) -> None:
 
 
 @contextmanager
-def freed_shuffles(spark: SparkSession):
-    """Shuffle files of the queries run inside go as soon as each query has ended."""
-    before = spark.conf.get(_FILE_CLEANUP, None)
-    spark.conf.set(_FILE_CLEANUP, "true")
+def settings(spark: SparkSession, **values: str):
+    """Session settings for the queries run inside, put back afterwards."""
+    before = {k: spark.conf.get(k, None) for k in values}
+    for k, v in values.items():
+        spark.conf.set(k, v)
     try:
         yield
     finally:
-        if before is None:
-            spark.conf.unset(_FILE_CLEANUP)
-        else:
-            spark.conf.set(_FILE_CLEANUP, before)
+        for k, v in before.items():
+            if v is None:
+                spark.conf.unset(k)
+            else:
+                spark.conf.set(k, v)
 
 
 def let(name: str, value: str, body: str) -> str:
@@ -86,9 +89,13 @@ class Stages:
         self.spark = spark
         self.paths: dict[str, str] = {}
 
-    def write(self, name: str, df: DataFrame) -> DataFrame:
+    def write(self, name: str, df: DataFrame, *, batch_rows: int | None = None) -> DataFrame:
+        """df as a written table.  batch_rows: rows that Python workers get at once, for tables of large rows.
+
+        The shuffle files of the query go as soon as it has ended.
+        """
         path = new_path(self.spark, name)
-        with freed_shuffles(self.spark):
+        with settings(self.spark, **{_FILE_CLEANUP: "true"} | ({_BATCH_ROWS: str(batch_rows)} if batch_rows else {})):
             df.write.option("compression", "zstd").parquet(path)
         self.paths[name] = path
         return self.spark.read.schema(df.schema).parquet(path)

@@ -470,7 +470,7 @@ def _cut(parts: int):
     return run
 
 
-def find_repeats(docs: DataFrame, *, block_bytes: int = 12 << 20, part_bytes: int = 32 << 20) -> DataFrame:
+def find_repeats(docs: DataFrame, *, block_bytes: int = 6 << 20, part_bytes: int = 16 << 20) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans, kept_sha256 and the removed spans (start, size) of each document.
 
     block_bytes: text of a block, held by one task; part_bytes: text for each hash range.
@@ -480,10 +480,12 @@ def find_repeats(docs: DataFrame, *, block_bytes: int = 12 << 20, part_bytes: in
     total = blocks.select(F.sum(F.aggregate("sizes", F.lit(0).cast("bigint"), lambda a, x: a + x)).alias("n")).first().n or 0
     parts = max(8, -(-total // part_bytes))
     hashes = blocks.select("block", "sizes", "body").mapInArrow(_hashes(parts), "part int, block bigint, hashes binary")
-    masks = stages.write("masks", hashes.groupBy("part").applyInArrow(_shared, "block bigint, part int, mask binary"))
+    masks = stages.write("masks", hashes.groupBy("part").applyInArrow(_shared, "block bigint, part int, mask binary"), batch_rows=4)
     by_block = masks.groupBy("block").agg(F.collect_list(F.struct("part", "mask")).alias("masks"))
     runs = blocks.join(by_block, "block").select("block", "doc_ids", "sizes", "body", "masks").mapInArrow(_send_runs(parts), "part int, block bigint, run binary")
-    answers = stages.write("answers", runs.groupBy("part").applyInArrow(_answers, "block bigint, part int, answer binary"))
+    answers = stages.write("answers", runs.groupBy("part").applyInArrow(_answers, "block bigint, part int, answer binary"), batch_rows=4)
     told = answers.groupBy("block").agg(F.collect_list(F.struct("part", "answer")).alias("answers"))
     sides = blocks.join(by_block, "block", "left").join(told, "block", "left")
-    return sides.select("doc_ids", "sizes", "body", "masks", "answers").mapInArrow(_cut(parts), RESULT)
+    result = stages.write("result", sides.select("doc_ids", "sizes", "body", "masks", "answers").mapInArrow(_cut(parts), RESULT), batch_rows=4)
+    stages.drop("blocks", "masks", "answers")
+    return result
