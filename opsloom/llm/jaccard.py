@@ -286,7 +286,7 @@ def link(docs: DataFrame, *, words: int = 4, percent: int = 85) -> DataFrame:
     spark = docs.sparkSession
     stages = Stages(spark)
     texts = docs.select("doc_id", "text")
-    signed = stages.write("signed", texts.mapInArrow(partial(_sign, size=words, percent=percent), SIGN))
+    signed = stages.write("signed", texts.mapInArrow(partial(_sign, size=words, percent=percent), SIGN), batch_rows=2000)
     sizes = stages.write("sizes", signed.select("doc_id", "n", "h1", "h2"))
     known = sizes.where("doc_id is not null and n > 0")
     first = known.groupBy("n", "h1", "h2").agg(F.min("doc_id").alias("rep"))
@@ -303,13 +303,13 @@ def link(docs: DataFrame, *, words: int = 4, percent: int = 85) -> DataFrame:
     candidates = stages.write("candidates", candidates)
     ids = candidates.select("doc_id")
     ids = F.broadcast(ids) if candidates.count() <= BROADCAST_IDS else ids  # saves the shuffle of all texts
-    sets = stages.write("sets", texts.join(ids, "doc_id", "left_semi").dropDuplicates(["doc_id"]).mapInArrow(partial(_sets, size=words), SETS))
+    sets = stages.write("sets", texts.join(ids, "doc_id", "left_semi").dropDuplicates(["doc_id"]).mapInArrow(partial(_sets, size=words), SETS), batch_rows=2000)
 
-    stars = stages.write("stars", _verified(candidates.where("m < doc_id").select(F.col("doc_id").alias("u"), F.col("m").alias("v")), sets, percent))
+    stars = stages.write("stars", _verified(candidates.where("m < doc_id").select(F.col("doc_id").alias("u"), F.col("m").alias("v")), sets, percent), batch_rows=1000)
     comps = stages.write("comps", components(stars, stages, "c1"))
     blocks = _open_blocks(members.select("key", "doc_id"), comps, sets).repartition("key", "i", "j").sortWithinPartitions("key", "i", "j")
     across = stages.write("across", blocks.mapInArrow(partial(_search, percent=percent), "u bigint, v bigint").distinct())
-    found = stages.write("found", _verified(across, sets, percent))
+    found = stages.write("found", _verified(across, sets, percent), batch_rows=1000)
     stages.drop("members", "sets", "across")
 
     edges = stars.union(found).union(equal.where("doc_id <> rep").select("doc_id", "rep"))
