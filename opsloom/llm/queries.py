@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import decontam, jaccard, langid, linededup, mixing, pii, quality, sharding, suffixdedup, tokencount
+from . import decontam, jaccard, langid, linededup, mixing, pii, quality, sharding, suffixdedup, tokencount, twins
 from .common import benchmark, documents, new_path
 
 
@@ -54,4 +54,10 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {f.__name__: f for f in (op1_language_id, op2_suffix_dedup, op3_line_dedup, op4_pii_pseudonyms, op5_jaccard_join, op6_token_counts, op7_quality_rules, op8_decontamination, op9_sharding, op10_mixing)}
 
-ORACLE_SQL = {"op3_line_dedup": linededup.oracle(), "op10_mixing": mixing.oracle()}
+ORACLE_SQL = {
+    "op3_line_dedup": linededup.oracle(),
+    "op5_jaccard_join": twins.jaccard(),
+    "op7_quality_rules": twins.quality_rules(),
+    "op8_decontamination": twins.decontamination(),
+    "op10_mixing": mixing.oracle(),
+}
