@@ -92,6 +92,12 @@ def _pack_blocks(block_bytes: int):
     return run
 
 
+def scatter(least: np.ndarray) -> np.ndarray:
+    """One-to-one: least hashes crowd near 0, ranges of their keys are even."""
+    key = (least ^ (least >> np.uint64(31))) * _A
+    return (key ^ (key >> np.uint64(30))) * _B
+
+
 class Block:
     """The suffix records of a block: first string, strings, least hash, and document of each."""
 
@@ -104,6 +110,7 @@ class Block:
         parts = [self._chunk(s, min(s + CHUNK, self.size)) for s in range(0, self.size, CHUNK)]
         self.at, self.strings, self.least = (np.concatenate(x) if parts else np.empty(0, t) for x, t in zip(zip(*parts) if parts else [(), (), ()], (np.int64, np.int64, np.uint64)))
         self.doc = np.searchsorted(self.ends, self.at, "right")
+        self.key = scatter(self.least)
 
     def grams(self, s: int, e: int) -> np.ndarray:
         """Hashes of the grams that begin in [s, e); those that leave their document or the block get the top value."""
@@ -184,8 +191,8 @@ class Block:
         return out
 
 
-def part_of(least: np.ndarray, parts: int) -> np.ndarray:
-    return ((least >> np.uint64(32)) * np.uint64(parts) >> np.uint64(32)).astype(np.int64)
+def part_of(key: np.ndarray, parts: int) -> np.ndarray:
+    return ((key >> np.uint64(32)) * np.uint64(parts) >> np.uint64(32)).astype(np.int64)
 
 
 def _hashes(parts: int):
@@ -208,8 +215,8 @@ def _hashes(parts: int):
 
 def _distinct(b: Block) -> tuple[np.ndarray, np.ndarray]:
     """Sorted distinct least hashes of a block, and whether several of its documents have them."""
-    order = np.argsort(b.least, kind="stable")
-    keys, docs = b.least[order], b.doc[order]
+    order = np.argsort(b.key, kind="stable")
+    keys, docs = b.key[order], b.doc[order]
     first = np.flatnonzero(np.append(True, keys[1:] != keys[:-1])) if len(keys) else np.empty(0, np.int64)
     if not len(first):
         return keys, np.empty(0, bool)
@@ -242,9 +249,9 @@ class Runs:
         keys, _ = _distinct(b)
         cut = np.searchsorted(part_of(keys, parts), np.arange(parts + 1))
         flags = np.concatenate([np.unpackbits(np.frombuffer(masks[p], np.uint8), count=cut[p + 1] - cut[p]) for p in range(parts) if cut[p + 1] > cut[p]] or [np.empty(0, np.uint8)]).astype(bool)
-        self.pick = np.flatnonzero(np.isin(b.least, keys[flags], kind="sort"))
+        self.pick = np.flatnonzero(np.isin(b.key, keys[flags], kind="sort"))
         rows = b.records(self.pick)
-        part = part_of(b.least[self.pick], parts)
+        part = part_of(b.key[self.pick], parts)
         order = np.argsort(rows, kind="stable")
         order = order[np.argsort(part[order], kind="stable")]
         rows, part = rows[order], part[order]
