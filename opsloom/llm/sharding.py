@@ -121,8 +121,8 @@ class ShardStore:
             rows = self._read([p for p, _ in moved], schema).withColumn("__path", F.element_at(F.split(F.col("_metadata.file_path"), "/data/"), -1))
             plan = self.spark.createDataFrame(moved, f"__path string, {GROUP} int")
             grouped = rows.join(F.broadcast(plan) if len(moved) <= BROADCAST_SHARDS else plan, "__path").drop("__path")
-            # A run has about the target size at most, so each task writes a bounded file.
-            grouped.repartition(len(runs), GROUP).write.option("compression", "zstd").partitionBy(GROUP).parquet(f"{self.root}/data/{batch}")
+            # A run has about the target size at most, and ranges keep runs apart, so each task writes a bounded file.
+            grouped.repartitionByRange(len(runs), GROUP).write.option("compression", "zstd").partitionBy(GROUP).parquet(f"{self.root}/data/{batch}")
             gone = {p for p, _ in moved}
             now = self.commit(now, [s for s in now["shards"] if s["path"] not in gone] + self._written(batch), None)
             if vacuum:
