@@ -8,7 +8,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
 from .functions import transforms as T
-from .operators import history, mapping, metrics, quality, similarity, windows
+from .operators import history, mapping, metrics, quality, similarity, summaries, windows
 from .plans import catalog, characterize
 from .sources import readers
 
@@ -432,12 +432,15 @@ def route_bins(spark, d):
     return test.join(F.broadcast(e), "window_id").select("job_id", "window_id", history.bin_of(F.col("requested_seconds"), F.col("edges")).cast("int").alias("bin"))
 
 
-@query(f"""WITH {JOBS}, {GRID}, {EDGES}, {POWER},
+ROUTED = f"""WITH {JOBS}, {GRID}, {EDGES}, {POWER},
 ra AS (SELECT x.window_id, x.runtime_seconds, CASE WHEN pu.user_id IS NOT NULL THEN x.user_id::VARCHAR ELSE '*' END AS key, {BIN} AS bin FROM tr x JOIN ed USING (window_id) LEFT JOIN pu ON pu.window_id = x.window_id AND pu.user_id = x.user_id),
 rb AS (SELECT x.window_id, job_id, x.runtime_seconds, CASE WHEN pu.user_id IS NOT NULL THEN x.user_id::VARCHAR ELSE '*' END AS key, {BIN} AS bin FROM te x JOIN ed USING (window_id) LEFT JOIN pu ON pu.window_id = x.window_id AND pu.user_id = x.user_id),
 ex AS (SELECT window_id, key, bin, CAST(sum(CAST(runtime_seconds AS DECIMAL(28,6))) AS DOUBLE) / count(*) AS m FROM ra GROUP BY 1, 2, 3 HAVING count(*) >= 50),
 al AS (SELECT window_id, CAST(sum(CAST(runtime_seconds AS DECIMAL(28,6))) AS DOUBLE) / count(*) AS m FROM tr GROUP BY 1)
-SELECT rb.window_id, job_id, CASE WHEN ex.m IS NOT NULL THEN 'expert' ELSE 'fallback' END AS route, round(coalesce(ex.m, al.m), 6) AS y_pred FROM rb JOIN al USING (window_id) LEFT JOIN ex ON ex.window_id = rb.window_id AND ex.key = rb.key AND ex.bin = rb.bin""")
+SELECT rb.window_id, job_id, CASE WHEN ex.m IS NOT NULL THEN 'expert' ELSE 'fallback' END AS route, round(coalesce(ex.m, al.m), 6) AS y_pred FROM rb JOIN al USING (window_id) LEFT JOIN ex ON ex.window_id = rb.window_id AND ex.key = rb.key AND ex.bin = rb.bin"""
+
+
+@query(ROUTED)
 def moe_mean_experts(spark, d):
     train, test = _split(spark, d)
     out = history.routed_means(train, test, group="window_id", user="user_id", value="requested_seconds", target="runtime_seconds", least=50)
@@ -593,6 +596,45 @@ def leaderboard_best(spark, d):
     return catalog.leaderboard(r, ("m2",)).select("run", "metric", "value", "is_best")
 
 
+# -- summaries ------------------------------------------------------------------------------
+@query("SELECT count(DISTINCT date_trunc('hour', ts)) AS hours, count(DISTINCT date_trunc('hour', ts)) >= 3 AS enough FROM events")
+def hour_bins(spark, d):
+    return summaries.spans_hours(table(spark, d, "events"), "ts")
+
+
+@query(f"SELECT count(DISTINCT window_id) AS windows, count(*) AS rows, count(*) FILTER (WHERE route = 'expert') AS by_expert, count(*) FILTER (WHERE route = 'fallback') AS by_fallback, round(avg((route = 'expert')::INT), 6) AS routed FROM ({ROUTED})")
+def routing_summary(spark, d):
+    return summaries.route_summary(moe_mean_experts(spark, d))
+
+
+@query(f"""SELECT count(*) AS windows, count(*) FILTER (WHERE status = 'ok') AS scored, count(*) FILTER (WHERE status <> 'ok') AS skipped, CAST(coalesce(sum(n_test) FILTER (WHERE status = 'ok'), 0) AS BIGINT) AS rows_scored,
+count(DISTINCT day) FILTER (WHERE status = 'ok') AS days, count(*) FILTER (WHERE refresh) AS refits FROM ({ORACLE_SQL["split_plan_counts"]})""")
+def window_summary(spark, d):
+    return summaries.window_summary(split_plan_counts(spark, d))
+
+
+@query("""WITH v AS (SELECT DISTINCT p_type AS value FROM part), w AS (SELECT unnest(['promo brush', 'Standrd Tin']) AS wanted), r AS (SELECT wanted, value, levenshtein(lower(value), lower(wanted)) AS distance, row_number() OVER (PARTITION BY wanted ORDER BY levenshtein(lower(value), lower(wanted)), value) AS r FROM v, w)
+SELECT wanted, value, distance FROM r WHERE r <= 3""")
+def close_values(spark, d):
+    return summaries.close_values(table(spark, d, "part"), "p_type", ["promo brush", "Standrd Tin"])
+
+
+@query(f"""WITH {FREIGHT}, h AS (SELECT * FROM freight ORDER BY l_orderkey, l_linenumber LIMIT 50), c AS (SELECT 'start_after_end' AS "check", count(*) FILTER (WHERE start_time > end_time) AS hits FROM h UNION ALL SELECT 'null_start_time', count(*) FILTER (WHERE start_time IS NULL) FROM h UNION ALL SELECT 'null_amount', count(*) FILTER (WHERE amount IS NULL) FROM h) SELECT * FROM c WHERE hits > 0""")
+def ingest_checks(spark, d):
+    return summaries.ingest_checks(freight(spark, d), ["l_orderkey", "l_linenumber"])
+
+
+@query("""SELECT o_orderkey, CASE WHEN s < 60 THEN s || 's' WHEN s < 3600 THEN (s % 3600 // 60) || 'm ' || (s % 60) || 's' WHEN s < 86400 THEN (s // 3600) || 'h ' || (s % 3600 // 60) || 'm' ELSE (s // 86400) || 'd ' || (s % 86400 // 3600) || 'h' END AS t FROM (SELECT o_orderkey, o_orderkey * 37 % 300000 AS s FROM orders)""")
+def duration_texts(spark, d):
+    return table(spark, d, "orders").select("o_orderkey", summaries.duration_text(F.col("o_orderkey") * 37 % 300000).alias("t"))
+
+
+@query("SELECT o_orderkey, CASE WHEN b < 1000 THEN b || ' B' WHEN b < 1000000 THEN printf('%.1f KB', b / 1000.0) ELSE printf('%.1f MB', b / 1000000.0) END AS t FROM (SELECT o_orderkey, o_orderkey * o_orderkey % 90000000 AS b FROM orders)")
+def byte_texts(spark, d):
+    i = F.col("o_orderkey")
+    return table(spark, d, "orders").select("o_orderkey", T.human_bytes(i * i % 90000000).alias("t"))
+
+
 # -- fitted models and streams: values are not portable, so there is no SQL twin ----------------
 @query(None)
 def forest_rolling(spark, d):

@@ -110,6 +110,24 @@ def encoder(encode: Callable[[list[str]], np.ndarray]) -> Callable[[Column], Col
     return run
 
 
+def digest_encode(dim: int = 256) -> Callable[[Column], Column]:
+    """Counts of words by the first 8 bytes of their BLAKE2b digest, little-endian, modulo dim; scaled to length 1.
+
+    The same vectors as other programs with that rule make; hash_encode is the faster form.
+    """
+    from hashlib import blake2b
+
+    def encode(texts: list[str]) -> np.ndarray:
+        out = np.zeros((len(texts), dim), np.float32)
+        for row, text in zip(out, texts):
+            for w in text.split():
+                row[int.from_bytes(blake2b(w.encode(), digest_size=8).digest(), "little") % dim] += 1
+        n = np.sqrt((out * out).sum(axis=1, keepdims=True))
+        return out / np.where(n == 0, 1, n)
+
+    return encoder(encode)
+
+
 def map_distinct(df: DataFrame, text: str, make: Callable[[Column], Column], name: str) -> DataFrame:
     """df with name = make(text), computed once for each distinct text."""
     made = df.select(text).where(F.col(text).isNotNull()).distinct().withColumn(name, make(F.col(text)))

@@ -1,7 +1,7 @@
 import pytest
 from pyspark.sql import functions as F
 
-from opsloom.operators import history, mapping, quality, similarity
+from opsloom.operators import history, mapping, quality, similarity, summaries
 from opsloom.plans import characterize, prepare
 from opsloom.plans.validate import ValidationError, validate
 from opsloom.sources import fetch, readers
@@ -98,3 +98,17 @@ def test_texts_are_made_once(spark, tmp_path):
 def test_bins(spark):
     df = spark.createDataFrame([(1, 5.0), (2, 10.0), (3, 99.0), (4, None), (5, -2.0)], "i int, v double").withColumn("e", F.array(F.lit(10.0), F.lit(20.0)))
     assert [r.b for r in df.select("i", history.bin_of(F.col("v"), F.col("e")).alias("b")).orderBy("i").collect()] == [0, 0, 1, -1, -1]
+
+
+def test_fingerprint_ignores_order(spark):
+    df = spark.range(500).select(F.col("id").alias("a"), (F.col("id") % 7).cast("string").alias("b"))
+    one = summaries.fingerprint(df).first()
+    assert summaries.fingerprint(df.orderBy(F.desc("a")).repartition(7).select("b", "a")).first() == one
+    assert summaries.fingerprint(df.where("a > 0")).first() != one
+    assert summaries.unit_name("duration", " Mins ") == "mins" and summaries.unit_name("memory", "G") == "gb"
+
+
+def test_digest_encoder(spark):
+    df = spark.createDataFrame([(1, "a b a"), (2, ""), (3, None)], "i int, t string").withColumn("v", similarity.digest_encode(16)(F.col("t")))
+    got = {r.i: r.v for r in df.collect()}
+    assert sorted(x for x in got[1] if x) == pytest.approx([1 / 5**0.5, 2 / 5**0.5]) and not any(got[2]) and not any(got[3])
