@@ -5,12 +5,15 @@ from __future__ import annotations
 import fnmatch
 import tarfile
 import tempfile
+import uuid
 import zipfile
 from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 from pyspark.sql.types import ArrayType, MapType, StringType, StructType
 
+from ..scratch import shared_dir
+
 #: The columns of the Standard Workload Format.
 SWF = [
     "job_number", "submit", "wait", "run_time", "allocated_processors", "average_cpu_time", "used_memory", "requested_processors", "requested_time",
@@ -129,9 +132,8 @@ def accounting(lines: DataFrame, order: str) -> DataFrame:
     return rows.groupBy("job_id").agg(F.max_by("state", order).alias("state"))
 
 
-def expand(path: str, pattern: str = "*", suffixes: tuple[str, ...] = (), into: str | None = None) -> list[str]:
-    """Members of a zip or tar archive that match by name or path, extracted to a folder all executors share; other files as they are."""
-    into = into or tempfile.mkdtemp(prefix="opsloom-")
+def expand(path: str, into: str, pattern: str = "*", suffixes: tuple[str, ...] = ()) -> list[str]:
+    """Members of a zip or tar archive that match by name or path, extracted below into; other files as they are."""
     wanted = lambda n: (fnmatch.fnmatch(n, pattern) or fnmatch.fnmatch(Path(n).name, pattern)) and (not suffixes or n.endswith(suffixes))
     out = []
     if zipfile.is_zipfile(path):
@@ -150,13 +152,27 @@ def expand(path: str, pattern: str = "*", suffixes: tuple[str, ...] = (), into:
     return sorted(out)
 
 
-def decode(spark: SparkSession, kind: str, paths: list[str], *, pattern: str = "*", into: str | None = None, **options) -> DataFrame:
-    """Archives expanded, then read by kind: parquet, csv, json or swf."""
+def shared(spark: SparkSession, local: str, inside: str) -> str:
+    """A file of the driver's own folder inside, copied to the folder that all executors share."""
+    to = f"{shared_dir(spark)}/extracted/{uuid.uuid4().hex}/{Path(local).relative_to(inside)}"
+    jvm = spark.sparkContext._jvm
+    p = jvm.org.apache.hadoop.fs.Path(to)
+    p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).copyFromLocalFile(jvm.org.apache.hadoop.fs.Path(f"file://{local}"), p)
+    return to
+
+
+def decode(spark: SparkSession, kind: str, paths: list[str], *, pattern: str = "*", **options) -> DataFrame:
+    """Archives expanded, then read by kind: parquet, csv, json or swf.
+
+    The driver extracts to a folder of its own and copies what it found to the shared one.
+    """
     kinds = {"parquet": (parquet, (".parquet",)), "csv": (csv, (".csv", ".tsv", ".txt", ".csv.gz")), "json": (json, (".json", ".json.gz")), "swf": (swf, (".swf", ".swf.gz", ".txt"))}
     if kind not in kinds:
         raise ValueError(f"unknown kind {kind!r}; known: {', '.join(kinds)}")
     read, suffixes = kinds[kind]
-    files = [f for p in paths for f in expand(p, pattern, suffixes, into)]
+    with tempfile.TemporaryDirectory(prefix="opsloom-") as own:
+        found = [f for p in paths for f in expand(p, own, pattern, suffixes)]
+        files = [shared(spark, f, own) if Path(f).is_relative_to(own) else f for f in found]
     if not files:
         raise FileNotFoundError(f"no {kind} file in {', '.join(paths)}")
     return read(spark, *files, **options)
