@@ -23,8 +23,8 @@ already connected.
 
 Defined results for odd input: a null text, or one without words, has an empty set and links with
 nothing; fewer words than a shingle make one token; a null ``doc_id`` is passed on unlinked; rows
-with the same doc_id are one document each for counting and one node for linking; other columns are
-ignored.  Hashes of 64 bits stand for words, shingles and sets (128 bits for whole sets).
+with the same doc_id are counted each, but are one node for linking, which in a comparison stands for
+the smallest of their texts; other columns are ignored.  Hashes of 64 bits stand for words, shingles and sets (128 bits for whole sets).
 """
 
 from __future__ import annotations
@@ -303,7 +303,7 @@ def link(docs: DataFrame, *, words: int = 4, percent: int = 85) -> DataFrame:
     candidates = stages.write("candidates", candidates)
     ids = candidates.select("doc_id")
     ids = F.broadcast(ids) if candidates.count() <= BROADCAST_IDS else ids  # saves the shuffle of all texts
-    sets = stages.write("sets", texts.join(ids, "doc_id", "left_semi").dropDuplicates(["doc_id"]).mapInArrow(partial(_sets, size=words), SETS), batch_rows=2000)
+    sets = stages.write("sets", texts.join(ids, "doc_id", "left_semi").groupBy("doc_id").agg(F.min("text").alias("text")).mapInArrow(partial(_sets, size=words), SETS), batch_rows=2000)
 
     stars = stages.write("stars", _verified(candidates.where("m < doc_id").select(F.col("doc_id").alias("u"), F.col("m").alias("v")), sets, percent), batch_rows=1000)
     comps = stages.write("comps", components(stars, stages, "c1"))
