@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame, functions as F
 WORD = re.compile(r"[^\W\d_]+")
 BUCKETS = 1 << 16
 #: Distinct words that a task keeps at once; beyond that it starts anew, so memory stays bounded.
-CACHE = 200_000
+CACHE = 500_000
 
 TRAIN_SCHEMA = "lang string, bucket int, n bigint"
 PREDICT_SCHEMA = "doc_id bigint, held_out boolean, lang_pred string, score double, langs array<string>, shares array<double>"
@@ -116,12 +116,34 @@ def em(like: np.ndarray, times: np.ndarray, starts: np.ndarray, doc: np.ndarray,
     return share, _sums(times * np.log(fit_), starts)
 
 
-def infer(docs: list[tuple[list[np.ndarray], list[int]]], n_langs: int, penalty: float) -> list[tuple[np.ndarray, float]]:
-    """For each document, (word log-likelihoods, times) -> (share of each language, confidence)."""
+class Lexicon:
+    """Log-likelihoods of the words seen, under each language."""
+
+    def __init__(self, table: np.ndarray):
+        self.table, self.known, self.rows, self.size = table, {}, np.empty((1024, table.shape[1])), 0
+
+    def places(self, words) -> list[int]:
+        """The rows of distinct words."""
+        new = [w for w in words if w not in self.known]
+        if new:
+            found = [grams(w) for w in new]
+            starts = np.cumsum([0, *map(len, found[:-1])])
+            end = self.size + len(new)
+            if end > len(self.rows):
+                self.rows = np.resize(self.rows, (max(end, 2 * len(self.rows)), self.rows.shape[1]))
+            self.rows[self.size : end] = np.add.reduceat(self.table[[x for g in found for x in g]], starts, axis=0)
+            self.known.update(zip(new, range(self.size, end)))
+            self.size = end
+        return [self.known[w] for w in words]
+
+
+def infer(docs: list[tuple[list[int], list[int]]], rows: np.ndarray, penalty: float) -> list[tuple[np.ndarray, float]]:
+    """For each document, (rows of its words, times) -> (share of each language, confidence)."""
+    n_langs = rows.shape[1]
     size = np.array([len(t) for _, t in docs])
     starts = np.concatenate([[0], np.cumsum(size)[:-1]])
     doc = np.repeat(np.arange(len(docs)), size)
-    logs = np.array([row for rows, _ in docs for row in rows])
+    logs = rows[[p for places, _ in docs for p in places]]
     times = np.array([t for _, ts in docs for t in ts], float)
     best = logs.max(axis=1)
     like, shift = np.exp(logs - best[:, None]), _sums(times * best, starts)
@@ -162,11 +184,11 @@ def infer(docs: list[tuple[list[np.ndarray], list[int]]], n_langs: int, penalty:
 
 def _predictor(langs: list[str], table: np.ndarray, penalty: float):
     def predict(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        cache: dict[str, np.ndarray] = {}
+        lexicon = Lexicon(table)
         out: list[tuple] = []
 
         def settle(held: list, todo: list) -> list[tuple]:
-            answers = iter(infer([x for x in todo if x], len(langs), penalty) if any(todo) else [])
+            answers = iter(infer([x for x in todo if x], lexicon.rows, penalty) if any(todo) else [])
             rows = []
             for (doc_id, flag), x in zip(held, todo):
                 if not x:
@@ -183,20 +205,14 @@ def _predictor(langs: list[str], table: np.ndarray, penalty: float):
                 words = Counter(WORD.findall(text.lower())) if text and langs else {}
                 if words and not any(c.isalpha() for c in text):
                     words = {}
-                logs = []
-                for w in words:
-                    row = cache.get(w)
-                    if row is None:
-                        if len(cache) >= CACHE:
-                            cache.clear()
-                        row = cache[w] = table[grams(w)].sum(axis=0)
-                    logs.append(row)
-                held.append((doc_id, flag))
-                todo.append((logs, list(words.values())) if words else None)
-                load += len(words)
-                if load > 100_000:
+                if load > 100_000 or lexicon.size > CACHE:
                     out += settle(held, todo)
                     held, todo, load = [], [], 0
+                    if lexicon.size > CACHE:
+                        lexicon = Lexicon(table)
+                held.append((doc_id, flag))
+                todo.append((lexicon.places(words), list(words.values())) if words else None)
+                load += len(words)
             out += settle(held, todo)
             cols = list(zip(*out)) or [[]] * 6
             types = [pa.int64(), pa.bool_(), pa.string(), pa.float64(), pa.list_(pa.string()), pa.list_(pa.float64())]
