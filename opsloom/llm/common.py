@@ -6,7 +6,7 @@ import tempfile
 import uuid
 from contextlib import contextmanager
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
 #: Words of the text contracts are runs of anything but ASCII white space.
 WORD_SPLIT = r"[\x20\x09-\x0D]+"
@@ -69,6 +69,18 @@ def settings(spark: SparkSession, **values: str):
                 spark.conf.set(k, v)
 
 
+#: More ids than this meet the rows by shuffle instead of broadcast.
+BROADCAST_IDS = 2_000_000
+
+
+def by_ids(df: DataFrame, ids: DataFrame, how: str, key: str = "doc_id") -> DataFrame:
+    """The rows of df with (left_semi) or without (left_anti) one of the ids, a written table of one column.
+
+    A few ids are sent to all tasks, which saves the shuffle of whole texts; their count is checked.
+    """
+    return df.join(F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids, key, how)
+
+
 def let(name: str, value: str, body: str) -> str:
     """SQL of body with name bound to value, which is evaluated once a row.
 

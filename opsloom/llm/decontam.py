@@ -19,7 +19,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, functions as F
 
-from .common import Stages, let
+from .common import BROADCAST_IDS, Stages, by_ids, let
 
 #: With these two masks any two substitutions in 13 tokens leave a hit.
 MASKS = ("11001111", "11101011")
@@ -63,7 +63,9 @@ def overlaps(docs: DataFrame, items: DataFrame, *, window: int = 13, substitutio
     with_sizes = stages.write("sizes", found.join(item_tokens.selectExpr("item_id", "size(item) AS n_item"), "item_id"))
     per_doc = with_sizes.groupBy("doc_id").agg(F.collect_set(F.struct("item_id", "diagonal", "n_item")).alias("found"))
     beside = "transform(found, f -> named_struct('item_id', f.item_id, 'diagonal', f.diagonal, 'beside', slice(w, greatest(f.diagonal, 0) + 1, greatest(0, f.n_item + least(f.diagonal, 0)))))"
-    own = docs.selectExpr("doc_id", "text").join(per_doc, "doc_id").selectExpr("doc_id", let("w", tokens("text"), beside) + " AS f")
+    per_doc = stages.write("per-doc", per_doc)
+    few = F.broadcast(per_doc) if with_sizes.count() <= BROADCAST_IDS // 8 else per_doc  # spares the shuffle of all texts
+    own = docs.selectExpr("doc_id", "text").join(few, "doc_id").selectExpr("doc_id", let("w", tokens("text"), beside) + " AS f")
     sides = own.selectExpr("doc_id", "explode(f) AS f").select("doc_id", "f.item_id", "f.diagonal", "f.beside").join(item_tokens, "item_id")
     same = "zip_with(slice(item, greatest(0, -diagonal) + 1, size(item)), beside, (a, b) -> coalesce(a = b, false))"
     # Prefix sums of agreement give the windows that agree; the span of the good ones is the overlap.
@@ -85,4 +87,4 @@ def judge(docs: DataFrame, items: DataFrame, **options) -> DataFrame:
 def drop_contaminated(docs: DataFrame, items: DataFrame, **options) -> DataFrame:
     """The rows of docs without an overlap with an item."""
     bad = overlaps(docs, items, **options).select("doc_id").distinct()
-    return docs.join(bad, "doc_id", "left_anti")
+    return by_ids(docs, Stages(docs.sparkSession).write("contaminated", bad), "left_anti")

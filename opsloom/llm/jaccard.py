@@ -37,17 +37,16 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from .common import Stages
+from .common import Stages, by_ids
 from .graph import components
 
-GROUPS = 64
+GROUPS = 128
+FULL = 255
 #: Bands whose largest size is below this use prefixes.
 SMALL = 64
 #: Documents of one key in one block of the search.
 BLOCK = 2048
 LEAF = 32
-#: More candidates than this meet their texts by shuffle instead of broadcast.
-BROADCAST_IDS = 2_000_000
 CACHE = 500_000
 _P1, _P2 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
 
@@ -90,16 +89,19 @@ class Keys:
         self.percent = percent
         self.bands = [1]
 
+    def reach(self, least: int) -> int:
+        return least * 100 // self.percent + 1
+
     def band(self, n: int) -> int:
+        """Bands are so wide that linked sets lie in the same or in neighbouring ones."""
         while self.bands[-1] <= n or len(self.bands) < 3:
-            self.bands.append(self.bands[-1] * 100 // self.percent + 1)
+            self.bands.append(self.reach(self.bands[-1]))
         return int(np.searchsorted(self.bands, n, "right")) - 1
 
     def groups(self, band: int) -> tuple[int, int]:
         """(groups, empty groups that need no key) of a band."""
-        self.band(self.bands[min(band, len(self.bands) - 1)])
         while len(self.bands) < band + 2:
-            self.bands.append(self.bands[-1] * 100 // self.percent + 1)
+            self.band(self.bands[-1])
         low, high = self.bands[band], self.bands[band + 1] - 1
         differ = (100 - self.percent) * high // self.percent
         spare = 0
@@ -115,12 +117,12 @@ class Keys:
         n = len(tokens)
         if not n:
             return tokens
-        band = self.band(n)
+        own, below = self.band(n), self.band(-(-self.percent * n // 100))  # of the smallest set that it may link with
         first = self.band(SMALL)  # the first band with groups
         out = []
-        if band <= first:
+        if below < first:
             out.append(mix(tokens[: n - -(-self.percent * n // 100) + 1] + np.uint64(1)))
-        for b in (band - 1, band):
+        for b in {below, own}:
             if b >= first:
                 count, spare = self.groups(b)
                 group = (mix(tokens ^ _P2) % np.uint64(count)).astype(np.int64)
@@ -133,7 +135,15 @@ class Keys:
 
 
 def vector(tokens: np.ndarray) -> np.ndarray:
-    return np.minimum(np.bincount((mix(tokens) >> np.uint64(58)).astype(np.int64), minlength=GROUPS), 65535).astype(np.uint16)
+    """Counts of the tokens by group in a byte each; the largest value stands for that many or more."""
+    return np.minimum(np.bincount((mix(tokens) >> np.uint64(65 - GROUPS.bit_length())).astype(np.int64), minlength=GROUPS), FULL).astype(np.uint8)
+
+
+def points_of(blobs: list[bytes]) -> np.ndarray:
+    """Vectors as points; a full count bounds nothing."""
+    p = np.frombuffer(b"".join(blobs), np.uint8).reshape(len(blobs), GROUPS).astype(np.int32)
+    p[p == FULL] = 1 << 20
+    return p
 
 
 def needed(a, b, percent: int):
@@ -141,8 +151,8 @@ def needed(a, b, percent: int):
     return -(-percent * (a + b) // (100 + percent))
 
 
-SIGN = "doc_id bigint, n bigint, h1 bigint, h2 bigint, keys array<bigint>"
-SETS = "doc_id bigint, n bigint, vec binary, tokens binary"
+SIGN = "doc_id bigint, n bigint, h1 bigint, h2 bigint, vec binary, keys array<bigint>"
+SETS = "doc_id bigint, tokens binary"
 
 
 def _sign(batches: Iterator[pa.RecordBatch], size: int, percent: int) -> Iterator[pa.RecordBatch]:
@@ -157,10 +167,12 @@ def _sign(batches: Iterator[pa.RecordBatch], size: int, percent: int) -> Iterato
                 rows[0].append(len(t))
                 rows[1].append(int(mix(t).sum(dtype=np.uint64).view(np.int64)) if len(t) else 0)
                 rows[2].append(int(mix(t ^ _P1).sum(dtype=np.uint64).view(np.int64)) if len(t) else 0)
+                rows[3].append(vector(t).tobytes())
                 found.append(keys.of(t).view(np.int64))
             offsets = np.concatenate([[0], np.cumsum([len(f) for f in found])]).astype(np.int32)
             lists = pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate(found)))
-            yield pa.RecordBatch.from_arrays([part.column(0), *(pa.array(r, pa.int64()) for r in rows[:3]), lists], names=["doc_id", "n", "h1", "h2", "keys"])
+            cols = [part.column(0), *(pa.array(r, pa.int64()) for r in rows[:3]), pa.array(rows[3], pa.binary()), lists]
+            yield pa.RecordBatch.from_arrays(cols, names=["doc_id", "n", "h1", "h2", "vec", "keys"])
 
 
 def _sets(batches: Iterator[pa.RecordBatch], size: int) -> Iterator[pa.RecordBatch]:
@@ -168,23 +180,26 @@ def _sets(batches: Iterator[pa.RecordBatch], size: int) -> Iterator[pa.RecordBat
     for batch in batches:
         for at in range(0, batch.num_rows, 1000):
             part = batch.slice(at, 1000)
-            sets = [shingler(t) for t in part.column(1).to_pylist()]
-            cols = [part.column(0), pa.array([len(s) for s in sets], pa.int64()), pa.array([vector(s).tobytes() for s in sets], pa.binary()), pa.array([s.tobytes() for s in sets], pa.binary())]
-            yield pa.RecordBatch.from_arrays(cols, names=["doc_id", "n", "vec", "tokens"])
+            sets = [shingler(t).tobytes() for t in part.column(1).to_pylist()]
+            yield pa.RecordBatch.from_arrays([part.column(0), pa.array(sets, pa.binary())], names=["doc_id", "tokens"])
+
+
+def _near(batches: Iterator[pa.RecordBatch], percent: int) -> Iterator[pa.RecordBatch]:
+    """(u, v) of the pairs that the bound lets pass, of rows (u, v, n, vec, n, vec)."""
+    for batch in batches:
+        if batch.num_rows:
+            a, b = (points_of(batch.column(k).to_pylist()) for k in (3, 5))
+            keep = np.minimum(a, b).sum(axis=1, dtype=np.int64) >= needed(batch.column(2).to_numpy(), batch.column(4).to_numpy(), percent)
+            yield batch.select([0, 1]).filter(pa.array(keep))
 
 
 def _verify(batches: Iterator[pa.RecordBatch], percent: int) -> Iterator[pa.RecordBatch]:
-    """(u, v) of the pairs that link, of rows (u, v, vec, tokens, vec, tokens)."""
+    """(u, v) of the pairs that link, of rows (u, v, tokens, tokens)."""
     for batch in batches:
         keep = []
-        for va, ta, vb, tb in zip(*(batch.column(k) for k in range(2, 6))):
+        for ta, tb in zip(batch.column(2), batch.column(3)):
             a, b = (np.frombuffer(t.as_buffer(), np.uint64) for t in (ta, tb))
-            need = needed(len(a), len(b), percent)
-            bound = int(np.minimum(np.frombuffer(va.as_buffer(), np.uint16), np.frombuffer(vb.as_buffer(), np.uint16)).sum(dtype=np.int64))
-            if bound < need and max(len(a), len(b)) < 65535:
-                keep.append(False)
-                continue
-            keep.append(len(np.intersect1d(a, b, assume_unique=True)) >= need)
+            keep.append(len(np.intersect1d(a, b, assume_unique=True)) >= needed(len(a), len(b), percent))
         yield batch.select([0, 1]).filter(pa.array(keep, pa.bool_()))
 
 
@@ -224,8 +239,7 @@ def _search(batches: Iterator[pa.RecordBatch], percent: int) -> Iterator[pa.Reco
 
     def block(rows: pa.Table) -> tuple[np.ndarray, np.ndarray]:
         i, j, side, doc, comp, n = (rows.column(c).to_numpy() for c in ("i", "j", "side", "doc_id", "component", "n"))
-        points = np.frombuffer(b"".join(rows.column("vec").to_pylist()), np.uint16).reshape(len(doc), GROUPS)
-        whole = n.max() < 65535
+        points = points_of(rows.column("vec").to_pylist())
         a = np.flatnonzero(side == i)
         b = a if i[0] == j[0] else np.flatnonzero(side == j)
         if not len(a) or not len(b):
@@ -233,7 +247,7 @@ def _search(batches: Iterator[pa.RecordBatch], percent: int) -> Iterator[pa.Reco
         left = RTree(points[a])
         right = left if b is a else RTree(points[b])
         us, vs = [doc[:0]], [doc[:0]]
-        for x, y in left.pairs(right, n[a], n[b], percent) if whole else [tuple(g.ravel() for g in np.meshgrid(np.arange(len(a)), np.arange(len(b))))]:
+        for x, y in left.pairs(right, n[a], n[b], percent):
             u, v = a[x], b[y]
             ok = (comp[u] != comp[v]) & (doc[u] != doc[v])
             us.append(np.maximum(doc[u[ok]], doc[v[ok]]))
@@ -261,20 +275,26 @@ def _search(batches: Iterator[pa.RecordBatch], percent: int) -> Iterator[pa.Reco
         yield pa.RecordBatch.from_arrays([pa.array(u), pa.array(v)], names=["u", "v"])
 
 
-def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    a = sets.select(F.col("doc_id").alias("u"), F.col("vec").alias("va"), F.col("tokens").alias("ta"))
-    b = sets.select(F.col("doc_id").alias("v"), F.col("vec").alias("vb"), F.col("tokens").alias("tb"))
-    rows = pairs.join(a, "u").join(b, "v").select("u", "v", "va", "ta", "vb", "tb")
-    return rows.mapInArrow(partial(_verify, percent=percent), "u bigint, v bigint")
+def _verified(pairs: DataFrame, texts: DataFrame, stages: Stages, name: str, words: int, percent: int) -> DataFrame:
+    """The pairs that link; only the texts that they name are read for their sets."""
+    ids = stages.write(f"{name}-ids", pairs.select(F.explode(F.array("u", "v")).alias("doc_id")).distinct())
+    named = by_ids(texts, ids, "left_semi").groupBy("doc_id").agg(F.min("text").alias("text"))
+    sets = stages.write(f"{name}-sets", named.mapInArrow(partial(_sets, size=words), SETS), batch_rows=2000)
+    a = sets.select(F.col("doc_id").alias("u"), F.col("tokens").alias("ta"))
+    b = sets.select(F.col("doc_id").alias("v"), F.col("tokens").alias("tb"))
+    rows = pairs.join(a, "u").join(b, "v").select("u", "v", "ta", "tb")
+    out = stages.write(name, rows.mapInArrow(partial(_verify, percent=percent), "u bigint, v bigint"), batch_rows=1000)
+    stages.drop(f"{name}-ids", f"{name}-sets")
+    return out
 
 
-def _open_blocks(members: DataFrame, comps: DataFrame, sets: DataFrame) -> DataFrame:
+def _open_blocks(members: DataFrame, comps: DataFrame, sizes: DataFrame) -> DataFrame:
     """The documents of keys that hold several components, in pairs of blocks of at most about BLOCK."""
     placed = members.join(comps, members["doc_id"] == comps["node"], "left").select("key", "doc_id", F.coalesce("component", "doc_id").alias("component"))
     keys = placed.groupBy("key").agg(F.min("component").alias("a"), F.max("component").alias("b"), F.count(F.lit(1)).alias("c")).where("a <> b")
     rows = placed.join(keys.select("key", F.ceil(F.col("c") / BLOCK).cast("int").alias("blocks")), "key").withColumn("side", F.pmod(F.xxhash64("doc_id"), F.col("blocks")).cast("int"))
     spread = rows.select("key", "doc_id", "component", "side", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"))
-    full = spread.join(sets.select("doc_id", "n", "vec"), "doc_id")
+    full = spread.join(sizes, "doc_id")
     return full.select("key", F.least("side", "other").alias("i"), F.greatest("side", "other").alias("j"), "side", "doc_id", "component", "n", "vec")
 
 
@@ -287,30 +307,30 @@ def link(docs: DataFrame, *, words: int = 4, percent: int = 85) -> DataFrame:
     stages = Stages(spark)
     texts = docs.select("doc_id", "text")
     signed = stages.write("signed", texts.mapInArrow(partial(_sign, size=words, percent=percent), SIGN), batch_rows=2000)
-    sizes = stages.write("sizes", signed.select("doc_id", "n", "h1", "h2"))
+    sizes = stages.write("sizes", signed.select("doc_id", "n", "h1", "h2", "vec"))
     known = sizes.where("doc_id is not null and n > 0")
     first = known.groupBy("n", "h1", "h2").agg(F.min("doc_id").alias("rep"))
-    equal = stages.write("equal", known.join(first, ["n", "h1", "h2"]).select("doc_id", "rep").distinct())
-    reps = equal.where("doc_id = rep").select("doc_id")
+    equal = stages.write("equal", known.select("doc_id", "n", "h1", "h2").join(first, ["n", "h1", "h2"]).select("doc_id", "rep").distinct())
 
-    keyed = signed.where("doc_id is not null").select("doc_id", F.explode("keys").alias("key"))
+    # Copies of a set are linked already; the keys of its smallest doc_id stand for all.
+    copies = stages.write("copies", equal.where("doc_id <> rep").select("doc_id"))
+    keyed = by_ids(signed.where("doc_id is not null"), copies, "left_anti").select("doc_id", F.explode("keys").alias("key"))
     shared = keyed.groupBy("key").agg(F.min("doc_id").alias("m"), F.max("doc_id").alias("x")).where("m < x").select("key", "m")
     shared = stages.write("shared", shared)
-    members = stages.write("members", keyed.join(shared, "key").join(reps, "doc_id", "left_semi").select("key", "doc_id", "m"))
+    members = stages.write("members", keyed.join(shared, "key").select("key", "doc_id", "m").distinct())
     stages.drop("signed", "shared")
 
-    candidates = members.groupBy("doc_id").agg(F.min("m").alias("m"))
-    candidates = stages.write("candidates", candidates)
-    ids = candidates.select("doc_id")
-    ids = F.broadcast(ids) if candidates.count() <= BROADCAST_IDS else ids  # saves the shuffle of all texts
-    sets = stages.write("sets", texts.join(ids, "doc_id", "left_semi").groupBy("doc_id").agg(F.min("text").alias("text")).mapInArrow(partial(_sets, size=words), SETS), batch_rows=2000)
-
-    stars = stages.write("stars", _verified(candidates.where("m < doc_id").select(F.col("doc_id").alias("u"), F.col("m").alias("v")), sets, percent), batch_rows=1000)
+    points = by_ids(known, copies, "left_anti").groupBy("doc_id").agg(F.min(F.struct("n", "vec")).alias("p")).select("doc_id", "p.n", "p.vec")
+    points = stages.write("points", points)
+    pairs = members.groupBy("doc_id").agg(F.min("m").alias("m")).where("m < doc_id").select(F.col("doc_id").alias("u"), F.col("m").alias("v"))
+    both = pairs.join(points.toDF("u", "n1", "vec1"), "u").join(points.toDF("v", "n2", "vec2"), "v").select("u", "v", "n1", "vec1", "n2", "vec2")
+    near = stages.write("near", both.mapInArrow(partial(_near, percent=percent), "u bigint, v bigint"))
+    stars = _verified(near, texts, stages, "stars", words, percent)
     comps = stages.write("comps", components(stars, stages, "c1"))
-    blocks = _open_blocks(members.select("key", "doc_id"), comps, sets).repartition("key", "i", "j").sortWithinPartitions("key", "i", "j")
+    blocks = _open_blocks(members.select("key", "doc_id"), comps, points).repartition("key", "i", "j").sortWithinPartitions("key", "i", "j")
     across = stages.write("across", blocks.mapInArrow(partial(_search, percent=percent), "u bigint, v bigint").distinct())
-    found = stages.write("found", _verified(across, sets, percent), batch_rows=1000)
-    stages.drop("members", "sets", "across")
+    stages.drop("members")
+    found = _verified(across, texts, stages, "found", words, percent)
 
     edges = stars.union(found).union(equal.where("doc_id <> rep").select("doc_id", "rep"))
     final = stages.write("components", components(edges, stages, "c2"))
@@ -320,4 +340,4 @@ def link(docs: DataFrame, *, words: int = 4, percent: int = 85) -> DataFrame:
 def keep_one(docs: DataFrame, *, words: int = 5, percent: int = 80) -> DataFrame:
     """The rows of docs whose doc_id is the smallest of its group; unlinked ones stay."""
     gone = link(docs, words=words, percent=percent).where("doc_id <> component_id").select("doc_id").distinct()
-    return docs.join(gone, "doc_id", "left_anti")
+    return by_ids(docs, Stages(docs.sparkSession).write("gone", gone), "left_anti")

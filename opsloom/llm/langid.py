@@ -24,6 +24,8 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
+from .common import Stages, by_ids
+
 #: Letter runs; digits, underscores and marks of other kinds separate them.
 WORD = re.compile(r"[^\W\d_]+")
 BUCKETS = 1 << 16
@@ -237,7 +239,7 @@ def identify(docs: DataFrame, *, penalty: float = 2.0, max_languages: int = 256)
 def keep_identified(docs: DataFrame, *, least_score: float = 0.2) -> DataFrame:
     """Documents whose language was identified; ``und`` ones and those below ``least_score`` go.
 
-    Rows are matched by ``doc_id``; a null ``doc_id`` can't be matched and goes too.
+    Rows are told by ``doc_id``; a null ``doc_id`` can't be told and goes too.
     """
-    sure = identify(docs).where((F.col("lang_pred") != "und") & (F.col("score") >= least_score)).select("doc_id").distinct()
-    return docs.join(sure, "doc_id", "left_semi")
+    unsure = identify(docs).where((F.col("lang_pred") == "und") | (F.col("score") < least_score)).where("doc_id is not null").select("doc_id").distinct()
+    return by_ids(docs.where("doc_id is not null"), Stages(docs.sparkSession).write("unsure", unsure), "left_anti")
