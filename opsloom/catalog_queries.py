@@ -5,12 +5,16 @@ Jobs come from events (``jobs``) and from orders with their lines (``freight``);
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
 from .functions import transforms as T
 from .operators import history, mapping, metrics, quality, similarity, summaries, windows
 from .plans import catalog, characterize
+from .scratch import shared_dir
 from .sources import readers
+from .streaming import flows
 
 N, H, L = 20, 6, 7
 JOBS = f"""jobs AS (SELECT event_id AS job_id, ts AS submit_time, value * 60 AS runtime_seconds, ts + to_microseconds(CAST(round(value * 60000000) AS BIGINT)) AS end_time,
@@ -661,3 +665,31 @@ def perceptron_rolling(spark, d):
     j = jobs(spark, d)
     g = windows.grid(j, n_windows=4, hours=6, lookback_days=2)
     return metrics.report(models.rolling_perceptron(j, g, hidden=(16, 8), rounds=10), ["mae", "rmse"])
+
+
+def _stream(spark, d) -> DataFrame:
+    """Events as a stream of jobs."""
+    schema = table(spark, d, "events").schema
+    e = spark.readStream.schema(schema).parquet(f"{d}/events.parquet*")
+    return e.select(F.col("event_id").alias("job_id"), F.col("ts").cast("timestamp").alias("submit_time"), F.col("user_id").alias("user"), (F.col("value") * 60).alias("runtime_seconds"))
+
+
+def _folder(spark) -> str:
+    return f"{shared_dir(spark)}/streams/{uuid.uuid4().hex}"
+
+
+@query("SELECT CAST(ts AS DATE) AS day, count(*) AS n FROM events GROUP BY 1")
+def stream_daily_volume(spark, d):
+    return flows.run_table(flows.daily_volume(_stream(spark, d)), _folder(spark), "complete")
+
+
+@query("""WITH g AS (SELECT user_id, ts, coalesce(ts > lag(ts) OVER w + INTERVAL 2 DAY, true)::INT AS new FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts)), s AS (SELECT *, sum(new) OVER (PARTITION BY user_id ORDER BY ts) AS k FROM g)
+SELECT user_id AS "user", epoch_us(min(ts)) AS start_us, count(*) AS n FROM s GROUP BY user_id, k""")
+def stream_active_spells(spark, d):
+    spells = flows.run_table(flows.active_spells(_stream(spark, d), "user", quiet="2 days"), _folder(spark), "complete")
+    return spells.select("user", F.unix_micros("start").alias("start_us"), "n")
+
+
+@query(None)
+def stream_user_history(spark, d):
+    return flows.run_table(flows.user_history_mean(_stream(spark, d)), _folder(spark))

@@ -22,9 +22,9 @@ def sliding_volume(jobs: DataFrame, time: str = "submit_time", days: int = 3, la
     return jobs.withWatermark(time, late).groupBy(F.window(time, f"{days} days", "1 day").alias("w")).agg(F.count(F.lit(1)).alias("n")).select(F.col("w.start").alias("start"), F.col("w.end").alias("end"), "n")
 
 
-def active_spells(jobs: DataFrame, time: str = "submit_time", quiet: str = "3 days", late: str = "1 day") -> DataFrame:
-    """Spells of submissions with no pause of quiet between them: what lies between two is a gap."""
-    return jobs.withWatermark(time, late).groupBy(F.session_window(time, quiet).alias("w")).agg(F.count(F.lit(1)).alias("n")).select(F.col("w.start").alias("start"), F.col("w.end").alias("end"), "n")
+def active_spells(jobs: DataFrame, key: str, time: str = "submit_time", quiet: str = "3 days", late: str = "1 day") -> DataFrame:
+    """key, start, end, n: spells of submissions with no pause of quiet between them; what lies between two is a gap."""
+    return jobs.withWatermark(time, late).groupBy(key, F.session_window(time, quiet).alias("w")).agg(F.count(F.lit(1)).alias("n")).select(key, F.col("w.start").alias("start"), F.col("w.end").alias("end"), "n")
 
 
 def first_seen(jobs: DataFrame, key: str = "job_id", time: str = "submit_time", late: str = "1 day") -> DataFrame:
@@ -67,3 +67,17 @@ def run_available(out: DataFrame, name: str, checkpoint: str, mode: str = "appen
     """All that is there, as a table in memory: for tests and small results."""
     out.writeStream.format("memory").queryName(name).outputMode(mode).option("checkpointLocation", checkpoint).trigger(availableNow=True).start().awaitTermination()
     return out.sparkSession.table(name)
+
+
+def run_table(out: DataFrame, folder: str, mode: str = "append") -> DataFrame:
+    """All that is there, written below a folder that all executors share, as a table.
+
+    mode: append for rows that never change, complete for a whole result that each batch replaces.
+    """
+    spark, path = out.sparkSession, f"{folder}/rows"
+    writer = out.writeStream.outputMode(mode).option("checkpointLocation", f"{folder}/checkpoint").trigger(availableNow=True)
+    if mode == "append":
+        writer.format("parquet").option("path", path).start().awaitTermination()
+    else:
+        writer.foreachBatch(lambda batch, _: batch.write.mode("overwrite").parquet(path)).start().awaitTermination()
+    return spark.read.schema(out.schema).parquet(path)

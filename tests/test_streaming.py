@@ -31,3 +31,18 @@ def test_retrain(spark, tmp_path):
     seen = []
     flows.retrain(s, lambda batch, k: seen.append(batch.count()), str(tmp_path / "c")).awaitTermination()
     assert sum(seen) == 30
+
+
+def test_pairs(spark, tmp_path):
+    jobs = tiny_jobs(spark)
+    jobs.select("job_id", "start_time").write.parquet(str(tmp_path / "a"))
+    jobs.where("job_id % 3 = 0").select("job_id", "end_time").write.parquet(str(tmp_path / "b"))
+    a = spark.readStream.schema("job_id bigint, start_time timestamp").parquet(str(tmp_path / "a"))
+    b = spark.readStream.schema("job_id bigint, end_time timestamp").parquet(str(tmp_path / "b"))
+    got = flows.run_table(flows.pair_events(a, b), str(tmp_path / "out"))
+    assert {(r.job_id, r.start_time, r.end_time) for r in got.collect()} == {(r.job_id, r.start_time, r.end_time) for r in jobs.where("job_id % 3 = 0").collect()}
+
+
+def test_duplicates_within_the_watermark(spark, tmp_path):
+    _, s = stream(spark, tmp_path)
+    assert flows.run_table(flows.first_seen(s.union(s)), str(tmp_path / "out")).count() == 30
