@@ -37,7 +37,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from .common import Stages, by_ids
+from .common import Stages, by_ids, lean
 from .graph import components
 
 GROUPS = 128
@@ -47,7 +47,7 @@ SMALL = 64
 #: Documents of one key in one block of the search.
 BLOCK = 2048
 LEAF = 32
-CACHE = 500_000
+CACHE = 200_000
 _P1, _P2 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
 
 
@@ -279,11 +279,11 @@ def _verified(pairs: DataFrame, texts: DataFrame, stages: Stages, name: str, wor
     """The pairs that link; only the texts that they name are read for their sets."""
     ids = stages.write(f"{name}-ids", pairs.select(F.explode(F.array("u", "v")).alias("doc_id")).distinct())
     named = by_ids(texts, ids, "left_semi").groupBy("doc_id").agg(F.min("text").alias("text"))
-    sets = stages.write(f"{name}-sets", named.mapInArrow(partial(_sets, size=words), SETS), batch_rows=2000)
+    sets = stages.write(f"{name}-sets", named.mapInArrow(lean(partial(_sets, size=words)), SETS), batch_rows=2000)
     a = sets.select(F.col("doc_id").alias("u"), F.col("tokens").alias("ta"))
     b = sets.select(F.col("doc_id").alias("v"), F.col("tokens").alias("tb"))
     rows = pairs.join(a, "u").join(b, "v").select("u", "v", "ta", "tb")
-    out = stages.write(name, rows.mapInArrow(partial(_verify, percent=percent), "u bigint, v bigint"), batch_rows=1000)
+    out = stages.write(name, rows.mapInArrow(lean(partial(_verify, percent=percent)), "u bigint, v bigint"), batch_rows=1000)
     stages.drop(f"{name}-ids", f"{name}-sets")
     return out
 
@@ -306,7 +306,7 @@ def link(docs: DataFrame, *, words: int = 4, percent: int = 85) -> DataFrame:
     spark = docs.sparkSession
     stages = Stages(spark)
     texts = docs.select("doc_id", "text")
-    signed = stages.write("signed", texts.mapInArrow(partial(_sign, size=words, percent=percent), SIGN), batch_rows=2000)
+    signed = stages.write("signed", texts.mapInArrow(lean(partial(_sign, size=words, percent=percent)), SIGN), batch_rows=2000)
     sizes = stages.write("sizes", signed.select("doc_id", "n", "h1", "h2", "vec"))
     known = sizes.where("doc_id is not null and n > 0")
     first = known.groupBy("n", "h1", "h2").agg(F.min("doc_id").alias("rep"))
@@ -324,11 +324,11 @@ def link(docs: DataFrame, *, words: int = 4, percent: int = 85) -> DataFrame:
     points = stages.write("points", points)
     pairs = members.groupBy("doc_id").agg(F.min("m").alias("m")).where("m < doc_id").select(F.col("doc_id").alias("u"), F.col("m").alias("v"))
     both = pairs.join(points.toDF("u", "n1", "vec1"), "u").join(points.toDF("v", "n2", "vec2"), "v").select("u", "v", "n1", "vec1", "n2", "vec2")
-    near = stages.write("near", both.mapInArrow(partial(_near, percent=percent), "u bigint, v bigint"))
+    near = stages.write("near", both.mapInArrow(lean(partial(_near, percent=percent)), "u bigint, v bigint"))
     stars = _verified(near, texts, stages, "stars", words, percent)
     comps = stages.write("comps", components(stars, stages, "c1"))
     blocks = _open_blocks(members.select("key", "doc_id"), comps, points).repartition("key", "i", "j").sortWithinPartitions("key", "i", "j")
-    across = stages.write("across", blocks.mapInArrow(partial(_search, percent=percent), "u bigint, v bigint").distinct())
+    across = stages.write("across", blocks.mapInArrow(lean(partial(_search, percent=percent)), "u bigint, v bigint").distinct())
     stages.drop("members")
     found = _verified(across, texts, stages, "found", words, percent)
 

@@ -24,13 +24,13 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from .common import Stages, by_ids
+from .common import Stages, by_ids, lean
 
 #: Letter runs; digits, underscores and marks of other kinds separate them.
 WORD = re.compile(r"[^\W\d_]+")
 BUCKETS = 1 << 16
 #: Distinct words that a task keeps at once; beyond that it starts anew, so memory stays bounded.
-CACHE = 500_000
+CACHE = 200_000
 
 TRAIN_SCHEMA = "lang string, bucket int, n bigint"
 PREDICT_SCHEMA = "doc_id bigint, held_out boolean, lang_pred string, score double, langs array<string>, shares array<double>"
@@ -83,7 +83,7 @@ def fit(labelled: DataFrame, *, max_languages: int = 256, smoothing: float = 0.5
     The table has at most ``max_languages * 65536`` counts, however large the corpus; more labels
     than that are an error, never dropped.
     """
-    counts = labelled.where("text is not null and lang is not null").select("text", "lang").mapInArrow(partial(_count, max_languages=max_languages), TRAIN_SCHEMA).groupBy("lang", "bucket").agg(F.sum("n").alias("n"))
+    counts = labelled.where("text is not null and lang is not null").select("text", "lang").mapInArrow(lean(partial(_count, max_languages=max_languages)), TRAIN_SCHEMA).groupBy("lang", "bucket").agg(F.sum("n").alias("n"))
     table = counts.toArrow()
     langs = sorted(set(table.column("lang").to_pylist()))
     if len(langs) > max_languages:
@@ -233,7 +233,7 @@ def identify(docs: DataFrame, *, penalty: float = 2.0, max_languages: int = 256)
     """
     base = docs.select("doc_id", "text", "lang", held_out_column().alias("held_out"))
     langs, table = fit(base.where("not held_out"), max_languages=max_languages)
-    return base.select("doc_id", "held_out", "text").mapInArrow(_predictor(langs, table, penalty), PREDICT_SCHEMA)
+    return base.select("doc_id", "held_out", "text").mapInArrow(lean(_predictor(langs, table, penalty)), PREDICT_SCHEMA)
 
 
 def keep_identified(docs: DataFrame, *, least_score: float = 0.2) -> DataFrame:

@@ -35,7 +35,7 @@ import zstandard
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, functions as F
 
-from .common import Stages
+from .common import Stages, lean
 
 MATCH, GRAM = 50, 16
 SPAN = MATCH - GRAM + 1  # grams of a string; strings of a record at most
@@ -483,16 +483,16 @@ def find_repeats(docs: DataFrame, *, block_bytes: int = 6 << 20, part_bytes: int
     block_bytes: text of a block, held by one task; part_bytes: text for each hash range.
     """
     stages = Stages(docs.sparkSession)
-    blocks = stages.write("blocks", docs.select("doc_id", "text").mapInArrow(_pack_blocks(block_bytes), BLOCKS))
+    blocks = stages.write("blocks", docs.select("doc_id", "text").mapInArrow(lean(_pack_blocks(block_bytes)), BLOCKS))
     total = blocks.select(F.sum(F.aggregate("sizes", F.lit(0).cast("bigint"), lambda a, x: a + x)).alias("n")).first().n or 0
     parts = max(8, -(-total // part_bytes))
-    hashes = blocks.select("block", "sizes", "body").mapInArrow(_hashes(parts), "part int, block bigint, hashes binary")
+    hashes = blocks.select("block", "sizes", "body").mapInArrow(lean(_hashes(parts)), "part int, block bigint, hashes binary")
     masks = stages.write("masks", hashes.groupBy("part").applyInArrow(_shared, "block bigint, part int, mask binary"), batch_rows=4)
     by_block = masks.groupBy("block").agg(F.collect_list(F.struct("part", "mask")).alias("masks"))
-    runs = blocks.join(by_block, "block").select("block", "doc_ids", "sizes", "body", "masks").mapInArrow(_send_runs(parts), "part int, block bigint, run binary")
+    runs = blocks.join(by_block, "block").select("block", "doc_ids", "sizes", "body", "masks").mapInArrow(lean(_send_runs(parts)), "part int, block bigint, run binary")
     answers = stages.write("answers", runs.groupBy("part").applyInArrow(_answers, "block bigint, part int, answer binary"), batch_rows=4)
     told = answers.groupBy("block").agg(F.collect_list(F.struct("part", "answer")).alias("answers"))
     sides = blocks.join(by_block, "block", "left").join(told, "block", "left")
-    result = stages.write("result", sides.select("doc_ids", "sizes", "body", "masks", "answers").mapInArrow(_cut(parts), RESULT), batch_rows=4)
+    result = stages.write("result", sides.select("doc_ids", "sizes", "body", "masks", "answers").mapInArrow(lean(_cut(parts)), RESULT), batch_rows=4)
     stages.drop("blocks", "masks", "answers")
     return result

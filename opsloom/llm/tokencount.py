@@ -18,7 +18,9 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import regex
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
+
+from .common import lean
 
 #: Fixed value: the split pattern of byte-level vocabularies.
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
@@ -138,7 +140,7 @@ def count_tokens(docs: DataFrame, vocabulary_path: str, *, limit: int = 1024) ->
     """
     with open(vocabulary_path, encoding="utf-8") as f:
         vocabulary = f.read()
-    return docs.select("doc_id", "text").mapInArrow(_counter(vocabulary, limit), SCHEMA)
+    return docs.select("doc_id", "text").mapInArrow(lean(_counter(vocabulary, limit)), SCHEMA)
 
 
 def default_vocabulary() -> str:
