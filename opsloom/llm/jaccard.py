@@ -23,8 +23,8 @@ already connected.
 
 Defined results for odd input: a null text, or one without words, has an empty set and links with
 nothing; fewer words than a shingle make one token; a null ``doc_id`` is passed on unlinked; rows
-with the same doc_id are counted each, but are one node for linking, which in a comparison stands for
-the smallest of their texts; other columns are ignored.  Hashes of 64 bits stand for words, shingles and sets (128 bits for whole sets).
+with the same doc_id are counted each, but are one node for linking, for which one of their texts (the
+smallest, where sets are compared) stands; other columns are ignored.  Hashes of 64 bits stand for words, shingles and sets (128 bits for whole sets).
 """
 
 from __future__ import annotations
