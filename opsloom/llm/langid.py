@@ -42,6 +42,13 @@ def grams(word: str) -> list[int]:
     return [((x * 961 + y * 31 + z) * 40503 >> 4) & (BUCKETS - 1) for x, y, z in zip(b, b[1:], b[2:])]
 
 
+def parts(batches: Iterator[pa.RecordBatch], rows: int = 500) -> Iterator[pa.RecordBatch]:
+    """Smaller batches, so that few texts are Python strings at once."""
+    for batch in batches:
+        for at in range(0, batch.num_rows, rows):
+            yield batch.slice(at, rows)
+
+
 def _count(batches: Iterator[pa.RecordBatch], max_languages: int) -> Iterator[pa.RecordBatch]:
     tables: dict[str, np.ndarray] = {}
     seen: dict[str, Counter] = {}
@@ -56,13 +63,14 @@ def _count(batches: Iterator[pa.RecordBatch], max_languages: int) -> Iterator[pa
             times += [n] * len(g)
         np.add.at(table, np.array(ids, np.int64), np.array(times, np.int64))
 
-    for batch in batches:
-        for text, lang in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+    for part in parts(batches):
+        for text, lang in zip(part.column(0).to_pylist(), part.column(1).to_pylist()):
             words = seen.setdefault(lang, Counter())
             if len(tables.keys() | seen.keys()) > max_languages:
                 raise ValueError(f"more than {max_languages} labels")
             words.update(WORD.findall(text.lower()))
-            if len(words) > CACHE:
+        if sum(map(len, seen.values())) > CACHE:
+            for lang in list(seen):
                 flush(lang)
     for lang in list(seen):
         flush(lang)
@@ -201,7 +209,7 @@ def _predictor(langs: list[str], table: np.ndarray, penalty: float):
                 rows.append((doc_id, flag, langs[order[0]], float(sure), [langs[k] for k in order], [float(share[k]) for k in order]))
             return rows
 
-        for batch in batches:
+        for batch in parts(batches):
             held, todo, load = [], [], 0
             for doc_id, flag, text in zip(*(batch.column(k).to_pylist() for k in range(3))):
                 words = Counter(WORD.findall(text.lower())) if text and langs else {}
