@@ -5,8 +5,10 @@ others get a rank in the order of their hash.  Distributed prefix doubling then
 of a run of 2h lines is the place of (rank of its first h, rank of its last h) among the distinct
 pairs, sorted across partitions.  Runs with equal rank form an interval of the suffix array whose
 longest common prefix is at least the run's length; a run alone in its interval leaves.  The last
-step overlaps two runs to reach ``min_lines`` exactly.  In each interval the first copy (smallest
-doc_id, then line) stays; the lines of later ones are deleted, so that maximal repeated runs go.
+step overlaps two runs to reach ``min_lines`` exactly; a longer repeat is the union of its windows of
+``min_lines``, so doubling ends there, and with the default of 2 lines it is one step.  In each
+interval the first copy (smallest doc_id, then line) stays; the lines of later ones are deleted, so
+that maximal repeated runs go.  With ``min_words``, a single line of that many words is a run too.
 
 Only DataFrame functions are used.  Common lines and runs are counted per partition before they are
 shuffled, and joined back by a join that splits hot keys.
@@ -21,22 +23,28 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, Window, functions as F
 
-from .common import Stages
+from .common import WORD_SPLIT, Stages
 
 NEW = ["n_lines", "n_removed", "runs"]
 
 
-def _line_table(docs: DataFrame) -> DataFrame:
-    """doc_id, copy (hash of the text), pos, and two hashes of the line, which together name it."""
+#: Words that make a single line a run of its own in the query that removes such lines.
+LONG_LINE = 10
+
+
+def _line_table(docs: DataFrame, min_words: int | None) -> DataFrame:
+    """doc_id, copy (hash of the text), pos, and two hashes of the line, which together name it; long: has it min_words words?"""
     one = docs.where("doc_id is not null and text is not null").selectExpr("doc_id", "xxhash64(text) AS copy", "split(text, '\\n', -1) AS lines")
-    return one.select("doc_id", "copy", F.posexplode("lines").alias("pos", "line")).selectExpr("doc_id", "copy", "pos", "xxhash64(line) AS a", "xxhash64(line, 1) AS b")
+    long = [] if min_words is None else [(F.size(F.filter(F.split("line", WORD_SPLIT), lambda w: w != "")) >= min_words).alias("long")]
+    lines = one.select("doc_id", "copy", F.posexplode("lines").alias("pos", "line"))
+    return lines.select("doc_id", "copy", "pos", F.xxhash64("line").alias("a"), F.expr("xxhash64(line, 1)").alias("b"), *long)
 
 
 def _ranked(stages: Stages, name: str, rows: DataFrame) -> DataFrame:
-    """doc_id, copy, pos, rank of the rows whose (a, b) occurs more than once, ranked in their order."""
+    """The rows whose (a, b) occurs more than once, with rank, their place in its order, instead of it."""
     repeated = rows.groupBy("a", "b").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
     ranks = stages.write(f"{name}-ranks", repeated.orderBy("a", "b").select("a", "b", F.monotonically_increasing_id().alias("rank")))
-    return stages.write(name, rows.join(ranks, ["a", "b"]).select("doc_id", "copy", "pos", "rank"))
+    return stages.write(name, rows.join(ranks, ["a", "b"]).drop("a", "b"))
 
 
 def _pairs(ranked: DataFrame, step: int) -> DataFrame:
@@ -45,28 +53,38 @@ def _pairs(ranked: DataFrame, step: int) -> DataFrame:
     return ranked.select("doc_id", "copy", "pos", F.col("rank").alias("a"), F.max("rank").over(after).alias("b")).where("b is not null")
 
 
-def removed_lines(docs: DataFrame, *, min_lines: int = 2) -> DataFrame:
+def _later(ranked: DataFrame, size: int) -> DataFrame:
+    """doc_id, copy, pos, size of all runs but the first of each rank."""
+    first = ranked.groupBy("rank").agg(F.min(F.struct("doc_id", "copy", "pos")).alias("first"))
+    later = ranked.join(first, "rank").where(F.struct("doc_id", "copy", "pos") > F.col("first"))
+    return later.select("doc_id", "copy", "pos", F.lit(size).alias("size"))
+
+
+def removed_lines(docs: DataFrame, *, min_lines: int = 2, min_words: int | None = None) -> DataFrame:
     """doc_id, copy, runs: the maximal runs (start, size) of lines to delete, in order."""
     stages = Stages(docs.sparkSession)
-    ranked = _ranked(stages, "runs-1", _line_table(docs).distinct())
+    ranked = _ranked(stages, "runs-1", _line_table(docs, min_words).distinct())
+    single = None if min_words is None else stages.write("single", _later(ranked.where("long"), 1))
     length = 1
     while length < min_lines:
         step = min(length, min_lines - length)
         longer = _ranked(stages, f"runs-{length + step}", _pairs(ranked, step))
         stages.drop(f"runs-{length}", f"runs-{length}-ranks")
         ranked, length = longer, length + step
-    first = ranked.groupBy("rank").agg(F.min(F.struct("doc_id", "copy", "pos")).alias("first"))
-    later = ranked.join(first, "rank").where(F.struct("doc_id", "copy", "pos") > F.col("first"))
-    in_doc = Window.partitionBy("doc_id", "copy").orderBy("pos")
-    fresh = later.withColumn("new", (F.col("pos") > F.coalesce(F.lag("pos").over(in_doc), F.lit(-min_lines - 1)) + min_lines).cast("int"))
-    run = fresh.withColumn("run", F.sum("new").over(in_doc)).groupBy("doc_id", "copy", "run").agg(F.min("pos").alias("start"), (F.max("pos") - F.min("pos") + min_lines).alias("size"))
+    later = _later(ranked, min_lines)
+    if single is not None:
+        later = later.unionByName(single)
+    in_doc = Window.partitionBy("doc_id", "copy").orderBy("pos", "size")
+    end = F.max(F.col("pos") + F.col("size"))
+    fresh = later.withColumn("new", (F.col("pos") > F.coalesce(end.over(in_doc.rowsBetween(Window.unboundedPreceding, -1)), F.lit(-1))).cast("int"))
+    run = fresh.withColumn("run", F.sum("new").over(in_doc)).groupBy("doc_id", "copy", "run").agg(F.min("pos").alias("start"), (end - F.min("pos")).alias("size"))
     return run.groupBy("doc_id", "copy").agg(F.sort_array(F.collect_list(F.struct("start", "size"))).alias("runs"))
 
 
-def drop_repeated_lines(docs: DataFrame, *, min_lines: int = 2) -> DataFrame:
+def drop_repeated_lines(docs: DataFrame, *, min_lines: int = 2, min_words: int | None = None) -> DataFrame:
     """docs with the later copies of repeated line runs deleted from text, and n_lines, n_removed, runs."""
     docs = docs.drop(*NEW)
-    cut = removed_lines(docs, min_lines=min_lines).select(F.col("doc_id").alias("__doc"), F.col("copy").alias("__copy"), "runs")
+    cut = removed_lines(docs, min_lines=min_lines, min_words=min_words).select(F.col("doc_id").alias("__doc"), F.col("copy").alias("__copy"), "runs")
     keyed = docs.withColumn("__h", F.xxhash64("text"))
     joined = keyed.join(cut, (keyed["doc_id"] == cut["__doc"]) & (keyed["__h"] == cut["__copy"]), "left")
     lines = "split(text, '\\n', -1)"
@@ -99,3 +117,13 @@ SELECT d.doc_id, CASE WHEN d.text IS NULL THEN 0 ELSE len(string_split(d.text, c
   CASE WHEN d.text IS NULL THEN NULL ELSE sha256(coalesce(kept, '')) END AS kept_sha256
 FROM documents d LEFT JOIN g USING (doc_id) LEFT JOIN k USING (doc_id)
 """
+
+
+def oracle_long(min_words: int = LONG_LINE) -> str:
+    """DuckDB SQL of the query that also removes single lines of min_words words: distinct doc_id."""
+    words = rf"len(list_filter(regexp_split_to_array(line, '{WORD_SPLIT}'), lambda x: x <> ''))"
+    return oracle().replace(
+        "x AS (SELECT DISTINCT doc_id, pos + o AS pos FROM r, (VALUES (0), (1)) t(o) WHERE k > 1),",
+        f"o AS (SELECT doc_id, pos, row_number() OVER (PARTITION BY line ORDER BY doc_id, pos) AS k FROM l WHERE {words} >= {min_words}),\n"
+        "x AS (SELECT doc_id, pos + o AS pos FROM r, (VALUES (0), (1)) t(o) WHERE k > 1 UNION SELECT doc_id, pos FROM o WHERE k > 1),",
+    )

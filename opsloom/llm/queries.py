@@ -21,6 +21,12 @@ def op3_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_lines", "n_removed", F.size("runs").cast("bigint").alias("n_runs"), F.sha2("text", 256).alias("kept_sha256"))
 
 
+def op3_long_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """As op3_line_dedup, but a single line of LONG_LINE words is a run too."""
+    out = linededup.drop_repeated_lines(documents(spark, sf_dir), min_words=linededup.LONG_LINE)
+    return out.select("doc_id", "n_lines", "n_removed", F.size("runs").cast("bigint").alias("n_runs"), F.sha2("text", 256).alias("kept_sha256"))
+
+
 def op4_pii_pseudonyms(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = pii.pseudonymise(documents(spark, sf_dir))
     return out.select("doc_id", F.size("findings").alias("n_found"), F.transform("findings", lambda f: f["kind"]).alias("kinds"), "text")
@@ -52,10 +58,11 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.replicate(documents(spark, sf_dir))
 
 
-QUERIES = {f.__name__: f for f in (op1_language_id, op2_suffix_dedup, op3_line_dedup, op4_pii_pseudonyms, op5_jaccard_join, op6_token_counts, op7_quality_rules, op8_decontamination, op9_sharding, op10_mixing)}
+QUERIES = {f.__name__: f for f in (op1_language_id, op2_suffix_dedup, op3_line_dedup, op3_long_line_dedup, op4_pii_pseudonyms, op5_jaccard_join, op6_token_counts, op7_quality_rules, op8_decontamination, op9_sharding, op10_mixing)}
 
 ORACLE_SQL = {
     "op3_line_dedup": linededup.oracle(),
+    "op3_long_line_dedup": linededup.oracle_long(),
     "op5_jaccard_join": twins.jaccard(),
     "op7_quality_rules": twins.quality_rules(),
     "op8_decontamination": twins.decontamination(),

@@ -198,6 +198,17 @@ def test_line_runs(spark, m):
     assert all(r.n_removed == sum(x["size"] for x in r.runs) for r in rows)
 
 
+def test_single_long_lines(spark):
+    """A long line alone is a run: exact copies of one-line documents and a shared passage go, short lines stay."""
+    long, other = prose(31, 12), prose(32, 12)
+    docs = [(1, long), (2, long), (3, f"a b\n{other}\nc"), (4, f"d\n{other}\ne\na b"), (5, f"x\ny\n{long}\n{other}\nz"), (6, f"x\ny\n{long}\nq"), (7, " ".join(other.split()[:9])), (8, " ".join(other.split()[:9]))]
+    df = spark.createDataFrame(docs, "doc_id bigint, text string")
+    rows = {r.doc_id: r for r in linededup.drop_repeated_lines(df, min_words=10).collect()}
+    assert {i: r.text for i, r in rows.items()} == {**dict(docs), 2: "", 4: "d\ne\na b", 5: "x\ny\nz", 6: "q"}
+    assert [tuple(x) for x in rows[6].runs] == [(0, 3)] and rows[5].n_removed == 2
+    assert {r.doc_id: r.text for r in linededup.drop_repeated_lines(df).collect()}[2] == long
+
+
 def test_lines_of_odd_input(odd, nothing):
     rows = linededup.drop_repeated_lines(odd).collect()
     assert len(rows) == odd.count()
