@@ -396,6 +396,38 @@ def clear_windows(spark, d):
     return ends.join(F.broadcast(characterize.gaps(daily)), (F.col("gap_start") <= F.col("e")) & (F.col("gap_end") >= F.col("s")), "left_anti")
 
 
+# All orders: their whole series has no gap, so gaps and windows are those of each customer.
+EACH = """WITH c AS (SELECT o_custkey AS k, CAST(o_orderdate AS DATE) AS day, count(*) AS n FROM orders GROUP BY 1, 2), sp AS (SELECT k, min(day) AS lo, max(day) AS hi, date_diff('day', min(day), max(day)) + 1 AS span, greatest(1.0, 0.05 * median(n)) AS fl FROM c GROUP BY k),
+ds AS (SELECT k, fl, CAST(unnest(generate_series(lo, hi, INTERVAL 1 DAY)) AS DATE) AS day FROM sp), dv AS (SELECT ds.k, ds.day, coalesce(n, 0) AS n, coalesce(n, 0) < fl AS low FROM ds LEFT JOIN c ON c.k = ds.k AND c.day = ds.day),
+g AS (SELECT k, day, day - CAST(row_number() OVER (PARTITION BY k ORDER BY day) AS INTEGER) AS isl FROM dv WHERE low), gp AS (SELECT k, min(day) AS gap_start, max(day) AS gap_end, count(*) AS days FROM g GROUP BY k, isl HAVING count(*) >= 3),
+gd AS (SELECT k, CAST(unnest(generate_series(gap_start, gap_end, INTERVAL 1 DAY)) AS DATE) AS day FROM gp),
+t AS (SELECT dv.k, dv.day AS e, sum(n) OVER w AS n_rows, max((gd.day IS NOT NULL)::INT) OVER w AS touched FROM dv LEFT JOIN gd ON gd.k = dv.k AND gd.day = dv.day WINDOW w AS (PARTITION BY dv.k ORDER BY dv.day ROWS BETWEEN 4 PRECEDING AND CURRENT ROW))"""
+
+
+def _customer_days(spark, d) -> DataFrame:
+    o = table(spark, d, "orders").select("o_custkey", F.col("o_orderdate").cast("date").alias("day"))
+    return o.groupBy("o_custkey", "day").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query(EACH + " SELECT k AS o_custkey, gap_start, gap_end, days FROM gp")
+def customer_gaps(spark, d):
+    return characterize.grouped_gaps(_customer_days(spark, d), "o_custkey")
+
+
+@query(EACH + """, x AS (SELECT *, least(5, span) AS size FROM sp), an AS (SELECT *, greatest(lo + CAST(size - 1 AS INTEGER), least(hi, lo + CAST(round_even(0.9 * (span - 1), 0) AS INTEGER))) AS anchor FROM x),
+r AS (SELECT an.k, e, e - CAST(size - 1 AS INTEGER) AS s, abs(date_diff('day', anchor, e)) AS shift, n_rows, touched, row_number() OVER (PARTITION BY an.k ORDER BY touched, abs(date_diff('day', anchor, e)), e DESC) AS r FROM an JOIN t ON t.k = an.k AND e >= lo + CAST(size - 1 AS INTEGER))
+SELECT k AS o_custkey, s AS window_start, e AS window_end, greatest(s, e - 1) AS test_start, shift, CAST(n_rows AS BIGINT) AS n_rows, touched = 0 AS healthy FROM r WHERE r = 1""")
+def customer_select_window(spark, d):
+    days = _customer_days(spark, d)
+    return characterize.grouped_select_window(days, characterize.grouped_gaps(days, "o_custkey"), "o_custkey", train_days=3, test_days=2)
+
+
+@query(EACH + " SELECT k AS o_custkey, e - 4 AS s, e FROM t WHERE touched = 0")
+def customer_clear_windows(spark, d):
+    days = _customer_days(spark, d)
+    return characterize.grouped_clear_windows(days, characterize.grouped_gaps(days, "o_custkey"), "o_custkey")
+
+
 @query(f"WITH {JOBS} SELECT min(runtime_seconds) AS min, round(quantile_cont(runtime_seconds, 0.5), 1) AS median, round(quantile_cont(runtime_seconds, 0.9), 1) AS p90, round(quantile_cont(runtime_seconds, 0.99), 1) AS p99, max(runtime_seconds) AS max FROM jobs")
 def runtime_quantiles(spark, d):
     return characterize.runtime_quantiles(jobs(spark, d))

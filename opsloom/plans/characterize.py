@@ -63,6 +63,56 @@ def select_window(daily: DataFrame, missing: DataFrame, *, anchor: float = 0.9,
     )
 
 
+def _spans(counts: DataFrame, group: str) -> DataFrame:
+    return counts.groupBy(group).agg(F.min("day").alias("lo"), F.max("day").alias("hi"))
+
+
+def grouped_gaps(counts: DataFrame, group: str, *, frac: float = 0.05, min_days: int = 3) -> DataFrame:
+    """group, gap_start, gap_end, days: the gaps between each group's first and last day.
+
+    counts holds a row (group, day, n) for each active day only; the empty days are never rows.
+    """
+    floor = F.greatest(F.lit(1.0), F.lit(frac) * F.median("n").over(Window.partitionBy(group)))
+    good = counts.withColumn("__floor", floor).where(F.col("n") >= F.col("__floor")).select(group, "day")
+    ends = _spans(counts, group).select(group, F.explode(F.array(F.date_sub("lo", 1), F.date_add("hi", 1))).alias("day"))
+    after = F.lead("day").over(Window.partitionBy(group).orderBy("day"))
+    out = good.union(ends).withColumn("__next", after).select(group, F.date_add("day", 1).alias("gap_start"), F.date_sub("__next", 1).alias("gap_end"))
+    return out.withColumn("days", F.datediff("gap_end", "gap_start").cast("bigint") + 1).where(F.col("days") >= min_days)
+
+
+def _stretches(counts: DataFrame, missing: DataFrame, group: str) -> DataFrame:
+    """group, a, b, first: the runs of days between gaps; first: does it begin with the group's span?"""
+    spans = _spans(counts, group)
+    low, high = F.date_sub("lo", 1), F.date_add("hi", 1)
+    fences = missing.select(group, "gap_start", "gap_end", F.lit(False).alias("first")).union(spans.select(group, low, low, F.lit(True))).union(spans.select(group, high, high, F.lit(False)))
+    after = F.lead("gap_start").over(Window.partitionBy(group).orderBy("gap_start"))
+    return fences.withColumn("__next", after).select(group, F.date_add("gap_end", 1).alias("a"), F.date_sub("__next", 1).alias("b"), "first").where("a <= b")
+
+
+def grouped_clear_windows(counts: DataFrame, missing: DataFrame, group: str, *, size: int = 5) -> DataFrame:
+    """group, s, e: every window of size days that ends in the group's span and touches no gap."""
+    ends = F.sequence(F.when(F.col("first"), F.col("a")).otherwise(F.date_add("a", size - 1)), "b", F.expr("interval 1 day"))
+    clear = _stretches(counts, missing, group).where(F.col("first") | (F.datediff("b", "a") >= size - 1))
+    return clear.select(group, F.explode(ends).alias("e")).select(group, F.date_sub("e", size - 1).alias("s"), "e")
+
+
+def grouped_select_window(counts: DataFrame, missing: DataFrame, group: str, *, anchor: float = 0.9, train_days: int = 10, test_days: int = 3) -> DataFrame:
+    """select_window for each group: of each run of days between gaps only the end nearest to the anchor is a candidate."""
+    size = train_days + test_days
+    edge = _spans(counts, group).selectExpr(group, "lo", "hi", f"least({size}, datediff(hi, lo) + 1) AS size", f"cast(bround({anchor} * datediff(hi, lo)) AS int) AS at")
+    edge = edge.selectExpr(f"{group} AS __k", "size", "greatest(date_add(lo, size - 1), least(hi, date_add(lo, at))) AS anchor_end")
+    run = _stretches(counts, missing, group)
+    run = run.join(edge, run[group].eqNullSafe(edge["__k"])).where("datediff(b, a) >= size - 1")
+    clear = run.selectExpr("__k", "size", "greatest(date_add(a, size - 1), least(b, anchor_end)) AS e", "anchor_end", "true AS healthy")
+    either = clear.union(edge.selectExpr("__k", "size", "anchor_end", "anchor_end", "false")).selectExpr("*", "abs(datediff(e, anchor_end)) AS shift")
+    best = F.min_by(F.struct("e", "size", "shift", "healthy"), F.struct((~F.col("healthy")).alias("bad"), "shift", (-F.unix_date("e")).alias("later")))
+    pick = either.groupBy("__k").agg(best.alias("w")).selectExpr("__k", "w.e AS e", "date_sub(w.e, w.size - 1) AS s", "w.shift AS shift", "w.healthy AS healthy")
+    inside = pick.join(counts, pick["__k"].eqNullSafe(counts[group]) & (F.col("day") >= F.col("s")) & (F.col("day") <= F.col("e")), "left")
+    return inside.groupBy("__k", "s", "e", "shift", "healthy").agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n_rows")).selectExpr(
+        f"__k AS {group}", "s AS window_start", "e AS window_end", f"greatest(s, date_sub(e, {test_days - 1})) AS test_start", "cast(shift AS bigint) AS shift", "n_rows", "healthy"
+    )
+
+
 def card(jobs: DataFrame, *, categorical: list[str] = (), **window) -> dict:
     """The dataset card: spans, volume, gaps, columns, runtime distribution and the chosen window."""
     from ..operators.quality import cardinality

@@ -1,3 +1,6 @@
+import random
+from datetime import date, timedelta
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -112,3 +115,24 @@ def test_digest_encoder(spark):
     df = spark.createDataFrame([(1, "a b a"), (2, ""), (3, None)], "i int, t string").withColumn("v", similarity.digest_encode(16)(F.col("t")))
     got = {r.i: r.v for r in df.collect()}
     assert sorted(x for x in got[1] if x) == pytest.approx([1 / 5**0.5, 2 / 5**0.5]) and not any(got[2]) and not any(got[3])
+
+
+def test_gaps_and_windows_of_each_group(spark):
+    """As the ungrouped functions on the dense series of each group, also of a busy one whose low days count as missing."""
+    r = random.Random(4)
+    start = date(2024, 1, 1)
+    active = {g: {d: r.choice([1, 2, 90, 100, 110] if g == 1 else [1, 2]) for d in range(60) if d in (0, 59) or r.random() < share} for g, share in ((1, 0.9), (2, 0.5), (3, 0.1))} | {4: {7: 1}}
+    counts = spark.createDataFrame([(g, start + timedelta(d), n) for g, days in active.items() for d, n in days.items()], "g int, day date, n bigint")
+    missing = characterize.grouped_gaps(counts, "g")
+    found = {g: sorted(tuple(x)[1:] for x in missing.where(F.col("g") == g).collect()) for g in active}
+    picked = {x.g: tuple(x)[1:] for x in characterize.grouped_select_window(counts, missing, "g", train_days=3, test_days=2).collect()}
+    clear = {g: {x.e for x in characterize.grouped_clear_windows(counts, missing, "g").where(F.col("g") == g).collect()} for g in active}
+    for g, days in active.items():
+        dense = spark.createDataFrame([(start + timedelta(d), days.get(d, 0)) for d in range(min(days), max(days) + 1)], "day date, n bigint")
+        blocks = characterize.gaps(dense)
+        gone = sorted(tuple(x) for x in blocks.collect())
+        assert found[g] == gone
+        assert picked[g] == tuple(characterize.select_window(dense, blocks, train_days=3, test_days=2).first())
+        ends = [start + timedelta(d) for d in range(min(days), max(days) + 1)]
+        assert clear[g] == {e for e in ends if not any(a <= e and b >= e - timedelta(4) for a, b, _ in gone)}
+    assert found[1] and found[3] and not found[4]
