@@ -516,6 +516,27 @@ def dense_knn_weighted(spark, d):
     return similarity.weighted_prediction(_neighbours(spark, d), "g").select("g", "query", F.round("y_pred", 6).alias("y_pred"))
 
 
+# Each hundredth vector against all rows, in one group.
+ALL_VECS = "v AS (SELECT vec_id, embedding::DOUBLE[] AS e, label FROM embeddings), nb AS (SELECT a.vec_id AS query, b.vec_id AS neighbour, round(list_cosine_similarity(a.e, b.e), 9) AS s, b.label AS y FROM v a JOIN v b ON a.vec_id % 100 = 0 AND a.vec_id <> b.vec_id), rk AS (SELECT *, row_number() OVER (PARTITION BY query ORDER BY s DESC, neighbour) AS rank FROM nb)"
+
+
+def _all_neighbours(spark, d) -> DataFrame:
+    v = table(spark, d, "embeddings").withColumn("g", F.lit(0))
+    near = similarity.dense_neighbours(v.where("vec_id % 100 = 0"), v, key="vec_id", vector="embedding", value="label", group="g", k=6).where("query <> neighbour")
+    again = F.row_number().over(Window.partitionBy("query").orderBy(F.desc("similarity"), "neighbour"))
+    return near.withColumn("rank", again).where("rank <= 5")
+
+
+@query(f"WITH {ALL_VECS} SELECT query, neighbour, round(s, 6) AS similarity, CAST(rank AS INTEGER) AS rank FROM rk WHERE rank <= 5")
+def dense_knn_all(spark, d):
+    return _all_neighbours(spark, d).select("query", "neighbour", F.round("similarity", 6).alias("similarity"), "rank")
+
+
+@query(f"WITH {ALL_VECS} SELECT query, round(CASE WHEN sum(greatest(s, 0)) > 0 THEN sum(greatest(s, 0) * y) / sum(greatest(s, 0)) ELSE avg(y) END, 6) AS y_pred FROM rk WHERE rank <= 5 GROUP BY 1")
+def dense_knn_all_weighted(spark, d):
+    return similarity.weighted_prediction(_all_neighbours(spark, d), "g").select("query", F.round("y_pred", 6).alias("y_pred"))
+
+
 TERMS = """t AS (SELECT p_partkey AS key, term, count(*) AS tf FROM (SELECT p_partkey, unnest(regexp_split_to_array(lower(p_name || ' ' || p_brand || ' ' || p_type), '[^a-z0-9_]+')) AS term FROM part) WHERE length(term) >= 2 GROUP BY 1, 2),
 tn AS (SELECT * FROM t WHERE key % 2 = 0), ts AS (SELECT * FROM t WHERE key % 2 = 1), n AS (SELECT count(DISTINCT key) AS n FROM tn), idf AS (SELECT term, ln((1.0 + n) / (1.0 + count(*))) + 1 AS idf FROM tn, n GROUP BY term, n),
 wa AS (SELECT key, term, tf * idf AS w, sqrt(sum((tf * idf) ^ 2) OVER (PARTITION BY key)) AS nr FROM ts JOIN idf USING (term)), wb AS (SELECT key, term, tf * idf AS w, sqrt(sum((tf * idf) ^ 2) OVER (PARTITION BY key)) AS nr FROM tn JOIN idf USING (term)),

@@ -4,6 +4,7 @@ from datetime import date, timedelta
 import pytest
 from pyspark.sql import functions as F
 
+from opsloom import catalog_queries
 from opsloom.operators import history, mapping, quality, similarity, summaries
 from opsloom.plans import characterize, prepare
 from opsloom.plans.validate import ValidationError, validate
@@ -136,3 +137,11 @@ def test_gaps_and_windows_of_each_group(spark):
         ends = [start + timedelta(d) for d in range(min(days), max(days) + 1)]
         assert clear[g] == {e for e in ends if not any(a <= e and b >= e - timedelta(4) for a, b, _ in gone)}
     assert found[1] and found[3] and not found[4]
+
+
+def test_neighbours_are_searched_in_all_rows(spark, tmp_path):
+    """The exact copy of a query whose id differs from it modulo 4, and no other group to hide it in."""
+    rows = [(i, [1.0, float(i)], float(i)) for i in range(1, 8)] + [(100, [5.0, -1.0], 0.0), (103, [5.0, -1.0], 7.0)]
+    spark.createDataFrame(rows, "vec_id bigint, embedding array<float>, label double").write.parquet(f"{tmp_path}/embeddings.parquet")
+    found = [tuple(x) for x in catalog_queries.dense_knn_all(spark, str(tmp_path)).orderBy("rank").collect()]
+    assert found[0] == (100, 103, 1.0, 1) and len(found) == 5
