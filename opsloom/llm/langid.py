@@ -24,7 +24,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from .common import Stages, by_ids, lean
+from .common import lean
 
 #: Letter runs; digits, underscores and marks of other kinds separate them.
 WORD = re.compile(r"[^\W\d_]+")
@@ -192,7 +192,9 @@ def infer(docs: list[tuple[list[int], list[int]]], rows: np.ndarray, penalty: fl
     return list(zip(shares, np.clip(sure, 0, 1)))
 
 
-def _predictor(langs: list[str], table: np.ndarray, penalty: float):
+def _predictor(langs: list[str], table: np.ndarray, penalty: float, *, alone: bool = False):
+    """alone: smooth the score by two outcomes (this language or not) instead of all, so that it doesn't depend on their number."""
+
     def predict(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         lexicon = Lexicon(table)
         out: list[tuple] = []
@@ -205,6 +207,9 @@ def _predictor(langs: list[str], table: np.ndarray, penalty: float):
                     rows.append((doc_id, flag, "und", 0.0, [], []))
                     continue
                 share, sure = next(answers)
+                if alone:
+                    n = sum(x[1])
+                    sure *= (n + 0.5 * len(langs)) / (n + 1)
                 order = [k for k in np.argsort(-share, kind="stable") if share[k] > 0]
                 rows.append((doc_id, flag, langs[order[0]], float(sure), [langs[k] for k in order], [float(share[k]) for k in order]))
             return rows
@@ -244,10 +249,28 @@ def identify(docs: DataFrame, *, penalty: float = 2.0, max_languages: int = 256)
     return base.select("doc_id", "held_out", "text").mapInArrow(lean(_predictor(langs, table, penalty)), PREDICT_SCHEMA)
 
 
-def keep_identified(docs: DataFrame, *, least_score: float = 0.2) -> DataFrame:
+def keep_identified(docs: DataFrame, *, least_score: float = 0.2, penalty: float = 2.0, max_languages: int = 256) -> DataFrame:
     """Documents whose language was identified; ``und`` ones and those below ``least_score`` go.
 
-    Rows are told by ``doc_id``; a null ``doc_id`` can't be told and goes too.
+    Each row is judged by its own text, whatever its ``doc_id``.  The score is that of identify()
+    as it would be with two labels, so the floor means the same with any number of them.
     """
-    unsure = identify(docs).where((F.col("lang_pred") == "und") | (F.col("score") < least_score)).where("doc_id is not null").select("doc_id").distinct()
-    return by_ids(docs.where("doc_id is not null"), Stages(docs.sparkSession).write("unsure", unsure), "left_anti")
+    langs, table = fit(docs.where(~held_out_column()), max_languages=max_languages)
+    predict = _predictor(langs, table, penalty, alone=True)
+    at = docs.columns.index("text")
+
+    def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[pa.RecordBatch] = []
+
+        def texts() -> Iterator[pa.RecordBatch]:
+            for part in parts(batches):
+                held.append(part)
+                n = part.num_rows
+                yield pa.RecordBatch.from_arrays([pa.nulls(n, pa.int64()), pa.nulls(n, pa.bool_()), part.column(at)], names=["doc_id", "held_out", "text"])
+
+        # The predictor answers each of these parts by one batch, row by row.
+        for told in predict(texts()):
+            sure = [lang != "und" and score >= least_score for lang, score in zip(told.column(2).to_pylist(), told.column(3).to_pylist())]
+            yield held.pop(0).filter(pa.array(sure, pa.bool_()))
+
+    return docs.mapInArrow(lean(keep), docs.schema)

@@ -1,10 +1,13 @@
 """The registered queries, their SQL twins, and the pipeline against its stages run apart."""
 
+from collections import Counter
+
 import duckdb
 import pytest
+from pyspark.sql import functions as F
 
 import corpus_pipeline
-from opsloom.llm import decontam, jaccard, langid, queries
+from opsloom.llm import decontam, jaccard, langid, mixing, queries, twins
 from opsloom.llm.common import documents
 
 SF = "/root/testdata/sf0.001"
@@ -41,6 +44,34 @@ def test_pipeline(spark):
     assert all(r.shard_id is not None for r in out)
 
 
+def test_pipeline_equals_its_stages_in_sql(spark):
+    """Every kept document with its number of copies."""
+    out = Counter(r.doc_id for r in corpus_pipeline.run(spark, SF).select("doc_id").collect())
+    und = [r.doc_id for r in langid.identify(documents(spark, SF)).where("lang_pred = 'und'").collect()]
+    con = duckdb.connect()
+    con.execute(f"create view benchmark as select * from read_parquet('{SF}/benchmark.parquet')")
+    con.execute(f"create table documents as select * from read_parquet('{SF}/documents.parquet')")
+
+    def keep(sql: str) -> None:
+        con.execute(f"create or replace table documents as select * from documents where doc_id in ({sql})")
+
+    keep(f"select doc_id from documents where doc_id not in ({', '.join(map(str, [-1, *und]))})")
+    keep(f"select doc_id from ({twins.jaccard(5, 80)}) where doc_id = component_id")
+    keep(f"select doc_id from ({twins.decontamination()}) where not contaminated")
+    assert out == Counter(r[0] for r in con.execute(f"select doc_id from ({mixing.oracle()})").fetchall())
+
+
+def test_language_stage_judges_row_by_row(spark):
+    """Rows of one doc_id or of none stand for themselves, and short clear texts stay with any number of labels."""
+    texts = [(k, " ".join(chr(0x4E00 + 40 * k + j) * 3 for j in range(30)), f"l{k}") for k in range(100)]
+    rows = [(1000, "123 456", None), (1000, texts[3][1], None), (None, texts[4][1], None), (None, "!", None), (1001, " ".join(texts[5][1].split()[:6]), None)]
+    docs = spark.createDataFrame(texts + rows, "doc_id bigint, text string, lang string").withColumn("score", F.lit("x"))
+    out = langid.keep_identified(docs)
+    assert out.columns == docs.columns
+    got = Counter((r.doc_id, r.text) for r in out.where("lang is null").collect())
+    assert got == Counter((i, t) for i, t, _ in (rows[1], rows[2], rows[4]))
+
+
 def test_stages_keep_the_columns(spark):
     docs = documents(spark, SF)
     for _, stage in corpus_pipeline.STAGES[:-1]:
