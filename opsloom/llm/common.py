@@ -73,8 +73,20 @@ def settings(spark: SparkSession, **values: str):
 BROADCAST_IDS = 2_000_000
 
 
-def by_ids(df: DataFrame, ids: DataFrame, how: str, key: str = "doc_id") -> DataFrame:
-    """The rows of df with (left_semi) or without (left_anti) one of the ids, a written table of one column.
+#: The columns of text_key.
+TEXT_KEY = ["__text_a", "__text_b"]
+
+
+def text_key(df: DataFrame, text: str = "text") -> DataFrame:
+    """df with two independent hashes of its text, which name it where ids may be null or repeated.
+
+    The seed of the second is hashed first: behind the text it would add nothing to the first hash.
+    """
+    return df.withColumn(TEXT_KEY[0], F.xxhash64(text)).withColumn(TEXT_KEY[1], F.xxhash64(F.lit(1), text))
+
+
+def by_ids(df: DataFrame, ids: DataFrame, how: str, key: str | list[str] = "doc_id") -> DataFrame:
+    """The rows of df with (left_semi) or without (left_anti) one of the ids, a written table of the key columns.
 
     A few ids are sent to all tasks, which saves the shuffle of whole texts; their count is checked.
     """

@@ -1,90 +1,129 @@
 """Benchmark decontamination by spaced-seed hashing.
 
-Tokens are runs of letters and digits, lower-cased.  Fixed masks over eight tokens ignore two of
-them each; the kept ones are hashed at every place of every benchmark item and document, and equal
-hashes are hits.  Around each hit, document and item are compared token by token on its diagonal; a
-document is contaminated where a window of ``window`` tokens agrees but for ``substitutions``.  The
-masks are chosen so that any two substitutions within 13 tokens leave a hit.
+Tokens are runs of letters and digits, lower-cased.  Fixed masks ignore some token positions; the
+kept ones are hashed at every place of every document and benchmark item, and equal hashes are hits.
+Around each hit, document and item are compared token by token on its diagonal; a document is
+contaminated where a window of ``window`` tokens of an item agrees but for ``substitutions``.
+
+No such window is lost (recall 1.0, tested against all windows of all pairs):
+
+* Two masks over eight tokens meet any two substitutions within 13 tokens; other windows and
+  numbers of substitutions take the blocks below over the whole window.
+* An item of 8 tokens up to the window must agree over its whole length with the same number of
+  substitutions.  Its first eight tokens are cut into ``substitutions + 2`` blocks, and each pair of
+  blocks is a mask: some pair has no substitution.
+* An item below eight tokens must occur whole and unchanged, so its mask keeps all its tokens.
+
+Masks for items below the window are used only if the benchmark has such items.
 
 Only DataFrame functions are used.  The hashes of the benchmark are counted first: up to
-``broadcast_hashes`` they are sent to all tasks, beyond it the join is by shuffle.
+``broadcast_hashes`` they are sent to all tasks, beyond it the join is by shuffle.  Documents are
+named by two hashes of their text, so copies are judged together and need no ``doc_id``.
 
-Defined results for odd input: a null or short text (under eight tokens) is clean, and so is a null
-``doc_id`` row, which no hit can name; a short or null item matches nothing; an item shorter than
-the window must agree over its whole length with the same number of substitutions; repeated rows
-are judged together by doc_id; other columns are ignored.
+Defined results for odd input: a null text, or one without a token, is clean; a null ``doc_id`` row
+is judged by its text like any other; a null item, or one without a token, matches nothing; an item
+with a null ``item_id`` makes documents contaminated but stands in no list; repeated rows are each
+answered; other columns are ignored.
 """
 
 from __future__ import annotations
 
+from itertools import combinations
+
 from pyspark.sql import DataFrame, functions as F
 
-from .common import BROADCAST_IDS, Stages, by_ids, let
+from .common import BROADCAST_IDS, TEXT_KEY, Stages, by_ids, let, text_key
 
 #: With these two masks any two substitutions in 13 tokens leave a hit.
 MASKS = ("11001111", "11101011")
-SPAN = 8
+#: Items below this many tokens must occur unchanged.
+EXACT = 8
+
+
+def family(size: int, substitutions: int) -> tuple[str, ...]:
+    """Masks over size tokens of which one has none of any so many substitutions: two of substitutions + 2 blocks each."""
+    n = substitutions + 2
+    if not substitutions or size < n:
+        return ("1" * size,)
+    cut = [size * k // n for k in range(n + 1)]
+    return tuple("".join("1" if any(cut[b] <= p < cut[b + 1] for b in pair) else "0" for p in range(size)).rstrip("0") for pair in combinations(range(n), 2))
+
+
+def masks(window: int, substitutions: int, short: list[int]) -> list[tuple[str, int, int | None]]:
+    """(mask, fewest tokens, most tokens) of the items that each mask serves; short: the item sizes below the window."""
+    if window < EXACT or not 0 <= substitutions <= EXACT - 2:
+        raise ValueError(f"windows have {EXACT} tokens or more, of which two or more must agree")
+    out = [(m, window, None) for m in (MASKS if window >= 13 and substitutions <= 2 else family(window, substitutions))]
+    if any(EXACT <= n < window for n in short):
+        out += [(m, EXACT, window - 1) for m in family(EXACT, substitutions)]
+    return out + [("1" * n, n, n) for n in sorted(short) if 0 < n < EXACT]
 
 
 def tokens(column: str) -> str:
     return rf"filter(split(lower({column}), '[^\\p{{L}}\\p{{N}}]+', -1), t -> t <> '')"
 
 
-def seeds(words: str) -> str:
-    """SQL: for an array of token hashes the hashes under the first mask at every place, then those under the next."""
+def seeds(words: str, specs: list[tuple[str, int, int | None]], *, item: bool) -> str:
+    """SQL: for an array of token hashes an array for each mask with the hashes at every place.
+
+    An item is hashed by the masks of its size alone, and at its first place alone if it is shorter than a window.
+    """
     hashed = []
-    for k, mask in enumerate(MASKS):
+    for k, (mask, low, high) in enumerate(specs):
         picked = ", ".join(f"{words}[i + {j}]" for j, c in enumerate(mask) if c == "1")
-        hashed.append(f"transform(sequence(0, size({words}) - {SPAN}), i -> xxhash64({k}, {picked}))")
-    return f"IF(size({words}) < {SPAN}, cast(array() AS array<bigint>), concat({', '.join(hashed)}))"
-
+        last = "0" if item and high is not None else f"size({words}) - {len(mask)}"
+        fits = f"size({words}) >= {low if item else len(mask)}" + (f" AND size({words}) <= {high}" if item and high is not None else "")
+        hashed.append(f"IF({fits}, transform(sequence(0, {last}), i -> xxhash64({k}, {picked})), cast(array() AS array<bigint>))")
+    return f"array({', '.join(hashed)})"
 
-def _hashed(df: DataFrame, key: str) -> DataFrame:
-    found = let("w", f"transform({tokens('text')}, t -> xxhash64(t))", seeds("w"))
-    rows = df.selectExpr(key, f"{found} AS s").select(key, (F.size("s") / len(MASKS)).cast("int").alias("n"), F.posexplode("s").alias("at", "h"))
-    return rows.select(key, (F.col("at") % F.col("n")).alias("place"), "h")
 
-
-def hits(docs: DataFrame, items: DataFrame, *, broadcast_hashes: int = 1_000_000) -> DataFrame:
-    """Distinct (doc_id, item_id, diagonal) at which a masked hash agrees."""
-    stages = Stages(docs.sparkSession)
-    known = stages.write("benchmark", _hashed(items.where("item_id is not null"), "item_id").withColumnRenamed("place", "item_place"))
-    side = F.broadcast(known) if known.count() <= broadcast_hashes else known
-    found = _hashed(docs.where("doc_id is not null"), "doc_id").join(side, "h")
-    return found.select("doc_id", "item_id", (F.col("place") - F.col("item_place")).alias("diagonal")).distinct()
+def _hashed(df: DataFrame, key: list[str], specs: list, *, item: bool) -> DataFrame:
+    """key, place, h: every masked hash."""
+    found = let("w", f"transform({tokens('text')}, t -> xxhash64(t))", seeds("w", specs, item=item))
+    return df.selectExpr(*key, f"{found} AS s").select(*key, F.explode("s").alias("s")).select(*key, F.posexplode("s").alias("place", "h"))
 
 
 def overlaps(docs: DataFrame, items: DataFrame, *, window: int = 13, substitutions: int = 2, broadcast_hashes: int = 1_000_000) -> DataFrame:
-    """doc_id, item_id, diagonal, start and size (tokens of the document) of each verified overlap."""
+    """The two hashes that name a text, item_id, diagonal, start and size (tokens of the text) of each verified overlap."""
     stages = Stages(docs.sparkSession)
-    found = stages.write("hits", hits(docs, items, broadcast_hashes=broadcast_hashes))
-    item_tokens = items.where("item_id is not null").selectExpr("item_id", f"{tokens('text')} AS item")
-    # The stretches of the document beside the items are cut inside its row; only they travel on.
-    with_sizes = stages.write("sizes", found.join(item_tokens.selectExpr("item_id", "size(item) AS n_item"), "item_id"))
-    per_doc = with_sizes.groupBy("doc_id").agg(F.collect_set(F.struct("item_id", "diagonal", "n_item")).alias("found"))
-    beside = "transform(found, f -> named_struct('item_id', f.item_id, 'diagonal', f.diagonal, 'beside', slice(w, greatest(f.diagonal, 0) + 1, greatest(0, f.n_item + least(f.diagonal, 0)))))"
-    per_doc = stages.write("per-doc", per_doc)
-    few = F.broadcast(per_doc) if with_sizes.count() <= BROADCAST_IDS // 8 else per_doc  # spares the shuffle of all texts
-    own = docs.selectExpr("doc_id", "text").join(few, "doc_id").selectExpr("doc_id", let("w", tokens("text"), beside) + " AS f")
-    sides = own.selectExpr("doc_id", "explode(f) AS f").select("doc_id", "f.item_id", "f.diagonal", "f.beside").join(item_tokens, "item_id")
-    same = "zip_with(slice(item, greatest(0, -diagonal) + 1, size(item)), beside, (a, b) -> coalesce(a = b, false))"
-    # Prefix sums of agreement give the windows that agree; the span of the good ones is the overlap.
-    sums = f"aggregate({same}, array(0), (s, x) -> concat(s, array(element_at(s, -1) + IF(x, 1, 0))))"
-    good = let("sums", sums, f"IF(size(sums) - 1 < win, cast(array() AS array<int>), filter(sequence(0, size(sums) - 1 - win), i -> sums[i + win] - sums[i] >= win - {substitutions}))")
-    judged = sides.selectExpr("doc_id", "item_id", "diagonal", "item", "beside", f"least({window}, size(item)) AS win").selectExpr("doc_id", "item_id", "diagonal", "win", f"{good} AS good")
-    return judged.where("size(good) > 0").selectExpr(
-        "doc_id", "item_id", "diagonal", "cast(greatest(diagonal, 0) + good[0] AS bigint) AS start", "cast(element_at(good, -1) - good[0] + win AS bigint) AS size"
+    texts = text_key(docs.select("text"))
+    named = items.where("text is not null").select("item_id", "text").distinct()
+    known = stages.write("items", named.select("item_id", "text", F.expr(f"{tokens('text')} AS item"), F.monotonically_increasing_id().alias("nr")))
+    short = [r[0] for r in known.select(F.size("item").alias("n")).where(F.col("n") < window).distinct().collect()]  # fewer values than a window has tokens
+    specs = masks(window, substitutions, short)
+    hashes = stages.write("hashes", _hashed(known, ["nr"], specs, item=True).withColumnRenamed("place", "item_place"))
+    side = F.broadcast(hashes) if hashes.count() <= broadcast_hashes else hashes
+    found = _hashed(texts, TEXT_KEY, specs, item=False).join(side, "h")
+    found = stages.write("hits", found.select(*TEXT_KEY, "nr", (F.col("place") - F.col("item_place")).alias("diagonal")).distinct())
+
+    # The stretches of a text beside the items are cut inside its row; only they travel on.
+    with_sizes = stages.write("sizes", found.join(known.select("nr", F.size("item").alias("n_item")), "nr"))
+    per_text = stages.write("per-text", with_sizes.groupBy(*TEXT_KEY).agg(F.collect_list(F.struct("nr", "diagonal", "n_item")).alias("found")))
+    few = F.broadcast(per_text) if with_sizes.count() <= BROADCAST_IDS // 8 else per_text  # spares the shuffle of all texts
+    own = texts.join(few, TEXT_KEY).select(*TEXT_KEY, "found", F.expr(f"{tokens('text')} AS w")).select(*TEXT_KEY, "w", F.explode("found").alias("f"))
+    beside = own.selectExpr(*TEXT_KEY, "f.nr", "f.diagonal", "slice(w, greatest(f.diagonal, 0) + 1, greatest(0, f.n_item + least(f.diagonal, 0))) AS beside")
+    sides = beside.join(known.select("nr", "item_id", "item"), "nr")
+    same = "zip_with(slice(item, greatest(0, -diagonal) + 1, size(beside)), beside, (a, b) -> a = b)"
+    agree = f"size(filter(slice(same, i + 1, win), x -> x)) >= win - IF(size(item) < {EXACT}, 0, {substitutions})"
+    good = let("same", same, f"IF(size(same) < win, cast(array() AS array<int>), filter(sequence(0, size(same) - win), i -> {agree}))")
+    judged = sides.selectExpr(*TEXT_KEY, "nr", "item_id", "diagonal", "item", "beside", f"least({window}, size(item)) AS win").selectExpr(*TEXT_KEY, "nr", "item_id", "diagonal", "win", f"{good} AS good")
+    spans = judged.where("size(good) > 0").selectExpr(
+        *TEXT_KEY, "nr", "item_id", "diagonal", "cast(greatest(diagonal, 0) + good[0] AS bigint) AS start", "cast(element_at(good, -1) - good[0] + win AS bigint) AS size"
     )
+    out = stages.write("overlaps", spans.distinct().drop("nr"))
+    stages.drop("items", "hashes", "hits", "sizes", "per-text")
+    return out
 
 
 def judge(docs: DataFrame, items: DataFrame, **options) -> DataFrame:
-    """One row per row of docs: doc_id, contaminated, item_ids (sorted), n_overlaps."""
-    stages = Stages(docs.sparkSession)
-    per_doc = stages.write("overlaps", overlaps(docs, items, **options)).groupBy("doc_id").agg(F.sort_array(F.collect_set("item_id")).alias("item_ids"), F.count(F.lit(1)).alias("n_overlaps"))
-    return docs.select("doc_id").join(per_doc, "doc_id", "left").selectExpr("doc_id", "item_ids IS NOT NULL AS contaminated", "coalesce(item_ids, array()) AS item_ids", "coalesce(n_overlaps, 0) AS n_overlaps")
+    """One row per row of docs: doc_id, contaminated, item_ids (sorted), n_overlaps (pairs of item and diagonal)."""
+    found = overlaps(docs, items, **options)
+    per_text = Stages(docs.sparkSession).write("judged", found.groupBy(*TEXT_KEY).agg(F.sort_array(F.collect_set("item_id")).alias("item_ids"), F.count(F.lit(1)).alias("n_overlaps")))
+    told = text_key(docs.select("doc_id", "text")).select("doc_id", *TEXT_KEY).join(per_text, TEXT_KEY, "left")
+    return told.selectExpr("doc_id", "item_ids IS NOT NULL AS contaminated", "coalesce(item_ids, array()) AS item_ids", "coalesce(n_overlaps, 0) AS n_overlaps")
 
 
 def drop_contaminated(docs: DataFrame, items: DataFrame, **options) -> DataFrame:
     """The rows of docs without an overlap with an item."""
-    bad = overlaps(docs, items, **options).select("doc_id").distinct()
-    return by_ids(docs, Stages(docs.sparkSession).write("contaminated", bad), "left_anti")
+    bad = Stages(docs.sparkSession).write("contaminated", overlaps(docs, items, **options).select(*TEXT_KEY).distinct())
+    return by_ids(text_key(docs), bad, "left_anti", TEXT_KEY).select(*(f"`{c}`" for c in docs.columns))

@@ -70,24 +70,23 @@ def quality_rules(rounds: int = 20) -> str:
 
 
 def decontamination(window: int = 13, substitutions: int = 2) -> str:
-    """Masked words instead of their hashes; the same comparison around the hits."""
-    keys = []
-    for k, mask in enumerate(decontam.MASKS):
-        picked = ", ".join(f"w[i + {j}]" for j, c in enumerate(mask) if c == "1")
-        keys.append(f"concat_ws(' ', '{k}', {picked})")
+    """Every window of every pair that shares a token, compared without masks or hashes.
+
+    A good window begins at most ``substitutions`` places before its first common token.
+    """
 
     def tokens(table: str, key: str) -> str:
         return rf"SELECT {key}, list_filter(regexp_split_to_array(lower(coalesce(text, '')), '[^\p{{L}}\p{{N}}]+'), lambda x: x <> '') AS w FROM {table}"
 
-    def seeds(table: str, key: str) -> str:
-        return f"SELECT {key}, i, unnest([{', '.join(keys)}]) AS h FROM (SELECT {key}, w, unnest(range(1, len(w) - {decontam.SPAN - 2})) AS i FROM {table} WHERE len(w) >= {decontam.SPAN})"
-
     return f"""
 WITH d AS ({tokens('documents', 'doc_id')}), b AS ({tokens('benchmark', 'item_id')}),
-ds AS ({seeds('d', 'doc_id')}), bs AS ({seeds('b', 'item_id')}),
-h AS (SELECT DISTINCT doc_id, item_id, ds.i - bs.i AS o FROM ds JOIN bs USING (h)),
-a AS (SELECT h.doc_id, h.item_id, least({window}, len(b.w)) AS win, list_transform(range(greatest(1, 1 - o), least(len(b.w), len(d.w) - o) + 1), lambda j: (b.w[j] = d.w[j + o])::INT) AS same FROM h JOIN d USING (doc_id) JOIN b USING (item_id)),
-g AS (SELECT doc_id, item_id FROM a WHERE len(list_filter(range(1, len(same) - win + 2), lambda i: list_sum(same[i:i + win - 1]) >= win - {substitutions})) > 0),
+dt AS (SELECT doc_id, len(w) AS n, unnest(w) AS t, generate_subscripts(w, 1) AS i FROM d),
+bt AS (SELECT item_id, len(w) AS m, unnest(w) AS t, generate_subscripts(w, 1) AS j FROM b),
+c AS (SELECT doc_id, item_id, i - j AS o, any_value(n) AS n, any_value(m) AS m, list(j) AS js FROM dt JOIN bt USING (t) GROUP BY 1, 2, 3
+  HAVING count(*) >= least({window}, any_value(m)) - CASE WHEN any_value(m) < {decontam.EXACT} THEN 0 ELSE {substitutions} END),
+x AS (SELECT doc_id, item_id, o, n, m, js, least({window}, m) AS win, CASE WHEN m < {decontam.EXACT} THEN 0 ELSE {substitutions} END AS most, unnest(js) AS j FROM c),
+y AS (SELECT *, j - unnest(range(0, {substitutions} + 1)) AS s FROM x),
+g AS (SELECT DISTINCT doc_id, item_id, o FROM y WHERE s >= greatest(1, 1 - o) AND s + win - 1 <= least(m, n - o) AND len(list_filter(js, lambda q: q >= s AND q < s + win)) >= win - most),
 r AS (SELECT doc_id, list_sort(list(DISTINCT item_id)) AS item_ids, count(*) AS n_overlaps FROM g GROUP BY doc_id)
 SELECT doc_id, item_ids IS NOT NULL AS contaminated, coalesce(item_ids, []) AS item_ids, coalesce(n_overlaps, 0) AS n_overlaps FROM documents LEFT JOIN r USING (doc_id)
 """

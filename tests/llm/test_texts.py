@@ -151,22 +151,36 @@ def test_masks_meet_their_promise():
     assert all(any(not (p & set(s)) for p in places) for s in combinations(range(13), 2))
 
 
+def test_families_are_complete():
+    from itertools import combinations
+
+    for size, most in ((8, 2), (8, 1), (8, 0), (8, 3), (12, 4), (20, 3), (10, 6)):
+        kept = [{p for p, c in enumerate(m) if c == "1"} for m in decontam.family(size, most)]
+        assert all(kept) and all(any(not (k & set(s)) for k in kept) for s in combinations(range(size), most))
+
+
 def brute_contaminated(docs, items, window=13, most=2):
     tok = lambda s: re.findall(r"[^\W_]+", (s or "").lower())
-    out = {}
+    out = Counter()
     for d, text in docs:
-        w, hit = tok(text), []
-        for i, x in items:
+        w, hit, n = tok(text), set(), 0
+        for i, x in {(i, x) for i, x in items if x is not None}:
             x = tok(x)
             win = min(window, len(x))
-            if len(x) < decontam.SPAN:
-                continue
-            if any(sum(p == q for p, q in zip(x[a : a + win], w[b : b + win])) >= win - most for a in range(len(x) - win + 1) for b in range(len(w) - win + 1)):
-                hit.append(i)
-        out[d] = hit
+            least = win - (most if len(x) >= 8 else 0)
+            diagonals = {b - a for a in range(len(x) - win + 1) for b in range(len(w) - win + 1) if sum(p == q for p, q in zip(x[a : a + win], w[b : b + win])) >= least} if x else set()
+            n += len(diagonals)
+            if diagonals:
+                hit.add(i)
+        out[d, bool(n), tuple(sorted(i for i in hit if i is not None)), n] += 1
     return out
 
 
+def found_contaminated(spark, docs, items, **options):
+    d, b = spark.createDataFrame(docs, "doc_id bigint, text string"), spark.createDataFrame(items, "item_id bigint, text string")
+    return Counter((r.doc_id, r.contaminated, tuple(r.item_ids), r.n_overlaps) for r in decontam.judge(d, b, **options).collect())
+
+
 def test_substitutions_are_tolerated(spark):
     r = random.Random(8)
     items = [(k, prose(7000 + k, r.randint(13, 40))) for k in range(8)] + [(90, "too short here"), (91, None)]
@@ -179,20 +193,50 @@ def test_substitutions_are_tolerated(spark):
             x = x[s : s + r.randint(10, 25)]
             for _ in range(r.randint(0, 4)):
                 x[r.randrange(len(x))] = "swap"
-            w[20:20] = x
+            at = r.choice([0, 20, len(w)])
+            w[at:at] = x
         docs.append((i, " ".join(w).replace("stone", "Stone,")))
-    d, b = spark.createDataFrame(docs, "doc_id bigint, text string"), spark.createDataFrame(items, "item_id bigint, text string")
     for limit in (1_000_000, 0):  # by broadcast, and by shuffle
-        got = {r.doc_id: r.item_ids for r in decontam.judge(d, b, broadcast_hashes=limit).collect()}
-        assert got == brute_contaminated(docs, items)
+        assert found_contaminated(spark, docs, items, broadcast_hashes=limit) == brute_contaminated(docs, items)
+
+
+@pytest.mark.parametrize("substitutions", [0, 1, 2, 3])
+def test_no_overlap_is_lost_whatever_the_size_of_items(spark, substitutions):
+    """Items of 1 to 14 tokens, all pairs of substituted places in turn, at the edges of texts too."""
+    from itertools import combinations
+
+    items = [(n, " ".join(f"i{n}w{k}" for k in range(n))) for n in range(1, 15)]
+    docs = [(None, items[6][1]), (None, "nothing here"), (1, None), (2, "")]
+    for n, text in items:
+        places = [s for most in range(4) for s in combinations(range(n), most)]
+        for k, swapped in enumerate(places if n <= 9 else places[:: 1 + len(places) // 60]):
+            w = text.split()
+            for p in swapped:
+                w[p] = "swap"
+            pad = prose(k, k % 3).split()
+            docs.append((1000 * n + k, " ".join([*pad, *w, *pad[::-1]] if k % 4 else w)))
+    got = found_contaminated(spark, docs, items, substitutions=substitutions)
+    assert got == brute_contaminated(docs, items, most=substitutions)
+    assert got[None, True, (7,), 1] == 1
+
+
+def test_one_word_over_and_over(spark):
+    """All diagonals of a degenerate text are hits."""
+    docs, items = [(1, "the " * 3000), (2, "a " + "the " * 12), (3, "the " * 11)], [(1, "the " * 40), (2, "the " * 5), (None, "the " * 3)]
+    got = {r.doc_id: (r.contaminated, r.item_ids) for r in decontam.judge(spark.createDataFrame(docs, "doc_id bigint, text string"), spark.createDataFrame(items, "item_id bigint, text string")).collect()}
+    assert got == {1: (True, [1, 2]), 2: (True, [1, 2]), 3: (True, [2])}
 
 
 def test_contamination_of_odd_input(spark, odd, nothing):
-    items = spark.createDataFrame([(1, prose(1, 120)), (None, "x")], "item_id bigint, text string")
-    got = {r.doc_id: r.contaminated for r in decontam.judge(odd, items).collect()}
-    assert got[1] and got[3] and got[9] and got[10] and not got[2] and not got[4] and not got[5] and not got[None]
+    items = spark.createDataFrame([(1, prose(1, 120)), (1, prose(1, 120)), (None, "x"), (2, ""), (None, None)], "item_id bigint, text string")
+    docs = [(r.doc_id, r.text) for r in odd.collect()]
+    got = Counter((r.doc_id, r.contaminated, tuple(r.item_ids), r.n_overlaps) for r in decontam.judge(odd, items).collect())
+    assert got == brute_contaminated(docs, [(r.item_id, r.text) for r in items.collect()]) and got[None, True, (1,), 1] == 1
     assert decontam.judge(nothing, items).count() == 0 and not decontam.judge(odd, items.limit(0)).where("contaminated").count()
-    assert decontam.drop_contaminated(odd, items).columns == odd.columns
+    kept = decontam.drop_contaminated(odd, items)
+    assert kept.columns == odd.columns and Counter(r.doc_id for r in kept.collect()) == Counter([2, 4, 5, 6, 7, 8, 11])
+    with pytest.raises(ValueError, match="8 tokens"):
+        decontam.judge(odd, items, window=5)
 
 
 # -- mixing -----------------------------------------------------------------------------------
