@@ -1,29 +1,34 @@
 """Removal of repeated line runs by a suffix array over line numbers.
 
-Every document is a sequence of lines.  Lines that occur once can't take part in a repeat; the
-others get a rank in the order of their hash.  Distributed prefix doubling then ranks runs: the rank
-of a run of 2h lines is the place of (rank of its first h, rank of its last h) among the distinct
-pairs, sorted across partitions.  Runs with equal rank form an interval of the suffix array whose
-longest common prefix is at least the run's length; a run alone in its interval leaves.  The last
-step overlaps two runs to reach ``min_lines`` exactly; a longer repeat is the union of its windows of
-``min_lines``, so doubling ends there, and with the default of 2 lines it is one step.  In each
-interval the first copy (smallest doc_id, then line) stays; the lines of later ones are deleted, so
-that maximal repeated runs go.  With ``min_words``, a single line of that many words is a run too.
-
-Only DataFrame functions are used.  Common lines and runs are counted per partition before they are
-shuffled, and joined back by a join that splits hot keys.
+Every document is a sequence of lines, and all lines have numbers in the order of documents.  The
+suffix that begins at a line gets a rank by its first lines: distributed prefix doubling makes the
+rank of 2h lines from the pair (rank of h lines here, rank of h lines behind them), sorted across
+partitions.  Suffixes of one rank at a length are an interval of the suffix array whose longest
+common prefix has at least that length.  A suffix alone in its interval is ranked apart and leaves;
+doubling ends when no pair repeats.  Lengths double from 1, with one overlapping step to reach
+``min_lines`` exactly, and on from there.
+
+In each interval of a longest common prefix of ``min_lines`` or more the suffix with the smallest
+number (smallest doc_id, then line) is the first copy.  All others are later copies; each gives one
+run: the greatest length at which it still shares its interval with a smaller number.  The union of
+the runs of a document are the maximal repeated runs, and their lines are deleted.  With
+``min_words``, a single line of that many words is a run too.
+
+Only DataFrame functions are used.  Lines travel as two independent hashes.  Counts and first copies
+are partial sums before they are shuffled and written tables before they are joined, so no side of a
+join is an aggregate and hot keys can be split.
 
 Defined results for odd input: a null text has no lines and stays null; the empty text has one empty
-line; a row with a null ``doc_id`` is passed on whole; rows with the same doc_id count as one
-document's copies: each is judged alone, and the one with the smaller text hash comes first, exact
-copies sharing the verdict of the first; other columns are passed on; clashing names are replaced.
+line; a null ``doc_id`` comes after all others; rows with the same doc_id are documents of their own,
+in the order of their text hashes, but rows with the same doc_id and text are one document and share
+its verdict; other columns are passed on; clashing names are replaced.
 """
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, Window, functions as F
 
-from .common import WORD_SPLIT, Stages
+from .common import BROADCAST_IDS, TEXT_KEY, WORD_SPLIT, Stages, text_key
 
 NEW = ["n_lines", "n_removed", "runs"]
 
@@ -32,61 +37,96 @@ NEW = ["n_lines", "n_removed", "runs"]
 LONG_LINE = 10
 
 
-def _line_table(docs: DataFrame, min_words: int | None) -> DataFrame:
-    """doc_id, copy (hash of the text), pos, and two hashes of the line, which together name it; long: has it min_words words?"""
-    one = docs.where("doc_id is not null and text is not null").selectExpr("doc_id", "xxhash64(text) AS copy", "split(text, '\\n', -1) AS lines")
-    long = [] if min_words is None else [(F.size(F.filter(F.split("line", WORD_SPLIT), lambda w: w != "")) >= min_words).alias("long")]
-    lines = one.select("doc_id", "copy", F.posexplode("lines").alias("pos", "line"))
-    return lines.select("doc_id", "copy", "pos", F.xxhash64("line").alias("a"), F.expr("xxhash64(line, 1)").alias("b"), *long)
+def _numbered(docs: DataFrame, stages: Stages, min_words: int | None) -> DataFrame:
+    """A row a line: doc_id and text hashes of its document, pos, id (consecutive in a document), a, b (hashes), long (has it min_words words?)."""
+    lines = "split(text, '\\n', -1)"
+    words = rf"size(filter(split(l, '{WORD_SPLIT}', -1), w -> w <> ''))".replace("\\", "\\\\")
+    long = "cast(null AS array<boolean>)" if min_words is None else f"transform({lines}, l -> {words} >= {min_words})"
+    texts = text_key(docs.where("text is not null").select("doc_id", "text"))
+    hashed = texts.selectExpr("doc_id", *TEXT_KEY, f"transform({lines}, l -> xxhash64(l)) AS a", f"transform({lines}, l -> xxhash64(1, l)) AS b", f"{long} AS long")
+    ordered = hashed.dropDuplicates(["doc_id", *TEXT_KEY]).orderBy(F.col("doc_id").asc_nulls_last(), *TEXT_KEY)
+    rows = ordered.select("doc_id", *TEXT_KEY, "b", "long", F.posexplode("a").alias("pos", "a"))
+    return stages.write("lines", rows.select("doc_id", *TEXT_KEY, "pos", F.monotonically_increasing_id().alias("id"), "a", F.get("b", F.col("pos")).alias("b"), F.get("long", F.col("pos")).alias("long")))
 
 
-def _ranked(stages: Stages, name: str, rows: DataFrame) -> DataFrame:
-    """The rows whose (a, b) occurs more than once, with rank, their place in its order, instead of it."""
-    repeated = rows.groupBy("a", "b").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
-    ranks = stages.write(f"{name}-ranks", repeated.orderBy("a", "b").select("a", "b", F.monotonically_increasing_id().alias("rank")))
-    return stages.write(name, rows.join(ranks, ["a", "b"]).drop("a", "b"))
+def _ranks(stages: Stages, name: str, rows: DataFrame) -> DataFrame:
+    """a, b, rank (its place in their order), first (the smallest id) of the pairs that occur more than once."""
+    repeated = rows.groupBy("a", "b").agg(F.count(F.lit(1)).alias("n"), F.min("id").alias("first")).where("n > 1")
+    return stages.write(name, repeated.orderBy("a", "b").select("a", "b", F.monotonically_increasing_id().alias("rank"), "first"))
 
 
 def _pairs(ranked: DataFrame, step: int) -> DataFrame:
-    """Runs with the one that begins step lines later, as (a, b)."""
-    after = Window.partitionBy("doc_id", "copy").orderBy("pos").rangeBetween(step, step)
-    return ranked.select("doc_id", "copy", "pos", F.col("rank").alias("a"), F.max("rank").over(after).alias("b")).where("b is not null")
-
-
-def _later(ranked: DataFrame, size: int) -> DataFrame:
-    """doc_id, copy, pos, size of all runs but the first of each rank."""
-    first = ranked.groupBy("rank").agg(F.min(F.struct("doc_id", "copy", "pos")).alias("first"))
-    later = ranked.join(first, "rank").where(F.struct("doc_id", "copy", "pos") > F.col("first"))
-    return later.select("doc_id", "copy", "pos", F.lit(size).alias("size"))
+    """The suffixes with their rank as a and the rank of the suffix step lines later, if that is left, as b."""
+    after = Window.partitionBy("doc").orderBy("id").rangeBetween(step, step)
+    return ranked.select("doc", "id", "first", F.col("rank").alias("a"), F.max("rank").over(after).alias("b"))
+
+
+def _spans(docs: DataFrame, stages: Stages, min_lines: int, min_words: int | None) -> tuple[DataFrame, DataFrame]:
+    """(lines, spans: doc, id, size): a run for each suffix that is a later copy."""
+    lines = _numbered(docs, stages, min_words)
+    rows = lines.select((F.col("id") - F.col("pos")).alias("doc"), "id", "a", "b", "long")
+    ranked = stages.write("level-1", rows.join(_ranks(stages, "ranks-1", rows), ["a", "b"]).select("doc", "id", "rank", "first", "long"))
+    spans = []
+    if min_words is not None:
+        spans.append(stages.write("long", ranked.where("long AND id > first").selectExpr("doc", "id", "1 AS size")))
+    length, done = 1, ["ranks-1"]
+    while length < min_lines:
+        step = min(length, min_lines - length)
+        pairs = stages.write(f"pairs-{length}", _pairs(ranked, step).where("b is not null"))
+        done += [f"level-{length}", f"pairs-{length}", f"ranks-{length + step}"]
+        ranks = _ranks(stages, f"ranks-{length + step}", pairs)
+        length += step
+        ranked = stages.write(f"level-{length}", pairs.drop("first").join(ranks, ["a", "b"]).select("doc", "id", "rank", "first"))
+    while True:
+        pairs = stages.write(f"pairs-{length}", _pairs(ranked, length))
+        both = pairs.where("b is not null")
+        ranks = _ranks(stages, f"ranks-{2 * length}", both)
+        done += [f"level-{length}", f"pairs-{length}", f"ranks-{2 * length}"]
+        last = ranks.isEmpty()
+        if last:
+            spans.append(stages.write(f"spans-{length}", pairs.where("id > first").selectExpr("doc", "id", f"{length} AS size")))
+            break
+        longer = stages.write(f"longer-{length}", both.join(ranks.withColumnRenamed("first", "first2"), ["a", "b"], "left").select("doc", "id", "first", "rank", "first2"))
+        done.append(f"longer-{length}")
+        # A suffix that is a later copy here but not at the next length has its run here.
+        ended = pairs.where("b is null").select("doc", "id", "first").union(longer.where("rank is null OR id = first2").select("doc", "id", "first"))
+        spans.append(stages.write(f"spans-{length}", ended.where("id > first").selectExpr("doc", "id", f"{length} AS size")))
+        ranked = stages.write(f"level-{2 * length}", longer.where("rank is not null").selectExpr("doc", "id", "rank", "first2 AS first"))
+        stages.drop(*done)
+        done, length = [], 2 * length
+    stages.drop(*done)
+    out = spans[0]
+    for s in spans[1:]:
+        out = out.unionByName(s)
+    return lines, out
 
 
 def removed_lines(docs: DataFrame, *, min_lines: int = 2, min_words: int | None = None) -> DataFrame:
-    """doc_id, copy, runs: the maximal runs (start, size) of lines to delete, in order."""
+    """doc_id, two hashes of the text, runs: the maximal runs (start, size) of lines to delete, in order."""
     stages = Stages(docs.sparkSession)
-    ranked = _ranked(stages, "runs-1", _line_table(docs, min_words).distinct())
-    single = None if min_words is None else stages.write("single", _later(ranked.where("long"), 1))
-    length = 1
-    while length < min_lines:
-        step = min(length, min_lines - length)
-        longer = _ranked(stages, f"runs-{length + step}", _pairs(ranked, step))
-        stages.drop(f"runs-{length}", f"runs-{length}-ranks")
-        ranked, length = longer, length + step
-    later = _later(ranked, min_lines)
-    if single is not None:
-        later = later.unionByName(single)
-    in_doc = Window.partitionBy("doc_id", "copy").orderBy("pos", "size")
-    end = F.max(F.col("pos") + F.col("size"))
-    fresh = later.withColumn("new", (F.col("pos") > F.coalesce(end.over(in_doc.rowsBetween(Window.unboundedPreceding, -1)), F.lit(-1))).cast("int"))
-    run = fresh.withColumn("run", F.sum("new").over(in_doc)).groupBy("doc_id", "copy", "run").agg(F.min("pos").alias("start"), (end - F.min("pos")).alias("size"))
-    return run.groupBy("doc_id", "copy").agg(F.sort_array(F.collect_list(F.struct("start", "size"))).alias("runs"))
+    lines, spans = _spans(docs, stages, min_lines, min_words)
+    in_doc = Window.partitionBy("doc").orderBy("id", "size")
+    end = F.max(F.col("id") + F.col("size"))
+    fresh = spans.withColumn("new", (F.col("id") > F.coalesce(end.over(in_doc.rowsBetween(Window.unboundedPreceding, -1)), F.lit(-1))).cast("int"))
+    run = fresh.withColumn("run", F.sum("new").over(in_doc)).groupBy("doc", "run").agg(F.min("id").alias("at"), (end - F.min("id")).cast("int").alias("size"))
+    start = (F.col("at") - F.col("doc")).cast("int").alias("start")
+    runs = stages.write("runs", run.groupBy("doc").agg(F.sort_array(F.collect_list(F.struct(start, "size"))).alias("runs")))
+    named = runs.join(lines.where("pos = 0").select("doc_id", *TEXT_KEY, F.col("id").alias("doc")), "doc")
+    out = stages.write("removed", named.select("doc_id", *TEXT_KEY, "runs"))
+    stages.drop(*(name for name in list(stages.paths) if name != "removed"))
+    return out
 
 
 def drop_repeated_lines(docs: DataFrame, *, min_lines: int = 2, min_words: int | None = None) -> DataFrame:
     """docs with the later copies of repeated line runs deleted from text, and n_lines, n_removed, runs."""
     docs = docs.drop(*NEW)
-    cut = removed_lines(docs, min_lines=min_lines, min_words=min_words).select(F.col("doc_id").alias("__doc"), F.col("copy").alias("__copy"), "runs")
-    keyed = docs.withColumn("__h", F.xxhash64("text"))
-    joined = keyed.join(cut, (keyed["doc_id"] == cut["__doc"]) & (keyed["__h"] == cut["__copy"]), "left")
+    cut = removed_lines(docs, min_lines=min_lines, min_words=min_words).withColumnsRenamed({"doc_id": "__doc", **{c: f"{c}2" for c in TEXT_KEY}})
+    few = (cut.agg(F.sum(F.size("runs") + F.lit(2))).first()[0] or 0) <= BROADCAST_IDS  # spares the shuffle of all texts
+    keyed = text_key(docs)
+    same = F.col("doc_id").eqNullSafe(F.col("__doc"))
+    for c in TEXT_KEY:
+        same = same & (F.col(c) == F.col(f"{c}2"))
+    joined = keyed.join(F.broadcast(cut) if few else cut, same, "left")
     lines = "split(text, '\\n', -1)"
     # What stays lies between the end of one run and the start of the next.
     kept = (

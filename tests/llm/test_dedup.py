@@ -6,6 +6,7 @@ from collections import Counter, defaultdict
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from opsloom.llm import graph, jaccard, linededup
 from opsloom.llm import suffixdedup as sd
@@ -209,9 +210,26 @@ def test_single_long_lines(spark):
     assert {r.doc_id: r.text for r in linededup.drop_repeated_lines(df).collect()}[2] == long
 
 
-def test_lines_of_odd_input(odd, nothing):
-    rows = linededup.drop_repeated_lines(odd).collect()
-    assert len(rows) == odd.count()
+def test_line_runs_of_copies(spark):
+    """Copies of long documents, runs at their ends, one line over and over, and a document that repeats itself."""
+    r = random.Random(3)
+    base = [f"line {k}" for k in range(70)]
+    docs = [(0, "\n".join(base)), (1, "\n".join(base)), (2, "\n".join(base[5:50] + ["own"] + base[60:])), (3, "x\n" * 200), (4, "x\n" * 130), (5, "\n".join(base[:9] * 5)), (6, "tail\n" + base[-1])]
+    docs += [(10 + k, "\n".join(base[s : s + r.randint(1, 30)] + ["own %d" % k] * (k % 2))) for k, s in enumerate(r.sample(range(65), 40))]
+    for m in (1, 2, 5):
+        rows = linededup.drop_repeated_lines(spark.createDataFrame(docs, "doc_id bigint, text string").repartition(3), min_lines=m).collect()
+        assert {r.doc_id: r.text for r in rows} == brute_lines(docs, m)
+        assert all(a["start"] + a["size"] < b["start"] for r in rows for a, b in zip(r.runs, r.runs[1:]))  # maximal
+
+
+def test_lines_of_odd_input(spark, odd, nothing):
+    lined = odd.withColumn("text", F.regexp_replace("text", "( [a-m])", "\n$1"))
+    for df in (odd, lined):
+        rows = linededup.drop_repeated_lines(df).collect()
+        assert len(rows) == df.count()
+        docs = {(sd.NOBODY if r.doc_id is None else r.doc_id, r.text) for r in df.collect() if r.text is not None}
+        expected = brute_lines(docs, 2)
+        assert {sd.NOBODY if r.doc_id is None else r.doc_id: r.text for r in rows if r.n_lines} == expected
     got = {r.doc_id: r for r in rows}
-    assert got[4].text is None and got[4].n_lines == 0 and got[5].n_lines == 1 and got[None].text == got[1].text
+    assert got[4].text is None and got[4].n_lines == 0 and got[5].n_lines == 1 and got[None].text == "" and got[3].n_removed > 1
     assert linededup.drop_repeated_lines(nothing).count() == 0
