@@ -16,15 +16,21 @@ the R-tree of the documents of one key, is out when that sum is too small.  What
 on the token hashes.
 
 Pairs are spared within components: equal sets are linked to their smallest doc_id; each document
-is first verified against the smallest doc_id under its keys; then only keys whose documents lie in
-different components are searched with the R-tree, for pairs across components, in blocks of bounded
-size.  No links between different texts are lost, as each is either verified or joins two documents
-already connected.
+is first verified against the smallest doc_id under its keys.  Only keys whose documents then lie in
+different components stay open, and of those only the documents outside the key's largest component
+have to meet the others.  In keys of more than a block they are first verified against a member of
+that component, another one in each round, which joins nearly all near copies of one text by a few
+rows a document.  What is left outside is searched with the R-tree against all documents of the key,
+in blocks of bounded size: so the copies of rows grow with the documents of a key times those still
+outside, not with the square of the key.  No links between different texts are lost, as each is
+either verified or joins two documents already connected.
 
 Defined results for odd input: a null text, or one without words, has an empty set and links with
-nothing; fewer words than a shingle make one token; a null ``doc_id`` is passed on unlinked; rows
-with the same doc_id are counted each, but are one node for linking, for which one of their texts (the
-smallest, where sets are compared) stands; other columns are ignored.  Hashes of 64 bits stand for words, shingles and sets (128 bits for whole sets).
+nothing; fewer words than a shingle make one token; rows with the same doc_id are counted each, but
+are one node for linking, for which one of their texts (the smallest, where sets are compared) stands;
+rows with a null ``doc_id`` link like others, by the number that their text makes above 2^62 (ids lie
+below), and have a null component if it holds no id; other columns are ignored.  Hashes of 64 bits
+stand for words, shingles and sets (128 bits for whole sets).
 """
 
 from __future__ import annotations
@@ -46,6 +52,10 @@ FULL = 255
 SMALL = 64
 #: Documents of one key in one block of the search.
 BLOCK = 2048
+#: Rounds in which documents outside the largest component of a large key meet one of its members.
+ROUNDS = 4
+#: Nodes of rows without doc_id lie from here on.
+NAMELESS = 1 << 62
 LEAF = 32
 CACHE = 200_000
 _P1, _P2 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
@@ -235,19 +245,19 @@ class RTree:
 
 
 def _search(batches: Iterator[pa.RecordBatch], percent: int) -> Iterator[pa.RecordBatch]:
-    """(u, v) that may link, across components, of rows (key, i, j, side, doc_id, component, n, vec) sorted by (key, i, j)."""
+    """(u, v) that may link, across components, of rows (key, i, j, side, doc_id, component, n, vec) sorted by (key, i, j).
+
+    Rows of side 0 are searched for among those of side 1; those of side 2 belong to both.
+    """
 
     def block(rows: pa.Table) -> tuple[np.ndarray, np.ndarray]:
-        i, j, side, doc, comp, n = (rows.column(c).to_numpy() for c in ("i", "j", "side", "doc_id", "component", "n"))
-        points = points_of(rows.column("vec").to_pylist())
-        a = np.flatnonzero(side == i)
-        b = a if i[0] == j[0] else np.flatnonzero(side == j)
+        side, doc, comp, n = (rows.column(c).to_numpy() for c in ("side", "doc_id", "component", "n"))
+        a, b = np.flatnonzero(side != 1), np.flatnonzero(side != 0)
         if not len(a) or not len(b):
             return doc[:0], doc[:0]
-        left = RTree(points[a])
-        right = left if b is a else RTree(points[b])
+        points = points_of(rows.column("vec").to_pylist())
         us, vs = [doc[:0]], [doc[:0]]
-        for x, y in left.pairs(right, n[a], n[b], percent):
+        for x, y in RTree(points[a]).pairs(RTree(points[b]), n[a], n[b], percent):
             u, v = a[x], b[y]
             ok = (comp[u] != comp[v]) & (doc[u] != doc[v])
             us.append(np.maximum(doc[u[ok]], doc[v[ok]]))
@@ -288,33 +298,61 @@ def _verified(pairs: DataFrame, texts: DataFrame, stages: Stages, name: str, wor
     return out
 
 
-def _open_blocks(members: DataFrame, comps: DataFrame, sizes: DataFrame) -> DataFrame:
-    """The documents of keys that hold several components, in pairs of blocks of at most about BLOCK."""
-    placed = members.join(comps, members["doc_id"] == comps["node"], "left").select("key", "doc_id", F.coalesce("component", "doc_id").alias("component"))
-    keys = placed.groupBy("key").agg(F.min("component").alias("a"), F.max("component").alias("b"), F.count(F.lit(1)).alias("c")).where("a <> b")
-    rows = placed.join(keys.select("key", F.ceil(F.col("c") / BLOCK).cast("int").alias("blocks")), "key").withColumn("side", F.pmod(F.xxhash64("doc_id"), F.col("blocks")).cast("int"))
-    spread = rows.select("key", "doc_id", "component", "side", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"))
-    full = spread.join(sizes, "doc_id")
-    return full.select("key", F.least("side", "other").alias("i"), F.greatest("side", "other").alias("j"), "side", "doc_id", "component", "n", "vec")
+def _placed(members: DataFrame, comps: DataFrame) -> DataFrame:
+    """key, doc_id and component of the documents under each key."""
+    return members.join(comps, members["doc_id"] == comps["node"], "left").select("key", "doc_id", F.coalesce("component", "doc_id").alias("component"))
+
+
+def _open_keys(placed: DataFrame) -> DataFrame:
+    """key, n (documents), main (the component with most of them), outside (documents not in it) of keys with several components."""
+    shares = placed.groupBy("key", "component").agg(F.count(F.lit(1)).alias("c"))
+    keys = shares.groupBy("key").agg(F.sum("c").alias("n"), F.max("c").alias("most"), F.max_by("component", F.struct("c", "component")).alias("main"))
+    return keys.where("most < n").selectExpr("key", "n", "main", "n - most AS outside")
+
+
+def _pivots(placed: DataFrame, keys: DataFrame, turn: int) -> DataFrame:
+    """(u, v): each document outside the main component of a large key with one member of that component."""
+    rows = placed.join(keys, "key")
+    pivot = rows.where("component = main").groupBy("key").agg(F.min_by("doc_id", F.xxhash64(F.lit(turn), "doc_id")).alias("v"))
+    return rows.where("component <> main").select("key", F.col("doc_id").alias("u"), "n").join(pivot, "key").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct()
+
 
+def _blocks(placed: DataFrame, keys: DataFrame, size: int = BLOCK) -> DataFrame:
+    """The documents of open keys in pairs (i, j) of blocks: those outside the main component (i) and all (j).
 
-def link(docs: DataFrame, *, words: int = 4, percent: int = 85) -> DataFrame:
+    In a key of one block each document is one row, whose side 2 says that it is on both sides.
+    """
+    rows = placed.join(keys, "key").selectExpr("key", "doc_id", "component", "component <> main AS other", f"cast(ceil(outside / {size}) AS int) AS ni", f"cast(ceil(n / {size}) AS int) AS nj")
+    at = "cast(pmod(xxhash64(doc_id), {}) AS int)"
+    one = rows.where("nj = 1").selectExpr("key", "0 AS i", "0 AS j", "IF(other, 2, 1) AS side", "doc_id", "component")
+    all_ = rows.where("nj > 1").selectExpr("key", f"{at.format('nj')} AS j", "doc_id", "component", "explode(sequence(0, ni - 1)) AS i").selectExpr("key", "i", "j", "1 AS side", "doc_id", "component")
+    few = rows.where("nj > 1 AND other").selectExpr("key", f"{at.format('ni')} AS i", "doc_id", "component", "explode(sequence(0, nj - 1)) AS j").selectExpr("key", "i", "j", "0 AS side", "doc_id", "component")
+    return one.union(all_).union(few)
+
+
+def node(doc_id: str = "doc_id", text: str = "text"):
+    """The number for linking: the doc_id, or one that the text makes."""
+    return F.coalesce(F.col(doc_id), F.xxhash64(text).bitwiseAND((1 << 61) - 1) + F.lit(NAMELESS))
+
+
+def link(docs: DataFrame, *, words: int = 4, percent: int = 85, numbered: bool = False) -> DataFrame:
     """One row per row of docs: doc_id, n_shingles, component_id.
 
-    Two documents link when 100 * common shingles >= percent * all shingles of both.
+    Two documents link when 100 * common shingles >= percent * all shingles of both.  numbered: rows
+    without doc_id have the numbers of their nodes.
     """
-    spark = docs.sparkSession
-    stages = Stages(spark)
-    texts = docs.select("doc_id", "text")
+    stages = Stages(docs.sparkSession)
+    texts = docs.select(node().alias("doc_id"), "text")
     signed = stages.write("signed", texts.mapInArrow(lean(partial(_sign, size=words, percent=percent)), SIGN), batch_rows=2000)
     sizes = stages.write("sizes", signed.select("doc_id", "n", "h1", "h2", "vec"))
-    known = sizes.where("doc_id is not null and n > 0")
-    first = known.groupBy("n", "h1", "h2").agg(F.min("doc_id").alias("rep"))
-    equal = stages.write("equal", known.select("doc_id", "n", "h1", "h2").join(first, ["n", "h1", "h2"]).select("doc_id", "rep").distinct())
+    known = sizes.where("n > 0")
+    same = known.groupBy("n", "h1", "h2").agg(F.min("doc_id").alias("rep"), F.max("doc_id").alias("last")).where("rep < last")
+    same = stages.write("same", same.drop("last"))
+    equal = stages.write("equal", known.select("doc_id", "n", "h1", "h2").join(same, ["n", "h1", "h2"]).where("doc_id <> rep").select("doc_id", "rep").distinct())
 
     # Copies of a set are linked already; the keys of its smallest doc_id stand for all.
-    copies = stages.write("copies", equal.where("doc_id <> rep").select("doc_id"))
-    keyed = by_ids(signed.where("doc_id is not null"), copies, "left_anti").select("doc_id", F.explode("keys").alias("key"))
+    copies = stages.write("copies", equal.select("doc_id").distinct())
+    keyed = by_ids(signed, copies, "left_anti").select("doc_id", F.explode("keys").alias("key"))
     shared = keyed.groupBy("key").agg(F.min("doc_id").alias("m"), F.max("doc_id").alias("x")).where("m < x").select("key", "m")
     shared = stages.write("shared", shared)
     members = stages.write("members", keyed.join(shared, "key").select("key", "doc_id", "m").distinct())
@@ -322,22 +360,52 @@ def link(docs: DataFrame, *, words: int = 4, percent: int = 85) -> DataFrame:
 
     points = by_ids(known, copies, "left_anti").groupBy("doc_id").agg(F.min(F.struct("n", "vec")).alias("p")).select("doc_id", "p.n", "p.vec")
     points = stages.write("points", points)
-    pairs = members.groupBy("doc_id").agg(F.min("m").alias("m")).where("m < doc_id").select(F.col("doc_id").alias("u"), F.col("m").alias("v"))
-    both = pairs.join(points.toDF("u", "n1", "vec1"), "u").join(points.toDF("v", "n2", "vec2"), "v").select("u", "v", "n1", "vec1", "n2", "vec2")
-    near = stages.write("near", both.mapInArrow(lean(partial(_near, percent=percent)), "u bigint, v bigint"))
-    stars = _verified(near, texts, stages, "stars", words, percent)
-    comps = stages.write("comps", components(stars, stages, "c1"))
-    blocks = _open_blocks(members.select("key", "doc_id"), comps, points).repartition("key", "i", "j").sortWithinPartitions("key", "i", "j")
+
+    def verified(pairs: DataFrame, name: str) -> DataFrame:
+        """The pairs that the bound lets pass and that link."""
+        both = pairs.join(points.toDF("u", "n1", "vec1"), "u").join(points.toDF("v", "n2", "vec2"), "v").select("u", "v", "n1", "vec1", "n2", "vec2")
+        near = stages.write(f"{name}-near", both.mapInArrow(lean(partial(_near, percent=percent)), "u bigint, v bigint"))
+        out = _verified(near, texts, stages, name, words, percent)
+        stages.drop(f"{name}-near")
+        return out
+
+    stars = verified(members.groupBy("doc_id").agg(F.min("m").alias("m")).where("m < doc_id").select(F.col("doc_id").alias("u"), F.col("m").alias("v")), "stars")
+    edges = stars
+    members = members.select("key", "doc_id")
+    for turn in range(ROUNDS + 1):
+        comps = components(edges, stages, f"comps-{turn}")
+        placed = stages.write(f"placed-{turn}", _placed(members, comps))
+        keys = stages.write(f"keys-{turn}", _open_keys(placed))
+        large = stages.write(f"large-{turn}", keys.where(F.col("n") > BLOCK))
+        if turn == ROUNDS or large.isEmpty():
+            break
+        new = verified(_pivots(placed, large, turn), f"stars-{turn}")
+        stages.drop(f"comps-{turn}", f"placed-{turn}", f"keys-{turn}", f"large-{turn}")
+        edges = edges.union(new)
+    blocks = _blocks(placed, keys).join(points, "doc_id").repartition("key", "i", "j").sortWithinPartitions("key", "i", "j")
+    blocks = blocks.select("key", "i", "j", "side", "doc_id", "component", "n", "vec")
     across = stages.write("across", blocks.mapInArrow(lean(partial(_search, percent=percent)), "u bigint, v bigint").distinct())
-    stages.drop("members")
     found = _verified(across, texts, stages, "found", words, percent)
 
-    edges = stars.union(found).union(equal.where("doc_id <> rep").select("doc_id", "rep"))
-    final = stages.write("components", components(edges, stages, "c2"))
-    return sizes.join(final, sizes["doc_id"] == final["node"], "left").select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component", "doc_id").alias("component_id"))
+    links = edges.union(found).union(equal.select("doc_id", "rep"))
+    final = components(links, stages, "components")
+    told = stages.write("told", sizes.join(final, sizes["doc_id"] == final["node"], "left").select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component", "doc_id").alias("component_id")))
+    stages.drop(*(name for name in list(stages.paths) if name != "told"))
+    if numbered:
+        return told
+    named = lambda c: F.when(F.col(c) < NAMELESS, F.col(c)).alias(c)
+    return told.select(named("doc_id"), "n_shingles", named("component_id"))
 
 
 def keep_one(docs: DataFrame, *, words: int = 5, percent: int = 80) -> DataFrame:
-    """The rows of docs whose doc_id is the smallest of its group; unlinked ones stay."""
-    gone = link(docs, words=words, percent=percent).where("doc_id <> component_id").select("doc_id").distinct()
-    return by_ids(docs, Stages(docs.sparkSession).write("gone", gone), "left_anti")
+    """The rows of docs whose doc_id is the smallest of its group; unlinked ones stay.
+
+    Of rows without doc_id one of each text stays, if no document with an id is in its group.
+    """
+    nameless = docs.where("doc_id is null")
+    a_word = F.coalesce(F.col("text").rlike(r"[^\x20\x09-\x0D]"), F.lit(False))
+    docs_ = docs.where("doc_id is not null").union(nameless.where(~a_word)).union(nameless.where(a_word).dropDuplicates(["text"]))
+    keyed = docs_.withColumn("__node", node())
+    linked = link(keyed.select(F.col("__node").alias("doc_id"), "text"), words=words, percent=percent, numbered=True)
+    gone = linked.where("doc_id <> component_id").select(F.col("doc_id").alias("__node")).distinct()
+    return by_ids(keyed, Stages(docs.sparkSession).write("gone", gone), "left_anti", "__node").select(*(f"`{c}`" for c in docs.columns))

@@ -143,14 +143,56 @@ def test_tree_bound_keeps_all_pairs():
     assert linked <= kept
 
 
-def test_links_of_odd_input(odd, nothing):
+def test_hot_key_costs_few_rows(spark):
+    """100,000 documents under one key: rows grow with those outside the key's largest component."""
+    n, outside = 100_000, 300
+    placed = spark.range(n).selectExpr("7L AS key", "id AS doc_id", f"IF(id % {n // outside} = 1, id, 0) AS component").union(spark.range(n, n + 10).selectExpr("8L", "id", f"{n}L"))
+    keys = jaccard._open_keys(placed)
+    (row,) = keys.collect()
+    assert (row.key, row.n, row.main) == (7, n, 0) and outside - 5 <= row.outside <= outside + 5
+    blocks = jaccard._blocks(placed, keys)
+    assert blocks.count() < 1.3 * n
+    most = blocks.groupBy("i", "j").count().agg(F.max("count")).first()[0]
+    assert most < 1.2 * (jaccard.BLOCK + outside)
+    met = blocks.where("side = 0").select("i", "j", "doc_id").join(blocks.where("side = 1").select("i", "j", F.col("doc_id").alias("v")), ["i", "j"])
+    assert met.count() == row.outside * n  # each of those outside meets all once
+    pivots = [{r.u, r.v} for r in jaccard._pivots(placed, keys, 0).collect()]
+    (pivot,) = set.intersection(*pivots)
+    assert len(pivots) == row.outside and pivot % (n // outside) != 1
+
+
+def test_near_copies_under_hot_keys(spark, monkeypatch):
+    """Small blocks, so that a few hundred near copies make large keys; no link is lost in the rounds or the search."""
+    monkeypatch.setattr(jaccard, "BLOCK", 16)
+    r = random.Random(11)
+    docs = []
+    for base in range(3):
+        words = prose(500 + base, 60).split()
+        for _ in range(90):
+            w = list(words)
+            for _ in range(r.randint(0, 4)):
+                w[r.randrange(len(w))] = r.choice("abcdefgh") * 3
+            docs.append((len(docs) * 2 + 5, " ".join(w)))
+    docs += [(1000 + k, prose(500, 25) + " " + prose(700 + k, r.randint(3, 30))) for k in range(80)]
+    r.shuffle(docs)
+    df = spark.createDataFrame(docs, "doc_id bigint, text string").repartition(3)
+    got = {r.doc_id: (r.n_shingles, r.component_id) for r in jaccard.link(df).collect()}
+    assert got == brute_links(docs, 4, 85) and len({c for _, c in got.values()}) > 5
+
+
+def test_links_of_odd_input(spark, odd, nothing):
     rows = jaccard.link(odd).collect()
     assert len(rows) == odd.count()
     got = {r.doc_id: r.component_id for r in rows}
-    assert got[1] == got[3] == got[9] == 1 and got[4] == 4 and got[5] == 5 and got[6] == 6 and got[None] is None
+    assert got[1] == got[3] == got[9] == got[None] == 1 and got[4] == 4 and got[5] == 5 and got[6] == 6
     assert jaccard.link(nothing).count() == 0
-    assert jaccard.keep_one(odd).columns == odd.columns
-    assert {r.doc_id for r in jaccard.keep_one(odd).collect()} >= {1, 2, 4, 5, 6, 7, None}
+    kept = jaccard.keep_one(odd)
+    assert kept.columns == odd.columns and {r.doc_id for r in kept.collect()} == {1, 2, 4, 5, 6, 7, 8, 10, 11}
+    rows = [(None, prose(5, 40)), (None, prose(5, 40)), (None, prose(5, 40) + " x"), (None, None), (None, ""), (None, ""), (7, prose(6, 40)), (None, prose(6, 40))]
+    named = spark.createDataFrame(rows, "doc_id bigint, text string")
+    left = jaccard.keep_one(named).collect()
+    assert Counter((r.doc_id, bool(r.text)) for r in left) == Counter({(None, True): 1, (None, False): 3, (7, True): 1})
+    assert {r.component_id for r in jaccard.link(named).collect()} == {None, 7}
 
 
 def test_components(spark):
