@@ -24,7 +24,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from .common import lean
+from .common import lean, parts
 
 #: Letter runs; digits, underscores and marks of other kinds separate them.
 WORD = re.compile(r"[^\W\d_]+")
@@ -42,13 +42,6 @@ def grams(word: str) -> list[int]:
     return [((x * 961 + y * 31 + z) * 40503 >> 4) & (BUCKETS - 1) for x, y, z in zip(b, b[1:], b[2:])]
 
 
-def parts(batches: Iterator[pa.RecordBatch], rows: int = 500) -> Iterator[pa.RecordBatch]:
-    """Smaller batches, so that few texts are Python strings at once."""
-    for batch in batches:
-        for at in range(0, batch.num_rows, rows):
-            yield batch.slice(at, rows)
-
-
 def _count(batches: Iterator[pa.RecordBatch], max_languages: int) -> Iterator[pa.RecordBatch]:
     tables: dict[str, np.ndarray] = {}
     seen: dict[str, Counter] = {}

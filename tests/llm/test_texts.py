@@ -50,6 +50,43 @@ def test_tokens_equal_the_library(spark):
         assert (got[i].n_tokens, got[i].n_bytes, got[i].over_limit) == (n, len(x.encode()), n > 1024)
 
 
+def test_long_pre_tokens(spark):
+    """Runs without a break: equal to the library, and not quadratic in their length."""
+    import time
+
+    from tokenizers import Tokenizer
+
+    path = tokencount.default_vocabulary()
+    r = random.Random(3)
+    letters = "".join(r.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(200_000))
+    texts = [letters[:30_000], "a" * 20_001, "ab" * 9_000 + "a", "".join(r.choice("ABCDEFGHIJKLMNOPabcdefghijklmnop") for _ in range(20_000)), "=" * 5000 + letters[:5000] + "-" * 4097, "é" * 4000]
+    t, merger = Tokenizer.from_file(path), tokencount.Merger(open(path, encoding="utf-8").read())
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string")
+    got = {r.doc_id: r.n_tokens for r in tokencount.count_tokens(df, path).collect()}
+    assert got == {i: len(t.encode(x, add_special_tokens=False).ids) for i, x in enumerate(texts)}
+    for n in (2049, 2500, 3000):
+        x = "".join(r.choice("aab") for _ in range(n)).encode()
+        assert merger.count([x])[0] == merger.count_short([x])[0]
+    began = time.perf_counter()
+    merger.count([letters.encode()])
+    assert time.perf_counter() - began < 6  # about 1 s on a free core
+
+
+def test_other_tokenizer_files_are_refused(spark, tmp_path):
+    import json
+
+    import public_tokenizers
+
+    df = spark.createDataFrame([(1, "a b")], "doc_id bigint, text string")
+    with pytest.raises(ValueError, match="normalizer, pre_tokenizer"):
+        tokencount.count_tokens(df, public_tokenizers.path("word_bpe_49k.json"))
+    spec = json.load(open(tokencount.default_vocabulary(), encoding="utf-8"))
+    spec["added_tokens"][0]["lstrip"] = True
+    (tmp_path / "t.json").write_text(json.dumps(spec))
+    with pytest.raises(ValueError, match="added token"):
+        tokencount.count_tokens(df, str(tmp_path / "t.json"))
+
+
 def test_tokens_of_odd_input(odd, nothing):
     rows = tokencount.count_tokens(odd, tokencount.default_vocabulary()).collect()
     assert len(rows) == odd.count() and {r.doc_id: r.n_tokens for r in rows}[4] == 0
