@@ -28,7 +28,7 @@ def op3_long_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op4_pii_pseudonyms(spark: SparkSession, sf_dir: str) -> DataFrame:
-    out = pii.pseudonymise(documents(spark, sf_dir))
+    out = pii.pseudonymise(documents(spark, sf_dir), key=pii.session_key(spark))
     return out.select("doc_id", F.size("findings").alias("n_found"), F.transform("findings", lambda f: f["kind"]).alias("kinds"), "text")
 
 
@@ -50,7 +50,7 @@ def op8_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op9_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
-    out = sharding.shard(documents(spark, sf_dir), new_path(spark, "shards"), target_bytes=128 << 20)
+    out = sharding.shard_once(documents(spark, sf_dir), new_path(spark, "shards"), target_bytes=128 << 20)
     return out.select("doc_id", "source", "n_chars", F.col("shard.id").alias("shard_id"), F.col("shard.rows").alias("shard_rows"), F.col("shard.bytes").alias("shard_bytes"))
 
 
