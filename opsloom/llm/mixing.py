@@ -19,8 +19,8 @@ from .common import Stages
 
 #: A rate above this is split into a sum of equal parts, as exp(-rate) would underflow.
 LARGEST_PART = 500.0
-#: More sources than this are joined by shuffle instead of broadcast.
-BROADCAST_SOURCES = 100_000
+#: Distributions with more numbers in all than this (8 bytes each) are joined by shuffle instead of broadcast.
+BROADCAST_NUMBERS = 4_000_000
 
 
 def uniform(seed: str, *parts: Column) -> Column:
@@ -60,11 +60,15 @@ def replicate(docs: DataFrame, *, weights: dict[str, float] | None = None, total
     stages = Stages(docs.sparkSession)
     rated = stages.write("rates", rates(docs, weights, total))
     small = rated.select(F.col("source").alias("__source"), "parts", "cdf")
-    small = F.broadcast(small) if rated.count() <= BROADCAST_SOURCES else small
+    numbers = rated.agg(F.sum(F.size("cdf") + F.lit(8))).first()[0] or 0
+    small = F.broadcast(small) if numbers <= BROADCAST_NUMBERS else small
     joined = docs.join(small, docs["source"].eqNullSafe(small["__source"]))
-    drawn = F.aggregate(
-        F.sequence(F.lit(1), F.col("parts")), F.lit(0), lambda acc, i: acc + F.size(F.filter("cdf", lambda c: c <= uniform(seed, F.col("doc_id"), i)))
-    )
+
+    def count(i: Column) -> Column:
+        """The Poisson number of part i; its uniform number is bound, so that it is hashed once and not for each element."""
+        return F.element_at(F.transform(F.array(uniform(seed, F.col("doc_id"), i)), lambda u: F.size(F.filter("cdf", lambda c: c <= u))), 1)
+
+    drawn = F.aggregate(F.sequence(F.lit(1), F.col("parts")), F.lit(0), lambda acc, i: acc + count(i))
     copies = joined.withColumn("__n", drawn).where("__n > 0").select(*docs.columns, F.explode(F.sequence(F.lit(1), F.col("__n"))).alias("copy"))
     keyed = copies.withColumn("shuffle_key", F.conv(F.substring(F.sha2(F.concat_ws(":", F.lit(f"{seed}:order"), F.coalesce(F.col("doc_id").cast("string"), F.lit("")), F.col("copy").cast("string")), 256), 1, 15), 16, 10).cast("bigint"))
     return keyed.orderBy("shuffle_key", "doc_id", "copy")
