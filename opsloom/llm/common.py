@@ -27,10 +27,13 @@ def benchmark(spark: SparkSession, sf_dir: str) -> DataFrame:
 def scratch_dir(spark: SparkSession) -> str:
     """The folder shared by the driver and the executors, as the cluster names it.
 
-    Only where the session names none (tests, a laptop) is a local one made and set.
+    Only where a local session names none (tests, a laptop) is a local one made and set; on a cluster
+    that is an error, as executors could not see it.
     """
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         found = "file://" + tempfile.mkdtemp(prefix="opsloom-")
         spark.conf.set("spark.checkpoint.dir", found)
         spark.sparkContext.setCheckpointDir(found)

@@ -8,8 +8,14 @@ has invalid members (dates, security numbers), the permutation is applied again
 valid one, which keeps it a permutation.
 
 Kinds: email (the name, by segments of letters and digits in base 36; lower-cased), phone (the last
-ten digits), card (13 to 19 digits that pass the Luhn test; its check digit is computed anew), ipv4,
-date (1900-01-01 to 2099-12-31, yyyy-mm-dd or dd/mm/yyyy), ssn, secret (24 to 128 hex digits).
+ten digits of (ddd) ddd-dddd, ddd-ddd-dddd, ddd.ddd.dddd and of + with 8 to 15 digits in groups or
+none), card (13 to 19 digits in one run, in fours, or as 4-6-5, that pass the Luhn test; its check digit
+is computed anew), ipv4, date (1900-01-01 to 2099-12-31: yyyy-mm-dd, also before a time, d/m/yyyy, and
+m/d/yyyy where the day is above 12, which then stays above 12), ssn (ddd-dd-dddd), secret (24 to 128
+hex digits).  Not recognised: bare runs of digits that are no card, IBANs, names, addresses, IPv6,
+dates with month names or two-digit years.
+
+The key comes from the caller; who has it can invert the pseudonyms, so it is no constant here.
 
 Only DataFrame functions are used: the text is split at the matches and joined again around their
 pseudonyms, row by row, without a shuffle.
@@ -21,17 +27,19 @@ of the input are passed on, except those named ``findings``, which is replaced.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+import secrets
+
+from pyspark.sql import DataFrame, SparkSession
 
 from .common import let
 
 KINDS = {
     "email": r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9][A-Za-z0-9._%+-]*+@[A-Za-z0-9][A-Za-z0-9.-]*\.[A-Za-z]{2,}",
-    "phone": r"(?<![\w+])(?:\+\d{1,3}[ .-]?)?\(\d{3}\) ?\d{3}[ .-]\d{4}(?!\d)|(?<![\w+])\+\d{1,3}[ .-]\d{3}[ .-]\d{3}[ .-]\d{4}(?!\d)",
-    "date": r"(?<![\w/.-])(?:19|20)\d\d-[01]\d-[0-3]\d(?![\w/-])|(?<![\w/.-])[0-3]\d/[01]\d/(?:19|20)\d\d(?![\w/-])",
+    "phone": r"(?<![\w+])(?:\+\d{1,3}[ .-]?)?\(\d{3}\) ?\d{3}[ .-]\d{4}(?!\d)|(?<![\w+])\+\d{1,3}(?:[ .-]?\d{1,4}){2,6}(?!\d)|(?<![\w.+-])(?:\d{3}-\d{3}-\d{4}|\d{3}\.\d{3}\.\d{4})(?![\w-]|\.\d)",
+    "date": r"(?<![\w/.-])(?:19|20)\d\d-[01]\d-[0-3]\d(?=T\d\d:|(?![\w/-]))|(?<![\w/.-])[0-3]?\d/[0-3]?\d/(?:19|20)\d\d(?![\w/-])",
     "ssn": r"(?<![\w-])\d{3}-\d{2}-\d{4}(?![\w-])",
     "ipv4": r"(?<![\w.])\d{1,3}(?:\.\d{1,3}){3}(?!\w|\.\d)",
-    "card": r"(?<!\w)(?:\d{13,19}|\d{4} \d{4} \d{4} \d{4}|\d{4}-\d{4}-\d{4}-\d{4})(?!\w)",
+    "card": r"(?<!\w)(?:\d{13,19}|\d{4} \d{4} \d{4} \d{4}|\d{4}-\d{4}-\d{4}-\d{4}|\d{4}[ -]\d{6}[ -]\d{5})(?!\w)",
     "secret": r"(?<!\w)(?=[A-Fa-f]*\d)[0-9A-Fa-f]{24,128}(?!\w)",
 }
 ROUNDS = 8
@@ -77,8 +85,8 @@ def permute(s: str, radix: int, key: str, tweak: str) -> str:
 
 
 def walk(s: str, valid, step) -> str:
-    """SQL: step applied to s once, and again while the result is not valid."""
-    return f"aggregate(sequence(1, 40), {step(s)}, (w, t) -> IF({valid('w')}, w, {step('w')}))"
+    """SQL: step applied to s once, and again while the result is not valid; an error after 200 more steps, as any other value would be no permutation."""
+    return f"aggregate(sequence(1, 200), {step(s)}, (w, t) -> IF({valid('w')}, w, {step('w')}), w -> IF({valid('w')}, w, raise_error('no valid pseudonym')))"
 
 
 def fill(template: str, digits: str) -> str:
@@ -106,7 +114,7 @@ def pseudonyms(key: str) -> dict[str, tuple[str, str]]:
         f"concat(array_join(transform(regexp_extract_all(lower({local}), '[a-z0-9]+|[^a-z0-9]+', 0), g -> IF(g RLIKE '^[a-z0-9]', {permute('g', 36, key, _quote('email'))}, g)), ''), "
         f"'@', substring_index(m, '@', -1))"
     )
-    phone = let("d", only, fill("m", f"concat(substr(d, 1, length(d) - 10), {permute('substr(d, length(d) - 9)', 10, key, _quote('phone'))})"))
+    phone = let("d", only, fill("m", f"concat(substr(d, 1, greatest(0, length(d) - 10)), {permute('substr(d, greatest(1, length(d) - 9))', 10, key, _quote('phone'))})"))
     card = let(
         "d", only,
         let("b", permute("substr(d, 1, length(d) - 1)", 10, key, _quote("card")), fill("m", f"concat(b, cast((10 - {luhn_sum('b', 1)} % 10) % 10 AS string))")),
@@ -114,16 +122,21 @@ def pseudonyms(key: str) -> dict[str, tuple[str, str]]:
     octets = "split(m, '[.]')"
     packed = f"array_join(transform({octets}, o -> lpad(lower(hex(cast(o AS int))), 2, '0')), '')"
     ipv4 = let("x", permute(packed, 16, key, _quote("ipv4")), "array_join(transform(sequence(0, 3), z -> conv(substr(x, z * 2 + 1, 2), 16, 10)), '.')")
-    day = "coalesce(try_to_timestamp(m, 'yyyy-MM-dd'), try_to_timestamp(m, 'dd/MM/yyyy'))"
+    first = "coalesce(try_to_timestamp(m, 'yyyy-MM-dd'), try_to_timestamp(m, 'd/M/yyyy'))"  # the day first, if that can be
+    day = f"coalesce({first}, try_to_timestamp(m, 'M/d/yyyy'))"
     number = f"lpad(cast(datediff({day}, date'1900-01-01') AS string), 5, '0')"
-    moved = walk(number, lambda w: f"cast({w} AS int) < {DAYS}", lambda w: permute(w, 10, key, _quote("date")))
-    date = f"date_format(date_add(date'1900-01-01', cast({moved} AS int)), IF(m LIKE '____-__-__', 'yyyy-MM-dd', 'dd/MM/yyyy'))"
+
+    def moved(valid: str) -> str:
+        return f"date_add(date'1900-01-01', cast({walk(number, lambda w: valid.replace('?', w), lambda w: permute(w, 10, key, _quote('date')))} AS int))"
+
+    own = "CASE WHEN m LIKE '____-__-__' THEN 'yyyy-MM-dd' WHEN length(m) = 10 THEN 'dd/MM/yyyy' ELSE 'd/M/yyyy' END"
+    date = f"IF({first} IS NOT NULL, date_format({moved(f'cast(? AS int) < {DAYS}')}, {own}), date_format({moved(f"cast(? AS int) < {DAYS} AND day(date_add(date'1900-01-01', cast(? AS int))) > 12")}, IF(length(m) = 10, 'MM/dd/yyyy', 'M/d/yyyy')))"
     sound = lambda s: f"NOT ({s} RLIKE '^(000|666|9)') AND substr({s}, 4, 2) <> '00' AND substr({s}, 6) <> '0000'"
     ssn = fill("m", walk(only, sound, lambda w: permute(w, 10, key, _quote("ssn"))))
     secret = permute("m", 16, key, _quote("secret"))
     return {
         "email": ("true", email),
-        "phone": ("true", phone),
+        "phone": (f"length({only}) BETWEEN 8 AND 15", phone),
         "date": (f"{day} IS NOT NULL", date),
         "ssn": (sound(only), let("n", ssn, "n")),
         "ipv4": (f"NOT exists({octets}, o -> cast(o AS int) > 255)", ipv4),
@@ -132,7 +145,15 @@ def pseudonyms(key: str) -> dict[str, tuple[str, str]]:
     }
 
 
-def pseudonymise(docs: DataFrame, *, key: str = "opsloom-pseudonyms-1") -> DataFrame:
+def session_key(spark: SparkSession) -> str:
+    """The key that the session names in spark.opsloom.pseudonyms.key; if it names none, a random one for the session."""
+    name = "spark.opsloom.pseudonyms.key"
+    if not spark.conf.get(name, None):
+        spark.conf.set(name, secrets.token_hex(32))
+    return spark.conf.get(name)
+
+
+def pseudonymise(docs: DataFrame, *, key: str) -> DataFrame:
     """docs with text rewritten and findings, an array of (kind, pseudonym) in the order of the text."""
     pattern = "|".join(f"(?:{p})" for p in KINDS.values())
     cases = []
