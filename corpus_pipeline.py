@@ -34,7 +34,7 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def shards(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Rows with the shard of the committed manifest that holds them."""
-    out = sharding.shard(docs, common.new_path(spark, "shards"), target_bytes=128 << 20)
+    out = sharding.shard_once(docs, common.new_path(spark, "shards"), target_bytes=128 << 20)
     return out.select("*", F.col("shard.id").alias("shard_id")).drop("shard")
 
 
