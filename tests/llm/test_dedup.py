@@ -35,8 +35,9 @@ def found_repeats(df, **options):
     return Counter((r.doc_id, r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in sd.find_repeats(df, **options).collect())
 
 
-@pytest.mark.parametrize("block,part", [(300, 500), (3000, 5000), (1 << 20, 1 << 20)])
-def test_suffixes(spark, block, part):
+@pytest.mark.parametrize("block,part,fan,hot", [(300, 900, 256, 1 << 14), (300, 500, 4, 1 << 14), (1000, 3000, 2, 1), (3000, 5000, 3, 0), (1 << 20, 1 << 20, 256, 2)])
+def test_suffixes(spark, block, part, fan, hot):
+    """One level and several, without hot grams, with some, and with all."""
     r = random.Random(5)
     base = prose(9, 400)
     docs = []
@@ -50,7 +51,20 @@ def test_suffixes(spark, block, part):
         docs.append((i, t))
     docs += [(60, docs[3][1]), (61, "ab" * 100), (62, "x" + "ab" * 60), (63, base), (64, "\0" * 70), (65, "q" + "\0" * 60)]
     df = spark.createDataFrame(docs, "doc_id bigint, text string").repartition(5)
-    assert found_repeats(df, block_bytes=block, part_bytes=part) == brute_repeats(docs)
+    assert found_repeats(df, block_bytes=block, part_bytes=part, fan=fan, hot=hot) == brute_repeats(docs)
+
+
+def test_pieces_grow_with_the_text():
+    """Blocks of 6 MB in ranges of 16 MB: at no level does a group's pieces outgrow the fan, whatever the corpus."""
+    for blocks in (1, 80, 300, 5000, 10**5, 2 * 10**7):
+        lv = sd.levels(blocks, blocks * (6 << 20), 16 << 20, 256)
+        assert lv.groups[-1] == 1 and all(b % a == 0 for a, b in zip(lv.ranges, lv.ranges[1:]))
+        runs, pieces = blocks, 0
+        for level, (g, r) in enumerate(zip(lv.groups, lv.ranges)):
+            sent = runs * (r if level == 0 else r // lv.ranges[level - 1] * lv.ranges[level - 1])
+            pieces += sent
+            runs = g
+        assert pieces <= 110 * blocks * len(lv.groups) + 10 and len(lv.groups) <= 4
 
 
 def test_suffixes_of_odd_input(odd, nothing):
