@@ -1,22 +1,111 @@
-"""Command line: python -m opsloom query | evaluate | validate | characterize | prepare | leaderboard."""
+"""Command line: python -m opsloom COMMAND ...; each command prints what it found or wrote as JSON."""
 
 from __future__ import annotations
 
 import argparse
 import json
 
+from . import storage
 from .session import session
 
+CATEGORICAL = ["partition", "queue", "qos", "user", "account", "job_state"]
+
+#: Command -> (what it does, arguments, options).
+COMMANDS: dict[str, tuple[str, list[str], list[str]]] = {
+    "query": ("shows a registered query", ["name", "sf_dir"], []),
+    "baseline": ("evaluates the mean baseline on a table", ["table", "out"], ["windows", "lookback"]),
+    "evaluate": ("runs a recipe on a table", ["recipe", "table", "out"], ["dataset"]),
+    "analyze": ("writes an analysis of a table", ["table", "out"], []),
+    "validate": ("checks a bundle, a manifest or a table", ["path"], []),
+    "characterize": ("writes the card of a table", ["table", "out", "dataset"], []),
+    "slice": ("writes the jobs of a window", ["table", "out", "start", "end"], ["extra-days", "dataset"]),
+    "prepare": ("fetches and prepares a data set: a registered trace or a descriptor file", ["descriptor", "cache", "out"], ["manual"]),
+    "fetch": ("fetches the files of a data set", ["descriptor", "cache"], ["manual", "slice"]),
+    "ingest-log": ("makes a job table of controller logs", ["log", "out"], []),
+    "ingest-parquet": ("makes a job table of a Parquet export and a mapping file", ["table", "mapping", "out"], []),
+    "suggest": ("suggests which columns fill which fields", ["table"], []),
+    "embed": ("adds hashed text vectors to a table", ["table", "vectors", "out"], ["form"]),
+    "plan": ("plans the cells of cards and models", ["cards", "out"], ["slices", "most-rows", "dataset", "model"]),
+    "leaderboard": ("writes the leaderboard of a folder of bundles", ["folder", "out"], []),
+    "browse": ("lists registry entries", [], ["registry", "type", "tag", "source"]),
+    "info": ("shows a registry entry", ["entry"], ["registry"]),
+    "record-hash": ("shows the fingerprint of a table, as its rows are", ["table"], []),
+}
+
+
+def descriptor(name: str) -> dict:
+    from .plans import prepare, traces
+
+    return traces.trace(name) if name in traces.TRACES else prepare.load(name)
+
+
+def run(spark, a: argparse.Namespace) -> object:
+    """What a command prints."""
+    from .operators import mapping, similarity, summaries
+    from .plans import catalog, evaluate, prepare, reports, validate
+    from .sources import fetch, readers
+
+    table = lambda: spark.read.parquet(a.table)
+    rows = lambda df: [r.asDict() for r in df.collect()]
+    if a.what in ("evaluate", "baseline"):
+        if a.what == "evaluate":
+            recipe = evaluate.load(a.recipe)
+        else:
+            metrics = [{"name": n, "target": "runtime_seconds"} for n in ("mae", "rmse")]
+            recipe = {"model": {"id": "mean"}, "metrics": metrics, "split": {"method": "rolling", "n_windows": int(a.windows or 20), "training_lookback_days": int(a.lookback or 100)}}
+        predictions, report = evaluate.run(table(), recipe)
+        return evaluate.write_bundle(spark, a.out, recipe, report, predictions=predictions, dataset=getattr(a, "dataset", None) or a.table)
+    if a.what == "analyze":
+        return reports.write_analysis(table(), a.out, categorical=CATEGORICAL)
+    if a.what == "validate":
+        return validate.check_path(spark, a.path, strict=a.strict)
+    if a.what == "characterize":
+        return reports.write_card(table(), a.out, a.dataset, categorical=CATEGORICAL)
+    if a.what == "slice":
+        return reports.write_slice(table(), a.out, a.start, a.end, extra_days=int(a.extra_days or 0), dataset=a.dataset, source=a.table)
+    if a.what == "prepare":
+        return prepare.prepare(spark, descriptor(a.descriptor), a.cache, a.out, strict=a.strict, manual=a.manual)
+    if a.what == "fetch":
+        d = descriptor(a.descriptor)
+        return [str(f) for f in fetch.fetch(d["dataset_id"], d["source"], a.cache, manual=a.manual, name=a.slice)]
+    if a.what == "ingest-log":
+        jobs = readers.scheduler_log_file(spark, a.log)
+        jobs.write.parquet(f"{a.out}/data.parquet")
+        return {"rows": spark.read.parquet(f"{a.out}/data.parquet").count(), "fields": rows(mapping.field_presence(jobs))}
+    if a.what == "ingest-parquet":
+        raw = readers.unify_temporal(readers.parquet(spark, a.table))
+        prepare.target(raw, {"mapping": prepare.read_mapping(a.mapping)}, raw.columns[:1]).write.parquet(f"{a.out}/data.parquet")
+        written = spark.read.parquet(f"{a.out}/data.parquet")
+        return prepare.write_manifest(spark, f"{a.out}/manifest.json", written, dataset=a.table, domain="job-runtime", sources=[a.table]) | {"quality": validate.validate(written, strict=a.strict)}
+    if a.what == "suggest":
+        return rows(mapping.suggest(readers.parquet(spark, a.table)).orderBy("field", "rank"))
+    if a.what == "embed":
+        prepare.embed(table(), a.vectors, similarity.hash_encode, form=a.form or "prose").write.parquet(a.out)
+        return storage.read_json(spark, f"{a.vectors.rstrip('/')}.manifest.json")
+    if a.what == "plan":
+        cards, sides = reports.read_cards(spark, a.cards, a.slices)
+        models = spark.createDataFrame([(m, m == "embedding_knn") for m, split in evaluate.MODELS if split == "rolling"], "model string, needs_vectors boolean")
+        cells = catalog.matrix(cards.select("dataset", "n_rows", "healthy"), models.select("model"), sidecars=sides, most_rows=int(a.most_rows) if a.most_rows else None, only_dataset=a.dataset, only_model=a.model)
+        plan = {"cells": rows(cells.orderBy("dataset", "model")), "embed": [r.dataset for r in catalog.embeddings_needed(cells, models).orderBy("dataset").collect()]}
+        storage.write_json(spark, f"{a.out}/plan.json", plan, overwrite=True)
+        return plan
+    if a.what == "leaderboard":
+        return reports.write_leaderboard(spark, a.folder, a.out)
+    if a.what in ("browse", "info"):
+        entries = catalog.read_registry(spark, a.registry) if a.registry else catalog.own_registry(spark)
+        return catalog.info(entries, a.entry) if a.what == "info" else rows(catalog.registry_filter(entries, kind=a.type, tag=a.tag, source=a.source).orderBy("id"))
+    return summaries.fingerprint(table()).first().asDict()
+
 
 def main(args: list[str] | None = None) -> None:
     parser = argparse.ArgumentParser(prog="opsloom", description=__doc__)
     sub = parser.add_subparsers(dest="what", required=True)
-    for name, options in {
-        "query": ["name", "sf_dir"], "evaluate": ["recipe", "table", "out"], "validate": ["table"], "characterize": ["table"], "prepare": ["descriptor", "cache", "out"], "leaderboard": ["folder"],
-    }.items():
-        p = sub.add_parser(name)
+    for name, (told, needed, options) in COMMANDS.items():
+        p = sub.add_parser(name, help=told)
+        for n in needed:
+            p.add_argument(n)
         for o in options:
-            p.add_argument(o)
+            p.add_argument(f"--{o}")
         p.add_argument("--strict", action="store_true")
     a = parser.parse_args(args)
     spark = session()
@@ -24,29 +113,8 @@ def main(args: list[str] | None = None) -> None:
         from .catalog_queries import QUERIES
 
         QUERIES[a.name](spark, a.sf_dir).show(50, False)
-    elif a.what == "evaluate":
-        from .plans import evaluate
-
-        recipe = evaluate.load(a.recipe)
-        predictions, report = evaluate.run(spark.read.parquet(a.table), recipe)
-        print(json.dumps(evaluate.write_bundle(a.out, recipe, report, predictions=predictions), indent=2))
-    elif a.what == "validate":
-        from .plans.validate import validate
-
-        print(json.dumps(validate(spark.read.parquet(a.table), strict=a.strict), indent=2, default=str))
-    elif a.what == "characterize":
-        from .plans.characterize import card
-
-        df = spark.read.parquet(a.table)
-        print(json.dumps(card(df, categorical=["partition", "queue", "qos", "user", "account", "job_state"]), indent=2, default=str))
-    elif a.what == "prepare":
-        from .plans import prepare
-
-        print(json.dumps(prepare.prepare(spark, prepare.load(a.descriptor), a.cache, a.out, strict=a.strict), indent=2, default=str))
     else:
-        from .plans import catalog, evaluate
-
-        catalog.leaderboard(evaluate.read_bundles(spark, a.folder)).show(200, False)
+        print(json.dumps(storage.jsonable(run(spark, a)), indent=2))
 
 
 if __name__ == "__main__":

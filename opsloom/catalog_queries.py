@@ -124,12 +124,14 @@ def log_target(spark, d):
 
 
 # -- functions ------------------------------------------------------------------------------
-ISO = ["2023-05-31T22:21:04 UTC", "2023-05-31 22:21:04", "2023-05-31T22:21:04Z", "2023-05-31T22:21:04+09", "2023-05-31T22:21:04+09:00", " 2023-05-31T22:21:04 GMT ", "", None, "not-a-time"]
-
-
-@query("""SELECT * FROM (VALUES (0, 1685571664), (1, 1685571664), (2, 1685571664), (3, 1685539264), (4, 1685539264), (5, 1685571664), (6, NULL), (7, NULL), (8, NULL)) t(i, seconds)""")
+@query("SELECT event_id, CASE WHEN event_id % 8 < 6 THEN epoch_us(date_trunc('second', ts)) // 1000000 END AS seconds FROM events")
 def parse_iso8601(spark, d):
-    return _rows(spark, "s", ISO).select("i", F.unix_timestamp(T.iso8601(F.col("s"))).cast("int").alias("seconds"))
+    """Times of events in the six spellings that are read, and two that are not."""
+    i, t = F.col("event_id"), F.date_trunc("second", F.col("ts").cast("timestamp"))
+    plain, east = F.date_format(t, "yyyy-MM-dd'T'HH:mm:ss"), F.date_format(t + F.expr("INTERVAL 9 HOURS"), "yyyy-MM-dd'T'HH:mm:ss")
+    forms = [F.concat(plain, F.lit(" UTC")), F.translate(plain, "T", " "), F.concat(plain, F.lit("Z")), F.concat(east, F.lit("+09")), F.concat(east, F.lit("+09:00")), F.concat(F.lit(" "), plain, F.lit(" GMT ")), F.lit(""), F.lit("not-a-time")]
+    text = F.element_at(F.array(*forms), (i % 8 + 1).cast("int"))
+    return table(spark, d, "events").select("event_id", F.unix_timestamp(T.iso8601(text)).alias("seconds"))
 
 
 @query("SELECT event_id, epoch_us(ts) // 1000000 AS s, epoch_us(ts) // 1000 AS ms, epoch_us(ts) AS us FROM events")
@@ -289,14 +291,38 @@ def stratified_sample(spark, d):
     return mapping.sample(table(spark, d, "events"), ["event_id"], rows=300, strategy="stratified", by=["event_type"], seed=7).select("event_id")
 
 
-@query("SELECT c AS \"column\", c AS name, t AS dtype, k AS kind, 0.0::DOUBLE AS null_rate FROM (VALUES ('event_id', 'bigint', 'number'), ('ts', 'timestamp_ntz', 'time'), ('user_id', 'bigint', 'number'), ('event_type', 'string', 'text'), ('value', 'double', 'number'), ('props', 'string', 'text')) v(c, t, k)")
+#: Events with nulls and empty strings, for reports on what is missing.
+HOLES = "ev AS (SELECT event_id, ts, CASE WHEN event_id % 7 <> 0 THEN user_id END AS user_id, CASE WHEN event_id % 5 = 0 THEN NULL WHEN event_id % 11 = 0 THEN '' ELSE event_type END AS event_type, value, props FROM events)"
+
+
+def _holes(spark, d) -> DataFrame:
+    i = F.col("event_id")
+    return table(spark, d, "events").withColumns({"user_id": F.when(i % 7 != 0, F.col("user_id")), "event_type": F.when(i % 5 == 0, F.lit(None)).when(i % 11 == 0, "").otherwise(F.col("event_type"))})
+
+
+_PROFILED = {"event_id": ("bigint", "numeric"), "ts": ("timestamp_ntz", "timestamp"), "user_id": ("bigint", "numeric"), "event_type": ("string", "categorical"), "value": ("double", "numeric"), "props": ("string", "categorical")}
+
+
+@query(f"WITH {HOLES}, h AS (SELECT * FROM ev ORDER BY event_id LIMIT 200) " + " UNION ALL ".join(
+    f"""SELECT '{c}' AS "column", '{c}' AS name, '{t}' AS dtype, '{k}' AS kind, round(avg(({c} IS NULL)::INT), 6) AS null_rate, list_transform(list({c} ORDER BY event_id) FILTER (WHERE {c} IS NOT NULL), lambda x: md5(x::VARCHAR))[1] AS first FROM h""" for c, (t, k) in _PROFILED.items() if c not in ("ts", "value")
+))
 def column_profile(spark, d):
-    return mapping.profile(table(spark, d, "events"), ["event_id"]).drop("samples")
+    out = mapping.profile(_holes(spark, d), ["event_id"]).where("column not in ('ts', 'value')")
+    return out.withColumn("first", F.md5(F.get("samples", 0).cast("binary"))).drop("samples")
+
+
+_NAMES = {"Job ID": "event_id", "submit_ts": "ts", "Start": "ts", "elapsed": "value", "uid": "user_id", "queue name": "event_type", "job_script": "props", "Req. CPUs (n)": "event_id", "status": "event_id % 2 = 0", "mem": "event_type", "limit_": "value"}
+_SUGGESTED = ", ".join(f"""('{f}', {names}, {mapping.KINDS.get(f, ["categorical"])})""" for f, names in mapping.ALIASES.items())
 
 
-@query("""SELECT * FROM (VALUES ('job_id', 'event_id', 1.0::DOUBLE, 1), ('job_id', 'user_id', 1.0, 2), ('submit_time', 'ts', 1.0, 1), ('start_time', 'x', 0, 0), ('runtime_seconds', 'value', 1.0, 1), ('user', 'user_id', 1.0, 1), ('partition', 'event_type', 1.0, 1)) v(field, "column", confidence, rank) WHERE rank > 0""")
+@query(f"""WITH c AS (SELECT column_name AS "column", CASE WHEN column_type LIKE 'TIMESTAMP%' THEN 'timestamp' WHEN column_type IN ('BIGINT', 'INTEGER', 'DOUBLE') THEN 'numeric' ELSE 'categorical' END AS kind FROM (DESCRIBE SELECT {", ".join(f'{e} AS "{n}"' for n, e in _NAMES.items())} FROM events)),
+n AS (SELECT *, trim(regexp_replace(lower(trim("column")), '[^a-z0-9]+', '_', 'g'), '_') AS name FROM c), f AS (SELECT * FROM (VALUES {_SUGGESTED}) t(field, names, wanted)),
+p AS (SELECT field, "column", kind, list_contains(names, name) AS exact, list_filter(names, lambda x: contains(name, x))[1] AS inside, list_contains(wanted, kind) AS fits FROM n, f),
+s AS (SELECT field, "column", round(greatest(0.0, least(1.0, CASE WHEN exact THEN 1.0 ELSE 0.7 END + CASE WHEN fits THEN 0.3 ELSE -0.2 END)), 3)::DOUBLE AS confidence,
+ CASE WHEN exact THEN 'exact alias match' ELSE 'contains alias ' || chr(39) || inside || chr(39) END || '; kind ' || chr(39) || kind || chr(39) || CASE WHEN fits THEN ' is compatible' ELSE ' is unlikely' END AS reason FROM p WHERE exact OR inside IS NOT NULL)
+SELECT *, CAST(row_number() OVER (PARTITION BY field ORDER BY confidence DESC, "column") AS INTEGER) AS rank FROM s""")
 def mapping_suggestions(spark, d):
-    return mapping.suggest(table(spark, d, "events"))
+    return mapping.suggest(table(spark, d, "events").select(*(F.expr(e).alias(n) for n, e in _NAMES.items())))
 
 
 # -- quality and characterisation -----------------------------------------------------------
@@ -325,29 +351,40 @@ def top_states(spark, d):
     return quality.value_counts(table(spark, d, "part"), "p_brand", 20)
 
 
-@query("""SELECT 'p_brand' AS "column", count(DISTINCT p_brand) AS cardinality, 0.0::DOUBLE AS missingness FROM part UNION ALL SELECT 'p_type', count(DISTINCT p_type), 0 FROM part UNION ALL SELECT 'p_size', count(DISTINCT p_size), 0 FROM part""")
+@query(f"""WITH {HOLES} SELECT 'user_id' AS "column", count(DISTINCT user_id) AS cardinality, round(avg((user_id IS NULL)::INT), 6) AS missingness FROM ev UNION ALL SELECT 'event_type', count(DISTINCT event_type), round(avg((event_type IS NULL)::INT), 6) FROM ev UNION ALL SELECT 'props', count(DISTINCT props), 0 FROM ev""")
 def column_cardinality(spark, d):
-    return quality.cardinality(table(spark, d, "part"), ["p_brand", "p_type", "p_size"])
+    return quality.cardinality(_holes(spark, d), ["user_id", "event_type", "props"])
 
 
-CATEGORIES = """c AS (SELECT 'user_id' AS col, user_id::VARCHAR AS value, count(*) AS n FROM events GROUP BY 2 UNION ALL SELECT 'event_type', event_type, count(*) FROM events GROUP BY 2)"""
+CATEGORIES = f"""{HOLES}, c AS (SELECT 'user_id' AS col, user_id::VARCHAR AS value, count(*) AS n FROM ev GROUP BY 2 UNION ALL SELECT 'event_type', nullif(event_type, ''), count(*) FROM ev GROUP BY 2)"""
 
 
-@query(f"""WITH {CATEGORIES} SELECT col AS "column", count(value) AS cardinality, 0.0::DOUBLE AS null_rate, count(*) FILTER (WHERE n <= 2) AS rare_values, round(coalesce(sum(n) FILTER (WHERE n <= 2), 0) / sum(n), 6) AS rare_fraction,
- (list(value ORDER BY n DESC, value))[1] AS top_value, max(n) AS top_count FROM c GROUP BY col""")
+@query(f"""WITH {CATEGORIES} SELECT col AS "column", count(value) AS cardinality, round(coalesce(sum(n) FILTER (WHERE value IS NULL), 0) / sum(n), 6) AS null_rate, count(*) FILTER (WHERE n <= 2 AND value IS NOT NULL) AS rare_values, round(coalesce(sum(n) FILTER (WHERE n <= 2 AND value IS NOT NULL), 0) / sum(n), 6) AS rare_fraction,
+ (list(value ORDER BY n DESC, value) FILTER (WHERE value IS NOT NULL))[1] AS top_value, max(n) FILTER (WHERE value IS NOT NULL) AS top_count FROM c GROUP BY col""")
 def categorical_profile(spark, d):
-    return quality.category_profile(table(spark, d, "events"), ["user_id", "event_type"])
+    return quality.category_profile(_holes(spark, d), ["user_id", "event_type"])
 
 
-@query(f"""WITH {CATEGORIES}, f AS (SELECT DISTINCT n + 1 AS f FROM c WHERE n + 1 >= 2 UNION SELECT 2), g AS (SELECT f, col, count(*) FILTER (WHERE n >= f) + max((n < f)::INT) AS w FROM f, c GROUP BY f, col), s AS (SELECT f, sum(w) AS w FROM g GROUP BY f)
+@query(f"""WITH {HOLES}, m AS (UNPIVOT (SELECT count(*) FILTER (WHERE event_id IS NULL) AS event_id, count(*) FILTER (WHERE user_id IS NULL) AS user_id, count(*) FILTER (WHERE event_type IS NULL OR event_type = '') AS event_type, count(*) FILTER (WHERE value IS NULL) AS runtime_seconds FROM ev) ON COLUMNS(*) INTO NAME name VALUE n), t AS (SELECT count(*) AS rows FROM ev)
+SELECT 'missingness' AS part, name, n / rows AS value FROM m, t UNION ALL SELECT 'issues', 'negative_runtime', count(*) FROM ev WHERE value < 20 HAVING count(*) > 0 UNION ALL SELECT 'labels', coalesce(event_type, 'null'), count(*) FROM ev GROUP BY event_type UNION ALL SELECT 'rows', 'rows', rows FROM t""")
+def quality_report(spark, d):
+    r = quality.report(_holes(spark, d).select("event_id", "user_id", "event_type", (F.col("value") - 20).alias("runtime_seconds")), "event_type")
+    rows = [(part, "null" if k is None else k, float(v)) for part in ("missingness", "issues", "labels") for k, v in r[part].items()] + [("rows", "rows", float(r["rows"]))]
+    return spark.createDataFrame(rows, "part string, name string, value double")
+
+
+@query(f"""WITH {CATEGORIES}, f AS (SELECT DISTINCT n + 1 AS f FROM c WHERE n + 1 >= 2 AND value IS NOT NULL UNION SELECT 2), g AS (SELECT f, col, count(*) FILTER (WHERE n >= f) + max((n < f)::INT) AS w FROM f, c WHERE value IS NOT NULL GROUP BY f, col), s AS (SELECT f, sum(w) AS w FROM g GROUP BY f)
 SELECT f AS min_frequency, CAST(w AS BIGINT) AS width FROM s WHERE w <= 100 ORDER BY f LIMIT 1""")
 def one_hot_width(spark, d):
-    return quality.one_hot_width(table(spark, d, "events"), ["user_id", "event_type"], most=100).select("min_frequency", F.col("width").cast("bigint").alias("width"))
+    return quality.one_hot_width(_holes(spark, d), ["user_id", "event_type"], most=100).select("min_frequency", F.col("width").cast("bigint").alias("width"))
 
 
-@query(f"WITH {JOBS} SELECT count(*) AS n, 0.0::DOUBLE AS required_missing, round(avg((runtime_seconds > 0)::INT), 6) AS positive_runtime, count(DISTINCT partition) AS partitions FROM jobs")
+@query(f"""WITH {JOBS}, x AS (SELECT CASE WHEN job_id % 13 <> 0 THEN job_id END AS job_id, CASE WHEN job_id % 4 <> 0 THEN end_time END AS end_time, runtime_seconds - 300 AS runtime_seconds, partition, job_id % 8 + 1 AS cpus FROM jobs)
+SELECT count(*) AS n, round((avg((job_id IS NULL)::INT) + avg((end_time IS NULL)::INT) + avg((runtime_seconds IS NULL)::INT)) / 3, 6) AS required_missing, round(avg((runtime_seconds > 0)::INT), 6) AS positive_runtime, round(avg(runtime_seconds), 4) AS mean_runtime, min(cpus) AS min_cpus, max(cpus) AS max_cpus, count(DISTINCT partition) AS partitions FROM x""")
 def coverage_score(spark, d):
-    return quality.coverage(jobs(spark, d))
+    i = F.col("job_id")
+    j = jobs(spark, d).withColumns({"allocated_cpus": i % 8 + 1, "end_time": F.when(i % 4 != 0, F.col("end_time")), "runtime_seconds": F.col("runtime_seconds") - 300}).withColumn("job_id", F.when(i % 13 != 0, i))
+    return quality.coverage(j)
 
 
 SPAN = """sp AS (SELECT CAST(quantile_cont(CAST(floor(epoch_us(ts) / 1000000.0) AS DOUBLE), 0.001) AS BIGINT) AS lo0, quantile_cont(floor(epoch_us(ts) / 1000000.0), 0.001) AS lo, quantile_cont(floor(epoch_us(ts) / 1000000.0), 0.999) AS hi FROM events),
@@ -495,6 +532,17 @@ def user_context_knn(spark, d):
     return history.context_knn(jobs(spark, d), user="user_id", order=["end_time", "job_id"], key="job_id", feature="k", target="runtime_seconds").select("job_id", "y_pred")
 
 
+@query(f"""WITH {JOBS}, r AS (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY end_time, job_id) AS p FROM jobs),
+c AS (SELECT a.job_id, a.partition AS an, b.partition AS bn, a.k AS ak, b.k AS bk, a.requested_seconds AS ar, b.requested_seconds AS br, b.runtime_seconds AS y, b.p FROM r a JOIN r b ON a.user_id = b.user_id AND b.p BETWEEN a.p - 50 AND a.p - 1),
+l AS (SELECT job_id, count(*) AS n, list_sort(list(DISTINCT bn)) AS classes FROM c GROUP BY 1 HAVING count(*) >= 5),
+x AS (SELECT job_id, n, y, row_number() OVER (PARTITION BY job_id ORDER BY (coalesce(list_position(classes, bn), 0) - coalesce(list_position(classes, an), 0)) ^ 2 + (coalesce(bk, 0) - coalesce(ak, 0)) ^ 2 + (br - ar) ^ 2, p DESC) AS rk FROM c JOIN l USING (job_id))
+SELECT job_id, n AS n_context, round(avg(y), 5) AS y_pred FROM x WHERE rk <= 5 GROUP BY 1, 2""")
+def own_history_knn(spark, d):
+    j = jobs(spark, d)
+    out = history.context_nearest(j, user="user_id", order=["end_time", "job_id"], name=F.col("partition"), numbers=[F.col("k"), F.col("requested_seconds")], target="runtime_seconds")
+    return out.where("y_pred is not null").select("job_id", F.col("n_context").cast("bigint").alias("n_context"), F.round("y_pred", 5).alias("y_pred"))
+
+
 # -- similarity -----------------------------------------------------------------------------
 VECS = "v AS (SELECT vec_id, embedding::DOUBLE[] AS e, label, CAST(vec_id % 4 AS INTEGER) AS g FROM embeddings), nb AS (SELECT a.g, a.vec_id AS query, b.vec_id AS neighbour, round(list_cosine_similarity(a.e, b.e), 9) AS s, b.label AS y FROM v a JOIN v b ON a.g = b.g AND a.vec_id <> b.vec_id), rk AS (SELECT *, row_number() OVER (PARTITION BY query ORDER BY s DESC, neighbour) AS rank FROM nb)"
 
@@ -561,21 +609,27 @@ def encode_distinct(spark, d):
     return similarity.map_distinct(table(spark, d, "events").select("event_id", "props"), "props", lambda c: F.sha2(c, 256), "made").select("event_id", "made")
 
 
-PARTS = """SELECT event_id, event_type, user_id, ts, CASE WHEN event_id % 3 = 0 THEN NULL ELSE event_id % 64 END AS c, CASE WHEN event_id % 5 = 0 THEN '' ELSE 'q' || event_id % 5 END AS q FROM events"""
+PARTS = """SELECT event_id, event_type, user_id, ts, CASE WHEN event_id % 3 = 0 THEN NULL ELSE event_id % 64 END AS c, CASE WHEN event_id % 5 = 0 THEN '' ELSE 'q' || event_id % 5 END AS q, CASE WHEN event_id % 4 <> 0 THEN (event_id % 50 * 3600) || '.0' END AS w,
+ CASE WHEN event_id % 6 <> 0 THEN event_id % 9 + 1 END AS nn, CASE WHEN event_id % 7 = 0 THEN 'physics' END AS sf, CASE WHEN event_id % 8 = 0 THEN 'm' || event_id % 3 END AS mc, CASE WHEN event_id % 9 = 0 THEN event_id || 'G' END AS mm FROM events"""
 
 
 def _described(spark, d) -> DataFrame:
     i = F.col("event_id")
-    return table(spark, d, "events").select(i, F.col("event_type").alias("partition"), F.col("user_id").alias("user"), F.col("ts").alias("submit_time"), F.when(i % 3 != 0, i % 64).alias("num_cores_req"), F.when(i % 5 == 0, "").otherwise(F.concat(F.lit("q"), (i % 5).cast("string"))).alias("queue"))
+    return table(spark, d, "events").select(
+        i, F.col("event_type").alias("partition"), F.col("user_id").alias("user"), F.col("ts").alias("submit_time"), F.when(i % 3 != 0, i % 64).alias("num_cores_req"), F.when(i % 5 == 0, "").otherwise(F.concat(F.lit("q"), (i % 5).cast("string"))).alias("qos"),
+        F.when(i % 4 != 0, (i % 50 * 3600).cast("double")).alias("requested_seconds"), F.when(i % 6 != 0, i % 9 + 1).alias("nodes_requested"), F.when(i % 7 == 0, "physics").alias("science_field"), F.when(i % 8 == 0, F.concat(F.lit("m"), (i % 3).cast("string"))).alias("machine_name"),
+        F.when(i % 9 == 0, F.concat(i.cast("string"), F.lit("G"))).alias("memory_requested"),
+    )
 
 
-@query(f"""SELECT event_id, 'An HPC batch job on the ' || event_type || ' partition' || CASE WHEN q = '' THEN '' ELSE ' (queue ' || q || ')' END || CASE WHEN c IS NULL THEN '' ELSE ', requesting ' || c || ' cores' END || ', submitted by ' || user_id || ', submitted on ' || strftime(ts, '%A %H:00') || '.' AS text FROM ({PARTS})""")
+@query(f"""SELECT event_id, 'An HPC batch job on the ' || event_type || ' partition' || CASE WHEN q = '' THEN '' ELSE ' (queue ' || q || ')' END || coalesce(', requesting ' || nullif(concat_ws(', ', nn || ' nodes', c || ' cores', mm || ' memory', 'a walltime limit of ' || w), ''), '')
+ || ', submitted by ' || user_id || coalesce(', in ' || sf, '') || coalesce(', on ' || mc, '') || ', submitted on ' || strftime(ts, '%A %H:00') || '.' AS text FROM ({PARTS})""")
 def serialize_prose(spark, d):
     df = _described(spark, d)
     return df.select("event_id", similarity.serialise(df).alias("text"))
 
 
-@query(f"""SELECT event_id, 'partition: ' || event_type || CASE WHEN q = '' THEN '' ELSE chr(10) || 'queue: ' || q END || chr(10) || 'user: ' || user_id || CASE WHEN c IS NULL THEN '' ELSE chr(10) || 'requested cores: ' || c END || chr(10) || 'submitted: ' || strftime(ts, '%A %H:00') AS text FROM ({PARTS})""")
+@query(f"""SELECT event_id, concat_ws(chr(10), 'partition: ' || event_type, 'queue: ' || nullif(q, ''), 'user: ' || user_id, 'science field: ' || sf, 'machine: ' || mc, 'requested walltime: ' || w, 'requested nodes: ' || nn, 'requested cores: ' || c, 'requested memory: ' || mm, 'submitted: ' || strftime(ts, '%A %H:00')) AS text FROM ({PARTS})""")
 def serialize_kv(spark, d):
     df = _described(spark, d)
     return df.select("event_id", similarity.serialise(df, form="kv").alias("text"))
@@ -686,11 +740,13 @@ def duration_texts(spark, d):
     return table(spark, d, "orders").select("o_orderkey", summaries.duration_text(F.col("o_orderkey") * 37 % 300000).alias("t"))
 
 
-# The engines round ties in formatted numbers differently, so there is no SQL twin.
-@query(None)
+# Values with one decimal in their unit, so that no engine has a tie to round.
+_SIZE = "CASE o_orderkey % 5 WHEN 0 THEN o_orderkey % 1000 WHEN 1 THEN (o_orderkey % 9000 + 10) * 100 WHEN 2 THEN (o_orderkey % 9000 + 10) * 100000 WHEN 3 THEN (o_orderkey % 9000 + 10) * 100000000 ELSE (o_orderkey % 9000 + 10) * 100000000000 END"
+
+
+@query(f"SELECT o_orderkey, CASE WHEN b < 1000 THEN b || ' B' WHEN b < 1e6 THEN format('{{:.1f}} KB', b / 1e3) WHEN b < 1e9 THEN format('{{:.1f}} MB', b / 1e6) WHEN b < 1e12 THEN format('{{:.1f}} GB', b / 1e9) ELSE format('{{:.1f}} TB', b / 1e12) END AS t FROM (SELECT o_orderkey, {_SIZE} AS b FROM orders)")
 def byte_texts(spark, d):
-    i = F.col("o_orderkey")
-    return table(spark, d, "orders").select("o_orderkey", T.human_bytes(i * i % 90000000).alias("t"))
+    return table(spark, d, "orders").select("o_orderkey", T.human_bytes(F.expr(_SIZE.replace("* 100000000000 ", "* 100000000000L "))).alias("t"))
 
 
 # -- fitted models and streams: values are not portable, so there is no SQL twin ----------------
@@ -744,6 +800,6 @@ def stream_active_spells(spark, d):
     return spells.select("user", F.unix_micros("start").alias("start_us"), "n")
 
 
-@query(None)
+@query("""SELECT user_id AS "user", event_id AS key, value * 60 AS y_true, round(avg(value * 60) OVER w, 5) AS y_pred, CAST(count(*) OVER w AS INTEGER) AS n_context FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id ROWS BETWEEN 50 PRECEDING AND 1 PRECEDING)""")
 def stream_user_history(spark, d):
-    return flows.run_table(flows.user_history_mean(_stream(spark, d)), _folder(spark))
+    return flows.run_table(flows.user_history_mean(_stream(spark, d)), _folder(spark)).withColumn("y_pred", F.round("y_pred", 5))

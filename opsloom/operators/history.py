@@ -35,6 +35,32 @@ def context_knn(jobs: DataFrame, *, user: str, order: list[str], key: str, featu
     return jobs.withColumn("__c", context).withColumn("y_pred", F.when(F.size("__c") > 0, total.cast("double") / F.least(F.lit(k), F.size("__c")))).drop("__c")
 
 
+def context_nearest(jobs: DataFrame, *, user: str, order: list, name: Column, numbers: list[Column], target: str, theta: int = 50, k: int = 5) -> DataFrame:
+    """jobs with n_context and y_pred: the mean target of the k jobs of the context nearest by name and numbers.
+
+    The name counts as its place among the sorted names of the context, -1 if it is not there; missing
+    numbers count as 0; the distance is Euclidean, and of equally near jobs the latest go first.  No
+    prediction below k jobs.  The order may hold Columns.
+    """
+    own = F.struct(F.coalesce(name.cast("string"), F.lit("")).alias("name"), F.array(*(F.coalesce(n.cast("string").try_cast("double"), F.lit(0.0)) for n in numbers)).alias("x"))
+    w = Window.partitionBy(user).orderBy(*order).rowsBetween(-theta, -1)
+    held = jobs.withColumn("__q", own).withColumn("__c", F.collect_list(F.struct(F.col("__q.name").alias("name"), F.col("__q.x").alias("x"), F.col(target).cast("double").alias("y"))).over(w))
+    classes = F.array_sort(F.array_distinct(F.transform("__c", lambda c: c["name"])))
+    held = held.withColumn("__n", classes)
+    place = lambda v: (F.array_position("__n", v) - 1).cast("double")
+    square = lambda v: v * v
+    away = lambda c: square(place(c["name"]) - place(F.col("__q.name"))) + F.aggregate(F.zip_with(c["x"], F.col("__q.x"), lambda a, b: square(a - b)), F.lit(0.0), lambda s, d: s + d)
+    ranked = F.array_sort(F.transform("__c", lambda c, i: F.struct(away(c).alias("d"), (-i).alias("late"), c["y"].alias("y"))))
+    total = F.aggregate(F.slice(ranked, 1, k), F.lit(0.0), lambda a, c: a + c["y"])
+    out = held.withColumn("n_context", F.size("__c")).withColumn("y_pred", F.when(F.size("__c") >= k, total / k))
+    return out.drop("__q", "__c", "__n")
+
+
+def end_order(c: Column) -> list[Column]:
+    """An order by time in which what is no time comes first."""
+    return [c.cast("timestamp").asc_nulls_first()]
+
+
 def wallclock_edges(rows: DataFrame, group: str, value: str, *, bins: int = 5, least_share: float = 0.02) -> DataFrame:
     """group, edges: the most requested values, if two have the share, else quantiles; the last edge is infinite."""
     counts = rows.where(F.col(value) > 0).groupBy(group, value).agg(F.count(F.lit(1)).alias("n"))

@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 from pyspark.sql.types import StringType, TimestampNTZType, TimestampType
 
 from ..functions.transforms import normal_name, transform
-from .windows import row_index
+from .ranks import row_index
 
 REQUIRED = ("job_id", "start_time", "end_time", "runtime_seconds")
 #: The types of canonical columns, for those that no source fills.
@@ -49,7 +49,7 @@ def project(df: DataFrame, mapping: dict[str, dict], order: list[str] | None = N
             continue
         kind = rule.get("type")
         spec = {"type": kind, **{k: rule[k] for k in ("format", "unit", "salt", "strict") if k in rule}} if kind in _KINDS else None
-        cols.append(transform(F.col(source), spec).alias(name))
+        cols.append(transform(F.col(f"`{source}`"), spec).alias(name))
     cols += [F.lit(None).cast(TYPES[name]).alias(name) for name in REQUIRED if name not in mapping]
     out = df.select(*cols)
     return derive_runtime(out)
@@ -115,12 +115,12 @@ def sample(df: DataFrame, order: list[str], *, rows: int, strategy: str = "head"
     Random order is a hash of (seed, row number), so a sample is the same on any cluster.  Groups get
     their share rounded half to even; what that gives too much goes by row number.
     """
+    if strategy == "head":
+        return df.orderBy(*order).limit(rows)  # each task keeps its first rows only
     n = df.count()
     if n <= rows:
         return df
     indexed = row_index(df, order, "__row")
-    if strategy == "head":
-        return indexed.where(F.col("__row") < rows).drop("__row")
     dice = F.sha2(F.concat_ws(":", F.lit(str(seed)), F.col("__row").cast("string")), 256)
     if strategy == "random":
         return indexed.withColumn("__dice", dice).orderBy("__dice").limit(rows).drop("__row", "__dice")
@@ -129,15 +129,19 @@ def sample(df: DataFrame, order: list[str], *, rows: int, strategy: str = "head"
     keys = [F.coalesce(F.col(c).cast("string"), F.lit("")) for c in by or [] if c in df.columns]
     keyed = indexed.withColumn("__key", F.concat_ws("\x1f", *keys) if keys else F.lit("")).withColumn("__dice", dice)
     share = keyed.groupBy("__key").agg(F.bround(F.lit(float(rows)) * F.count(F.lit(1)) / n).cast("int").alias("__quota"))
-    # Groups can hold a third of all rows: the rank is found per piece first, and only quotas travel on.
-    piece = F.pmod(F.xxhash64("__row"), F.lit(64))
-    near = keyed.join(share, "__key").withColumn("__r", F.row_number().over(Window.partitionBy("__key", piece).orderBy("__dice", "__row"))).where(F.col("__r") <= F.col("__quota"))
-    ranked = near.withColumn("__r", F.row_number().over(Window.partitionBy("__key").orderBy("__dice", "__row"))).where(F.col("__r") <= F.col("__quota"))
+    # No quota is above rows, and a rank up to a constant is cut in each task before rows are shuffled.
+    near = keyed.withColumn("__r", F.row_number().over(Window.partitionBy("__key").orderBy("__dice", "__row"))).where(F.col("__r") <= rows)
+    ranked = near.join(share, "__key").where(F.col("__r") <= F.col("__quota"))
     return ranked.orderBy("__row").limit(rows).drop("__row", "__key", "__dice", "__quota", "__r")
 
 
 def overlap(df: DataFrame, low, high, *, extra_days: int = 0, submit: str = "submit_time", end: str = "end_time") -> DataFrame:
-    """Jobs submitted before the day after high and ended at or after low less extra_days; the predicate reaches the scan."""
+    """Jobs submitted before the day after high and ended at or after low less extra_days; the predicate reaches the scan.
+
+    Without the submit column the start stands for it, and without the end column what stands for the submission.
+    """
+    submit = submit if submit in df.columns else "start_time"
+    end = end if end in df.columns else submit
     kind = "timestamp_ntz" if isinstance(df.schema[submit].dataType, TimestampNTZType) else "timestamp"
     last = F.lit(str(high)).cast(kind) + F.expr("INTERVAL 1 DAY")
     first = F.lit(str(low)).cast(kind) - F.expr(f"INTERVAL {int(extra_days)} DAYS")
@@ -146,25 +150,58 @@ def overlap(df: DataFrame, low, high, *, extra_days: int = 0, submit: str = "sub
 
 # -- profiles and suggestions ---------------------------------------------------------------
 
-#: Words in column names that suggest a canonical field, and the kind it needs.
+#: The names that suggest each canonical field.
 ALIASES = {
-    "job_id": (["job_id", "jobid", "id"], "any"),
-    "submit_time": (["submit_time", "submit", "submittime", "qtime", "ts"], "time"),
-    "start_time": (["start_time", "start", "starttime"], "time"),
-    "end_time": (["end_time", "end", "endtime"], "time"),
-    "runtime_seconds": (["runtime_seconds", "runtime", "elapsed", "duration", "value"], "number"),
-    "user": (["user", "username", "usr", "user_id"], "any"),
-    "partition": (["partition", "queue", "event_type"], "text"),
+    "job_id": ["job_id", "jobid", "jobid_raw", "slurm_job_id", "slurmjobid"],
+    "start_time": ["start_time", "start", "start_ts", "starttime", "start_datetime"],
+    "end_time": ["end_time", "end", "end_ts", "endtime", "end_datetime", "finish_time"],
+    "submit_time": ["submit_time", "submit", "submit_ts", "submit_time_utc", "submit_time_ts"],
+    "state": ["state", "job_state", "status"],
+    "runtime_seconds": ["runtime_seconds", "runtime", "elapsed", "elapsed_time", "elapsed_seconds", "wallclock_used", "wallclock", "duration", "run_time"],
+    "user": ["user", "user_id", "uid", "username"],
+    "account": ["account", "acct", "project", "allocation"],
+    "partition": ["partition", "queue", "qos_partition"],
+    "qos": ["qos", "quality_of_service"],
+    "nodes_requested": ["nodes_requested", "req_nodes", "nodes", "nnodes"],
+    "memory_requested": ["memory_requested", "mem_req", "req_mem", "reqmem", "memory", "mem"],
+    "processors_requested": ["processors_requested", "req_cpus", "reqcpus", "cpus", "ncpus", "processors"],
+    "gpus_requested": ["gpus_requested", "req_gpus", "gpus", "ngpus", "gres_gpu", "reqgres", "gres"],
+    "wallclock_requested": ["wallclock_requested", "wallclock_req", "wallclock_requested_seconds", "timelimit", "time_limit", "wallclock_limit", "limit"],
+    "name": ["name", "job_name", "jobname"],
+    "submit_line": ["submit_line", "command", "command_line", "cmdline"],
+    "work_dir": ["work_dir", "workdir", "working_dir", "working_directory"],
+    "script": ["script", "job_script", "batch_script"],
 }
+#: The kinds of columns that fit a field, where it is not categorical ones alone.
+KINDS = {
+    "job_id": ["numeric", "categorical"],
+    "start_time": ["timestamp", "categorical"],
+    "end_time": ["timestamp", "categorical"],
+    "submit_time": ["timestamp", "categorical"],
+    "runtime_seconds": ["numeric"],
+    "nodes_requested": ["numeric"],
+    "memory_requested": ["numeric"],
+    "processors_requested": ["numeric"],
+    "gpus_requested": ["numeric", "categorical"],
+    "wallclock_requested": ["numeric", "categorical"],
+}
+#: The fields of a job table that a parsed log should have.
+JOB_FIELDS = ["job_id", "start_time", "end_time", "runtime_seconds", "allocated_cpus", "partition", "node_list"]
 
 
 def kind_of(df: DataFrame, name: str) -> str:
     t = df.schema[name].dataType
     if isinstance(t, (TimestampType, TimestampNTZType)):
-        return "time"
+        return "timestamp"
     if t.typeName() in ("byte", "short", "integer", "long", "float", "double", "decimal"):
-        return "number"
-    return "text" if isinstance(t, StringType) else "other"
+        return "numeric"
+    return "categorical" if t.typeName() in ("string", "boolean") else "unknown"
+
+
+def field_presence(df: DataFrame) -> DataFrame:
+    """field, mapped_to, confidence, reason for each field of a job table: is there a column of its name?"""
+    rows = [(f, f, 1.0, "field present in parsed rows") if f in df.columns else (f, None, 0.0, "field missing from parsed rows") for f in JOB_FIELDS]
+    return df.sparkSession.createDataFrame(rows, "field string, mapped_to string, confidence double, reason string")
 
 
 def profile(df: DataFrame, order: list[str], *, rows: int = 200, samples: int = 5) -> DataFrame:
@@ -182,16 +219,22 @@ def profile(df: DataFrame, order: list[str], *, rows: int = 200, samples: int =
 
 
 def suggest(df: DataFrame) -> DataFrame:
-    """field, column, confidence, rank of every column that may fill a field, best first.
+    """field, column, confidence, reason, rank of every column that may fill a field, best first.
 
     A field's own name scores 1, a name that contains one of its words 0.7; the right kind adds
     0.3, an unknown one 0.1, a wrong one takes 0.2.  From the schema alone: no data is read.
     """
     spark = df.sparkSession
-    fields = spark.createDataFrame([(f, names, kind) for f, (names, kind) in ALIASES.items()], "field string, names array<string>, wanted string")
+    fields = spark.createDataFrame([(f, names, KINDS.get(f, ["categorical"])) for f, names in ALIASES.items()], "field string, names array<string>, wanted array<string>")
     columns = spark.createDataFrame([(c, kind_of(df, c)) for c in df.columns], "column string, kind string").withColumn("name", normal_name(F.col("column")))
-    pairs = columns.select("column", "kind", "name", F.explode(F.array(*(F.lit(f) for f in ALIASES))).alias("field")).join(F.broadcast(fields), "field")
-    by_name = F.when(F.array_contains("names", F.col("name")), 1.0).when(F.exists("names", lambda n: F.contains(F.col("name"), n)), 0.7).otherwise(0.0)
-    by_kind = F.when((F.col("wanted") == "any") | (F.col("kind") == F.col("wanted")), 0.3).when(F.col("kind") == "other", 0.1).otherwise(-0.2)
-    scored = pairs.withColumn("by_name", by_name).where("by_name > 0").withColumn("confidence", F.round(F.greatest(F.lit(0.0), F.least(F.lit(1.0), F.col("by_name") + by_kind)), 3))
-    return scored.select("field", "column", "confidence", F.row_number().over(Window.partitionBy("field").orderBy(F.desc("confidence"), "column")).alias("rank"))
+    pairs = columns.select("column", "kind", "name", F.explode(F.array(*(F.lit(f) for f in ALIASES))).alias("field")).join(F.broadcast(fields), "field")  # 19 rows
+    inside = F.get(F.filter("names", lambda n: F.contains(F.col("name"), n)), 0)
+    exact = F.array_contains("names", F.col("name"))
+    found = pairs.withColumn("inside", inside).where(exact | F.col("inside").isNotNull())
+    fits = F.array_contains("wanted", F.col("kind"))
+    by_name = F.when(exact, 1.0).otherwise(0.7)
+    by_kind = F.when(fits, 0.3).when(F.col("kind") == "unknown", 0.1).otherwise(-0.2)
+    said = F.when(exact, F.lit("exact alias match")).otherwise(F.concat(F.lit("contains alias '"), "inside", F.lit("'")))
+    told = F.when(fits, F.concat(F.lit("kind '"), "kind", F.lit("' is compatible"))).when(F.col("kind") == "unknown", F.lit("unknown kind")).otherwise(F.concat(F.lit("kind '"), "kind", F.lit("' is unlikely")))
+    scored = found.select("field", "column", F.round(F.greatest(F.lit(0.0), F.least(F.lit(1.0), by_name + by_kind)), 3).alias("confidence"), F.concat(said, F.lit("; "), told).alias("reason"))
+    return scored.withColumn("rank", F.row_number().over(Window.partitionBy("field").orderBy(F.desc("confidence"), "column")))

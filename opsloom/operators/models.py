@@ -20,10 +20,38 @@ from ..functions.transforms import finite, log_target, unlog_target
 from .windows import Grid, test_rows, train_range
 
 #: Columns known at submission, the only ones that may be features.
-ALLOWED = frozenset(
-    "num_nodes_req num_cores_req num_gpus_req requested_seconds requested_memory_mib processors_requested nodes_requested gpus_requested "
-    "memory_requested wallclock_requested partition queue qos user account name".split()
-)
+ALLOWED = [
+    "num_nodes_req",
+    "nodes_requested",
+    "num_cores_req",
+    "processors_requested",
+    "num_gpus_req",
+    "gpus_requested",
+    "num_tasks_req",
+    "requested_seconds",
+    "wallclock_requested",
+    "wallclock_requested_seconds",
+    "requested_memory_mib",
+    "memory_requested",
+    "partition",
+    "queue",
+    "qos",
+    "constraints",
+    "user",
+    "account",
+    "name",
+    "job_name",
+    "job_type",
+    "platform",
+    "machine",
+    "machine_name",
+    "science_field",
+    "science_field_short",
+    "award_category",
+    "submit_line",
+    "work_dir",
+    "script",
+]
 
 
 def feature_columns(df: DataFrame, extra: tuple[str, ...] = ()) -> tuple[list[str], list[str], list[str]]:

@@ -5,7 +5,11 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window, functions as F
 from pyspark.sql.types import StringType
 
+from .ranks import running
+
 EXAMPLES = 3
+#: All that issues() can say.
+ISSUES = ["missing_job_id", "missing_start_time", "missing_end_time", "missing_runtime_seconds", "negative_runtime", "non_numeric_runtime", "start_after_end", "too_few_cpus"]
 
 
 def missing(df: DataFrame, name: str) -> Column:
@@ -39,24 +43,29 @@ def issues(df: DataFrame) -> Column:
 def issue_summary(df: DataFrame, key: str) -> DataFrame:
     """issue, count, examples (the first keys), most frequent first.
 
-    Examples are merged as bounded arrays, so a frequent issue is no large group.
+    Counts are partial sums, and the rank of an example is cut in each task, so a frequent issue is no large group.
     """
     found = df.select(F.col(key).alias("key"), F.explode(issues(df)).alias("issue"))
-    piece = F.pmod(F.xxhash64("key"), F.lit(64))
-    ranked = found.withColumn("__r", F.row_number().over(Window.partitionBy("issue", piece).orderBy("key"))).withColumn("__k", F.when(F.col("__r") <= EXAMPLES, F.col("key")))
-    out = ranked.groupBy("issue").agg(F.count(F.lit(1)).alias("count"), F.slice(F.array_sort(F.collect_list("__k")), 1, EXAMPLES).alias("examples"))
-    return out.orderBy(F.desc("count"), "issue")
+    counts = found.groupBy("issue").agg(F.count(F.lit(1)).alias("count"))
+    first = found.withColumn("__r", F.row_number().over(Window.partitionBy("issue").orderBy("key"))).where(F.col("__r") <= EXAMPLES)
+    examples = first.groupBy("issue").agg(F.sort_array(F.collect_list("key")).alias("examples"))
+    return counts.join(examples, "issue").orderBy(F.desc("count"), "issue")
 
 
 def report(df: DataFrame, label: str | None = None) -> dict:
-    """The quality report of a table: rows, missingness, issues, label counts."""
+    """The quality report of a table: rows, missingness, issues and label counts; one pass, and one for the labels."""
+    names = issues(df)
+    every = df.select(*(missing(df, c).cast("int").alias(f"m{k}") for k, c in enumerate(df.columns)), names.alias("__issues"))
+    known = [n for n in ISSUES if n.startswith("missing_") is False or n.removeprefix("missing_") in df.columns]
+    sums = [F.sum(f"m{k}").alias(f"m{k}") for k in range(len(df.columns))] + [F.count_if(F.array_contains("__issues", n)).alias(n) for n in known]
+    one = every.agg(F.count(F.lit(1)).alias("rows"), *sums).first()
     out = {
-        "rows": df.count(),
-        "missingness": {r["column"]: r["rate"] for r in missingness(df).collect()},
-        "issues": {r["issue"]: r["count"] for r in issue_summary(df, df.columns[0]).collect()},
+        "rows": one["rows"],
+        "missingness": {c: (one[f"m{k}"] or 0) / one["rows"] if one["rows"] else 0.0 for k, c in enumerate(df.columns)},
+        "issues": {n: one[n] for n in known if one[n]},
     }
     if label:
-        out["labels"] = {r["value"]: r["count"] for r in value_counts(df, label).collect()}
+        out["labels"] = {r["value"]: r["count"] for r in value_counts(df, label, 100).collect()}  # a report shows the most frequent
     return out
 
 
@@ -98,25 +107,34 @@ def category_profile(df: DataFrame, columns: list[str], *, rare: int = 2) -> Dat
 
 
 def one_hot_width(df: DataFrame, columns: list[str], *, floor: int = 2, most: int = 2048) -> DataFrame:
-    """min_frequency, width: the least frequency at which the one-hot columns fit.
+    """min_frequency, width: the least frequency at which the one-hot columns fit; no row if none does.
 
     A value below the frequency shares one column with the others of its kind.  Candidates are the
-    counts that occur, plus the floor; the widths come from one aggregate over them.
+    counts that occur plus one, and the floor.  The width at a frequency is the number of values less
+    those below it plus the columns that have any: two running sums over the counts in their order.
     """
-    counts = categories(df, columns).where("value is not null").groupBy("column", "n").agg(F.count(F.lit(1)).alias("values"))
-    steps = counts.select((F.col("n") + 1).alias("f")).union(counts.sparkSession.range(floor, floor + 1).select(F.col("id").alias("f"))).where(F.col("f") >= floor).distinct()
-    widths = steps.join(F.broadcast(counts)).groupBy("f", "column").agg(F.sum(F.when(F.col("n") >= F.col("f"), F.col("values")).otherwise(0)).alias("w"), F.max((F.col("n") < F.col("f")).cast("int")).alias("shared"))
-    total = widths.groupBy("f").agg(F.sum(F.col("w") + F.col("shared")).alias("width"))
-    return total.where(F.col("width") <= most).groupBy().agg(F.min(F.struct("f", "width")).alias("s")).where("s is not null").select(F.col("s.f").alias("min_frequency"), F.col("s.width").alias("width"))
+    by_value = categories(df, columns).where("value is not null")
+    values = by_value.groupBy("n").agg(F.count(F.lit(1)).alias("values"))
+    shared = by_value.groupBy("column").agg(F.min("n").alias("n")).groupBy("n").agg(F.count(F.lit(1)).alias("shared"))
+    steps = values.join(shared, "n", "left").select("n", (F.coalesce("shared", F.lit(0)) - F.col("values")).alias("change"))
+    start = df.sparkSession.range(1).select((F.col("id") + floor - 1).alias("n"), F.lit(0).cast("bigint").alias("change"))
+    at = running(steps.union(start).groupBy("n").agg(F.sum("change").alias("change")), ["n"], "change", "upto")
+    total = values.agg(F.coalesce(F.sum("values"), F.lit(0)).alias("total"))
+    widths = at.where(F.col("n") >= floor - 1).join(F.broadcast(total)).select((F.col("n") + 1).alias("f"), (F.col("total") + F.col("upto")).alias("width"))
+    return widths.where(F.col("width") <= most).groupBy().agg(F.min(F.struct("f", "width")).alias("s")).where("s is not null").select(F.col("s.f").alias("min_frequency"), F.col("s.width").alias("width"))
 
 
 def coverage(df: DataFrame) -> DataFrame:
-    """One row: how far a table meets the canonical requirements."""
+    """One row: how far a table meets the canonical requirements, with the runtimes and CPUs that it has."""
     required = [c for c in ("job_id", "start_time", "end_time", "runtime_seconds") if c in df.columns]
     gaps = sum((F.avg(missing(df, c).cast("double")) for c in required), F.lit(0.0)) / max(1, len(required))
+    cpus = F.col("allocated_cpus") if "allocated_cpus" in df.columns else F.lit(None).cast("bigint")
     return df.agg(
         F.count(F.lit(1)).alias("n"),
         F.round(gaps, 6).alias("required_missing"),
         F.round(F.avg((F.col("runtime_seconds") > 0).cast("double")), 6).alias("positive_runtime"),
+        F.round(F.avg("runtime_seconds"), 4).alias("mean_runtime"),
+        F.min(cpus).alias("min_cpus"),
+        F.max(cpus).alias("max_cpus"),
         F.countDistinct("partition").alias("partitions"),
     )

@@ -2,58 +2,93 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window, functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import DoubleType, StructField, StructType
+
+from ..scratch import checkpoint
+from .models import ALLOWED
 
 BLOCK = 1024
 
 
-def _blocks(df: DataFrame, key: str, vector: str, value: str, group: str) -> DataFrame:
-    """Rows gathered into blocks of about BLOCK, each one row with arrays."""
-    sized = df.groupBy(group).agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("__n"))
-    placed = df.join(F.broadcast(sized), group).withColumn("__b", F.pmod(F.xxhash64(key), F.col("__n")).cast("int"))
-    packed = F.sort_array(F.collect_list(F.struct(F.col(key).alias("id"), F.col(vector).cast("array<double>").alias("v"), F.col(value).cast("double").alias("y"))))
-    return placed.groupBy(group, "__b").agg(packed.alias("rows"))
+def _blocks(df: DataFrame, group: str, block: int) -> tuple[DataFrame, DataFrame]:
+    """(group, __b and rows, the rows sorted by id and gathered into blocks of about that many; group, __n: its blocks)."""
+    sized = df.groupBy(group).agg(F.ceil(F.count(F.lit(1)) / block).cast("int").alias("__n"))
+    placed = df.join(F.broadcast(sized), group).withColumn("__b", F.pmod(F.xxhash64("id"), F.col("__n")).cast("int"))  # a row a group
+    fields = [c for c in df.columns if c not in (group, "id")]
+    return placed.groupBy(group, "__b").agg(F.sort_array(F.collect_list(F.struct("id", *fields))).alias("rows")), sized
 
 
-def dense_neighbours(test: DataFrame, train: DataFrame, *, key: str, vector: str, value: str, group: str, k: int = 5) -> DataFrame:
-    """group, query, neighbour, similarity, value, rank: the k nearest training rows of each test row by cosine.
+def _pairs(test: DataFrame, train: DataFrame, group: str, block: int) -> DataFrame:
+    """group, a, b: every block of test rows with every block of training rows of its group.
 
-    Test and training rows of a group meet block by block; each pair of blocks is one matrix product
-    that leaves k candidates a query, so no group is gathered in one task and pairs are never rows.
-    Zero vectors have similarity 0.  Ties go by id.
+    Test blocks are copied once for each training block and meet it under (group, block), so the pairs
+    of a group are spread over as many tasks as it has training blocks.
     """
-    a = _blocks(test, key, vector, value, group).withColumnRenamed("rows", "a").withColumnRenamed("__b", "__i")
-    b = _blocks(train, key, vector, value, group).withColumnRenamed("rows", "b").withColumnRenamed("__b", "__j")
-    pairs = a.join(b, group).select(group, "a", "b")
+    a, _ = _blocks(test, group, block)
+    b, sized = _blocks(train, group, block)
+    copies = a.join(F.broadcast(sized), group).select(group, F.col("rows").alias("a"), F.explode(F.sequence(F.lit(0), F.col("__n") - 1)).alias("__b"))
+    return copies.join(b.withColumnRenamed("rows", "b"), [group, "__b"]).select(group, "a", "b")
 
-    def unit(m: np.ndarray) -> np.ndarray:
-        n = np.sqrt((m * m).sum(axis=1, keepdims=True))
-        return m / np.where(n == 0, 1, n)
 
-    def nearest(frames):
-        for frame in frames:
-            for g, left, right in zip(frame[group], frame["a"], frame["b"]):
-                ids = np.array([r["id"] for r in right])
-                y = np.array([np.nan if r["y"] is None else r["y"] for r in right])
-                sims = np.round(unit(np.array([r["v"] for r in left])) @ unit(np.array([r["v"] for r in right])).T, 9)
+def _best(similar: Callable[[pa.StructArray, pa.StructArray], np.ndarray], schema: StructType, k: int, least: float):
+    """A function of batches of pairs that leaves the k best of each query, similarities of least or more."""
+    arrow = to_arrow_schema(schema)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for r in range(batch.num_rows):
+                left, right = (batch.column(c).slice(r, 1).flatten() for c in (1, 2))
+                sims = np.round(similar(left, right), 9)
                 # ids are sorted, so a stable sort settles ties by id.
                 top = np.argsort(-sims, axis=1, kind="stable")[:, :k]
-                n = top.shape[1]
-                yield pd.DataFrame({
-                    group: np.repeat(g, len(left) * n), "query": np.repeat([r["id"] for r in left], n), "neighbour": ids[top].ravel(),
-                    "similarity": np.take_along_axis(sims, top, axis=1).ravel(), "value": y[top].ravel(),
-                })
-
-    kind = dict(test.dtypes)
-    near = pairs.mapInPandas(nearest, f"{group} {kind[group]}, query {kind[key]}, neighbour {kind[key]}, similarity double, value double")
+                best = np.take_along_axis(sims, top, axis=1)
+                q, place = np.nonzero(best >= least)
+                at = top[q, place]
+                values = [
+                    pa.array(batch.column(0).slice(r, 1).to_pylist() * len(q), arrow.field(0).type), left.field("id").take(pa.array(q)), right.field("id").take(pa.array(at)),
+                    pa.array(best[q, place]), right.field("y").take(pa.array(at)),
+                ]
+                yield pa.RecordBatch.from_arrays([v.cast(f.type) for v, f in zip(values, arrow)], schema=arrow)
+
+    return run
+
+
+def _nearest(test: DataFrame, train: DataFrame, group: str, k: int, similar: Callable, least: float, block: int = BLOCK) -> DataFrame:
+    """group, query, neighbour, similarity, value, rank; test: group, id and fields; train: also y."""
+    kinds = {f.name: f.dataType for f in test.schema}
+    schema = StructType([StructField(group, kinds[group]), StructField("query", kinds["id"]), StructField("neighbour", kinds["id"]), StructField("similarity", DoubleType()), StructField("value", DoubleType())])
+    near = checkpoint(_pairs(test, train, group, block).mapInArrow(_best(similar, schema, k, least), schema), batch_rows=16)
     rank = F.row_number().over(Window.partitionBy(group, "query").orderBy(F.desc("similarity"), "neighbour"))
     return near.withColumn("rank", rank).where(F.col("rank") <= k)
 
 
+def _cosines(left: pa.StructArray, right: pa.StructArray) -> np.ndarray:
+    def unit(rows: pa.StructArray) -> np.ndarray:
+        m = rows.field("v").flatten().to_numpy(zero_copy_only=False).reshape(len(rows), -1)
+        n = np.sqrt((m * m).sum(axis=1, keepdims=True))
+        return m / np.where(n == 0, 1, n)
+
+    return unit(left) @ unit(right).T
+
+
+def dense_neighbours(test: DataFrame, train: DataFrame, *, key: str, vector: str, value: str, group: str, k: int = 5) -> DataFrame:
+    """group, query, neighbour, similarity, value, rank: the k nearest training rows of each test row by cosine.
+
+    Test and training rows of a group meet block by block; each pair of blocks is one matrix product
+    that leaves k candidates a query, so no group is gathered in one task and pairs are never rows.
+    Zero vectors have similarity 0.  Ties go by id.
+    """
+    fields = [group, F.col(key).alias("id"), F.col(vector).cast("array<double>").alias("v")]
+    return _nearest(test.select(*fields), train.select(*fields, F.col(value).cast("double").alias("y")), group, k, _cosines, -2.0)
+
+
 def weighted_prediction(neighbours: DataFrame, group: str, *, weighting: str = "similarity") -> DataFrame:
     """group, query, y_pred: the mean of the neighbours' values, weighted by similarity above 0; uniform if all are 0."""
     w = F.greatest(F.col("similarity"), F.lit(0.0)) if weighting == "similarity" else F.lit(1.0)
@@ -61,33 +96,77 @@ def weighted_prediction(neighbours: DataFrame, group: str, *, weighting: str = "
     return out.select(group, "query", F.when(F.col("w") > 0, F.col("wy") / F.nullif(F.col("w"), F.lit(0.0))).otherwise(F.col("mean")).alias("y_pred"))
 
 
-def term_counts(df: DataFrame, key: str, text: Column, pattern: str = "[^a-z0-9_]+", least: int = 2) -> DataFrame:
-    """key, term, tf of lower-cased words of at least two characters."""
-    words = df.select(F.col(key).alias("key"), F.explode(F.split(F.lower(text), pattern)).alias("term")).where(F.length("term") >= least)
-    return words.groupBy("key", "term").agg(F.count(F.lit(1)).alias("tf"))
+def term_counts(df: DataFrame, key: str, text: Column, pattern: str = "[^a-z0-9_]+", least: int = 2, keep: tuple[str, ...] = ()) -> DataFrame:
+    """key, term, tf of lower-cased words of at least two characters, and the columns to keep."""
+    words = df.select(F.col(key).alias("key"), *keep, F.explode(F.split(F.lower(text), pattern)).alias("term")).where(F.length("term") >= least)
+    return words.groupBy("key", *keep, "term").agg(F.count(F.lit(1)).alias("tf"))
+
 
+def _overlaps(left: pa.StructArray, right: pa.StructArray) -> np.ndarray:
+    """Sums of products of the weights of common terms, of rows with terms t and weights w.
 
-def tfidf_neighbours(train: DataFrame, test: DataFrame, *, k: int = 5, common: float = 1.0) -> DataFrame:
-    """query, neighbour, similarity, rank by cosine of TF-IDF with smoothed idf, of (key, term, tf) tables.
+    Terms that many rows of the block have go by a dense product, the others by their pairs of rows.
+    """
 
-    The terms are the join key; partial sums per pair come before the shuffle of pairs.  common: terms
-    in more than this share of the training documents may be left out; 1 leaves out none.
+    def flat(rows: pa.StructArray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        t = rows.field("t")
+        return np.repeat(np.arange(len(rows)), t.value_lengths().to_numpy(zero_copy_only=False)), t.flatten().to_numpy(), rows.field("w").flatten().to_numpy()
+
+    (ra, ta, wa), (rb, tb, wb) = flat(left), flat(right)
+    na, nb = len(left), len(right)
+    terms, tb = np.unique(tb, return_inverse=True)
+    if not len(terms):
+        return np.zeros((na, nb))
+    at = np.minimum(np.searchsorted(terms, ta), len(terms) - 1)
+    known = terms[at] == ta
+    ra, ta, wa = ra[known], at[known], wa[known]
+    times = np.bincount(tb, minlength=len(terms))
+    common = np.flatnonzero(times > nb // 16)
+    out = np.zeros((na, nb))
+    for lo in range(0, len(common), 2048):
+        place = np.full(len(terms), -1)
+        place[common[lo : lo + 2048]] = np.arange(len(common[lo : lo + 2048]))
+        a, b = np.zeros((na, 2048)), np.zeros((nb, 2048))
+        for m, r, t, w in ((a, ra, ta, wa), (b, rb, tb, wb)):
+            here = place[t] >= 0
+            m[r[here], place[t[here]]] = w[here]
+        out += a @ b.T
+    rare = times[ta] <= nb // 16
+    ra, ta, wa = ra[rare], ta[rare], wa[rare]
+    order = np.argsort(tb, kind="stable")
+    rb, wb, first = rb[order], wb[order], np.cumsum(times) - times
+    for lo in range(0, len(ra), 100_000):
+        r, t, w = ra[lo : lo + 100_000], ta[lo : lo + 100_000], wa[lo : lo + 100_000]
+        n = times[t]
+        b = np.repeat(first[t], n) + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
+        out += np.bincount(np.repeat(r, n) * nb + rb[b], np.repeat(w, n) * wb[b], na * nb).reshape(na, nb)
+    return out
+
+
+def tfidf_neighbours(train: DataFrame, test: DataFrame, *, k: int = 5, group: str | None = None, value: str | None = None) -> DataFrame:
+    """query, neighbour, similarity, value, rank (and group) by cosine of TF-IDF with smoothed idf, of (key, term, tf) tables.
+
+    Only pairs with a common term count.  With a group, each has its own frequencies.  value: a column
+    of train that each neighbour brings along, the same for all terms of a key.  Rows meet in blocks
+    that are sparse matrices, so neither pairs nor the rows of a frequent term are ever gathered.
     """
-    n = train.select("key").distinct().count()
-    df_ = train.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
-    if common < 1.0:
-        df_ = df_.where(F.col("df") <= common * n)
-    idf = df_.select("term", (F.log((F.lit(1.0) + n) / (F.lit(1.0) + F.col("df"))) + 1.0).alias("idf"))
+    by = [group] if group else []
+    g = group or "__g"
+    counted = train.groupBy(*by, "key").agg(F.lit(1).alias("one")).groupBy(*by).agg(F.count(F.lit(1)).alias("n"))
+    freq = train.groupBy(*by, "term").agg(F.count(F.lit(1)).alias("df"))
+    sized = freq.join(F.broadcast(counted), by) if by else freq.join(F.broadcast(counted))  # a row a group
+    idf = sized.select(*by, "term", (F.log((F.lit(1.0) + F.col("n")) / (F.lit(1.0) + F.col("df"))) + 1.0).alias("idf"))
 
-    def weighed(t: DataFrame, name: str) -> DataFrame:
-        w = t.join(idf, "term").select("key", "term", (F.col("tf") * F.col("idf")).alias("w"))
-        norm = w.groupBy("key").agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("norm"))
-        return w.join(norm, "key").select(F.col("key").alias(name), "term", (F.col("w") / F.col("norm")).alias(f"w_{name}"))
+    def weighed(t: DataFrame, extra: list[str]) -> DataFrame:
+        """Terms as hashes of 64 bits, and weights of length 1."""
+        w = t.join(idf, [*by, "term"]).select(*(by or [F.lit(0).alias(g)]), F.col("key").alias("id"), *extra, F.xxhash64("term").alias("t"), (F.col("tf") * F.col("idf")).alias("w"))
+        rows = w.groupBy(g, "id", *extra).agg(F.sort_array(F.collect_list(F.struct("t", "w"))).alias("tw"))
+        norm = F.sqrt(F.aggregate("tw", F.lit(0.0), lambda a, x: a + x["w"] * x["w"]))
+        return rows.select(g, "id", *extra, F.col("tw.t").alias("t"), F.transform("tw.w", lambda x: x / norm).alias("w"))
 
-    pairs = weighed(test, "query").join(weighed(train, "neighbour"), "term").groupBy("query", "neighbour").agg(F.sum(F.col("w_query") * F.col("w_neighbour")).alias("s"))
-    sims = pairs.select("query", "neighbour", F.round("s", 9).alias("similarity"))
-    rank = F.row_number().over(Window.partitionBy("query").orderBy(F.desc("similarity"), "neighbour"))
-    return sims.withColumn("rank", rank).where(F.col("rank") <= k)
+    known = weighed(train.withColumn("y", F.col(value).cast("double") if value else F.lit(None).cast("double")), ["y"])
+    near = _nearest(weighed(test, []), known, g, k, _overlaps, 1e-9)
+    return near if group else near.drop(g)
 
 
 def hash_encode(texts: Column, dim: int = 256) -> Column:
@@ -142,24 +221,70 @@ def first_of_equal(df: DataFrame, text: str, key: str) -> DataFrame:
 
 # -- texts of jobs ----------------------------------------------------------------------------
 
-#: The concepts known at submission, and the columns that may hold each.
+#: The concepts known at submission, in their order, and the columns that may hold each, the first present one first.
 CONCEPTS = {
-    "job name": ["name", "jobname", "job_name"], "partition": ["partition"], "queue": ["queue"], "account": ["account"], "user": ["user"],
-    "requested nodes": ["num_nodes_req", "nodes_requested"], "requested cores": ["num_cores_req", "processors_requested"],
-    "requested gpus": ["num_gpus_req", "gpus_requested"], "requested memory": ["requested_memory_mib", "memory_requested"],
-    "requested walltime": ["requested_seconds", "wallclock_requested"],
-}
+    "job name": ["job_name", "name"],
+    "partition": ["partition"],
+    "queue": ["queue", "qos"],
+    "account": ["account"],
+    "user": ["user"],
+    "science field": ["science_field", "science_field_short"],
+    "machine": ["machine", "machine_name"],
+    "requested walltime": ["requested_seconds", "wallclock_requested", "wallclock_requested_seconds"],
+    "requested nodes": ["num_nodes_req", "nodes_requested"],
+    "requested cores": ["num_cores_req", "processors_requested"],
+    "requested gpus": ["num_gpus_req", "gpus_requested"],
+    "requested memory": ["memory_requested", "mem_req"],
+}
 #: Columns that are known only after a job has run.
-AFTERWARDS = {"start_time", "end_time", "runtime_seconds", "job_state", "exit_code", "num_nodes_alloc", "num_cores_alloc", "allocated_cpus", "node_list"}
+AFTERWARDS = [
+    "runtime_seconds",
+    "run_time",
+    "end_time",
+    "start_time",
+    "state",
+    "job_state",
+    "exit_status",
+    "elapsed",
+    "allocated_cpus",
+    "num_nodes_alloc",
+    "num_cores_alloc",
+    "cores_used",
+    "nodes_used",
+]
+
+
+def _said(df: DataFrame, name: str) -> Column:
+    """The value as text; whole doubles are written out."""
+    c = F.col(name)
+    if df.schema[name].dataType.typeName() in ("double", "float"):
+        whole = (c == F.floor(c)) & (F.abs(c) < 1e16)
+        return F.when(whole, F.concat(c.cast("decimal(20,0)").cast("string"), F.lit(".0"))).otherwise(c.cast("string"))
+    return F.nullif(c.cast("string"), F.lit(""))
+
+
+def concepts(df: DataFrame, *, submit: str | None = "submit_time", extra: list[str] = ()) -> list[str]:
+    """What a row's text tells, of the columns that are there."""
+    have = [label for label, names in CONCEPTS.items() if any(c in df.columns for c in names)]
+    return have + (["submitted"] if submit in df.columns else []) + list(extra)
+
+
+def text_columns(df: DataFrame, extra: tuple[str, ...] = ()) -> list[str]:
+    """The columns of strings among those that may be features, by name; those that have no value are left out."""
+    named = sorted(f.name for f in df.schema if f.dataType.typeName() == "string" and (f.name in ALLOWED or f.name in extra))
+    seen = df.agg(*(F.count(F.nullif(F.col(c), F.lit(""))).alias(c) for c in named)).first() if named else {}
+    return [c for c in named if seen[c]]
 
 
 def serialise(df: DataFrame, *, form: str = "prose", submit: str | None = "submit_time", extra: list[str] = (), limit: int = 2000, instruction: str | None = None) -> Column:
     """A job row as text, from what is known at its submission."""
-    if leaks := AFTERWARDS.intersection(extra):
-        raise ValueError(f"known only afterwards: {', '.join(sorted(leaks))}")
+    if form not in ("prose", "kv"):
+        raise ValueError("form is prose or kv")
+    if leaks := sorted(set(AFTERWARDS).intersection(extra)):
+        raise ValueError(f"known only afterwards: {', '.join(leaks)}")
     value = {}
     for label, names in CONCEPTS.items():
-        have = [F.nullif(F.col(c).cast("string"), F.lit("")) for c in names if c in df.columns]
+        have = [_said(df, c) for c in names if c in df.columns]
         if have:
             value[label] = F.coalesce(*have)
     if submit and submit in df.columns:
@@ -180,6 +305,7 @@ def serialise(df: DataFrame, *, form: str = "prose", submit: str | None = "submi
         text = F.concat(
             F.lit("An HPC batch job"), said("job name", " named "), said("partition", " on the ", " partition"), said("queue", " (queue ", ")"),
             F.when(asked != "", F.concat(F.lit(", requesting "), asked)).otherwise(""), said("account", ", charged to account "), said("user", ", submitted by "),
-            said("submitted", ", submitted on "), F.lit("."), *(F.coalesce(F.concat(F.lit(f" {k}:\n"), v), F.lit("")) for k, v in extras),
+            said("science field", ", in "), said("machine", ", on "), said("submitted", ", submitted on "), F.lit("."),
+            *(F.coalesce(F.concat(F.lit(f" {k}:\n"), v), F.lit("")) for k, v in extras),
         )
     return F.concat(F.lit(f"Instruct: {instruction}\nQuery: "), text) if instruction else text

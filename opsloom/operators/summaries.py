@@ -2,20 +2,65 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
-#: Other spellings of units and formats that users give.
+#: The spellings of units and formats that users give.
 UNIT_NAMES = {
-    "duration": {"s": "seconds", "sec": "seconds", "secs": "seconds", "second": "seconds", "m": "minutes", "min": "minutes", "minute": "minutes", "h": "hours", "hr": "hours", "hour": "hours"},
-    "timestamp": {"iso": "iso8601", "unix": "epoch_s", "seconds": "epoch_s", "ms": "epoch_ms", "millis": "epoch_ms", "us": "epoch_us", "micros": "epoch_us"},
-    "memory": {"b": "bytes", "byte": "bytes", "k": "kb", "m": "mb", "g": "gb"},
+    "duration": {
+        "seconds": ["s", "sec", "secs", "second", "seconds"],
+        "minutes": ["m", "min", "mins", "minute", "minutes"],
+        "hours": ["h", "hr", "hrs", "hour", "hours"],
+        "hh:mm:ss": ["hh:mm:ss", "h:m:s"],
+    },
+    "timestamp": {
+        "iso8601": ["iso", "iso8601", "iso-8601"],
+        "epoch_s": ["epoch_s", "epoch_sec", "epoch_seconds"],
+        "epoch_ms": ["epoch_ms", "epoch_millis"],
+        "epoch_us": ["epoch_us", "epoch_micros"],
+    },
+    "memory": {"bytes": ["b", "bytes"], "kb": ["kb"], "mb": ["mb"], "gb": ["gb"], "kib": ["kib"], "mib": ["mib"], "gib": ["gib"]},
 }
 
 
 def unit_name(kind: str, text: str) -> str:
     """The unit or format meant by a user's spelling."""
     plain = text.strip().lower()
-    return UNIT_NAMES[kind].get(plain, plain)
+    for name, spellings in UNIT_NAMES[kind].items():
+        if plain in spellings:
+            return name
+    raise ValueError(f"unsupported {kind} unit or format: {text}")
+
+
+def short_id(text: str, prefix: str = "") -> str:
+    """The last part of a dotted name."""
+    return str(text or "").removeprefix(prefix).rpartition(".")[2]
+
+
+def short_time(text: str | None, *, compact: bool = False) -> str:
+    """An ISO time for display: its date and time in UTC, or month, day, hour and minute."""
+    if not text:
+        return "-"
+    day, t, clock = str(text).replace("Z", "+00:00").partition("T")
+    if not t:
+        return day
+    clock = clock.partition(".")[0].partition("+")[0]
+    return f"{day[5:] or day} {clock[:5]}" if compact else f"{day} {clock} UTC"
+
+
+def metric_text(name: str, value: float, target: str | None = None) -> str:
+    """A metric for display: shares in percent, errors of runtimes as durations."""
+    if name == "underprediction_ratio":
+        return f"{value:.1f}%"
+    if name == "mape":
+        return f"{value:.1%}"
+    if name == "r2":
+        return f"{value:.3f}"
+    if name in ("mae", "rmse") and target == "runtime_seconds":
+        size = abs(value)
+        for most, unit, form in ((60, 1, "{:.0f}s"), (3600, 60, "{:.1f} min"), (172800, 3600, "{:.1f} h"), (float("inf"), 86400, "{:.1f} d")):
+            if size < most:
+                return form.format(size / unit)
+    return f"{value:.0f}" if float(value).is_integer() else f"{value:.3g}"
 
 
 def spans_hours(jobs: DataFrame, time: str = "submit_time", least: int = 3) -> DataFrame:
@@ -42,12 +87,15 @@ def window_summary(plan: DataFrame) -> DataFrame:
 
 
 def close_values(df: DataFrame, column: str, wanted: list[str], *, most: int = 3) -> DataFrame:
-    """wanted, value, distance: for values that are looked for the nearest that occur, by edit distance."""
+    """wanted, value, distance: for values that are looked for the nearest that occur, by edit distance.
+
+    The rank is cut in each task, so the values of a column are gathered nowhere.
+    """
     values = df.select(F.col(column).alias("value")).where("value is not null").distinct()
     asked = F.explode(F.array(*(F.lit(w) for w in wanted)))
     scored = values.select("value", asked.alias("wanted")).withColumn("distance", F.levenshtein(F.lower("value"), F.lower("wanted")))
-    best = scored.groupBy("wanted").agg(F.slice(F.array_sort(F.collect_list(F.struct("distance", "value"))), 1, most).alias("b"))
-    return best.select("wanted", F.explode("b").alias("b")).select("wanted", "b.value", "b.distance")
+    rank = F.row_number().over(Window.partitionBy("wanted").orderBy("distance", "value"))
+    return scored.withColumn("__r", rank).where(F.col("__r") <= most).select("wanted", "value", "distance")
 
 
 def ingest_checks(df: DataFrame, order: list[str], rows: int = 50) -> DataFrame:

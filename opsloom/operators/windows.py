@@ -17,7 +17,7 @@ from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from ..scratch import checkpoint
+from .ranks import row_index
 
 MICROS = 1_000_000
 
@@ -141,23 +141,6 @@ def time_decay_mean(jobs: DataFrame, g: Grid, rate: float, target: str = "runtim
 def fixed_split(jobs: DataFrame, fraction: float, order: list[str]) -> DataFrame:
     """jobs with row_idx and is_test: the first part trains, the rest (all if none is left) tests."""
     ranked = row_index(jobs, order)
-    n = jobs.count()
+    n = ranked.count()
     n_train = max(1, int(n * fraction))
     return ranked.withColumn("is_train", F.col("row_idx") < n_train).withColumn("is_test", (F.col("row_idx") >= n_train) | F.lit(n_train >= n))
-
-
-def row_index(df: DataFrame, order: list[str], name: str = "row_idx") -> DataFrame:
-    """Consecutive numbers from 0 in an order, without bringing all rows to one task.
-
-    Rows are sorted across partitions; the counts of the partitions give each its first number.
-    """
-    placed = checkpoint(df.orderBy(*order).withColumn("__id", F.monotonically_increasing_id()))
-    part, at = F.shiftright("__id", 33), F.col("__id").bitwiseAND((1 << 33) - 1)
-    counts = {r[0]: r[1] for r in placed.groupBy(part.alias("p")).count().collect()}  # one row a partition
-    first, total = {}, 0
-    for p in sorted(counts):
-        first[p], total = total, total + counts[p]
-    if not first:
-        return placed.drop("__id").withColumn(name, F.lit(0).cast("bigint"))
-    starts = F.create_map(*(F.lit(x) for kv in first.items() for x in kv))
-    return placed.withColumn(name, (F.element_at(starts, part) + at).cast("bigint")).drop("__id")

@@ -2,10 +2,43 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from ..operators.metrics import best
 
+ENTRY = "id string, type string, label string, domain string, tags array<string>, source string, input_schema string, output_schema string"
+
+
+def read_registry(spark: SparkSession, path: str) -> DataFrame:
+    """The entries of a registry snapshot: JSON files with an array, or an object with an array ``entries``."""
+    raw = spark.read.option("multiLine", True).option("mode", "PERMISSIVE").json(path)
+    if "entries" in raw.columns:
+        raw = raw.select(F.explode("entries").alias("e")).select("e.*")
+    kinds = [c.split() for c in ENTRY.split(", ")]
+    return raw.select(*(F.col(n).cast(k).alias(n) if n in raw.columns else F.lit(None).cast(k).alias(n) for n, k in kinds)).where("id is not null")
+
+
+def own_registry(spark: SparkSession) -> DataFrame:
+    """What this engine itself offers: traces and models."""
+    from . import evaluate, traces
+
+    models = [{"id": f"model.{m}", "type": "model", "label": m, "domain": "job-runtime", "tags": [split], "source": "local", "input_schema": "job", "output_schema": "prediction"} for m, split in evaluate.MODELS]
+    return spark.createDataFrame(traces.entries() + models, ENTRY)
+
+
+def info(entries: DataFrame, name: str) -> dict:
+    """The one entry of that id, or of the only id that ends with it."""
+    found = entries.where((F.col("id") == name) | F.endswith("id", F.lit(f".{name}"))).limit(2).collect()
+    if len(found) != 1:
+        raise KeyError(f"{name}: {'several entries' if found else 'no such entry'}")
+    return found[0].asDict()
+
+
+def embeddings_needed(cells: DataFrame, models: DataFrame) -> DataFrame:
+    """dataset: those with a cell whose model reads vectors; cells as matrix() makes them, models: model, needs_vectors."""
+    wanted = cells.where("status = 'cell'").join(models.where("needs_vectors"), "model", "left_semi")
+    return wanted.select("dataset").distinct()
+
 
 def registry_filter(entries: DataFrame, *, kind: str | None = None, tag: str | None = None, source: str | None = None, input_schema: str | None = None, output_schema: str | None = None) -> DataFrame:
     """Entries that meet all that is given; a tag also matches the domain.  Columns: id, type, domain, tags, source, input_schema, output_schema."""

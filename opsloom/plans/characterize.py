@@ -4,15 +4,16 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, Window, functions as F
 
+from ..operators.ranks import quantiles
+
 DAY = 86400
 
 
 def span(jobs: DataFrame, submit: str = "submit_time", q: float = 0.001) -> DataFrame:
     """lo_day, hi_day (days since 1970) of the submissions without the outer q on each side, and the full range."""
-    s = F.unix_micros(F.col(submit).cast("timestamp")) / 1_000_000
-    s = F.floor(s)
-    p = F.percentile(s, F.array(F.lit(q), F.lit(1 - q)))
-    return jobs.agg(p.alias("p"), F.min(s).alias("lo"), F.max(s).alias("hi")).selectExpr(
+    s = F.floor(F.unix_micros(F.col(submit).cast("timestamp")) / 1_000_000)
+    ends = jobs.agg(F.min(s).alias("lo"), F.max(s).alias("hi"))
+    return ends.join(F.broadcast(quantiles(jobs, s, [q, 1 - q]).withColumnRenamed("q", "p"))).selectExpr(
         f"cast(floor(cast(p[0] AS bigint) / {DAY}) AS int) AS lo_day", f"cast(floor(cast(p[1] AS bigint) / {DAY}) AS int) AS hi_day", f"cast(floor(lo / {DAY}) AS int) AS full_lo", f"cast(floor(hi / {DAY}) AS int) AS full_hi"
     )
 
@@ -130,5 +131,5 @@ def card(jobs: DataFrame, *, categorical: list[str] = (), **window) -> dict:
 
 
 def runtime_quantiles(jobs: DataFrame, column: str = "runtime_seconds") -> DataFrame:
-    p = F.percentile(column, F.array(F.lit(0.5), F.lit(0.9), F.lit(0.99)))
-    return jobs.agg(p.alias("p"), F.min(column).alias("min"), F.max(column).alias("max")).selectExpr("min", "round(p[0], 1) AS median", "round(p[1], 1) AS p90", "round(p[2], 1) AS p99", "max")
+    ends = jobs.agg(F.min(column).alias("min"), F.max(column).alias("max"))
+    return ends.join(F.broadcast(quantiles(jobs, column, [0.5, 0.9, 0.99]).withColumnRenamed("q", "p"))).selectExpr("min", "round(p[0], 1) AS median", "round(p[1], 1) AS p90", "round(p[2], 1) AS p99", "max")

@@ -2,14 +2,16 @@
 
 from __future__ import annotations
 
+import hashlib
 import json
 from collections.abc import Callable
-from datetime import UTC, datetime
 from pathlib import Path
 
 import yaml
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
+from .. import storage
+from ..functions.transforms import finite
 from ..operators import history, metrics, models, similarity, windows
 
 NEEDED_METRICS = {"mae", "rmse"}
@@ -84,26 +86,26 @@ def _embedding(jobs, recipe, target):
 
 
 def _texts(jobs, recipe, target):
+    """All windows at once: their number is the group."""
     g, p = _rolling(jobs, recipe), recipe["model"].get("params", {})
     text = similarity.serialise(jobs, form="kv", extra=p.get("extra", []))
-    out = None
-    for w in range(g.n):
-        lo, hi = windows.train_range(g, F.col("end_time"))
-        train = jobs.where((lo <= w) & (hi >= w))
-        test = windows.test_rows(jobs, g).where(F.col("window_id") == w)
-        near = similarity.tfidf_neighbours(similarity.term_counts(train, "job_id", text), similarity.term_counts(test, "job_id", text), k=p.get("k", 5))
-        valued = near.join(train.select(F.col("job_id").alias("neighbour"), F.col(target).alias("value")), "neighbour").withColumn("window_id", F.lit(w))
-        one = similarity.weighted_prediction(valued, "window_id").withColumnRenamed("query", "job_id").join(test.select("job_id", F.col(target).alias("y_true")), "job_id").select("window_id", "job_id", "y_true", "y_pred")
-        out = one if out is None else out.union(one)
-    return out
+    known = jobs.where(F.col(target).isNotNull())
+    train, test = windows.train_rows(known, g), windows.test_rows(known, g)
+    counted = similarity.term_counts(train, "job_id", text, keep=("window_id", target)), similarity.term_counts(test, "job_id", text, keep=("window_id",))
+    near = similarity.tfidf_neighbours(*counted, k=p.get("k", 5), group="window_id", value=target)
+    predicted = similarity.weighted_prediction(near, "window_id", weighting=p.get("weighting", "similarity")).withColumnRenamed("query", "job_id")
+    return test.withColumnRenamed(target, "y_true").join(predicted, ["window_id", "job_id"]).select("window_id", "job_id", "y_true", "y_pred")
 
 
 def _own_history(jobs, recipe, target):
+    """Test jobs with k jobs or more of their user before them; earlier test jobs count too, as their ends are known by then."""
     p = recipe["model"].get("params", {})
-    named = jobs.withColumns({"__user": history.first_present(jobs, "user"), "__end": history.first_present(jobs, "end_time"), "__x": history.first_present(jobs, "num_cores_req").cast("double")})
-    s = windows.fixed_split(named.where(F.col(target).isNotNull()), recipe["split"].get("train_fraction", 0.8), ["__end", "job_id"])
-    scored = history.context_knn(s, user="__user", order=["__end", "row_idx"], key="row_idx", feature="__x", target=target, theta=p.get("theta", 50), k=p.get("k", 5))
-    return scored.where("is_test and y_pred is not null").withColumnRenamed(target, "y_true").select(F.lit(0).alias("window_id"), "job_id", "y_true", "y_pred")
+    named = jobs.withColumns({"__user": F.coalesce(history.first_present(jobs, "user").cast("string"), F.lit("")), "__end": history.first_present(jobs, "end_time"), "__y": finite(F.col(target))})
+    named = named.where("__y is not null").withColumn("__at", F.unix_micros(F.col("__end").try_cast("timestamp")))
+    s = windows.fixed_split(named.withColumn("__at", F.coalesce("__at", F.lit(-(1 << 62)))), recipe["split"].get("train_fraction", 0.8), ["__at", "job_id"])
+    numbers = [history.first_present(s, "num_cores_req"), history.first_present(s, "num_nodes_req")]
+    scored = history.context_nearest(s, user="__user", order=["row_idx"], name=history.first_present(s, "name"), numbers=numbers, target="__y", theta=p.get("theta", 50), k=p.get("k", 5))
+    return scored.where("is_test and y_pred is not null").select(F.lit(0).alias("window_id"), "job_id", F.col("__y").alias("y_true"), "y_pred")
 
 
 MODELS: dict[tuple[str, str], Callable] = {
@@ -124,32 +126,39 @@ def run(jobs: DataFrame, recipe: dict) -> tuple[DataFrame, DataFrame]:
     return predictions, metrics.report(predictions, [m["name"] for m in recipe["metrics"]])
 
 
-def write_bundle(folder: str, recipe: dict, report: DataFrame, *, predictions: DataFrame | None = None, overwrite: bool = False) -> dict:
-    """result.json, metrics.json and provenance.json in a new folder, and the predictions as Parquet."""
-    root = Path(folder)
-    if (root / "result.json").exists() and not overwrite:
-        raise FileExistsError(f"{root} holds a result")
-    root.mkdir(parents=True, exist_ok=True)
+def write_bundle(spark: SparkSession, folder: str, recipe: dict, report: DataFrame, *, predictions: DataFrame | None = None, dataset: str | None = None, overwrite: bool = False) -> dict:
+    """result.json, metrics.json and provenance.json in a new folder, and the predictions as Parquet; returns the pooled metrics."""
+    if storage.exists(spark, f"{folder}/result.json") and not overwrite:
+        raise FileExistsError(f"{folder} holds a result")
     rows = [r.asDict() for r in report.collect()]  # one row a window
     pooled = next(r for r in rows if r["window_id"] is None)
-    result = {"model": recipe["model"], "split": recipe["split"], "n_test": pooled["n_test"], "windows": sorted((r for r in rows if r["window_id"] is not None), key=lambda r: r["window_id"])}
+    made = storage.now()
+    result = {"created_at": made, "dataset": dataset, "model": recipe["model"], "split": recipe["split"], "n_test": pooled["n_test"], "windows": sorted((r for r in rows if r["window_id"] is not None), key=lambda r: r["window_id"])}
     numbers = {m["name"]: pooled[m["name"]] for m in recipe["metrics"]}
-    made = {"created_at": datetime.now(UTC).isoformat(), "recipe": recipe}
-    for name, value in (("result", result), ("metrics", numbers), ("provenance", made)):
-        (root / f"{name}.json").write_text(json.dumps(value, indent=2, sort_keys=True, default=str), encoding="utf-8")
+    provenance = {"created_at": made, "recipe": recipe, "recipe_sha256": hashlib.sha256(json.dumps(recipe, sort_keys=True).encode()).hexdigest(), "spark": spark.version}
     if predictions is not None:
         predictions.write.mode("overwrite" if overwrite else "errorifexists").parquet(f"{folder}/predictions.parquet")
+    for name, value in (("metrics", numbers), ("provenance", provenance), ("result", result)):  # the result last: a bundle with it is whole
+        storage.write_json(spark, f"{folder}/{name}.json", value, overwrite=overwrite)
     return numbers
 
 
 def read_bundles(spark: SparkSession, folder: str) -> DataFrame:
-    """run, created_at, metric, value of every whole bundle below a folder; broken ones are passed over."""
-    rows = []
-    for path in sorted(Path(folder).rglob("result.json")):
+    """run, created_at, metric, value of every whole bundle below a folder, read as a table; broken ones are passed over."""
+    run = F.regexp_extract("path", "([^/]+)/[^/]+$", 1)
+    results = storage.named_files(spark, folder, "result.json").select(F.regexp_replace("path", "/[^/]+$", "").alias("at"), run.alias("run"), F.get_json_object("value", "$.created_at").alias("created_at"), F.get_json_object("value", "$.model.id").alias("model"), F.get_json_object("value", "$.dataset").alias("dataset"))
+    numbers = storage.named_files(spark, folder, "metrics.json").select(F.regexp_replace("path", "/[^/]+$", "").alias("at"), F.from_json("value", "map<string,double>").alias("m"))
+    whole = results.where("model is not null").join(numbers.where("m is not null"), "at")
+    return whole.select("run", "model", "dataset", "created_at", F.explode("m").alias("metric", "value")).where("value is not null")
+
+
+def check_bundle(spark: SparkSession, folder: str) -> None:
+    """Raises RecipeError unless the bundle's three files say what they must."""
+    needed = {"result": ("model", "split", "n_test", "windows"), "metrics": tuple(NEEDED_METRICS), "provenance": ("created_at", "recipe")}
+    for name, keys in needed.items():
         try:
-            numbers = json.loads((path.parent / "metrics.json").read_text(encoding="utf-8"))
-            at = json.loads((path.parent / "provenance.json").read_text(encoding="utf-8")).get("created_at")
-            rows += [(path.parent.name, at, k, float(v)) for k, v in numbers.items() if v is not None]
-        except (OSError, ValueError):
-            continue
-    return spark.createDataFrame(rows, "run string, created_at string, metric string, value double")
+            value = storage.read_json(spark, f"{folder}/{name}.json")
+        except Exception as e:
+            raise RecipeError(f"{name}.json can't be read: {e}") from e
+        if lacking := [k for k in keys if k not in value]:
+            raise RecipeError(f"{name}.json lacks {', '.join(lacking)}")

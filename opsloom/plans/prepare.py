@@ -2,15 +2,16 @@
 
 from __future__ import annotations
 
-import json
-from datetime import UTC, datetime
 from pathlib import Path
 
 import yaml
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from ..operators import mapping
+from .. import storage
+from ..operators import mapping, quality
+from ..operators.summaries import UNIT_NAMES, unit_name
 from ..sources import fetch, readers
+from ..sources.readers import check_vectors
 from .validate import validate
 
 
@@ -46,49 +47,86 @@ def check(d: dict) -> None:
             raise DescriptorError(f"columns not produced: {', '.join(sorted(lost))}")
 
 
+def read_mapping(path: str) -> dict[str, dict]:
+    """A mapping file: canonical name -> source column, or a rule with its units as users spell them."""
+    out = {}
+    for name, rule in (yaml.safe_load(Path(path).read_text(encoding="utf-8")) or {}).items():
+        rule = {"from": rule} if isinstance(rule, str) else dict(rule)
+        for key, kind in (("unit", rule.get("type")), ("format", "timestamp")):
+            if key in rule and kind in UNIT_NAMES and "%" not in rule[key]:
+                rule[key] = unit_name(kind, rule[key])
+        out[name] = rule
+    return out
+
+
+def write_mapping(path: str, rules: dict[str, dict]) -> None:
+    Path(path).write_text(yaml.safe_dump(rules, sort_keys=False), encoding="utf-8")
+
+
 def target(df: DataFrame, t: dict, order: list[str]) -> DataFrame:
     """A decoded table as one target says."""
     out = mapping.project(df, t["mapping"], order)
     if t.get("state_allowlist"):
         out = mapping.allow_states(out, "job_state", t["state_allowlist"])
     out = mapping.complete(out)
-    out = mapping.apply_filters(out, t.get("filter") or {})
+    out = mapping.drop_empty_columns(mapping.apply_filters(out, t.get("filter") or {}))
     if t.get("sample"):
         out = mapping.sample(out, ["job_id"], **t["sample"])
     return mapping.select(out, t.get("select"))
 
 
+#: What a manifest must say.
+MANIFEST = ("dataset", "domain", "rows", "columns", "created_at", "sources")
+
+
+def check_manifest(manifest: dict) -> None:
+    if lacking := [k for k in MANIFEST if k not in manifest]:
+        raise DescriptorError(f"the manifest lacks {', '.join(lacking)}")
+    if not isinstance(manifest["rows"], int) or manifest["rows"] < 0 or not all(len(c) == 2 for c in manifest["columns"]):
+        raise DescriptorError("rows is a count, columns are pairs of name and type")
+
+
+def write_manifest(spark: SparkSession, path: str, table: DataFrame, *, dataset: str, domain: str, sources: list[str], **more) -> dict:
+    made = {"dataset": dataset, "domain": domain, "rows": table.count(), "columns": [list(c) for c in table.dtypes], "created_at": storage.now(), "sources": sources} | more
+    check_manifest(made)
+    storage.write_json(spark, path, made)
+    return made
+
+
 def prepare(spark: SparkSession, d: dict, cache: str, out: str, *, order: list[str] | None = None, strict: bool = False, **options) -> dict:
-    """Writes each target's table and manifest below out; returns the manifests by domain."""
+    """Writes each target's table, manifest and quality report below out; returns the manifests by domain.
+
+    Durations and nanoseconds that a Parquet source holds as plain numbers become seconds and times.
+    """
     check(d)
     files = fetch.fetch(d["dataset_id"], d["source"], cache, **options)
-    raw = readers.unify_temporal(readers.decode(spark, d["decode"]["format"], [str(f) for f in files], **d["decode"].get("options", {})))
+    raw = readers.decode(spark, d["decode"]["format"], [str(f) for f in files], **d["decode"].get("options", {}))
     made = {}
     for t in d["targets"]:
         table = target(raw, t, order or raw.columns[:1])
-        path = f"{out}/{d['dataset_id']}.{t['domain']}.parquet"
-        table.write.mode("errorifexists").parquet(path)
-        report = validate(spark.read.parquet(path), strict=strict)
-        manifest = {"dataset": d["dataset_id"], "domain": t["domain"], "rows": report["rows"], "columns": table.dtypes, "created_at": datetime.now(UTC).isoformat(), "sources": [f.name for f in files]}
-        Path(path).with_suffix(".manifest.json").write_text(json.dumps(manifest, indent=2), encoding="utf-8")
-        Path(path).with_suffix(".quality.json").write_text(json.dumps(report, indent=2, default=str), encoding="utf-8")
-        made[t["domain"]] = manifest
+        path = f"{out}/{d['dataset_id']}.{t['domain']}"
+        table.write.mode("errorifexists").parquet(f"{path}.parquet")
+        written = spark.read.parquet(f"{path}.parquet")
+        storage.write_json(spark, f"{path}.quality.json", validate(written, strict=strict) | {"report": quality.report(written, "job_state" if "job_state" in written.columns else None)})
+        made[t["domain"]] = write_manifest(spark, f"{path}.manifest.json", written, dataset=d["dataset_id"], domain=t["domain"], sources=[f.name for f in files])
     return made
 
 
 def embed(df: DataFrame, path: str, make, *, form: str = "prose", column: str = "embedding", **options) -> DataFrame:
-    """df with the vector of its text, made once for each distinct text and kept in a table at path.
+    """df with the vector of its text, made once for each distinct text and kept in a table at path, with a manifest beside it.
 
     A second run reads the vectors that are there and makes only those that are missing.
     """
-    from ..operators.similarity import serialise
+    from ..operators.similarity import concepts, serialise
 
     spark = df.sparkSession
     texts = df.withColumn("__text", serialise(df, form=form, **options)).withColumn("__hash", F.sha2("__text", 256))
     wanted = texts.select("__hash", "__text").dropDuplicates(["__hash"])
-    jvm = spark.sparkContext._jvm
-    p = jvm.org.apache.hadoop.fs.Path(path)
-    if p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(p):
+    if storage.exists(spark, path):
         wanted = wanted.join(spark.read.parquet(path).select("__hash"), "__hash", "left_anti")
     wanted.select("__hash", make(F.col("__text")).alias(column)).write.mode("append").parquet(path)
-    return texts.join(spark.read.parquet(path).dropDuplicates(["__hash"]), "__hash").drop("__hash", "__text")
+    vectors = spark.read.parquet(path)
+    digest = vectors.agg(F.hex(F.bit_xor(F.xxhash64("__hash"))).alias("x")).first().x
+    told = {"form": form, "options": {k: list(v) if isinstance(v, tuple) else v for k, v in options.items()}, "concepts": concepts(df, submit=options.get("submit", "submit_time"), extra=options.get("extra", []))}
+    storage.write_json(spark, f"{path.rstrip('/')}.manifest.json", told | {"texts": vectors.count(), "texts_digest": digest, "dim": check_vectors(vectors, column) if vectors.take(1) else None, "created_at": storage.now()}, overwrite=True)
+    return texts.join(vectors.dropDuplicates(["__hash"]), "__hash").drop("__hash", "__text")

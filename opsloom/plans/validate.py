@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 from pyspark.sql.types import TimestampNTZType, TimestampType
 
 from ..operators import quality
@@ -76,3 +76,24 @@ def validate(df: DataFrame, schema: dict = JOB_SCHEMA, *, key: str | None = None
         top = found + [f"{k} ({v['count']})" for k, v in list(issues.items())[:20]]
         raise ValidationError("; ".join(top))
     return out
+
+
+def check_path(spark: SparkSession, path: str, *, strict: bool = False) -> dict:
+    """What path holds (bundle, manifest or table) and, for a table, its report, which is written beside it; raises on what is broken."""
+    from .. import storage
+    from . import evaluate, prepare
+
+    path = path.rstrip("/")
+    if not storage.exists(spark, path):
+        raise FileNotFoundError(path)
+    if storage.is_folder(spark, path) and storage.exists(spark, f"{path}/result.json"):
+        evaluate.check_bundle(spark, path)
+        return {"kind": "bundle", "path": path}
+    if path.endswith("manifest.json"):
+        prepare.check_manifest(storage.read_json(spark, path))
+        return {"kind": "manifest", "path": path}
+    if path.endswith(".json"):
+        raise ValidationError(f"no rule for {path}")
+    report = validate(spark.read.parquet(path), strict=strict)
+    storage.write_json(spark, f"{path}.quality.json", report, overwrite=True)
+    return {"kind": "table", "path": path} | report

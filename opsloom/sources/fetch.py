@@ -75,6 +75,10 @@ def fetch(dataset: str, source: dict, cache: str, *, name: str | None = None, ev
     root = Path(cache) / dataset / "raw"
     root.mkdir(parents=True, exist_ok=True)
     out, locked = [], []
+    if manual:  # files by hand may be named by a pattern
+        resources = [r | {"filename": f.name} for r in resources for f in (sorted(Path(manual).glob(r["filename"])) if "*" in r["filename"] else [Path(r["filename"])])]
+        if not resources:
+            raise FetchError(f"no file in {manual} has a wanted name")
     for r in resources:
         path = root / r["filename"]
         if not (path.exists() and r.get("sha256") in (None, digest(path))):

@@ -9,10 +9,12 @@ import uuid
 import zipfile
 from pathlib import Path
 
-from pyspark.sql import DataFrame, SparkSession, Window, functions as F
-from pyspark.sql.types import ArrayType, MapType, StringType, StructType
+from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql.types import ArrayType, MapType, StructType
 
+from ..functions.transforms import ticks
 from ..scratch import shared_dir
+from ..storage import filesystem
 
 #: The columns of the Standard Workload Format.
 SWF = [
@@ -36,34 +38,67 @@ def union(frames: list[DataFrame]) -> DataFrame:
 
     out = None
     for f in frames:
-        f = f.withColumns({n: F.col(n).cast(wide(kinds[n])) for n, k in f.dtypes if wide(kinds[n]) != k})
+        f = f.withColumns({n: F.col(f"`{n}`").cast(wide(kinds[n])) for n, k in f.dtypes if wide(kinds[n]) != k})
         out = f if out is None else out.unionByName(f, allowMissingColumns=True)
     return out
 
 
 def parquet(spark: SparkSession, *paths: str, columns: list[str] | None = None) -> DataFrame:
-    df = union([spark.read.parquet(p) for p in paths])
-    return df.select(*(c for c in columns if c in df.columns)) if columns else df
-
-
-def unify_temporal(df: DataFrame, nanos: tuple[str, ...] = ()) -> DataFrame:
-    """Zoneless times as UTC timestamps; nanos: columns stored as whole nanoseconds."""
-    cols = {n: F.col(n).cast("timestamp") for n, k in df.dtypes if k == "timestamp_ntz"} | {n: F.timestamp_micros(F.floor(F.col(n) / 1000)) for n in nanos}
+    """Durations as seconds, nanoseconds as timestamps: Spark shows both as plain numbers, so each file's own schema tells them."""
+    df = union([physical(spark, p) for p in paths])
+    return df.select(*(f"`{c}`" for c in columns if c in df.columns)) if columns else df
+
+
+def physical(spark: SparkSession, path: str) -> DataFrame:
+    """The table at path with the columns of Arrow durations and of timestamps in nanoseconds as what they mean."""
+    df = spark.read.parquet(path)
+    longs = [n for n, k in df.dtypes if k == "bigint"]
+    kinds = stored_kinds(spark, path) if longs else {}
+    cols = {n: ticks(F.col(n), kinds[n][1]) for n in longs if kinds.get(n, ("",))[0] == "duration"}
+    cols |= {n: F.timestamp_micros(F.floor(F.col(n) / 1000)) for n in longs if kinds.get(n) == ("timestamp", "ns")}
     return df.withColumns(cols) if cols else df
 
 
-def duration_units(path: str) -> dict[str, str]:
-    """The unit of each duration column of a Parquet file, which Spark shows as a plain number."""
+def stored_kinds(spark: SparkSession, path: str) -> dict[str, tuple[str, str]]:
+    """name -> (duration or timestamp, unit) of such columns of the first Parquet file at path, from its footer alone."""
     import pyarrow as pa
     import pyarrow.parquet as pq
 
-    return {f.name: f.type.unit for f in pq.read_schema(path) if pa.types.is_duration(f.type)}
+    fs, p = filesystem(spark, path)
+    found = p
+    if fs.getFileStatus(p).isDirectory():
+        it = fs.listFiles(p, True)
+        while it.hasNext():
+            f = it.next().getPath()
+            if f.getName().endswith(".parquet"):
+                found = f
+                break
+        else:
+            return {}
+    size = fs.getFileStatus(found).getLen()
+    stream = fs.open(found)
+    try:
+        stream.seek(max(0, size - 8))
+        tail = bytes(stream.readNBytes(8))
+        footer = int.from_bytes(tail[:4], "little") + 8
+        stream.seek(max(0, size - footer))
+        # A file of the magic number and the footer is all that the schema needs.
+        schema = pq.read_schema(pa.BufferReader(b"PAR1" + bytes(stream.readNBytes(footer))))
+    finally:
+        stream.close()
+    return {f.name: ("duration" if pa.types.is_duration(f.type) else "timestamp", f.type.unit) for f in schema if pa.types.is_duration(f.type) or pa.types.is_timestamp(f.type)}
+
+
+def unify_temporal(df: DataFrame, nanos: tuple[str, ...] = ()) -> DataFrame:
+    """Zoneless times as UTC timestamps; nanos: columns stored as whole nanoseconds."""
+    cols = {n: F.col(f"`{n}`").cast("timestamp") for n, k in df.dtypes if k == "timestamp_ntz"} | {n: F.timestamp_micros(F.floor(F.col(n) / 1000)) for n in nanos}
+    return df.withColumns(cols) if cols else df
 
 
 def csv(spark: SparkSession, *paths: str, delimiter: str = ",", columns: list[str] | None = None, schema: str | None = None) -> DataFrame:
     reader = spark.read.option("header", True).option("sep", delimiter)
     df = union([(reader.schema(schema) if schema else reader.option("inferSchema", True)).csv(p) for p in paths])
-    return df.select(*(c for c in columns if c in df.columns)) if columns else df
+    return df.select(*(f"`{c}`" for c in columns if c in df.columns)) if columns else df
 
 
 def json(spark: SparkSession, *paths: str, record_path: str) -> DataFrame:
@@ -121,7 +156,13 @@ def scheduler_log(lines: DataFrame, order: str) -> DataFrame:
 
 
 def scheduler_log_file(spark: SparkSession, *paths: str) -> DataFrame:
-    lines = spark.read.text(list(paths)).withColumn("__line", F.monotonically_increasing_id())
+    """Jobs of controller logs by job_id; of several files the later one by name has the last word.
+
+    Spark packs pieces of files into tasks by size, so the place of a line is its file, the start of its
+    piece there, and its number in the task.
+    """
+    at = F.struct(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("start"), F.monotonically_increasing_id().alias("nr"))
+    lines = spark.read.text(list(paths)).select("value", at.alias("__line"))
     return scheduler_log(lines, "__line").orderBy("job_id")
 
 
@@ -152,19 +193,19 @@ def expand(path: str, into: str, pattern: str = "*", suffixes: tuple[str, ...] =
     return sorted(out)
 
 
-def shared(spark: SparkSession, local: str, inside: str) -> str:
-    """A file of the driver's own folder inside, copied to the folder that all executors share."""
-    to = f"{shared_dir(spark)}/extracted/{uuid.uuid4().hex}/{Path(local).relative_to(inside)}"
-    jvm = spark.sparkContext._jvm
-    p = jvm.org.apache.hadoop.fs.Path(to)
-    p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).copyFromLocalFile(jvm.org.apache.hadoop.fs.Path(f"file://{local}"), p)
+def shared(spark: SparkSession, local: str) -> str:
+    """A file of the driver, copied to the folder that all executors share."""
+    to = f"{shared_dir(spark)}/fetched/{uuid.uuid4().hex}/{Path(local).name}"
+    fs, p = filesystem(spark, to)
+    fs.copyFromLocalFile(spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"file://{Path(local).resolve()}"), p)
     return to
 
 
 def decode(spark: SparkSession, kind: str, paths: list[str], *, pattern: str = "*", **options) -> DataFrame:
-    """Archives expanded, then read by kind: parquet, csv, json or swf.
+    """Archives expanded, then read by kind: parquet, csv, json or swf; times without a zone are taken as UTC.
 
-    The driver extracts to a folder of its own and copies what it found to the shared one.
+    The driver extracts to a folder of its own.  What it found is copied to the shared one, fetched
+    files that are no archive too, as executors see neither.
     """
     kinds = {"parquet": (parquet, (".parquet",)), "csv": (csv, (".csv", ".tsv", ".txt", ".csv.gz")), "json": (json, (".json", ".json.gz")), "swf": (swf, (".swf", ".swf.gz", ".txt"))}
     if kind not in kinds:
@@ -172,10 +213,10 @@ def decode(spark: SparkSession, kind: str, paths: list[str], *, pattern: str = "
     read, suffixes = kinds[kind]
     with tempfile.TemporaryDirectory(prefix="opsloom-") as own:
         found = [f for p in paths for f in expand(p, own, pattern, suffixes)]
-        files = [shared(spark, f, own) if Path(f).is_relative_to(own) else f for f in found]
+        files = [shared(spark, f) if "://" not in f else f for f in found]
     if not files:
         raise FileNotFoundError(f"no {kind} file in {', '.join(paths)}")
-    return read(spark, *files, **options)
+    return unify_temporal(read(spark, *files, **options))
 
 
 def head(df: DataFrame, rows: int = 5, width: int = 120) -> DataFrame:
@@ -220,12 +261,3 @@ def check_vectors(df: DataFrame, column: str) -> int:
     if r.nulls or r.lo is None or r.lo != r.hi:
         raise ValueError(f"{column} has nulls or vectors of several lengths")
     return r.lo
-
-
-def last_of(df: DataFrame, key: str, order: str) -> DataFrame:
-    w = Window.partitionBy(key).orderBy(F.desc(order))
-    return df.withColumn("__r", F.row_number().over(w)).where("__r = 1").drop("__r")
-
-
-def string_columns(df: DataFrame) -> list[str]:
-    return [f.name for f in df.schema if isinstance(f.dataType, StringType)]

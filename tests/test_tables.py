@@ -5,7 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from opsloom import catalog_queries
-from opsloom.operators import history, mapping, quality, similarity, summaries
+from opsloom.operators import history, mapping, quality, ranks, similarity, summaries
 from opsloom.plans import characterize, prepare
 from opsloom.plans.validate import ValidationError, validate
 from opsloom.sources import fetch, readers
@@ -95,8 +95,39 @@ def test_texts_are_made_once(spark, tmp_path):
     assert out.count() == 3 and spark.read.parquet(str(tmp_path / "v")).count() == 2
     assert prepare.embed(df, str(tmp_path / "v"), lambda t: similarity.hash_encode(t, 8)).count() == 3
     assert spark.read.parquet(str(tmp_path / "v")).count() == 2
-    with pytest.raises(ValueError, match="afterwards"):
-        similarity.serialise(df.withColumn("node_list", F.lit("x")), extra=["node_list"])
+    for name in similarity.AFTERWARDS:
+        with pytest.raises(ValueError, match="afterwards"):
+            similarity.serialise(df.withColumn(name, F.lit("x")), extra=[name])
+
+
+def test_texts_of_jobs(spark):
+    """All concepts in their order, the first present name of each, and extra columns cut."""
+    df = spark.sql("""SELECT 'sim' AS name, '' AS job_name, 'gpu' AS partition, 'high' AS qos, 'acc' AS account, 'u1' AS user, 'bio' AS science_field_short, 'big' AS machine, 86400.0D AS requested_seconds,
+      2 AS num_nodes_req, 64L AS processors_requested, 8 AS num_gpus_req, '4G' AS mem_req, timestamp'2024-01-01 13:45:00' AS submit_time, '#!/bin/sh' AS script, 'COMPLETED' AS job_state""")
+    prose = df.select(similarity.serialise(df, extra=["script"], limit=5).alias("t")).first().t
+    assert prose == (
+        "An HPC batch job named sim on the gpu partition (queue high), requesting 2 nodes, 64 cores, 8 GPUs, 4G memory, a walltime limit of 86400.0, charged to account acc, submitted by u1, in bio, on big, submitted on Monday 13:00. script:\n#!/bi"
+    )
+    kv = df.select(similarity.serialise(df, form="kv", instruction="find").alias("t")).first().t
+    assert kv.split("\n") == [
+        "Instruct: find", "Query: job name: sim", "partition: gpu", "queue: high", "account: acc", "user: u1", "science field: bio", "machine: big", "requested walltime: 86400.0", "requested nodes: 2", "requested cores: 64",
+        "requested gpus: 8", "requested memory: 4G", "submitted: Monday 13:00",
+    ]
+    assert similarity.concepts(df)[:2] == ["job name", "partition"] and "COMPLETED" not in prose + kv
+    assert similarity.text_columns(df) == ["account", "machine", "name", "partition", "qos", "science_field_short", "script", "user"]
+    assert df.select(similarity.serialise(df.select(F.lit(2e7).alias("requested_seconds")), form="kv")) is not None
+
+
+def test_quantiles_and_running_sums(spark):
+    r = random.Random(2)
+    values = [r.choice([1.5, 2.0, r.random() * 100]) for _ in range(997)]
+    df = spark.createDataFrame([(v,) for v in values] + [(None,)], "v double").repartition(7)
+    at = [0.0, 0.001, 0.25, 0.5, 0.9, 0.999, 1.0]
+    expected = df.agg(F.percentile("v", F.array(*map(F.lit, at))).alias("p")).first().p
+    assert ranks.quantiles(df, "v", at).first().q == pytest.approx(expected, abs=1e-12)
+    assert ranks.quantiles(df.where("v is null"), "v", at).first().q is None
+    rows = ranks.running(df.where("v is not null").withColumn("n", F.lit(2)), ["v"], "n", "upto").collect()
+    assert [x.upto for x in sorted(rows, key=lambda x: x.upto)] == [2 * k for k in range(1, 998)] and all(a.v <= b.v for a, b in zip(*(lambda s: (s, s[1:]))(sorted(rows, key=lambda x: x.upto))))
 
 
 def test_bins(spark):
@@ -109,7 +140,9 @@ def test_fingerprint_ignores_order(spark):
     one = summaries.fingerprint(df).first()
     assert summaries.fingerprint(df.orderBy(F.desc("a")).repartition(7).select("b", "a")).first() == one
     assert summaries.fingerprint(df.where("a > 0")).first() != one
-    assert summaries.unit_name("duration", " Mins ") == "mins" and summaries.unit_name("memory", "G") == "gb"
+    assert summaries.unit_name("duration", " Mins ") == "minutes" and summaries.unit_name("duration", "H:M:S") == "hh:mm:ss" and summaries.unit_name("timestamp", "ISO-8601") == "iso8601"
+    with pytest.raises(ValueError, match="memory"):
+        summaries.unit_name("memory", "words")
 
 
 def test_digest_encoder(spark):

@@ -75,10 +75,10 @@ def recipe(model, method="rolling", **params):
 def test_models_run(spark, tmp_path, model, method, params):
     r = recipe(model, method, **params)
     predictions, report = evaluate.run(tiny_embedded_jobs(spark), r)
-    numbers = evaluate.write_bundle(str(tmp_path / "b"), r, report, predictions=predictions)
+    numbers = evaluate.write_bundle(spark, str(tmp_path / "b"), r, report, predictions=predictions)
     assert numbers["mae"] >= 0 and evaluate.read_bundles(spark, str(tmp_path)).count() == 2
     with pytest.raises(FileExistsError):
-        evaluate.write_bundle(str(tmp_path / "b"), r, report)
+        evaluate.write_bundle(spark, str(tmp_path / "b"), r, report)
 
 
 def test_neighbours_do_not_see_the_future(spark):
