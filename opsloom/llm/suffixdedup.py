@@ -59,7 +59,7 @@ CHUNK = 1 << 18
 #: Runs that one merge takes, about.
 FAN = 256
 #: Different records of one gram beyond which their strings go by themselves; such records have this for their left part.
-HOT, ALONE = 1 << 14, 255
+HOT, ALONE = 1 << 17, 255
 NOBODY = (1 << 63) - 1
 _A, _B, _C = (np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0xD6E8FEB86659FD93))
 _TOP = np.uint64(0xFFFFFFFFFFFFFFFF)
@@ -422,12 +422,17 @@ def group_of(block: int, lv: Levels) -> int:
 
 def _runs_of(keys: np.ndarray, other: np.ndarray, docs: np.ndarray) -> tuple[np.ndarray, ...]:
     """Of keys with documents and another number each: the distinct keys; are they in several documents; how many other numbers; their sum."""
-    order = np.lexsort((other, keys))
+    if not len(keys):
+        return keys, np.empty(0, bool), np.empty(0, np.int64), np.empty(0, np.int64)
+    order = np.argsort(keys, kind="stable")
     keys, other, docs = keys[order], other[order], docs[order]
     new = np.append(True, keys[1:] != keys[:-1])
     first = np.flatnonzero(new)
-    if not len(keys):
-        return keys, np.empty(0, bool), np.empty(0, np.int64), np.empty(0, np.int64)
+    # Most keys occur once; the numbers of the others are put in order within each key.
+    often = np.flatnonzero(~new | np.append(~new[1:], False))
+    group = np.cumsum(new)[often]
+    sub = often[np.lexsort((other[often], group))]
+    other[often] = other[sub]
     fresh = new | np.append(True, other[1:] != other[:-1])
     multi = np.maximum.reduceat(docs, first) != np.minimum.reduceat(docs, first)
     return keys[first], multi, np.add.reduceat(fresh.astype(np.int64), first), np.add.reduceat(np.where(fresh, (other & np.uint64(0xFFFF)).astype(np.int64), 0), first) & 0xFFFF
@@ -445,11 +450,15 @@ def _send_hashes(lv: Levels):
     return run
 
 
-def _hot_strings(b: Block, masks) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(places, documents, keys) of the strings of the block's records with a hot gram."""
-    keys = np.unique(b.key)
-    hot = keys[_flags(masks, keys)[1]]
-    at, doc = b.apart(np.flatnonzero(np.isin(b.key, hot, kind="sort")))
+def _record_flags(b: Block, masks) -> list[np.ndarray]:
+    """The two bits of the gram of each of the block's records."""
+    keys, entry = np.unique(b.key, return_inverse=True)
+    return [f[entry] for f in _flags(masks, keys)]
+
+
+def _hot_strings(b: Block, hot: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(places, documents, keys) of the strings of the flagged records."""
+    at, doc = b.apart(np.flatnonzero(hot))
     return at, doc, b.string_keys(at)
 
 
@@ -459,7 +468,8 @@ def _send_strings(lv: Levels):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for block, sizes, body, masks in zip(*(batch.column(c) for c in ("block", "sizes", "body", "masks"))):
-                _, doc, key = _hot_strings(Block(sizes.as_py(), body.as_py()), masks)
+                b = Block(sizes.as_py(), body.as_py())
+                _, doc, key = _hot_strings(b, _record_flags(b, masks)[1])
                 if len(key):
                     keys, multi, _, _ = _runs_of(key, np.zeros(len(key), np.uint64), doc)
                     none = np.zeros(len(keys), np.int64)
@@ -494,15 +504,14 @@ class Runs:
     """What a block merges: the records whose gram others have, and the strings of hot ones that others have; sorted and distinct, by range."""
 
     def __init__(self, b: Block, masks, strings, lv: Levels, doc_ids: np.ndarray):
-        keys = np.unique(b.key)
-        shared, hot = _flags(masks, keys)
-        pick = np.flatnonzero(np.isin(b.key, keys[shared & ~hot], kind="sort"))
+        shared, hot = _record_flags(b, masks)
+        pick = np.flatnonzero(shared & ~hot)
         rows, key = b.records(pick), b.key[pick]
         self.at, self.strings, self.doc = b.at[pick], b.strings[pick], b.doc[pick]
         if hot.any():
-            at, doc, own = _hot_strings(b, masks)
-            known = np.unique(own)
-            keep = np.isin(own, known[_flags(strings, known)[0]], kind="sort")
+            at, doc, own = _hot_strings(b, hot)
+            known, entry = np.unique(own, return_inverse=True)
+            keep = _flags(strings, known)[0][entry]
             rows, key = np.concatenate([rows, b.string_records(at[keep])]), np.concatenate([key, own[keep]])
             self.at, self.strings, self.doc = (np.concatenate(x) for x in ((self.at, at[keep]), (self.strings, np.ones(keep.sum(), np.int64)), (self.doc, doc[keep])))
         part = part_of(key, lv.ranges[0])
@@ -676,6 +685,43 @@ def _runs_down(part: pa.Table, told: pa.Table, lv: Levels, level: int) -> pa.Tab
     return _answer_table(part, out_counts, out_values)
 
 
+def least_of_strings(records: list[bytes], docs: list[int]) -> list[list[int]]:
+    """For each of different records with one gram, the smallest doc_id of each of its strings among all of them."""
+    best: dict[bytes, int] = {}
+    seen = [strings_of(rec) for rec in records]
+    for strings, d in zip(seen, docs):
+        for x in strings:
+            if best.get(x, NOBODY) >= d:
+                best[x] = d
+    return [[best[x] for x in strings] for strings in seen]
+
+
+def least_of_many(records: list[bytes], docs: list[int]) -> list[list[int]]:
+    """As least_of_strings, in arrays: strings meet by their keys and are then compared byte by byte."""
+    m = np.frombuffer(b"".join(records), np.uint8).reshape(-1, WIDTH)
+    left, whole = (np.where(m[:, LONGEST] == ALONE, 0, m[:, LONGEST]).astype(np.int64)[:, None], m[:, LONGEST + 1].astype(np.int64)[:, None])
+    col = np.arange(LONGEST)
+    text = np.take_along_axis(m, np.clip(np.where(col < left, whole - 1 - col, col - left), 0, LONGEST - 1), axis=1)
+    n = whole[:, 0] - MATCH + 1
+    rows = [np.flatnonzero(n > k) for k in range(SPAN)]
+    key = np.concatenate([string_key(text[r, k : k + MATCH]) for k, r in enumerate(rows)])
+    rec, at = np.concatenate(rows), np.repeat(np.arange(SPAN), [len(r) for r in rows])
+    order = np.argsort(key, kind="stable")
+    new = np.append(True, key[order][1:] != key[order][:-1])
+    first, group = np.flatnonzero(new), np.cumsum(new) - 1
+    head = order[first][group]
+    span = np.arange(MATCH)
+    for lo in range(0, len(order), 50_000):
+        a, b = order[lo : lo + 50_000], head[lo : lo + 50_000]
+        if (text[rec[a, None], at[a, None] + span] != text[rec[b, None], at[b, None] + span]).any():
+            return least_of_strings(records, docs)  # two strings with one key
+    least = np.minimum.reduceat(np.array(docs, np.int64)[rec[order]], first)
+    value = np.empty(len(order), np.int64)
+    value[order] = least[group]
+    flat = value[np.lexsort((at, rec))]
+    return [x.tolist() for x in np.split(flat, np.cumsum(n)[:-1])]
+
+
 def _runs_answered(part: pa.Table) -> pa.Table:
     """For each run of a hash range and each of its records, the smallest doc_id of its strings.
 
@@ -684,41 +730,35 @@ def _runs_answered(part: pa.Table) -> pa.Table:
     runs = [decode(x.as_py()) for x in part.column("blob")]
     counts: list[bytearray] = [bytearray() for _ in runs]
     values: list[list[int]] = [[] for _ in runs]
-    group: list[tuple[bytes, int, int]] = []
-    several = False
+    records: list[bytes] = []  # the different ones of a gram
+    docs: list[int] = []
+    members: list[list[int]] = []  # the runs that have each of them
 
     def settle() -> None:
-        if not several:
-            least = min(d for _, _, d in group)
-            for _, r, _ in group:
-                counts[r].append(1)
-                values[r].append(least)
-            return
-        best: dict[bytes, int] = {}
-        seen: list[list[bytes]] = []
-        last = None
-        for rec, _, d in group:
-            if rec != last:
-                strings, last = strings_of(rec), rec
-            seen.append(strings)
-            for s in strings:
-                if best.get(s, NOBODY) >= d:
-                    best[s] = d
-        for (_, r, _), strings in zip(group, seen):
-            found = [best[s] for s in strings]
-            if found.count(found[0]) == len(found):
-                found = found[:1]
-            counts[r].append(len(found))
-            values[r].extend(found)
+        if len(records) == 1:
+            found = [[docs[0]]]
+        else:
+            found = (least_of_many if len(records) > 64 else least_of_strings)(records, docs)
+        # The runs get their records in the order of the records.
+        for told, own in zip(found, members):
+            if told.count(told[0]) == len(told):
+                told = told[:1]
+            for r in own:
+                counts[r].append(len(told))
+                values[r].extend(told)
 
     for rec, shared, r, d in merge(runs):
-        if group and shared < GRAM:
+        if records and shared < GRAM:
             settle()
-            group, several = [], False
-        elif group and shared < WIDTH:
-            several = True
-        group.append((rec, r, d))
-    if group:
+            records, docs, members = [], [], []
+        if records and shared == WIDTH:
+            docs[-1] = min(docs[-1], d)
+            members[-1].append(r)
+        else:
+            records.append(rec)
+            docs.append(d)
+            members.append([r])
+    if records:
         settle()
     return _answer_table(part, [np.frombuffer(bytes(c), np.uint8) for c in counts], values)
 

@@ -54,6 +54,22 @@ def test_suffixes(spark, block, part, fan, hot):
     assert found_repeats(df, block_bytes=block, part_bytes=part, fan=fan, hot=hot) == brute_repeats(docs)
 
 
+def test_many_records_of_a_gram():
+    """In arrays as one by one: the strings of records that share a gram, also those that go alone."""
+    r = random.Random(7)
+    gram = bytes(r.randrange(256) for _ in range(16))
+    records = set()
+    for _ in range(300):
+        before, after = bytes(r.choice(b"ab") for _ in range(r.randint(0, 34))), bytes(r.choice(b"ab") for _ in range(34))
+        text = before + gram + after
+        if len(text) >= 50:
+            records.add((text[len(before) :] + before[::-1]).ljust(sd.LONGEST, b"\0") + bytes((len(before), len(text))))
+        records.add((gram + after).ljust(sd.LONGEST, b"\0") + bytes((sd.ALONE, 50)))
+    records = sorted(records)
+    docs = [r.randrange(1000) for _ in records]
+    assert sd.least_of_many(records, docs) == sd.least_of_strings(records, docs)
+
+
 def test_pieces_grow_with_the_text():
     """Blocks of 6 MB in ranges of 16 MB: at no level does a group's pieces outgrow the fan, whatever the corpus."""
     for blocks in (1, 80, 300, 5000, 10**5, 2 * 10**7):
