@@ -777,6 +777,25 @@ def perceptron_rolling(spark, d):
     return metrics.report(models.rolling_perceptron(j, g, hidden=(16, 8), rounds=10), ["mae", "rmse"])
 
 
+@query(f"SELECT window_id, route, count(*) AS n, round(sum(runtime_seconds), 3) AS y_true FROM ({ROUTED}) r JOIN (SELECT job_id AS j, runtime_seconds FROM ({{jobs}})) t ON r.job_id = t.j WHERE window_id >= {N - 3} GROUP BY ALL".replace("{jobs}", f"WITH {JOBS} SELECT * FROM jobs"))
+def routed_experts_rolling(spark, d):
+    """Small boosted experts over the last three windows; the SQL knows their routes, not what they predict."""
+    from .operators import models
+
+    j = jobs(spark, d)
+    out = models.rolling_experts(j, _grid(j), user="user_id", value="requested_seconds", least=50, windows=[N - 3, N - 2, N - 1], maxIter=3, maxDepth=3)
+    checked = out.withColumn("route", F.when(F.col("y_pred").isNotNull() & ~F.isnan("y_pred"), F.col("route")).otherwise("no prediction"))
+    return checked.groupBy("window_id", "route").agg(F.count(F.lit(1)).alias("n"), F.round(F.sum("y_true"), 3).alias("y_true"))
+
+
+@query("""WITH c AS (SELECT c_mktsegment AS dataset, count(*) * 2500 AS n_rows, min(c_custkey) % 5 <> 0 AS healthy FROM customer GROUP BY 1), m AS (SELECT r_name AS model, r_regionkey % 2 = 0 AS needs FROM region)
+SELECT DISTINCT dataset FROM c, m WHERE healthy AND n_rows <= 750000 AND needs""")
+def embeddings_needed(spark, d):
+    cards = table(spark, d, "customer").groupBy(F.col("c_mktsegment").alias("dataset")).agg((F.count(F.lit(1)) * 2500).alias("n_rows"), (F.min("c_custkey") % 5 != 0).alias("healthy"))
+    models = table(spark, d, "region").select(F.col("r_name").alias("model"), (F.col("r_regionkey") % 2 == 0).alias("needs_vectors"))
+    return catalog.embeddings_needed(catalog.matrix(cards, models.select("model"), most_rows=750_000), models)
+
+
 def _stream(spark, d) -> DataFrame:
     """Events as a stream of jobs."""
     schema = table(spark, d, "events").schema

@@ -86,21 +86,30 @@ def power_users(rows: DataFrame, group: str, user: str, quantile: float = 0.99)
     return counts.join(cut, group).where(F.col("n") >= F.col("cut")).select(group, user, "n")
 
 
-def routed_means(train: DataFrame, test: DataFrame, *, group: str, user: str, value: str, target: str, least: int = 100) -> DataFrame:
-    """test with route and y_pred: the mean of the expert of (user or none, bin), else the group's mean.
-
-    Routes come from training rows only; experts below least rows don't exist.
-    """
+def placed(train: DataFrame, test: DataFrame, *, group: str, user: str, value: str, power: bool = True) -> tuple[DataFrame, DataFrame]:
+    """Both with __key (the user, if a power user, else *) and __bin of the requested value; from the training rows alone."""
     edges = wallclock_edges(train, group, value)
     users = power_users(train, group, user).select(F.col(group).alias("__g"), F.col(user).alias("__u")).withColumn("__power", F.lit(True))
 
-    def placed(rows: DataFrame) -> DataFrame:
-        out = rows.join(F.broadcast(edges), group, "left").join(users, (F.col(group) == F.col("__g")) & (F.col(user) == F.col("__u")), "left")
+    def place(rows: DataFrame) -> DataFrame:
+        out = rows.join(F.broadcast(edges), group, "left")  # a row a group
+        if not power:
+            return out.withColumn("__key", F.lit("*")).withColumn("__bin", bin_of(F.col(value), F.col("edges"))).drop("edges")
+        out = out.join(users, (F.col(group) == F.col("__g")) & (F.col(user) == F.col("__u")), "left")
         key = F.when(F.col("__power"), F.col(user).cast("string")).otherwise("*")
         return out.withColumn("__key", key).withColumn("__bin", bin_of(F.col(value), F.col("edges"))).drop("edges", "__g", "__u", "__power")
 
-    sums = [F.count(F.lit(1)).alias("n_expert"), (F.sum(F.col(target).cast("decimal(28,6)")).cast("double") / F.count(target)).alias("__mean")]
-    experts = placed(train).groupBy(group, "__key", "__bin").agg(*sums).where(F.col("n_expert") >= least)
+    return place(train), place(test)
+
+
+def routed_means(train: DataFrame, test: DataFrame, *, group: str, user: str, value: str, target: str, least: int = 100) -> DataFrame:
+    """test with route and y_pred: the mean of the expert of (user or none, bin), else the group's mean.
+
+    Routes come from training rows only; experts below least rows don't exist.
+    """
     whole = train.groupBy(group).agg((F.sum(F.col(target).cast("decimal(28,6)")).cast("double") / F.count(target)).alias("__all"))
-    joined = placed(test).join(experts, [group, "__key", "__bin"], "left").join(F.broadcast(whole), group)
+    train, test = placed(train, test, group=group, user=user, value=value)
+    sums = [F.count(F.lit(1)).alias("n_expert"), (F.sum(F.col(target).cast("decimal(28,6)")).cast("double") / F.count(target)).alias("__mean")]
+    experts = train.groupBy(group, "__key", "__bin").agg(*sums).where(F.col("n_expert") >= least)
+    joined = test.join(experts, [group, "__key", "__bin"], "left").join(F.broadcast(whole), group)
     return joined.withColumn("route", F.when(F.col("__mean").isNotNull(), "expert").otherwise("fallback")).withColumn("y_pred", F.coalesce("__mean", "__all")).drop("__mean", "__all", "n_expert")

@@ -1,23 +1,34 @@
 """Regressors fitted in each evaluation window.
 
-Training and test rows of a window meet under its number.  Windows are independent, so they are
-fitted in parallel: trees by Spark ML over the distributed rows of one window, small models by a
-group map with the training rows bounded by ``max_rows`` (a documented sample by hash beyond it).
+Training and test rows of a window meet under its number.  Windows are independent, so several are
+fitted at once: trees by Spark ML over the distributed rows of one window, from a few threads of the
+driver that only start jobs; small models by a group map with the training rows bounded by
+``max_rows`` (a documented sample by hash beyond it).
+
+Categories are prepared once a day, by the first window of the day that has training rows: values
+below the least frequency at which the one-hot columns fit count as one, and the columns can be
+reduced to the right singular vectors that explain a share of their variance.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import pickle
+from collections.abc import Callable
+from concurrent.futures import ThreadPoolExecutor
+from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
-from pyspark.ml import Pipeline
-from pyspark.ml.feature import OneHotEncoder, StringIndexer, VectorAssembler
+from pyspark.ml.feature import OneHotEncoder, StringIndexerModel, VectorAssembler
+from pyspark.ml.functions import array_to_vector
 from pyspark.ml.regression import GBTRegressor, RandomForestRegressor
 from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions.transforms import finite, log_target, unlog_target
-from .windows import Grid, test_rows, train_range
+from ..scratch import checkpoint
+from . import history
+from .quality import categories, category_profile, one_hot_width
+from .windows import MICROS, Grid, micros, split_plan, test_rows, train_range
 
 #: Columns known at submission, the only ones that may be features.
 ALLOWED = [
@@ -76,49 +87,218 @@ def prepared(df: DataFrame, numeric: list[str], categorical: list[str]) -> DataF
     return df.withColumns(cols) if cols else df
 
 
-def common_values(df: DataFrame, column: str, min_frequency: int) -> Column:
-    """The column with values rarer than min_frequency as one."""
-    rare = df.groupBy(column).count().where(F.col("count") < min_frequency).select(column)
-    values = [r[0] for r in rare.limit(10_000).collect()]
-    return F.when(F.col(column).isin(values), "(rare)").otherwise(F.col(column)) if values else F.col(column)
+@dataclass
+class Encoding:
+    """How a day's categories become features: the values of each column that are told apart, and the basis they are reduced to."""
+
+    numeric: list[str]
+    values: dict[str, list[str]]
+    min_frequency: int
+    basis: np.ndarray | None = None
+    coverage: float = 1.0
+
+    @property
+    def width(self) -> int:
+        return sum(len(v) + 1 for v in self.values.values())
+
+    def indexed(self, df: DataFrame) -> DataFrame:
+        """df with the place of each category, the last one for rare and unseen values."""
+        if not self.values:
+            return df
+        cols = list(self.values)
+        model = StringIndexerModel.from_arrays_of_labels([self.values[c] for c in cols], inputCols=cols, outputCols=[f"{c}__i" for c in cols], handleInvalid="keep")
+        # Spark fills the lists of labels up to one length, so what is unseen has a place behind the longest.
+        return model.transform(df).withColumns({f"{c}__i": F.least(F.col(f"{c}__i"), F.lit(float(len(v)))) for c, v in self.values.items()})
+
+    def features(self, df: DataFrame) -> DataFrame:
+        """df with a vector column features."""
+        df, inputs, extra = self.indexed(df), list(self.numeric), [f"{c}__i" for c in self.values]
+        if self.values and self.basis is not None:
+            df, inputs = df.withColumn("__svd", array_to_vector(self.projection()(*extra))), [*inputs, "__svd"]
+            extra.append("__svd")
+        elif self.values:
+            codes = [f"{c}__v" for c in self.values]
+            sizes = [len(v) + 1 for v in self.values.values()]
+            # The encoder learns nothing but the number of categories, which is known.
+            known = df.sparkSession.createDataFrame([[float(min(k, n - 1)) for n in sizes] for k in range(max(sizes))], ", ".join(f"`{c}` double" for c in extra))
+            df = OneHotEncoder(inputCols=extra[: len(sizes)], outputCols=codes, dropLast=False).fit(known).transform(df)
+            inputs, extra = inputs + codes, extra + codes
+        return VectorAssembler(inputCols=inputs, outputCol="features").transform(df).drop(*extra)
+
+    def projection(self) -> Callable[..., Column]:
+        basis, first = self.basis, np.cumsum([0, *(len(v) + 1 for v in self.values.values())])[:-1]
 
+        @F.pandas_udf("array<double>")
+        def run(*places: pd.Series) -> pd.Series:
+            rows = sum(basis[first[k] + p.to_numpy().astype(int)] for k, p in enumerate(places))
+            return pd.Series(list(rows))
+
+        return run
+
+
+def encode(train: DataFrame, numeric: list[str], categorical: list[str], *, floor: int = 2, most: int = 2048, variance: float | None = None, components: int = 256) -> Encoding:
+    """The encoding that training rows give; most bounds its width, whatever the number of values.
+
+    variance: the share that the singular vectors must explain, None for one-hot columns.
+    """
+    if not categorical:
+        return Encoding(numeric, {}, floor)
+    fit = one_hot_width(train, categorical, floor=floor, most=most).first()
+    least = fit.min_frequency if fit else None
+    if least is None:  # more columns than the width has room for
+        return Encoding(numeric, {}, floor)
+    kept = categories(train, categorical).where((F.col("n") >= least) & F.col("value").isNotNull()).select("column", "value").collect()  # at most the width
+    out = Encoding(numeric, {c: sorted(r["value"] for r in kept if r["column"] == c) for c in categorical}, least)
+    if variance is not None:
+        out.basis, out.coverage = singular_vectors(out, train, variance, components)
+    return out
 
-def tree_pipeline(kind: str, numeric: list[str], categorical: list[str], seed: int = 42, **params):
-    """Index, encode, assemble, regress; kind: gbt or forest."""
-    stages, inputs = [], list(numeric)
+
+def singular_vectors(e: Encoding, train: DataFrame, variance: float, most: int) -> tuple[np.ndarray, float]:
+    """(right singular vectors of the one-hot rows, the share of variance they explain), from counts of pairs of categories alone."""
+    first = np.cumsum([0, *(len(v) + 1 for v in e.values.values())])
+    places = F.array(*((F.col(f"{c}__i") + float(first[k])).cast("int") for k, c in enumerate(e.values)))
+    pairs = e.indexed(train).select(F.explode(places).alias("i"), places.alias("p")).select("i", F.explode("p").alias("j"))
+    gram = np.zeros((first[-1], first[-1]))
+    for r in pairs.groupBy("i", "j").agg(F.count(F.lit(1)).alias("n")).collect():  # at most the square of the width
+        gram[r.i, r.j] = r.n
+    n = max(1.0, np.trace(gram) / len(e.values))
+    mean = np.diag(gram) / n
+    values, vectors = np.linalg.eigh(gram / n)
+    values, vectors = values[::-1], vectors[:, ::-1]
+    total = (mean - mean**2).sum()
+    share = np.cumsum(values - (mean @ vectors) ** 2) / max(total, 1e-12)
+    k = min(int(np.searchsorted(share, variance) + 1), most, len(values))
+    return vectors[:, :k].copy(), float(min(1.0, share[k - 1]))
+
+
+def diagnostics(df: DataFrame, *, extra: tuple[str, ...] = (), variance: float = 0.95, most: int = 2048, top: int = 10) -> dict:
+    """What the preparation of a table's categories comes to: profiles, the one-hot plan and the singular vectors needed."""
+    numeric, categorical, ignored = feature_columns(df, extra)
+    ready = prepared(df, numeric, categorical)
+    e = encode(ready, numeric, categorical, most=most, variance=variance)
+    frequent: dict[str, list] = {}
     if categorical:
-        stages.append(StringIndexer(inputCols=categorical, outputCols=[f"{c}__i" for c in categorical], handleInvalid="keep"))
-        stages.append(OneHotEncoder(inputCols=[f"{c}__i" for c in categorical], outputCols=[f"{c}__v" for c in categorical], handleInvalid="keep"))
-        inputs += [f"{c}__v" for c in categorical]
-    stages.append(VectorAssembler(inputCols=inputs, outputCol="features"))
-    common = {"featuresCol": "features", "labelCol": "label", "predictionCol": "prediction", "seed": seed}
+        ranked = categories(ready, categorical).where("value is not null")
+        from pyspark.sql import Window
+
+        first = ranked.withColumn("__r", F.row_number().over(Window.partitionBy("column").orderBy(F.desc("n"), "value"))).where(F.col("__r") <= top)
+        for r in first.orderBy("column", "__r").collect():
+            frequent.setdefault(r["column"], []).append([r["value"], r["n"]])
+    profiles = {r["column"]: r.asDict() | {"top": frequent.get(r["column"], [])} for r in category_profile(ready, categorical).collect()} if categorical else {}
+    return {
+        "rows": df.count(), "numeric": numeric, "ignored": ignored, "categories": profiles, "min_frequency": e.min_frequency, "one_hot_width": e.width,
+        "components": 0 if e.basis is None else e.basis.shape[1], "coverage": e.coverage,
+    }
+
+
+def regressor(kind: str, *, seed: int = 42, weighted: bool = False, **params):
+    """kind: gbt or forest."""
+    common = {"featuresCol": "features", "labelCol": "label", "predictionCol": "prediction", "seed": seed} | ({"weightCol": "weight"} if weighted else {})
     if kind == "gbt":
-        stages.append(GBTRegressor(**common, **({"maxIter": 100, "maxDepth": 8, "stepSize": 0.05, "subsamplingRate": 0.8} | params)))
-    else:
-        stages.append(RandomForestRegressor(**common, **({"numTrees": 100, "maxDepth": 16, "featureSubsetStrategy": "sqrt"} | params)))
-    return Pipeline(stages=stages)
+        return GBTRegressor(**common, **({"maxIter": 100, "maxDepth": 8, "stepSize": 0.05, "subsamplingRate": 0.8, "featureSubsetStrategy": "0.8", "minInstancesPerNode": 5} | params))
+    return RandomForestRegressor(**common, **({"numTrees": 100, "maxDepth": 16, "featureSubsetStrategy": "sqrt"} | params))
 
 
-def rolling_trees(jobs: DataFrame, g: Grid, kind: str, *, windows: list[int] | None = None, log: bool = False, extra: tuple[str, ...] = (), **params) -> DataFrame:
-    """Test rows with y_true and y_pred of a tree model fitted on each window's training rows."""
+def window_statuses(jobs: DataFrame, g: Grid, extra: tuple[str, ...] = ()) -> DataFrame:
+    """split_plan with the reason why a fitted model skips a window: too few rows, or no column that may be a feature."""
     numeric, categorical, _ = feature_columns(jobs, extra)
-    base = prepared(jobs.where(finite(F.col("runtime_seconds")).isNotNull()), numeric, categorical).cache()
+    plan = split_plan(jobs, g)
+    status = F.when(F.col("n_train") < 2, "insufficient_training_rows").when(F.col("n_test") < 1, "insufficient_test_rows")
+    return plan.withColumn("status", status.otherwise("ok" if numeric + categorical else "no_features_after_preprocessing"))
+
+
+def _rolling(jobs: DataFrame, g: Grid, score: Callable, *, windows: list[int] | None, extra: tuple[str, ...], log: bool, decay: float, variance: float | None, most: int, parallel: int) -> DataFrame:
+    """The rows that score(train, test, window) gives in each window; both have features, label and weight."""
+    numeric, categorical, _ = feature_columns(jobs, extra)
+    known = checkpoint(prepared(jobs.where(finite(F.col("runtime_seconds")).isNotNull()), numeric, categorical))
+    plan = [r for r in window_statuses(known, g, extra).orderBy("window_id").collect() if windows is None or r.window_id in windows]
     lo, hi = train_range(g, F.col("end_time"))
-    out = None
-    for w in windows if windows is not None else range(g.n):
-        train = base.where((lo <= w) & (hi >= w)).withColumn("label", log_target(F.col("runtime_seconds")) if log else F.col("runtime_seconds"))
-        test = test_rows(base, g).where(F.col("window_id") == w)
-        if train.limit(2).count() < 2 or test.limit(1).count() < 1 or not numeric + categorical:
-            continue
-        model = tree_pipeline(kind, numeric, categorical, **params).fit(train)
-        p = F.col("prediction")
-        scored = model.transform(test).select("window_id", "job_id", F.col("runtime_seconds").alias("y_true"), (unlog_target(p) if log else p).alias("y_pred"))
-        out = scored if out is None else out.union(scored)
-    if out is None:
+
+    def train_of(w: int) -> DataFrame:
+        return known.where((lo <= w) & (hi >= w))
+
+    days: dict[str, int] = {}
+    for r in plan:
+        if r.n_train >= 2 and numeric + categorical:
+            days.setdefault(r.day, r.window_id)
+
+    def one(w: int, e: Encoding) -> DataFrame:
+        start = F.lit(g.start + w * g.step)
+        age = F.greatest(F.lit(0.0), (start - micros(F.col("end_time"))) / (86400.0 * MICROS))
+        cols = {"label": log_target(F.col("runtime_seconds")) if log else F.col("runtime_seconds").cast("double"), "weight": F.exp(-decay * age)}
+        train = e.features(train_of(w).withColumns(cols)).persist()
+        try:
+            test = e.features(test_rows(known, g).where(F.col("window_id") == w))
+            return checkpoint(score(train, test, w))
+        finally:
+            train.unpersist()
+
+    todo = [r for r in plan if r.status == "ok"]
+    if not todo:
         raise ValueError("no window has enough rows")
+    with ThreadPoolExecutor(parallel) as pool:
+        made = dict(pool.map(lambda d: (d[0], encode(train_of(d[1]), numeric, categorical, most=most, variance=variance)), days.items()))
+        scored = list(pool.map(lambda r: one(r.window_id, made[r.day]), todo))
+    out = scored[0]
+    for x in scored[1:]:
+        out = out.unionByName(x)
     return out
 
 
+def _told(scored: DataFrame, log: bool) -> DataFrame:
+    p = F.col("prediction")
+    return scored.withColumn("y_true", F.col("runtime_seconds")).withColumn("y_pred", unlog_target(p) if log else p)
+
+
+def rolling_trees(
+    jobs: DataFrame, g: Grid, kind: str, *, windows: list[int] | None = None, log: bool = False, decay: float = 0.0, variance: float | None = None, most: int = 2048, extra: tuple[str, ...] = (), parallel: int = 4, **params
+) -> DataFrame:
+    """window_id, job_id, y_true, y_pred of the test rows, by a tree model fitted on each window's training rows.
+
+    decay: rows that ended d days before their window weigh exp(-decay * d); variance: see encode();
+    parallel: windows that are fitted at once.
+    """
+
+    def score(train: DataFrame, test: DataFrame, w: int) -> DataFrame:
+        model = regressor(kind, weighted=decay > 0, **params).fit(train)
+        return _told(model.transform(test), log).select("window_id", "job_id", "y_true", "y_pred")
+
+    return _rolling(jobs, g, score, windows=windows, extra=extra, log=log, decay=decay, variance=variance, most=most, parallel=parallel)
+
+
+def rolling_experts(
+    jobs: DataFrame, g: Grid, *, user: str = "user", value: str = "requested_seconds", least: int = 100, power_users: bool = True, kind: str = "gbt", windows: list[int] | None = None, log: bool = False, decay: float = 0.0,
+    variance: float | None = None, most: int = 2048, extra: tuple[str, ...] = (), parallel: int = 4, **params,
+) -> DataFrame:
+    """window_id, job_id, y_true, y_pred, route: a fitted expert for each power user and bin of the requested time, pooled ones for the others.
+
+    Routes come from the training rows.  A model of the whole window scores what has no expert, that is
+    fewer than least training rows.  Only routes that the test rows take are fitted.
+    """
+
+    def score(train: DataFrame, test: DataFrame, w: int) -> DataFrame:
+        def fitted(rows: DataFrame):
+            return regressor(kind, weighted=decay > 0, **params).fit(rows)
+
+        train, test = history.placed(train.withColumn("window_id", F.lit(w)), test, group="window_id", user=user, value=value, power=power_users)
+        train = train.persist()
+        counts = train.groupBy("__key", "__bin").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= least)
+        wanted = counts.join(test.select("__key", "__bin").distinct(), ["__key", "__bin"]).collect()  # routes of users at the top and a few bins
+        here = lambda r: (F.col("__key") == r["__key"]) & (F.col("__bin") == r["__bin"])
+        taken = F.lit(False)
+        for r in wanted:
+            taken = taken | here(r)
+        out = fitted(train).transform(test.where(~taken)).withColumn("route", F.lit("fallback"))
+        for r in sorted(wanted, key=lambda r: (r["__key"], r["__bin"])):
+            out = out.unionByName(fitted(train.where(here(r))).transform(test.where(here(r))).withColumn("route", F.lit("expert")))
+        out = checkpoint(_told(out, log).select("window_id", "job_id", "y_true", "y_pred", "route"))
+        train.unpersist()
+        return out
+
+    return _rolling(jobs, g, score, windows=windows, extra=(*extra, value, user), log=log, decay=decay, variance=variance, most=most, parallel=parallel)
+
+
 def design(frame: pd.DataFrame, numeric: list[str], categories: dict[str, list[str]]) -> np.ndarray:
     parts = [frame[numeric].to_numpy(float)] if numeric else []
     parts += [(frame[c].to_numpy()[:, None] == np.array(values, object)).astype(float) for c, values in categories.items()]
@@ -191,11 +371,21 @@ class Perceptron:
         return self._forward((x - self.mean) / self.std)[-1][:, 0] * self.y1 + self.y0
 
 
-def rolling_perceptron(jobs: DataFrame, g: Grid, *, max_rows: int = 50_000, min_frequency: int = 2, extra: tuple[str, ...] = (), **params) -> DataFrame:
+def kept_values(a: pd.DataFrame, categorical: list[str], floor: int, most: int) -> dict[str, list[str]]:
+    """The values of each column that are told apart: the least frequency from floor on at which all columns together fit."""
+    counts = {c: a[c].value_counts() for c in categorical}
+    steps = sorted({floor, *(int(n) + 1 for s in counts.values() for n in s.unique() if n >= floor)})
+    for least in steps:
+        if sum(int((s >= least).sum()) for s in counts.values()) <= most:
+            return {c: sorted(s[s >= least].index) for c, s in counts.items()}
+    return {c: [] for c in categorical}
+
+
+def rolling_perceptron(jobs: DataFrame, g: Grid, *, max_rows: int = 50_000, min_frequency: int = 2, most: int = 2048, extra: tuple[str, ...] = (), **params) -> DataFrame:
     """Test rows with y_true and y_pred of a perceptron for each window.
 
     max_rows bounds the training rows of one window (those of least hash), so that a group fits in
-    one task; all test rows are scored.
+    one task; all test rows are scored, in pieces of about as many rows that each get the window's model.
     """
     numeric, categorical, _ = feature_columns(jobs, extra)
     base = prepared(jobs.where(finite(F.col("runtime_seconds")).isNotNull()), numeric, categorical)
@@ -204,23 +394,32 @@ def rolling_perceptron(jobs: DataFrame, g: Grid, *, max_rows: int = 50_000, min_
     ranged = base.withColumn("__lo", lo).withColumn("__hi", hi).where("__lo <= __hi").select(*keep, F.explode(F.sequence("__lo", "__hi")).alias("window_id"))
     n = ranged.groupBy("window_id").agg(F.count(F.lit(1)).alias("__n"))
     share = F.xxhash64("job_id").bitwiseAND((1 << 40) - 1) / float(1 << 40)
-    train = ranged.join(F.broadcast(n), "window_id").where(share < F.lit(float(max_rows)) / F.col("__n")).drop("__n")
-    test = test_rows(base, g).select(*keep, "window_id").toDF(*(f"t_{c}" for c in keep), "t_window")
+    train = ranged.join(F.broadcast(n), "window_id").where(share < F.lit(float(max_rows)) / F.col("__n")).drop("__n")  # a row a window
+    test = test_rows(base, g).select(*keep, "window_id")
+    pieces = test.groupBy("window_id").agg(F.ceil(F.count(F.lit(1)) / max_rows).cast("int").alias("__pieces"))
+
+    def features(frame: pd.DataFrame, cats: dict[str, list[str]], basis: np.ndarray | None) -> np.ndarray:
+        x = design(frame, numeric, cats)
+        return x if basis is None else np.hstack([x[:, : len(numeric)], x[:, len(numeric) :] @ basis])
+
+    def fit(key, a: pd.DataFrame) -> pd.DataFrame:
+        if len(a) < 2:
+            return pd.DataFrame({"window_id": [], "model": []})
+        cats = kept_values(a, categorical, min_frequency, most)
+        basis = svd_reduce(design(a, [], cats)) if categorical else None
+        model = Perceptron(**params).fit(features(a, cats, basis), a["runtime_seconds"].to_numpy(float))
+        return pd.DataFrame({"window_id": [key[0]], "model": [pickle.dumps((cats, basis, model))]})
+
+    fitted = checkpoint(train.groupBy("window_id").applyInPandas(fit, "window_id int, model binary"))
 
-    def fit(key, a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
-        b = b.set_axis([*keep, "window_id"], axis=1)
-        if len(a) < 2 or not len(b):
+    def score(key, b: pd.DataFrame, m: pd.DataFrame) -> pd.DataFrame:
+        if not len(m) or not len(b):
             return pd.DataFrame({"window_id": [], "job_id": [], "y_true": [], "y_pred": []})
-        cats = {}
-        for c in categorical:
-            counts = a[c].value_counts()
-            cats[c] = sorted(counts[counts >= min_frequency].index)[:2048]
-        x, z = design(a, numeric, cats), design(b, numeric, cats)
-        if categorical:
-            basis = svd_reduce(x[:, len(numeric) :])
-            x, z = (np.hstack([m[:, : len(numeric)], m[:, len(numeric) :] @ basis]) for m in (x, z))
-        y = Perceptron(**params).fit(x, a["runtime_seconds"].to_numpy(float)).predict(z)
+        cats, basis, model = pickle.loads(m["model"][0])  # noqa: S301 - made above
+        y = model.predict(features(b, cats, basis))
         return pd.DataFrame({"window_id": b["window_id"], "job_id": b["job_id"], "y_true": b["runtime_seconds"], "y_pred": np.maximum(y, 0)})
 
+    placed = test.join(F.broadcast(pieces), "window_id").withColumn("__piece", F.pmod(F.xxhash64("job_id"), F.col("__pieces")).cast("int")).drop("__pieces")  # a row a window
+    copies = fitted.join(F.broadcast(pieces), "window_id").select("window_id", "model", F.explode(F.sequence(F.lit(0), F.col("__pieces") - 1)).alias("__piece"))
     kind = dict(jobs.dtypes)["job_id"]
-    return train.groupBy("window_id").cogroup(test.groupBy("t_window")).applyInPandas(fit, f"window_id int, job_id {kind}, y_true double, y_pred double")
+    return placed.groupBy("window_id", "__piece").cogroup(copies.groupBy("window_id", "__piece")).applyInPandas(score, f"window_id int, job_id {kind}, y_true double, y_pred double")

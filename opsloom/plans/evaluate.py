@@ -11,7 +11,7 @@ import yaml
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from .. import storage
-from ..functions.transforms import finite
+from ..functions.transforms import finite, log_target, unlog_target
 from ..operators import history, metrics, models, similarity, windows
 
 NEEDED_METRICS = {"mae", "rmse"}
@@ -64,14 +64,24 @@ def _mean_rolling(jobs, recipe, target):
     return windows.rolling_mean(jobs, _rolling(jobs, recipe), target).select("window_id", "job_id", "y_true", "y_pred")
 
 
+def _options(recipe: dict) -> dict:
+    """Settings of a split that fitted models share."""
+    split = recipe["split"]
+    return {"log": split.get("log_target", False), "decay": split.get("time_decay_rate", 0.0)} | recipe["model"].get("params", {})
+
+
 def _trees(kind):
-    return lambda jobs, recipe, target: models.rolling_trees(jobs, _rolling(jobs, recipe), kind, log=recipe["split"].get("log_target", False), **recipe["model"].get("params", {}))
+    return lambda jobs, recipe, target: models.rolling_trees(jobs, _rolling(jobs, recipe), kind, **_options(recipe))
 
 
 def _perceptron(jobs, recipe, target):
     return models.rolling_perceptron(jobs, _rolling(jobs, recipe), **recipe["model"].get("params", {}))
 
 
+def _experts(jobs, recipe, target):
+    return models.rolling_experts(jobs, _rolling(jobs, recipe), **_options(recipe))
+
+
 def _routed(jobs, recipe, target):
     g, p = _rolling(jobs, recipe), recipe["model"].get("params", {})
     out = history.routed_means(windows.train_rows(jobs, g), windows.test_rows(jobs, g), group="window_id", user=p.get("user", "user"), value=p.get("value", "requested_seconds"), target=target, least=p.get("least", 100))
@@ -80,9 +90,12 @@ def _routed(jobs, recipe, target):
 
 def _embedding(jobs, recipe, target):
     g, p = _rolling(jobs, recipe), recipe["model"].get("params", {})
-    near = similarity.dense_neighbours(windows.test_rows(jobs, g), windows.train_rows(jobs, g), key="job_id", vector=p.get("vector", "embedding"), value=target, group="window_id", k=p.get("k", 5))
+    log = recipe["split"].get("log_target", False)
+    known = jobs.where(F.col(target).isNotNull()).withColumn("__label", log_target(F.col(target)) if log else F.col(target))
+    near = similarity.dense_neighbours(windows.test_rows(known, g), windows.train_rows(known, g), key="job_id", vector=p.get("vector", "embedding"), value="__label", group="window_id", k=p.get("k", 5))
     predicted = similarity.weighted_prediction(near, "window_id", weighting=p.get("weighting", "similarity")).withColumnRenamed("query", "job_id")
-    return windows.test_rows(jobs, g).withColumnRenamed(target, "y_true").join(predicted, ["window_id", "job_id"]).select("window_id", "job_id", "y_true", "y_pred")
+    predicted = predicted.withColumn("y_pred", unlog_target(F.col("y_pred"))) if log else predicted
+    return windows.test_rows(known, g).withColumnRenamed(target, "y_true").join(predicted, ["window_id", "job_id"]).select("window_id", "job_id", "y_true", "y_pred")
 
 
 def _texts(jobs, recipe, target):
@@ -110,7 +123,7 @@ def _own_history(jobs, recipe, target):
 
 MODELS: dict[tuple[str, str], Callable] = {
     ("mean", "fixed"): _mean_fixed, ("mean", "rolling"): _mean_rolling, ("boosted_trees", "rolling"): _trees("gbt"), ("random_forest", "rolling"): _trees("forest"),
-    ("perceptron", "rolling"): _perceptron, ("routed_experts", "rolling"): _routed, ("embedding_knn", "rolling"): _embedding, ("text_knn", "rolling"): _texts,
+    ("perceptron", "rolling"): _perceptron, ("routed_experts", "rolling"): _experts, ("routed_means", "rolling"): _routed, ("embedding_knn", "rolling"): _embedding, ("text_knn", "rolling"): _texts,
     ("own_history", "fixed"): _own_history,
 }
 

@@ -71,7 +71,7 @@ def recipe(model, method="rolling", **params):
     return {"model": {"id": model, "params": params}, "metrics": [{"name": n, "target": "runtime_seconds"} for n in ("mae", "rmse")], "split": split}
 
 
-@pytest.mark.parametrize("model,method,params", [("mean", "fixed", {}), ("mean", "rolling", {}), ("embedding_knn", "rolling", {"k": 3}), ("perceptron", "rolling", {"rounds": 3, "hidden": (8, 4)}), ("text_knn", "rolling", {}), ("routed_experts", "rolling", {"user": "partition", "value": "allocated_cpus", "least": 2})])
+@pytest.mark.parametrize("model,method,params", [("mean", "fixed", {}), ("mean", "rolling", {}), ("embedding_knn", "rolling", {"k": 3}), ("perceptron", "rolling", {"rounds": 3, "hidden": (8, 4)}), ("text_knn", "rolling", {}), ("routed_means", "rolling", {"user": "partition", "value": "allocated_cpus", "least": 2}), ("routed_experts", "rolling", {"user": "partition", "value": "allocated_cpus", "least": 2, "maxIter": 2, "maxDepth": 2}), ("random_forest", "rolling", {"numTrees": 3, "maxDepth": 3, "variance": 0.95}), ("boosted_trees", "rolling", {"maxIter": 2, "maxDepth": 2})])
 def test_models_run(spark, tmp_path, model, method, params):
     r = recipe(model, method, **params)
     predictions, report = evaluate.run(tiny_embedded_jobs(spark), r)
@@ -96,3 +96,68 @@ def test_recipe_rules():
 def test_only_allowed_features(spark):
     numeric, categorical, ignored = models.feature_columns(tiny_jobs(spark))
     assert (numeric, categorical) == ([], ["partition"]) and "runtime_seconds" in ignored and "allocated_cpus" in ignored
+
+
+def test_encoding_of_categories(spark):
+    """Rare values count as one, the width fits, and the singular vectors are those of the one-hot matrix."""
+    import numpy as np
+
+    r = np.random.default_rng(5)
+    rows = [(i, "abcdefgh"[int((8 * (k % 36) + 1) ** 0.5 - 1) // 2], "xyyzzz"[k % 6] if i % 50 else f"rare{i}", float(i % 7)) for i, k in enumerate(r.permutation(400).tolist())]
+    df = spark.createDataFrame(rows, "job_id int, partition string, user string, num_cores_req double")
+    ready = models.prepared(df, ["num_cores_req"], ["partition", "user"])
+    e = models.encode(ready, ["num_cores_req"], ["partition", "user"], variance=0.9)
+    assert e.min_frequency == 2 and e.values["user"] == ["x", "y", "z"] and e.width == 13
+    x = np.array([[float(r[1] == v) for v in e.values["partition"]] + [0.0] + [float(r[2] == v) for v in e.values["user"]] + [float(r[2] not in "xyz")] for r in rows])
+    _, _, vt = np.linalg.svd(x, full_matrices=False)
+    k = e.basis.shape[1]
+    assert np.allclose(abs(e.basis.T @ vt[:k].T), np.eye(k), atol=1e-6)
+    share = np.cumsum((x @ vt.T).var(axis=0)) / x.var(axis=0).sum()
+    assert share[k - 1] >= 0.9 > share[k - 2] and e.coverage == pytest.approx(share[k - 1])
+    got = {r.job_id: r.features.toArray() for r in e.features(ready).collect()}
+    assert np.allclose(got[5], [5.0, *(x[5] @ e.basis)])
+    plain = models.encode(ready, ["num_cores_req"], ["partition", "user"], most=6)
+    assert plain.width <= 8 and plain.min_frequency > 2
+    assert {len(r.features) for r in plain.features(ready).collect()} == {1 + plain.width}
+    told = models.diagnostics(df)
+    assert told["one_hot_width"] == 13 and told["categories"]["user"]["rare_values"] == 8 and told["categories"]["partition"]["top"][0][0] == "h" and 0 < told["components"] < 13
+
+
+def test_weights_follow_recent_jobs(spark):
+    """With a steep decay the old half of the jobs, which says otherwise, counts for nothing."""
+    j = tiny_jobs(spark).withColumn("runtime_seconds", F.when(F.col("job_id") < 1015, 100.0).otherwise(5000.0)).withColumn("partition", F.lit("same"))
+    g = windows.grid(j, n_windows=1, hours=3, lookback_days=30)
+    options = {"numTrees": 3, "maxDepth": 2, "subsamplingRate": 1.0}
+    even = models.rolling_trees(j, g, "forest", **options).agg(F.avg("y_pred")).first()[0]
+    late = models.rolling_trees(j, g, "forest", decay=50.0, **options).agg(F.avg("y_pred")).first()[0]
+    assert even < 4000 < 4990 < late
+    statuses = {r.window_id: r.status for r in models.window_statuses(j.drop("partition"), windows.grid(j, n_windows=6, hours=6, lookback_days=1)).collect()}
+    assert statuses[0] == "insufficient_training_rows" and statuses[5] == "no_features_after_preprocessing"
+
+
+def test_experts_know_their_bins(spark):
+    """Two requested times with their own runtimes: each expert fits its own, rare routes fall back."""
+    j = tiny_jobs(spark).withColumn("requested_seconds", F.when(F.col("job_id") % 2 == 0, 600).otherwise(7200)).withColumn("runtime_seconds", F.when(F.col("job_id") % 2 == 0, 60.0).otherwise(6000.0)).withColumn("user", F.col("partition"))
+    g = windows.grid(j, n_windows=1, hours=6, lookback_days=30)
+    rows = models.rolling_experts(j, g, least=5, power_users=False, maxIter=2, maxDepth=1).collect()
+    assert {r.route for r in rows} == {"expert"} and all(r.y_pred == pytest.approx(r.y_true) for r in rows)
+    assert {r.route for r in models.rolling_experts(j, g, least=500, maxIter=1, maxDepth=1).collect()} == {"fallback"}
+
+
+def test_perceptron_tells_frequent_values_apart():
+    import pandas as pd
+
+    a = pd.DataFrame({"user": ["zz"] * 50 + [f"a{k:03}" for k in range(60)] * 2, "queue": ["q"] * 170})
+    assert models.kept_values(a, ["user", "queue"], 2, 100) == {"user": sorted(["zz", *(f"a{k:03}" for k in range(60))]), "queue": ["q"]}
+    assert models.kept_values(a, ["user", "queue"], 2, 10) == {"user": ["zz"], "queue": ["q"]}
+
+
+def test_own_history(spark):
+    """The latest of equally near jobs first, unseen names apart, no prediction below k jobs, unreadable times first."""
+    rows = [(k, f"2024-01-01 {k:02}:00:00" if k else "?", "u", n, c, float(y)) for k, (n, c, y) in enumerate([("a", 1, 10), ("a", 1, 20), ("b", 1, 30), ("b", 9, 40), ("a", 1, 50), ("c", 1, 60), ("a", 1, 70), ("b", 9, 80)])]
+    df = spark.createDataFrame(rows, "job_id int, end_time string, user string, name string, cnumr int, runtime_seconds double")
+    r = recipe("own_history", "fixed", theta=5, k=2) | {"split": {"method": "fixed", "train_fraction": 0.5}}
+    got = {x.job_id: x.y_pred for x in evaluate.run(df, r)[0].collect()}
+    # 4 (a, 1) has jobs 1 and 0 at distance 0.  5 (c, 1): c is unseen, so -1 against a = 0: jobs 4 and 1.
+    # 6 (a, 1): jobs 4 and 1.  7 (b, 9): job 3 at 0, then job 2 beyond its context of five, so of 3 to 6: job 6, 5 and 4 at 8 and more, b = 1, c = 2: job 6 is later than 5.
+    assert (got[4], got[5], got[6]) == (15, 35, 35) and got[7] == (40 + 30) / 2
