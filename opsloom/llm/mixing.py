@@ -5,8 +5,9 @@ share of the source its target weight.  The count inverts the Poisson distributi
 number hashed from (seed, doc_id), so it does not depend on partitioning, order or reruns.  The
 copies are then put into one global order by a hash of (seed, doc_id, copy).
 
-Defined results for odd input: null sources form one source of their own; a null ``doc_id`` hashes
-as the empty string; rows with the same ``doc_id`` get the same count, each for itself; sources
+Defined results for odd input: null sources form one source of their own; a row without ``doc_id``
+is named by the MD5 sum of its text for hashing, if there is a text column; rows with the same ``doc_id``
+get the same count, each for itself; sources
 without a weight, or with weight 0, get no copies if weights are given; an empty table gives none;
 clashing input columns ``copy`` and ``shuffle_key`` are replaced.
 """
@@ -23,6 +24,12 @@ LARGEST_PART = 500.0
 BROADCAST_NUMBERS = 4_000_000
 
 
+def name_of(docs: DataFrame) -> Column:
+    """What a row is hashed by: its doc_id, else its text."""
+    text = F.md5(F.coalesce(F.col("text").cast("string"), F.lit("")).cast("binary")) if "text" in docs.columns else F.lit("")
+    return F.coalesce(F.col("doc_id").cast("string"), text)
+
+
 def uniform(seed: str, *parts: Column) -> Column:
     """A number in [0, 1) with 52 bits, hashed from the parts."""
     text = F.concat_ws(":", F.lit(seed), *(F.coalesce(p.cast("string"), F.lit("")) for p in parts))
@@ -57,7 +64,7 @@ def replicate(docs: DataFrame, *, weights: dict[str, float] | None = None, total
     the result, as many as docs has if None.
     """
     docs = docs.drop("copy", "shuffle_key")
-    stages = Stages(docs.sparkSession)
+    stages, name = Stages(docs.sparkSession), name_of(docs)
     rated = stages.write("rates", rates(docs, weights, total))
     small = rated.select(F.col("source").alias("__source"), "parts", "cdf")
     numbers = rated.agg(F.sum(F.size("cdf") + F.lit(8))).first()[0] or 0
@@ -66,11 +73,11 @@ def replicate(docs: DataFrame, *, weights: dict[str, float] | None = None, total
 
     def count(i: Column) -> Column:
         """The Poisson number of part i; its uniform number is bound, so that it is hashed once and not for each element."""
-        return F.element_at(F.transform(F.array(uniform(seed, F.col("doc_id"), i)), lambda u: F.size(F.filter("cdf", lambda c: c <= u))), 1)
+        return F.element_at(F.transform(F.array(uniform(seed, name, i)), lambda u: F.size(F.filter("cdf", lambda c: c <= u))), 1)
 
     drawn = F.aggregate(F.sequence(F.lit(1), F.col("parts")), F.lit(0), lambda acc, i: acc + count(i))
     copies = joined.withColumn("__n", drawn).where("__n > 0").select(*docs.columns, F.explode(F.sequence(F.lit(1), F.col("__n"))).alias("copy"))
-    keyed = copies.withColumn("shuffle_key", F.conv(F.substring(F.sha2(F.concat_ws(":", F.lit(f"{seed}:order"), F.coalesce(F.col("doc_id").cast("string"), F.lit("")), F.col("copy").cast("string")), 256), 1, 15), 16, 10).cast("bigint"))
+    keyed = copies.withColumn("shuffle_key", F.conv(F.substring(F.sha2(F.concat_ws(":", F.lit(f"{seed}:order"), name, F.col("copy").cast("string")), 256), 1, 15), 16, 10).cast("bigint"))
     return keyed.orderBy("shuffle_key", "doc_id", "copy")
 
 
@@ -82,9 +89,9 @@ t AS (SELECT sum(n) AS rows, count(*) AS w FROM s),
 r AS (SELECT source, rows::DOUBLE * 1.0 / w / n AS rate FROM s, t),
 p AS (SELECT source, unnest(generate_series(0, ceil(rate + 12 * sqrt(rate) + 30)::INT)) AS k, rate FROM r),
 c AS (SELECT source, k, sum(exp(k * ln(rate) - rate - lgamma(k + 1))) OVER (PARTITION BY source ORDER BY k) AS cdf FROM p),
-u AS (SELECT *, ('0x' || substr(sha256('{seed}:' || coalesce(doc_id::VARCHAR, '') || ':1'), 1, 13))::BIGINT / 4503599627370496.0::DOUBLE AS u FROM documents),
+u AS (SELECT *, ('0x' || substr(sha256('{seed}:' || coalesce(doc_id::VARCHAR, md5(coalesce(text, ''))) || ':1'), 1, 13))::BIGINT / 4503599627370496.0::DOUBLE AS u FROM documents),
 n AS (SELECT u.doc_id, u.text, u.lang, u.source, u.n_chars, (SELECT count(*) FROM c WHERE c.source IS NOT DISTINCT FROM u.source AND c.cdf <= u.u) AS n FROM u),
 x AS (SELECT doc_id, text, lang, source, n_chars, unnest(generate_series(1, n)) AS copy FROM n)
 SELECT doc_id, text, lang, source, n_chars, copy::INT AS copy,
-  ('0x' || substr(sha256('{seed}:order:' || coalesce(doc_id::VARCHAR, '') || ':' || copy), 1, 15))::BIGINT AS shuffle_key FROM x
+  ('0x' || substr(sha256('{seed}:order:' || coalesce(doc_id::VARCHAR, md5(coalesce(text, ''))) || ':' || copy), 1, 15))::BIGINT AS shuffle_key FROM x
 """

@@ -1,5 +1,9 @@
 """The registered queries, their SQL twins, and the pipeline against its stages run apart."""
 
+import hashlib
+import math
+import random
+import zlib
 from collections import Counter
 
 import duckdb
@@ -7,7 +11,8 @@ import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from opsloom.llm import decontam, jaccard, langid, mixing, queries, twins
+from llm_samples import MOTS, SCHEMA, WORDS, prose
+from opsloom.llm import langid, mixing, queries, twins
 from opsloom.llm.common import documents
 
 SF = "/root/testdata/sf0.001"
@@ -32,16 +37,81 @@ def test_query(spark, name):
         assert sorted(tuple(plain(r[c]) for c in sorted(cols)) for r in rows) == sorted(tuple(plain(r[cols.index(c)]) for c in sorted(cols)) for r in answer.fetchall())
 
 
-def test_pipeline(spark):
-    docs = documents(spark, SF)
-    out = corpus_pipeline.run(spark, SF).collect()
-    ids = {r.doc_id for r in out}
-    und = {r.doc_id for r in langid.identify(docs).where("lang_pred = 'und'").collect()}
-    left = docs.where(~docs.doc_id.isin(list(und))) if und else docs
-    kept = {r.doc_id for r in jaccard.keep_one(left).collect()}
-    bad = {r.doc_id for r in decontam.judge(left, spark.read.parquet(f"{SF}/benchmark.parquet")).where("contaminated").collect()}
-    assert ids and ids <= kept - bad - und
+# -- the pipeline by brute force, in plain Python ------------------------------------------------
+def poisson(u, rate):
+    """The number that inverts the Poisson distribution at u."""
+    k, p = 0, math.exp(-rate)
+    c = p
+    while c <= u:
+        k += 1
+        p *= rate / k
+        c += p
+    return k
+
+
+def plain_pipeline(rows, benchmark):
+    """(text, doc_id, ...) -> copies, of rows (doc_id, text, lang, source, n_chars); the language stage by test_languages_by_all_subsets' rule."""
+    from test_dedup import brute_links
+    from test_texts import brute_contaminated, plain_language
+
+    learned = plain_language([(t, lang) for i, t, lang, *_ in rows if t is not None and lang is not None and (i is None or zlib.crc32(str(i).encode()) % 5)])
+    kept = [r for r in rows if learned(r[1])]
+    named = {}
+    for k, r in enumerate(kept):  # nodes: a doc_id, or a text without one
+        named.setdefault((0, r[0]) if r[0] is not None else (1, r[1]), []).append(r)
+    order = sorted(named, key=lambda x: (x[0], str(x[1]) if x[0] else x[1]))
+    texts = [(n, min(r[1] for r in named[node])) for n, node in enumerate(order)]
+    links = brute_links(texts, 5, 80)
+    kept = []
+    for n, node in enumerate(order):
+        own = named[node]
+        first = links[n][1] == n
+        if first or not links[n][0]:
+            kept += own if node[0] == 0 else own[:1] if own[0][1].split() else own
+    told = brute_contaminated(list(enumerate(r[1] for r in kept)), benchmark)
+    bad = {i for (i, hit, *_) in told if hit}
+    kept = [r for n, r in enumerate(kept) if n not in bad]
+    size = Counter(r[3] for r in kept)
+    out = Counter()
+    for r in kept:
+        rate = len(kept) / len(size) / size[r[3]]
+        u = int(hashlib.sha256(f"mix-1:{hashlib.md5((r[1] or '').encode()).hexdigest() if r[0] is None else r[0]}:1".encode()).hexdigest()[:13], 16) / 2.0**52
+        if n := poisson(u, rate):
+            out[r] += n
+    return out
+
+
+def run_on(spark, rows, items, tmp_path):
+    spark.createDataFrame(rows, SCHEMA).repartition(3).write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame(items, "item_id bigint, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    out = corpus_pipeline.run(spark, str(tmp_path)).collect()
     assert all(r.shard_id is not None for r in out)
+    return Counter((r.doc_id, r.text, r.lang, r.source, r.n_chars) for r in out)
+
+
+def test_pipeline_by_brute_force(spark, tmp_path):
+    """Copies, near copies, benchmark passages, texts in no language, nulls in every column and repeated rows: the exact multiset of rows."""
+    r = random.Random(12)
+    items = [(k, prose(3000 + k, 20)) for k in range(4)] + [(9, "walnut tide 17")]
+    rows = []
+    for i in range(60):
+        text = prose(i, r.randint(4, 60), MOTS if i % 3 == 0 else WORDS)
+        rows.append((i, text, None if i % 7 == 0 else "fr" if i % 3 == 0 else "en", r.choice(["a", "b", "c", None]), r.choice([None, len(text)])))
+    for k in range(12):
+        i, text, lang, source, n = rows[k * 4]
+        rows.append((100 + k, text if k % 2 else text + " more", lang, source, n))
+    rows += [(200 + k, prose(k, 15) + " " + items[k % 4][1] + " " + prose(k + 50, 9), "en", "b", 1) for k in range(6)]
+    rows += [(300, "so walnut, TIDE 17", "en", "a", 1), (301, None, "en", "a", 1), (302, "", None, "a", 1), (303, "12 34 !", "en", None, None), (304, "   ", "fr", "c", 2)]
+    rows += [(None, rows[5][1], "en", "a", 1), (None, prose(901, 30), None, "a", 1), (None, prose(901, 30), None, "a", 1), (None, prose(902, 25, MOTS), "fr", None, 1), (None, None, None, None, None)]
+    rows += [(None, prose(910 + k, 30), "en", "abc"[k % 3], k) for k in range(9)]
+    rows += [rows[10], rows[10]]
+    got = run_on(spark, rows, items, tmp_path)
+    assert got == plain_pipeline(rows, items)
+    assert None in {k[0] for k in got} and max(got.values()) > 1
+
+
+def test_pipeline_of_an_empty_table(spark, tmp_path):
+    assert run_on(spark, [], [(1, "a b c")], tmp_path) == Counter()
 
 
 def test_pipeline_equals_its_stages_in_sql(spark):

@@ -37,6 +37,82 @@ def test_languages_of_odd_input(odd, nothing):
     assert langid.keep_identified(odd).columns == odd.columns
 
 
+def plain_words(text):
+    return [w for w in re.findall(r"[^\W\d_]+", (text or "").lower())]
+
+
+def plain_tables(rows):
+    """language -> log-probability of each hashed trigram, from rows (text, language)."""
+    counts = {}
+    for text, lang in rows:
+        for w in plain_words(text):
+            counts.setdefault(lang, Counter()).update(langid.grams(w))
+    return {lang: lambda g, c=c, n=sum(c.values()): math.log(c[g] + 0.5) - math.log(n + 0.5 * langid.BUCKETS) for lang, c in counts.items()}
+
+
+def plain_mixture(words, tables, langs, rounds=400):
+    """(log-likelihood, shares) of the best mixture of the given languages, by plain expectation-maximisation."""
+    like = {w: {x: sum(tables[x](g) for g in langid.grams(w)) for x in langs} for w in words}
+    best = {w: max(v.values()) for w, v in like.items()}
+    share = {x: 1 / len(langs) for x in langs}
+    for _ in range(rounds):
+        new = dict.fromkeys(langs, 0.0)
+        for w, n in words.items():
+            part = {x: share[x] * math.exp(like[w][x] - best[w]) for x in langs}
+            total = sum(part.values())
+            for x in langs:
+                new[x] += n * part[x] / total
+        share = {x: v / sum(words.values()) for x, v in new.items()}
+    return sum(n * (best[w] + math.log(sum(share[x] * math.exp(like[w][x] - best[w]) for x in langs))) for w, n in words.items()), share
+
+
+def plain_language(rows):
+    """A function that says of a text whether the language stage keeps it: some language, and a score of two outcomes of 0.2 or more."""
+    tables = plain_tables(rows)
+
+    def keep(text):
+        words = Counter(plain_words(text))
+        if not words or not tables or not any(c.isalpha() for c in text):
+            return False
+        n = sum(words.values())
+        single = {x: sum(k * sum(tables[x](g) for g in langid.grams(w)) for w, k in words.items()) for x in tables}
+        top = max(single.values())
+        margin = 1 / sum(math.exp(min(0.0, v - top)) for v in single.values())
+        return margin * (n + 0.5) / (n + 1) >= 0.2 or len(tables) > 1
+
+    return keep
+
+
+def test_languages_by_all_subsets(spark):
+    """The nested sets that EM suggests give the set that all subsets of four languages give, and its shares."""
+    from itertools import combinations
+
+    lists = {"en": WORDS, "fr": MOTS, "xx": [w[::-1] for w in WORDS], "yy": ["kra" + w[:3] + "um" for w in MOTS]}
+    r = random.Random(6)
+    rows = [(5 * i + 1, prose(i, 50, lists[x]), x, "s", 1) for i, x in enumerate(list(lists) * 12)]
+    mixed = []
+    for k in range(24):
+        chosen = r.sample(list(lists), r.choice([1, 1, 2, 2, 3]))
+        mixed.append((10_000 + k, " ".join(prose(700 + k, r.randint(15, 40), lists[x]) for x in chosen), None, "s", 1))
+    out = {x.doc_id: x for x in langid.identify(spark.createDataFrame(rows + mixed, SCHEMA)).collect()}
+    tables = plain_tables([(t, x) for i, t, x, *_ in rows if not zlib_held(i)])
+    for i, text, *_ in mixed:
+        words = Counter(plain_words(text))
+        cost = 2.0 * math.log1p(sum(words.values()))
+        options = {s: plain_mixture(words, tables, s) for n in (1, 2, 3, 4) for s in combinations(sorted(tables), n)}
+        best = max(options, key=lambda s: options[s][0] - (len(s) - 1) * cost)
+        assert set(out[i].langs) == set(best), (i, best, out[i].langs)
+        shares = dict(zip(out[i].langs, out[i].shares))
+        assert all(shares[x] == pytest.approx(options[best][1][x], abs=0.02) for x in best)
+        assert out[i].lang_pred == max(best, key=lambda x: shares[x])
+
+
+def zlib_held(i):
+    import zlib
+
+    return zlib.crc32(str(i).encode()) % 5 == 0
+
+
 # -- tokens -----------------------------------------------------------------------------------
 def test_tokens_equal_the_library(spark):
     from tokenizers import Tokenizer
