@@ -11,7 +11,8 @@ from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
 from .functions import transforms as T
 from .operators import history, mapping, metrics, quality, similarity, summaries, windows
-from .plans import catalog, characterize
+from . import storage
+from .plans import catalog, characterize, evaluate, prepare, reports, validate
 from .scratch import shared_dir
 from .sources import readers
 from .streaming import flows
@@ -211,13 +212,16 @@ MAPPED = """mapped AS (SELECT event_id AS job_id, epoch_us(ts) AS submit_us, epo
  greatest(0, CAST(round(value * 60000000) AS BIGINT)) / 1000000.0 AS runtime_seconds FROM events)"""
 
 
-def _mapped(spark, d) -> DataFrame:
+def _raw_events(spark, d) -> DataFrame:
     us = F.unix_micros(F.col("ts").cast("timestamp"))
-    raw = table(spark, d, "events").select(
+    return table(spark, d, "events").select(
         "event_id", "event_type", "user_id", F.date_format("ts", "yyyy-MM-dd'T'HH:mm:ss.SSSSSS").alias("ts_text"), (us + 60_000_000).alias("start_us"), (us + 60_000_000 + F.round(F.col("value") * 60_000_000).cast("bigint")).alias("end_us"),
         F.concat((F.col("event_id") % 64).cast("string"), F.lit(".0")).alias("cores"), F.when(F.col("event_id") % 50 == 0, "UNLIMITED").otherwise((F.col("event_id") % 50).cast("string")).alias("minutes"),
     )
-    return mapping.project(raw, MAPPING)
+
+
+def _mapped(spark, d) -> DataFrame:
+    return mapping.project(_raw_events(spark, d), MAPPING)
 
 
 @query(f"WITH {MAPPED} SELECT * FROM mapped")
@@ -670,6 +674,122 @@ def permissive_union(spark, d):
     return readers.union([a, b]).select("k", "v", "s")
 
 
+# Sources are written to the shared folder in the format that is read, and read again.
+def _scratch(spark, name: str) -> str:
+    return f"{shared_dir(spark)}/queries/{uuid.uuid4().hex}/{name}"
+
+
+@query("SELECT o_orderkey, o_totalprice, o_orderstatus, epoch_us(o_orderdate) AS us FROM orders")
+def read_csv(spark, d):
+    path = _scratch(spark, "orders")
+    table(spark, d, "orders").select("o_orderkey", "o_totalprice", "o_orderstatus", F.date_format("o_orderdate", "yyyy-MM-dd HH:mm:ss").alias("at"), F.lit("x").alias("unread")).write.option("header", True).option("sep", "\t").option("compression", "gzip").csv(path)
+    out = readers.csv(spark, path, delimiter="\t", columns=["o_orderkey", "o_totalprice", "o_orderstatus", "at"], schema="o_orderkey bigint, o_totalprice double, o_orderstatus string, at string, unread string")
+    return out.select("o_orderkey", "o_totalprice", "o_orderstatus", F.unix_micros(T.iso8601(F.col("at"))).alias("us"))
+
+
+@query("SELECT r_name, n_name, CAST(n_nationkey AS BIGINT) AS n_nationkey FROM nation JOIN region ON n_regionkey = r_regionkey")
+def read_json(spark, d):
+    """Nations as records below their regions; names, types and nested values of the parents as a source may have them."""
+    n, r = table(spark, d, "nation"), table(spark, d, "region")
+    rows = n.join(r, n["n_regionkey"] == r["r_regionkey"]).groupBy("r_name").agg(F.collect_list(F.struct("n_name", "n_nationkey", F.array(F.lit(1)).alias("nested"))).alias("records"))
+    whole = rows.agg(F.to_json(F.collect_list(F.struct("r_name", F.struct(F.lit(1).alias("x")).alias("own"), "records"))).alias("j")).first().j  # 25 nations
+    path = storage.write_text(spark, _scratch(spark, "nations.json"), whole)
+    return readers.json(spark, path, record_path="records").select("r_name", "n_name", "n_nationkey")
+
+
+@query("SELECT o_orderkey AS job_number, epoch_us(date_trunc('day', o_orderdate)) + CAST(o_orderkey % 100 AS BIGINT) * 1000000 AS start_us FROM orders")
+def read_swf(spark, d):
+    """Workload files with headers of their own, zipped."""
+    path = _scratch(spark, "swf")
+    i, day = F.col("o_orderkey"), F.unix_timestamp(F.date_trunc("day", F.col("o_orderdate").cast("timestamp")))
+    line = F.concat_ws(" ", i.cast("string"), (day - 500).cast("string"), (i % 100).cast("string"), F.lit("60 4 -1 -1"))
+    for k in (0, 1):  # two files, each with its header first
+        rows = table(spark, d, "orders").where(i % 2 == k).select(line.alias("value")).repartition(1).withColumn("o", F.lit(1)).union(spark.createDataFrame([("; UnixStartTime: 500", 0)], "value string, o int"))
+        rows.orderBy("o").select("value").coalesce(1).write.mode("append").option("compression", "gzip").text(f"{path}/{k}.swf")
+    return readers.swf(spark, f"{path}/0.swf", f"{path}/1.swf").select(F.col("job_number").cast("bigint").alias("job_number"), F.unix_micros("start_time").alias("start_us"))
+
+
+@query("SELECT c_custkey AS job_id, 'n2' AS node_list, 120.0::DOUBLE AS runtime_seconds FROM customer WHERE c_custkey % 3 <> 0 UNION ALL SELECT c_custkey, 'n1', 60.0 FROM customer WHERE c_custkey % 3 = 0")
+def read_logs(spark, d):
+    """Two controller logs; the jobs of the later one are told anew there."""
+    path, i = _scratch(spark, "logs"), F.col("c_custkey")
+    for day, seconds, which in ((1, 60, F.lit(True)), (2, 120, i % 3 != 0)):
+        a = F.format_string(f"[2024-01-0{day}T00:00:00] x Allocate JobId=%d NodeList=n{day} #CPUs=2 Partition=p", i)
+        b = F.format_string(f"[2024-01-0{day}T00:0{seconds // 60}:00] _job_complete: JobId=%d done", i)
+        table(spark, d, "customer").where(which).select(F.explode(F.array(a, b)).alias("value")).coalesce(1).write.text(f"{path}/{day}.log")
+    return readers.scheduler_log_file(spark, f"{path}/1.log", f"{path}/2.log").select("job_id", "node_list", "runtime_seconds")
+
+
+@query("""SELECT 1001 + i AS job_id, epoch_us(TIMESTAMP '2026-01-01 00:02:00') + i * 3600000000 AS submit_us, 600.0 + 120 * (i % 10) AS runtime_seconds, i % 8 + 1 AS allocated_cpus, CASE WHEN i % 2 = 0 THEN 'debug' ELSE 'compute' END AS partition FROM range(30) t(i)""")
+def synthetic_jobs(spark, d):
+    return readers.tiny_jobs(spark).select("job_id", F.unix_micros("submit_time").alias("submit_us"), "runtime_seconds", "allocated_cpus", "partition")
+
+
+@query("SELECT o_orderkey::VARCHAR AS o_orderkey, CASE WHEN length(o_orderpriority) > 6 THEN left(o_orderpriority, 6) || '...' ELSE o_orderpriority END AS o_orderpriority FROM orders ORDER BY orders.o_orderkey LIMIT 5")
+def preview(spark, d):
+    return readers.head(table(spark, d, "orders").orderBy("o_orderkey").select("o_orderkey", "o_orderpriority"), 5, 6)
+
+
+@query(f"""WITH {MAPPED} SELECT job_id, submit_us, num_cores_req, requested_seconds, runtime_seconds FROM mapped WHERE requested_seconds IS NOT NULL AND runtime_seconds > 0 AND start_us <= end_us""")
+def prepared_target(spark, d):
+    """One target of a descriptor: mapping, completeness, filters, empty columns, selection."""
+    raw = _raw_events(spark, d)
+    made = prepare.target(raw, {"mapping": MAPPING, "filter": {"require_nonnull": ["requested_seconds"], "require_positive": ["runtime_seconds"], "require_end_after_start": True}}, ["event_id"])
+    assert "queue" not in made.columns  # no row has one
+    return made.select("job_id", F.unix_micros("submit_time").alias("submit_us"), "num_cores_req", "requested_seconds", "runtime_seconds")
+
+
+@query(f"""WITH {FREIGHT}, r AS (SELECT l_orderkey * 10 + l_linenumber AS key, start_time, end_time, amount FROM freight),
+i AS (SELECT key, 'start_time: required' AS issue FROM r WHERE start_time IS NULL UNION ALL SELECT key, 'runtime_seconds: required' FROM r WHERE amount IS NULL UNION ALL SELECT key, 'runtime_seconds: below 0' FROM r WHERE amount < 0)
+SELECT issue, count(*) AS rows, min(key) AS first FROM i GROUP BY issue""")
+def row_validation(spark, d):
+    t = freight(spark, d).select((F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("job_id"), "start_time", "end_time", F.col("amount").alias("runtime_seconds"))
+    each = t.select("job_id", F.explode(validate.row_issues(t, validate.JOB_SCHEMA)).alias("issue"))
+    return each.groupBy("issue").agg(F.count(F.lit(1)).alias("rows"), F.min("job_id").alias("first"))
+
+
+@query("SELECT count(*) AS rows, sum(('0x' || substr(sha256(concat_ws('|', o_orderkey, o_orderstatus, o_orderpriority)), 1, 13))::BIGINT)::VARCHAR AS digest FROM orders")
+def table_digest(spark, d):
+    return summaries.portable_digest(table(spark, d, "orders"), ["o_orderkey", "o_orderstatus", "o_orderpriority"])
+
+
+def _recipe(model: str, method: str = "rolling", **split) -> dict:
+    return {"model": {"id": model}, "metrics": [{"name": n, "target": "runtime_seconds"} for n in ("mae", "rmse")], "split": {"method": method} | ({"n_windows": N, "test_window_hours": H, "training_lookback_days": L} if method == "rolling" else {}) | split}
+
+
+@query(ORACLE_SQL["fixed_baseline"])
+def recipe_fixed(spark, d):
+    report = evaluate.run(jobs(spark, d), _recipe("mean", "fixed"))[1]
+    return report.where("window_id is null").select("n_test", F.round("mae", 5).alias("mae"), F.round("rmse", 5).alias("rmse"))
+
+
+@query(PRED + " SELECT 'run-1' AS run, 'mean' AS model, u.metric, u.value FROM (SELECT round(avg(abs(y_true - y_pred)), 5) AS mae, round(sqrt(avg((y_true - y_pred) ^ 2)), 5) AS rmse FROM p) x, LATERAL (VALUES ('mae', mae), ('rmse', rmse)) u(metric, value)")
+def result_bundles(spark, d):
+    """A recipe run, its bundle written, and the folder read again."""
+    folder, recipe = _scratch(spark, "runs"), _recipe("mean")
+    predictions, report = evaluate.run(jobs(spark, d), recipe)
+    evaluate.write_bundle(spark, f"{folder}/run-1", recipe, report, predictions=predictions)
+    evaluate.check_bundle(spark, f"{folder}/run-1")
+    return evaluate.read_bundles(spark, folder).select("run", "model", "metric", F.round("value", 5).alias("value"))
+
+
+@query(f"WITH {JOBS} SELECT job_id, '2024-01-04' AS effective_start, count(*) OVER () AS rows FROM jobs WHERE submit_time < TIMESTAMP '2024-01-11' AND end_time >= TIMESTAMP '2024-01-04'")
+def window_slices(spark, d):
+    """A slice and the file beside it that says which window it holds."""
+    out = _scratch(spark, "slice")
+    reports.write_slice(jobs(spark, d), out, "2024-01-05", "2024-01-10", extra_days=1, dataset="events")
+    told = storage.read_json(spark, f"{out}/slice.json")
+    return spark.read.parquet(f"{out}/data.parquet").select("job_id", F.lit(told["effective_window"]["start"]).alias("effective_start"), F.lit(told["rows"]).cast("bigint").alias("rows"))
+
+
+@query("SELECT n_name AS id, 'dataset' AS type, r_name AS domain, lower(r_name) AS tag FROM nation JOIN region ON n_regionkey = r_regionkey WHERE n_nationkey % 2 = 1")
+def registry_snapshot(spark, d):
+    """Entries written as a snapshot, read again and browsed."""
+    rows = [r.asDict() for r in _entries(spark, d).collect()]  # 25 nations
+    path = storage.write_json(spark, _scratch(spark, "registry.json"), {"entries": rows})
+    return catalog.registry_filter(catalog.read_registry(spark, path), kind="dataset").select("id", "type", "domain", F.get("tags", F.lit(0)).alias("tag"))
+
+
 # -- catalogue ------------------------------------------------------------------------------
 def _entries(spark, d) -> DataFrame:
     n, r = table(spark, d, "nation"), table(spark, d, "region")
@@ -817,6 +937,15 @@ def stream_active_spells(spark, d):
     return spells.select("user", F.unix_micros("start").alias("start_us"), "n")
 
 
+@query("SELECT event_id AS job_id, epoch_us(ts) AS start_us, epoch_us(ts) + (event_id % 50) * 60000000 AS end_us FROM events WHERE event_id % 7 <> 0")
+def stream_event_pairs(spark, d):
+    """Starts and ends as two streams, joined while both go on."""
+    i, at = F.col("job_id"), F.col("submit_time")
+    ends = F.timestamp_micros(F.unix_micros(at) + (i % 50) * 60_000_000)
+    pairs = flows.pair_events(_stream(spark, d).select(i, at.alias("start_time")), _stream(spark, d).where(i % 7 != 0).select(i, ends.alias("end_time")), late="60 days")
+    return flows.run_table(pairs, _folder(spark)).select("job_id", F.unix_micros("start_time").alias("start_us"), F.unix_micros("end_time").alias("end_us"))
+
+
 @query("""SELECT user_id AS "user", event_id AS key, value * 60 AS y_true, round(avg(value * 60) OVER w, 5) AS y_pred, CAST(count(*) OVER w AS INTEGER) AS n_context FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id ROWS BETWEEN 50 PRECEDING AND 1 PRECEDING)""")
 def stream_user_history(spark, d):
     return flows.run_table(flows.user_history_mean(_stream(spark, d)), _folder(spark)).withColumn("y_pred", F.round("y_pred", 5))

@@ -15,6 +15,7 @@ DURATION_UNITS = {"seconds": 1.0, "minutes": 60.0, "hours": 3600.0}
 MEMORY_UNITS = {"bytes": 1 / 1048576, "kb": 1 / 1024, "kib": 1 / 1024, "mb": 1.0, "mib": 1.0, "gb": 1024.0, "gib": 1024.0}
 #: Strptime fields and their patterns here.
 STRPTIME = {"%Y": "yyyy", "%m": "MM", "%d": "dd", "%H": "HH", "%M": "mm", "%S": "ss", "%y": "yy", "%f": "SSSSSS", "%b": "MMM", "%B": "MMMM", "%p": "a", "%I": "hh", "%j": "DDD"}
+#: A number, a unit of mebibytes or none, and the mark of an amount for each node.
 _SLURM_MEMORY = r"^([\d.]+)([KMGTPkmgtp]?)[nN]?$"
 
 
@@ -49,8 +50,16 @@ def strptime(c: Column, pattern: str) -> Column:
     return F.try_to_timestamp(F.nullif(F.trim(c.cast("string")), F.lit("")), F.lit(pattern))
 
 
-def duration(c: Column, unit: str = "seconds") -> Column:
-    """Seconds; sentinels are told before the unit is applied."""
+def told(made: Column, c: Column, what: str) -> Column:
+    """made, or an error where c has a text that it could not be made of."""
+    text = F.nullif(F.trim(c.cast("string")), F.lit(""))
+    return F.when(text.isNotNull() & made.isNull(), F.raise_error(F.concat(F.lit(f"{what}: "), text)).cast("double")).otherwise(made)
+
+
+def duration(c: Column, unit: str = "seconds", *, strict: bool = False) -> Column:
+    """Seconds; sentinels are told before the unit is applied.  strict: clock texts and differences that can't be read are errors."""
+    if strict and unit in ("hh:mm:ss", "timedelta"):
+        return told(duration(c, unit), c, "not a duration")
     if unit == "hh:mm:ss":
         part = F.split(F.trim(c.cast("string")), ":")
         n = [F.try_element_at(part, F.lit(k)).try_cast("double") for k in (1, 2, 3)]
@@ -158,7 +167,7 @@ def transform(c: Column, spec: dict | None) -> Column:
         form = spec.get("format", "iso8601")
         return iso8601(c, strict=spec.get("strict", False)) if form == "iso8601" else epoch(c, form) if form.startswith("epoch_") else strptime(c, form)
     if kind == "duration":
-        return duration(c, spec.get("unit", "seconds"))
+        return duration(c, spec.get("unit", "seconds"), strict=spec.get("strict", False))
     if kind == "memory":
         return memory(c, spec.get("unit", "mib"))
     if kind == "memory_slurm":

@@ -118,6 +118,13 @@ def fingerprint(df: DataFrame) -> DataFrame:
     return df.agg(F.count(F.lit(1)).alias("rows"), F.hex(F.bit_xor(h)).alias("x"), F.hex(F.sum((h % (1 << 31)).cast("decimal(20,0)")).cast("bigint")).alias("s")).select("rows", F.concat("x", F.lit("-"), "s").alias("digest"))
 
 
+def portable_digest(df: DataFrame, columns: list[str]) -> DataFrame:
+    """rows, digest: the sum of the first 13 hex digits of each row's SHA-256 of its columns; other engines can make it too."""
+    text = F.concat_ws("|", *(F.coalesce(F.col(c).cast("string"), F.lit("")) for c in columns))
+    n = F.conv(F.substring(F.sha2(text, 256), 1, 13), 16, 10).cast("decimal(20,0)")
+    return df.agg(F.count(F.lit(1)).alias("rows"), F.sum(n).cast("string").alias("digest"))
+
+
 def duration_text(seconds: Column) -> Column:
     """45s, 12m 5s, 3h 0m, 2d 4h."""
     s = F.floor(seconds).cast("bigint")

@@ -26,6 +26,13 @@ def test_timedelta(spark):
     assert values(spark, texts, lambda c: T.duration(c, "timedelta")) == [31536000, 183845, 3600, None]
 
 
+def test_strict_durations(spark):
+    assert values(spark, ["01:00:00", ""], lambda c: T.duration(c, "hh:mm:ss", strict=True)) == [3600, None]
+    for unit, text in (("hh:mm:ss", "01:00"), ("timedelta", "two days")):
+        with pytest.raises(Exception, match="not a duration"):
+            values(spark, [text], lambda c: T.duration(c, unit, strict=True))
+
+
 def test_times(spark):
     at = dt.datetime(2023, 5, 31, 22, 21, 4)
     assert values(spark, ["2023-05-31T22:21:04 UTC", "2023-05-31T22:21:04Z", ""], lambda c: F.date_format(T.iso8601(c), "yyyy-MM-dd HH:mm:ss")) == [str(at), str(at), None]
