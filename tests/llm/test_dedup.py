@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from opsloom.llm import graph, jaccard, linededup
 from opsloom.llm import suffixdedup as sd
-from opsloom.llm.common import Stages
+from opsloom.llm.common import Stages, settings
 
 from llm_samples import SCHEMA, prose
 
@@ -191,6 +191,38 @@ def test_hot_key_costs_few_rows(spark):
     assert len(pivots) == row.outside and pivot % (n // outside) != 1
 
 
+@pytest.fixture
+def eager_skew(spark):
+    """Settings under which small tables are split as large ones would be."""
+    values = {
+        "spark.sql.autoBroadcastJoinThreshold": "-1", "spark.sql.adaptive.skewJoin.skewedPartitionThresholdInBytes": "20000", "spark.sql.adaptive.skewJoin.skewedPartitionFactor": "2",
+        "spark.sql.adaptive.advisoryPartitionSizeInBytes": "20000", "spark.sql.adaptive.coalescePartitions.enabled": "false",
+    }
+    with settings(spark, **values):
+        yield
+
+
+def split(df):
+    """Does the plan that ran split a hot key?"""
+    df.write.format("noop").mode("overwrite").save()
+    df.collect()
+    return "skew=true" in df._jdf.queryExecution().executedPlan().toString()
+
+
+def test_hot_keys_are_split(spark, eager_skew):
+    """The joins on line hashes, on keys of the Jaccard join, on sets of copies and on the nodes of a star."""
+    stages = Stages(spark)
+    hot = F.when(F.col("id") % 3 > 0, 0).otherwise(F.col("id") % 5000)  # two thirds have one key
+    base = stages.write("base", spark.range(0, 60_000, 1, 12).select("id", hot.alias("a"), (hot * 3).alias("b")))
+    assert split(base.join(linededup._ranks(stages, "ranks", base), ["a", "b"]))
+    placed = stages.write("placed", base.select(F.col("a").alias("key"), F.col("id").alias("doc_id"), (F.col("id") % 1000).alias("component")))
+    keys = stages.write("keys", jaccard._open_keys(placed))
+    assert split(placed.join(keys, "key"))
+    least = stages.write("least", base.groupBy("a").agg(F.min("id").alias("m")))
+    assert split(base.join(least, "a"))
+    stages.drop("base", "ranks", "placed", "keys", "least")
+
+
 def test_near_copies_under_hot_keys(spark, monkeypatch):
     """Small blocks, so that a few hundred near copies make large keys; no link is lost in the rounds or the search."""
     monkeypatch.setattr(jaccard, "BLOCK", 16)
