@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, Window, WindowSpec, functions as F
+
+from .ranks import row_index
 
 #: Names that sources give to the same thing.
 FIELD_NAMES = {"user": ["user", "usr"], "name": ["name", "jnam"], "num_cores_req": ["processors_requested", "cnumr"], "num_nodes_req": ["nodes_requested", "nnumr"], "end_time": ["end_time", "edt"]}
@@ -14,28 +16,44 @@ def first_present(df: DataFrame, field: str) -> Column:
     return F.coalesce(*have) if have else F.lit(None)
 
 
-def past(user: str, order: list[str], theta: int):
-    """The theta jobs of the same user before this one."""
-    return Window.partitionBy(user).orderBy(*order).rowsBetween(-theta, -1)
+#: Jobs of one piece of the history.
+PIECE = 100_000
+
+
+def past(jobs: DataFrame, user: str, order: list, theta: int, piece: int = PIECE) -> tuple[DataFrame, WindowSpec]:
+    """(jobs in pieces, the window of the theta jobs of the same user before each); current() takes the copies out again.
+
+    All jobs are numbered by user and order and cut into pieces of equal size, so a user with many jobs
+    is spread over many tasks.  The last theta jobs of a piece are copied to the next one, where they
+    serve as history only.
+    """
+    numbered = row_index(jobs, [user, *order], "__i").withColumn("__piece", F.floor(F.col("__i") / piece)).withColumn("__copy", F.lit(False))
+    ahead = numbered.where(F.col("__i") % piece >= piece - theta).withColumn("__piece", F.col("__piece") + 1).withColumn("__copy", F.lit(True))
+    return numbered.union(ahead), Window.partitionBy("__piece", user).orderBy("__i").rowsBetween(-theta, -1)
 
 
-def context_mean(jobs: DataFrame, *, user: str, order: list[str], target: str, theta: int = 50) -> DataFrame:
+def current(held: DataFrame) -> DataFrame:
+    return held.where("not __copy").drop("__i", "__piece", "__copy")
+
+
+def context_mean(jobs: DataFrame, *, user: str, order: list[str], target: str, theta: int = 50, piece: int = PIECE) -> DataFrame:
     """jobs with n_context and y_pred, the exact mean of the target over the context."""
-    w = past(user, order, theta)
+    held, w = past(jobs, user, order, theta, piece)
     total = F.sum(F.col(target).cast("decimal(28,6)")).over(w)
     n = F.count(target).over(w)
-    return jobs.withColumn("n_context", n).withColumn("y_pred", total.cast("double") / F.nullif(n, F.lit(0)))
+    return current(held.withColumn("n_context", n).withColumn("y_pred", total.cast("double") / F.nullif(n, F.lit(0))))
 
 
-def context_knn(jobs: DataFrame, *, user: str, order: list[str], key: str, feature: str, target: str, theta: int = 50, k: int = 5) -> DataFrame:
+def context_knn(jobs: DataFrame, *, user: str, order: list[str], key: str, feature: str, target: str, theta: int = 50, k: int = 5, piece: int = PIECE) -> DataFrame:
     """jobs with y_pred: the mean target of the k jobs of the context with the nearest feature; ties by key."""
-    context = F.collect_list(F.struct(F.col(feature).alias("x"), F.col(key).alias("id"), F.col(target).alias("y"))).over(past(user, order, theta))
+    held, w = past(jobs, user, order, theta, piece)
+    context = F.collect_list(F.struct(F.col(feature).alias("x"), F.col(key).alias("id"), F.col(target).alias("y"))).over(w)
     near = F.slice(F.array_sort(F.transform("__c", lambda c: F.struct(F.abs(c["x"] - F.col(feature)).alias("d"), c["id"].alias("id"), c["y"].alias("y")))), 1, k)
     total = F.aggregate(near, F.lit(0).cast("decimal(28,6)"), lambda a, c: (a + c["y"].cast("decimal(20,6)")).cast("decimal(28,6)"))
-    return jobs.withColumn("__c", context).withColumn("y_pred", F.when(F.size("__c") > 0, total.cast("double") / F.least(F.lit(k), F.size("__c")))).drop("__c")
+    return current(held.withColumn("__c", context)).withColumn("y_pred", F.when(F.size("__c") > 0, total.cast("double") / F.least(F.lit(k), F.size("__c")))).drop("__c")
 
 
-def context_nearest(jobs: DataFrame, *, user: str, order: list, name: Column, numbers: list[Column], target: str, theta: int = 50, k: int = 5) -> DataFrame:
+def context_nearest(jobs: DataFrame, *, user: str, order: list, name: Column, numbers: list[Column], target: str, theta: int = 50, k: int = 5, piece: int = PIECE) -> DataFrame:
     """jobs with n_context and y_pred: the mean target of the k jobs of the context nearest by name and numbers.
 
     The name counts as its place among the sorted names of the context, -1 if it is not there; missing
@@ -43,8 +61,9 @@ def context_nearest(jobs: DataFrame, *, user: str, order: list, name: Column, nu
     prediction below k jobs.  The order may hold Columns.
     """
     own = F.struct(F.coalesce(name.cast("string"), F.lit("")).alias("name"), F.array(*(F.coalesce(n.cast("string").try_cast("double"), F.lit(0.0)) for n in numbers)).alias("x"))
-    w = Window.partitionBy(user).orderBy(*order).rowsBetween(-theta, -1)
-    held = jobs.withColumn("__q", own).withColumn("__c", F.collect_list(F.struct(F.col("__q.name").alias("name"), F.col("__q.x").alias("x"), F.col(target).cast("double").alias("y"))).over(w))
+    held, w = past(jobs.withColumn("__q", own), user, order, theta, piece)
+    held = held.withColumn("__c", F.collect_list(F.struct(F.col("__q.name").alias("name"), F.col("__q.x").alias("x"), F.col(target).cast("double").alias("y"))).over(w))
+    held = current(held)
     classes = F.array_sort(F.array_distinct(F.transform("__c", lambda c: c["name"])))
     held = held.withColumn("__n", classes)
     place = lambda v: (F.array_position("__n", v) - 1).cast("double")
@@ -56,11 +75,6 @@ def context_nearest(jobs: DataFrame, *, user: str, order: list, name: Column, nu
     return out.drop("__q", "__c", "__n")
 
 
-def end_order(c: Column) -> list[Column]:
-    """An order by time in which what is no time comes first."""
-    return [c.cast("timestamp").asc_nulls_first()]
-
-
 def wallclock_edges(rows: DataFrame, group: str, value: str, *, bins: int = 5, least_share: float = 0.02) -> DataFrame:
     """group, edges: the most requested values, if two have the share, else quantiles; the last edge is infinite."""
     counts = rows.where(F.col(value) > 0).groupBy(group, value).agg(F.count(F.lit(1)).alias("n"))

@@ -1,7 +1,7 @@
 import pytest
 from pyspark.sql import functions as F
 
-from opsloom.operators import metrics, models, windows
+from opsloom.operators import history, metrics, models, windows
 from opsloom.plans import evaluate
 from opsloom.sources.readers import tiny_embedded_jobs, tiny_jobs
 
@@ -161,3 +161,16 @@ def test_own_history(spark):
     # 4 (a, 1) has jobs 1 and 0 at distance 0.  5 (c, 1): c is unseen, so -1 against a = 0: jobs 4 and 1.
     # 6 (a, 1): jobs 4 and 1.  7 (b, 9): job 3 at 0, then job 2 beyond its context of five, so of 3 to 6: job 6, 5 and 4 at 8 and more, b = 1, c = 2: job 6 is later than 5.
     assert (got[4], got[5], got[6]) == (15, 35, 35) and got[7] == (40 + 30) / 2
+
+
+def test_history_in_pieces(spark):
+    """One user with most jobs: pieces of 64 give what one window a user gives, and no piece holds more than its jobs and copies."""
+    df = spark.range(1500).select(F.col("id").alias("job_id"), F.when(F.col("id") % 3 < 2, 1).otherwise(F.col("id") % 11).alias("user"), (F.col("id") * 7919 % 1000).alias("at"), (F.col("id") % 17 * 1.0).alias("y"), (F.col("id") % 5).alias("x"))
+    whole = history.context_mean(df, user="user", order=["at", "job_id"], target="y", theta=10)
+    cut = history.context_mean(df, user="user", order=["at", "job_id"], target="y", theta=10, piece=64)
+    assert sorted(whole.collect()) == sorted(cut.collect()) and cut.columns == [*df.columns, "n_context", "y_pred"]
+    held, _ = history.past(df, "user", ["at", "job_id"], 10, 64)
+    assert held.groupBy("__piece").count().agg(F.max("count")).first()[0] <= 74
+    a = history.context_knn(df, user="user", order=["at", "job_id"], key="job_id", feature="x", target="y", theta=10, piece=64)
+    b = history.context_knn(df, user="user", order=["at", "job_id"], key="job_id", feature="x", target="y", theta=10)
+    assert sorted(a.collect()) == sorted(b.collect())
