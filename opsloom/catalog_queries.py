@@ -406,19 +406,22 @@ def healthy_span(spark, d):
     return characterize.volume_stats(characterize.daily_volume(table(spark, d, "events"), "ts"))
 
 
-SPARSE = "sparse AS (SELECT DISTINCT CAST(o_orderdate AS DATE) AS day FROM orders WHERE o_custkey % 97 = 0)"
-SERIES = f"WITH {SPARSE}, lo AS (SELECT min(day) AS a, max(day) AS b FROM sparse), ds AS (SELECT CAST(unnest(generate_series(a, b, INTERVAL 1 DAY)) AS DATE) AS day FROM lo), dv AS (SELECT ds.day, (s.day IS NOT NULL)::BIGINT AS n FROM ds LEFT JOIN sparse s USING (day)), g AS (SELECT day, day - CAST(row_number() OVER (ORDER BY day) AS INTEGER) AS isl FROM dv WHERE n < 1), gp AS (SELECT min(day) AS gap_start, max(day) AS gap_end, count(*) AS days FROM g GROUP BY isl HAVING count(*) >= 3)"
+#: Days are told by their very large orders, as all orders together leave no day empty.
+LARGE = 495_000
+SERIES = f"""WITH o AS (SELECT CAST(o_orderdate AS DATE) AS day, count(*) FILTER (WHERE o_totalprice > {LARGE}) AS n FROM orders GROUP BY 1), lo AS (SELECT min(day) AS a, max(day) AS b FROM o), ds AS (SELECT CAST(unnest(generate_series(a, b, INTERVAL 1 DAY)) AS DATE) AS day FROM lo), dv AS (SELECT ds.day, coalesce(o.n, 0) AS n FROM ds LEFT JOIN o USING (day)),
+fl AS (SELECT greatest(1.0, 0.05 * coalesce(median(n) FILTER (WHERE n > 0), 0)) AS f FROM dv), g AS (SELECT day, day - CAST(row_number() OVER (ORDER BY day) AS INTEGER) AS isl FROM dv, fl WHERE n < f), gp AS (SELECT min(day) AS gap_start, max(day) AS gap_end, count(*) AS days FROM g GROUP BY isl HAVING count(*) >= 3)"""
 
 
-def _sparse(spark, d) -> DataFrame:
-    days = table(spark, d, "orders").where("o_custkey % 97 = 0").select(F.col("o_orderdate").cast("date").alias("day")).distinct()
+def _large_orders(spark, d) -> DataFrame:
+    """day, n of very large orders, for every day from the first to the last order."""
+    days = table(spark, d, "orders").groupBy(F.col("o_orderdate").cast("date").alias("day")).agg(F.count_if(F.col("o_totalprice") > LARGE).alias("n"))
     every = days.agg(F.min("day").alias("a"), F.max("day").alias("b")).select(F.explode(F.sequence("a", "b")).alias("day"))
-    return every.join(days.withColumn("n", F.lit(1)), "day", "left").select("day", F.coalesce("n", F.lit(0)).cast("bigint").alias("n"))
+    return every.join(days, "day", "left").select("day", F.coalesce("n", F.lit(0)).alias("n"))
 
 
 @query(SERIES + " SELECT * FROM gp")
 def gaps(spark, d):
-    return characterize.gaps(_sparse(spark, d))
+    return characterize.gaps(_large_orders(spark, d))
 
 
 @query(SERIES + """, e AS (SELECT min(day) AS lo, max(day) AS hi, date_diff('day', min(day), max(day)) + 1 AS span FROM dv),
@@ -426,13 +429,13 @@ x AS (SELECT *, least(5, span) AS size FROM e), an AS (SELECT *, greatest(lo + C
 c AS (SELECT an.*, CAST(unnest(generate_series(lo + CAST(size - 1 AS INTEGER), hi, INTERVAL 1 DAY)) AS DATE) AS e FROM an), t AS (SELECT *, e - CAST(size - 1 AS INTEGER) AS s, abs(date_diff('day', anchor, e)) AS shift, (SELECT count(*) FROM gp WHERE gap_start <= e AND gap_end >= e - CAST(size - 1 AS INTEGER)) AS touches FROM c)
 SELECT s AS window_start, e AS window_end, greatest(s, e - 1) AS test_start, shift, (SELECT CAST(sum(n) AS BIGINT) FROM dv WHERE day BETWEEN s AND e) AS n_rows, touches = 0 AS healthy FROM t ORDER BY touches > 0, shift, e DESC LIMIT 1""")
 def select_window(spark, d):
-    daily = _sparse(spark, d)
+    daily = _large_orders(spark, d)
     return characterize.select_window(daily, characterize.gaps(daily), train_days=3, test_days=2)
 
 
 @query(SERIES + ", c AS (SELECT day AS e, day - 4 AS s FROM dv) SELECT s, e FROM c WHERE NOT EXISTS (SELECT 1 FROM gp WHERE gap_start <= e AND gap_end >= s)")
 def clear_windows(spark, d):
-    daily = _sparse(spark, d)
+    daily = _large_orders(spark, d)
     ends = daily.select(F.date_sub("day", 4).alias("s"), F.col("day").alias("e"))
     return ends.join(F.broadcast(characterize.gaps(daily)), (F.col("gap_start") <= F.col("e")) & (F.col("gap_end") >= F.col("s")), "left_anti")
 
@@ -548,12 +551,12 @@ def own_history_knn(spark, d):
 
 
 # -- similarity -----------------------------------------------------------------------------
-VECS = "v AS (SELECT vec_id, embedding::DOUBLE[] AS e, label, CAST(vec_id % 4 AS INTEGER) AS g FROM embeddings), nb AS (SELECT a.g, a.vec_id AS query, b.vec_id AS neighbour, round(list_cosine_similarity(a.e, b.e), 9) AS s, b.label AS y FROM v a JOIN v b ON a.g = b.g AND a.vec_id <> b.vec_id), rk AS (SELECT *, row_number() OVER (PARTITION BY query ORDER BY s DESC, neighbour) AS rank FROM nb)"
+VECS = "v AS (SELECT vec_id, embedding::DOUBLE[] AS e, embedding[1]::DOUBLE AS label, label AS g FROM embeddings), nb AS (SELECT a.g, a.vec_id AS query, b.vec_id AS neighbour, round(list_cosine_similarity(a.e, b.e), 9) AS s, b.label AS y FROM v a JOIN v b ON a.g = b.g AND a.vec_id <> b.vec_id), rk AS (SELECT *, row_number() OVER (PARTITION BY query ORDER BY s DESC, neighbour) AS rank FROM nb)"
 
 
 def _neighbours(spark, d) -> DataFrame:
-    v = table(spark, d, "embeddings").withColumn("g", (F.col("vec_id") % 4).cast("int"))
-    near = similarity.dense_neighbours(v, v, key="vec_id", vector="embedding", value="label", group="g", k=6).where("query <> neighbour")
+    v = table(spark, d, "embeddings").select("vec_id", "embedding", F.col("label").alias("g"), F.element_at("embedding", 1).alias("first"))
+    near = similarity.dense_neighbours(v, v, key="vec_id", vector="embedding", value="first", group="g", k=6).where("query <> neighbour")
     again = F.row_number().over(Window.partitionBy("g", "query").orderBy(F.desc("similarity"), "neighbour"))
     return near.withColumn("rank", again).where("rank <= 5")
 
