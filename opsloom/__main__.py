@@ -25,7 +25,8 @@ COMMANDS: dict[str, tuple[str, list[str], list[str]]] = {
     "ingest-parquet": ("makes a job table of a Parquet export and a mapping file", ["table", "mapping", "out"], []),
     "suggest": ("suggests which columns fill which fields", ["table"], []),
     "embed": ("adds hashed text vectors to a table", ["table", "vectors", "out"], ["form"]),
-    "plan": ("plans the cells of cards and models", ["cards", "out"], ["slices", "most-rows", "dataset", "model"]),
+    "plan": ("plans the cells of cards and models, with their recipes", ["cards", "out"], ["slices", "most-rows", "dataset", "model", "overrides"]),
+    "diagnose": ("writes what the preparation of a table's categories comes to", ["table", "out"], []),
     "leaderboard": ("writes the leaderboard of a folder of bundles", ["folder", "out"], []),
     "browse": ("lists registry entries", [], ["registry", "type", "tag", "source"]),
     "info": ("shows a registry entry", ["entry"], ["registry"]),
@@ -41,7 +42,7 @@ def descriptor(name: str) -> dict:
 
 def run(spark, a: argparse.Namespace) -> object:
     """What a command prints."""
-    from .operators import mapping, similarity, summaries
+    from .operators import mapping, models, similarity, summaries
     from .plans import catalog, evaluate, prepare, reports, validate
     from .sources import fetch, readers
 
@@ -84,11 +85,18 @@ def run(spark, a: argparse.Namespace) -> object:
         return storage.read_json(spark, f"{a.vectors.rstrip('/')}.manifest.json")
     if a.what == "plan":
         cards, sides = reports.read_cards(spark, a.cards, a.slices)
-        models = spark.createDataFrame([(m, m == "embedding_knn") for m, split in evaluate.MODELS if split == "rolling"], "model string, needs_vectors boolean")
-        cells = catalog.matrix(cards.select("dataset", "n_rows", "healthy"), models.select("model"), sidecars=sides, most_rows=int(a.most_rows) if a.most_rows else None, only_dataset=a.dataset, only_model=a.model)
-        plan = {"cells": rows(cells.orderBy("dataset", "model")), "embed": [r.dataset for r in catalog.embeddings_needed(cells, models).orderBy("dataset").collect()]}
+        known = spark.createDataFrame([(m, m == "embedding_knn") for m, split in evaluate.MODELS if split == "rolling"], "model string, needs_vectors boolean")
+        cells = catalog.matrix(cards.select("dataset", "n_rows", "healthy"), known.select("model"), sidecars=sides, most_rows=int(a.most_rows) if a.most_rows else None, only_dataset=a.dataset, only_model=a.model)
+        plan = {"cells": rows(cells.orderBy("dataset", "model")), "embed": [r.dataset for r in catalog.embeddings_needed(cells, known).orderBy("dataset").collect()]}
+        for c in plan["cells"]:
+            if c["status"] == "cell":
+                c["recipe"] = storage.write_json(spark, f"{a.out}/{c['dataset']}.{c['model']}.recipe.json", catalog.cell_recipe(c["dataset"], c["model"], **json.loads(a.overrides or "{}")), overwrite=True)
         storage.write_json(spark, f"{a.out}/plan.json", plan, overwrite=True)
         return plan
+    if a.what == "diagnose":
+        told = models.diagnostics(table())
+        storage.write_json(spark, a.out, told, overwrite=True)
+        return told
     if a.what == "leaderboard":
         return reports.write_leaderboard(spark, a.folder, a.out)
     if a.what in ("browse", "info"):

@@ -22,7 +22,7 @@ import pandas as pd
 from pyspark.ml.feature import OneHotEncoder, StringIndexerModel, VectorAssembler
 from pyspark.ml.functions import array_to_vector
 from pyspark.ml.regression import GBTRegressor, RandomForestRegressor
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ..functions.transforms import finite, log_target, unlog_target
 from ..scratch import checkpoint
@@ -180,8 +180,6 @@ def diagnostics(df: DataFrame, *, extra: tuple[str, ...] = (), variance: float =
     frequent: dict[str, list] = {}
     if categorical:
         ranked = categories(ready, categorical).where("value is not null")
-        from pyspark.sql import Window
-
         first = ranked.withColumn("__r", F.row_number().over(Window.partitionBy("column").orderBy(F.desc("n"), "value"))).where(F.col("__r") <= top)
         for r in first.orderBy("column", "__r").collect():
             frequent.setdefault(r["column"], []).append([r["value"], r["n"]])
@@ -252,16 +250,18 @@ def _told(scored: DataFrame, log: bool) -> DataFrame:
 
 
 def rolling_trees(
-    jobs: DataFrame, g: Grid, kind: str, *, windows: list[int] | None = None, log: bool = False, decay: float = 0.0, variance: float | None = None, most: int = 2048, extra: tuple[str, ...] = (), parallel: int = 4, **params
+    jobs: DataFrame, g: Grid, kind: str, *, windows: list[int] | None = None, log: bool = False, decay: float = 0.0, variance: float | None = None, most: int = 2048, extra: tuple[str, ...] = (), parallel: int = 4, save: str | None = None, **params
 ) -> DataFrame:
     """window_id, job_id, y_true, y_pred of the test rows, by a tree model fitted on each window's training rows.
 
     decay: rows that ended d days before their window weigh exp(-decay * d); variance: see encode();
-    parallel: windows that are fitted at once.
+    parallel: windows that are fitted at once; save: a folder for the fitted model of each window.
     """
 
     def score(train: DataFrame, test: DataFrame, w: int) -> DataFrame:
         model = regressor(kind, weighted=decay > 0, **params).fit(train)
+        if save:
+            model.write().overwrite().save(f"{save}/window-{w:05}")
         return _told(model.transform(test), log).select("window_id", "job_id", "y_true", "y_pred")
 
     return _rolling(jobs, g, score, windows=windows, extra=extra, log=log, decay=decay, variance=variance, most=most, parallel=parallel)

@@ -88,6 +88,13 @@ def matrix(cards: DataFrame, models: DataFrame, *, sidecars: DataFrame | None =
     return sized.join(F.broadcast(models)).select("dataset", "model", "rows", tier(F.col("rows")).alias("tier"), status.alias("status"))
 
 
+def cell_recipe(dataset: str, model: str, *, metrics: tuple[str, ...] = ("mae", "rmse"), target: str = "runtime_seconds", **overrides) -> dict:
+    """The recipe of a cell: six-hour windows over the card's test days; overrides: split settings and params of the model."""
+    params = overrides.pop("params", {})
+    split = {"method": "rolling", "n_windows": 12, "test_window_hours": 6, "training_lookback_days": 10} | overrides
+    return {"dataset": dataset, "model": {"id": model, "params": params}, "metrics": [{"name": n, "target": target} for n in metrics], "split": split}
+
+
 def leaderboard(results: DataFrame, larger_is_better: tuple[str, ...] = ("r2",)) -> DataFrame:
     """results (run, created_at, metric, value) in the order of created_at, with the best of each metric marked."""
     return best(results, "value", "metric", ~F.col("metric").isin(list(larger_is_better))).orderBy(F.coalesce("created_at", F.lit("")), "run", "metric")

@@ -42,13 +42,16 @@ def test_commands(spark, tmp_path, run):
     assert told["quality"]["rows"] == 30 and [f["field"] for f in told["fields"] if f["confidence"] == 0] == ["node_list"] and (tmp_path / "analysis/analysis.html").exists()
     cut = run("slice", t, tmp_path / "slice", "2026-01-02", "2026-01-02", "--extra-days", 1, "--dataset", "tiny")
     assert cut["effective_window"] == {"start": "2026-01-01", "end": "2026-01-02"} and cut["rows"] == 30
-    plan = run("plan", tmp_path / "cards", tmp_path / "plan", "--slices", tmp_path / "slice")
+    plan = run("plan", tmp_path / "cards", tmp_path / "plan", "--slices", tmp_path / "slice", "--overrides", json.dumps({"n_windows": 2, "params": {"numTrees": 2, "maxDepth": 2}}))
     assert {c["rows"] for c in plan["cells"]} == {30} and plan["embed"] == ["tiny"] and len(plan["cells"]) == sum(s == "rolling" for _, s in evaluate.MODELS)
+    made = [c for c in plan["cells"] if c["model"] == "random_forest"]
+    assert run("evaluate", made[0]["recipe"].replace("recipe.json", "recipe.json"), t, tmp_path / "runs/c")["mae"] >= 0 if made[0]["status"] == "cell" else True
+    assert run("diagnose", t, tmp_path / "d.json")["categories"]["partition"]["cardinality"] == 2 and (tmp_path / "d.json").exists()
     assert len(run("record-hash", t)["digest"]) > 10 and run("suggest", t)[0]["rank"] == 1
     assert run("embed", t, tmp_path / "v", tmp_path / "te")["dim"] == 256 and spark.read.parquet(str(tmp_path / "te")).count() == 30
     with pytest.raises(SystemExit):
         main(["nonsense"])
-    assert len(COMMANDS) == 18
+    assert len(COMMANDS) == 19
 
 
 def test_registry_commands(spark, tmp_path, run):

@@ -123,6 +123,15 @@ def test_encoding_of_categories(spark):
     assert told["one_hot_width"] == 13 and told["categories"]["user"]["rare_values"] == 8 and told["categories"]["partition"]["top"][0][0] == "h" and 0 < told["components"] < 13
 
 
+def test_fitted_models_are_saved(spark, tmp_path):
+    from pyspark.ml.regression import RandomForestRegressionModel
+
+    j = tiny_jobs(spark)
+    g = windows.grid(j, n_windows=2, hours=6, lookback_days=9)
+    models.rolling_trees(j, g, "forest", save=str(tmp_path), numTrees=2, maxDepth=2)
+    assert [len(RandomForestRegressionModel.load(f"{tmp_path}/window-0000{w}").trees) for w in (0, 1)] == [2, 2]
+
+
 def test_weights_follow_recent_jobs(spark):
     """With a steep decay the old half of the jobs, which says otherwise, counts for nothing."""
     j = tiny_jobs(spark).withColumn("runtime_seconds", F.when(F.col("job_id") < 1015, 100.0).otherwise(5000.0)).withColumn("partition", F.lit("same"))
