@@ -18,7 +18,6 @@ from __future__ import annotations
 import re
 from collections import Counter
 from collections.abc import Iterator
-from functools import partial
 
 import numpy as np
 import pyarrow as pa
@@ -29,8 +28,12 @@ from .common import lean, parts
 #: Letter runs; digits, underscores and marks of other kinds separate them.
 WORD = re.compile(r"[^\W\d_]+")
 BUCKETS = 1 << 16
-#: Distinct words that a task keeps at once; beyond that it starts anew, so memory stays bounded.
-CACHE = 200_000
+#: Distinct words that a task keeps at once, and numbers of words by languages; beyond that it starts anew, so memory stays bounded.
+CACHE, NUMBERS = 200_000, 8_000_000
+#: Languages whose counts a task holds at once.
+HELD = 64
+#: Labels that a model can have.
+MOST = 1024
 
 TRAIN_SCHEMA = "lang string, bucket int, n bigint"
 PREDICT_SCHEMA = "doc_id bigint, held_out boolean, lang_pred string, score double, langs array<string>, shares array<double>"
@@ -42,7 +45,7 @@ def grams(word: str) -> list[int]:
     return [((x * 961 + y * 31 + z) * 40503 >> 4) & (BUCKETS - 1) for x, y, z in zip(b, b[1:], b[2:])]
 
 
-def _count(batches: Iterator[pa.RecordBatch], max_languages: int) -> Iterator[pa.RecordBatch]:
+def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     tables: dict[str, np.ndarray] = {}
     seen: dict[str, Counter] = {}
 
@@ -56,43 +59,46 @@ def _count(batches: Iterator[pa.RecordBatch], max_languages: int) -> Iterator[pa
             times += [n] * len(g)
         np.add.at(table, np.array(ids, np.int64), np.array(times, np.int64))
 
+    def out() -> Iterator[pa.RecordBatch]:
+        for lang in list(seen):
+            flush(lang)
+        for lang in list(tables):
+            table = tables.pop(lang)
+            (at,) = np.nonzero(table)
+            yield pa.RecordBatch.from_arrays(
+                [pa.array([lang] * len(at), pa.string()), pa.array(at.astype(np.int32)), pa.array(table[at])], names=["lang", "bucket", "n"]
+            )
+
     for part in parts(batches):
         for text, lang in zip(part.column(0).to_pylist(), part.column(1).to_pylist()):
-            words = seen.setdefault(lang, Counter())
-            if len(tables.keys() | seen.keys()) > max_languages:
-                raise ValueError(f"more than {max_languages} labels")
-            words.update(WORD.findall(text.lower()))
+            seen.setdefault(lang, Counter()).update(WORD.findall(text.lower()))
         if sum(map(len, seen.values())) > CACHE:
             for lang in list(seen):
                 flush(lang)
-    for lang in list(seen):
-        flush(lang)
-    for lang, table in tables.items():
-        (at,) = np.nonzero(table)
-        yield pa.RecordBatch.from_arrays(
-            [pa.array([lang] * len(at), pa.string()), pa.array(at.astype(np.int32)), pa.array(table[at])], names=["lang", "bucket", "n"]
-        )
+        if len(tables.keys() | seen.keys()) > HELD:
+            yield from out()
+    yield from out()
 
 
 def held_out_column(doc_id: str = "doc_id"):
     return F.coalesce(F.crc32(F.col(doc_id).cast("string").cast("binary")) % 5 == 0, F.lit(False))
 
 
-def fit(labelled: DataFrame, *, max_languages: int = 256, smoothing: float = 0.5) -> tuple[list[str], np.ndarray]:
+def fit(labelled: DataFrame, *, max_languages: int = MOST, smoothing: float = 0.5) -> tuple[list[str], np.ndarray]:
     """(languages, log-probabilities [bucket, language]) from all rows (text, lang).
 
     The table has at most ``max_languages * 65536`` counts, however large the corpus; more labels
-    than that are an error, never dropped.
+    than that are an error, never dropped.  Tasks hold few languages at once, whatever their number.
     """
-    counts = labelled.where("text is not null and lang is not null").select("text", "lang").mapInArrow(lean(partial(_count, max_languages=max_languages)), TRAIN_SCHEMA).groupBy("lang", "bucket").agg(F.sum("n").alias("n"))
+    counts = labelled.where("text is not null and lang is not null").select("text", "lang").mapInArrow(lean(_count), TRAIN_SCHEMA).groupBy("lang", "bucket").agg(F.sum("n").alias("n"))
     table = counts.toArrow()
     langs = sorted(set(table.column("lang").to_pylist()))
     if len(langs) > max_languages:
         raise ValueError(f"more than {max_languages} labels")
     index = {lang: k for k, lang in enumerate(langs)}
-    n = np.zeros((BUCKETS, len(langs)))
+    n = np.zeros((BUCKETS, len(langs)), np.float64 if len(langs) <= 256 else np.float32)
     n[table.column("bucket").to_numpy(), [index[x] for x in table.column("lang").to_pylist()]] = table.column("n").to_numpy()
-    return langs, np.log(n + smoothing) - np.log(n.sum(axis=0) + smoothing * BUCKETS)
+    return langs, np.log(n + smoothing) - np.log(n.sum(axis=0, dtype=np.float64) + smoothing * BUCKETS).astype(n.dtype)
 
 
 def _sums(x: np.ndarray, starts: np.ndarray) -> np.ndarray:
@@ -190,6 +196,7 @@ def _predictor(langs: list[str], table: np.ndarray, penalty: float, *, alone: bo
 
     def predict(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         lexicon = Lexicon(table)
+        most_words, most_load = (max(2000, min(most, total // max(1, len(langs)))) for most, total in ((CACHE, NUMBERS), (100_000, NUMBERS // 4)))
         out: list[tuple] = []
 
         def settle(held: list, todo: list) -> list[tuple]:
@@ -213,10 +220,10 @@ def _predictor(langs: list[str], table: np.ndarray, penalty: float, *, alone: bo
                 words = Counter(WORD.findall(text.lower())) if text and langs else {}
                 if words and not any(c.isalpha() for c in text):
                     words = {}
-                if load > 100_000 or lexicon.size > CACHE:
+                if load > most_load or lexicon.size > most_words:
                     out += settle(held, todo)
                     held, todo, load = [], [], 0
-                    if lexicon.size > CACHE:
+                    if lexicon.size > most_words:
                         lexicon = Lexicon(table)
                 held.append((doc_id, flag))
                 todo.append((lexicon.places(words), list(words.values())) if words else None)
@@ -231,7 +238,7 @@ def _predictor(langs: list[str], table: np.ndarray, penalty: float, *, alone: bo
     return predict
 
 
-def identify(docs: DataFrame, *, penalty: float = 2.0, max_languages: int = 256) -> DataFrame:
+def identify(docs: DataFrame, *, penalty: float = 2.0, max_languages: int = MOST) -> DataFrame:
     """One row per document: doc_id, held_out, lang_pred, score, and the chosen languages with their shares.
 
     The model is learned from ``text`` and non-null ``lang`` of the rows that are not held out; a
@@ -242,7 +249,7 @@ def identify(docs: DataFrame, *, penalty: float = 2.0, max_languages: int = 256)
     return base.select("doc_id", "held_out", "text").mapInArrow(lean(_predictor(langs, table, penalty)), PREDICT_SCHEMA)
 
 
-def keep_identified(docs: DataFrame, *, least_score: float = 0.2, penalty: float = 2.0, max_languages: int = 256) -> DataFrame:
+def keep_identified(docs: DataFrame, *, least_score: float = 0.2, penalty: float = 2.0, max_languages: int = MOST) -> DataFrame:
     """Documents whose language was identified; ``und`` ones and those below ``least_score`` go.
 
     Each row is judged by its own text, whatever its ``doc_id``.  The score is that of identify()

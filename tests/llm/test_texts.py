@@ -37,6 +37,16 @@ def test_languages_of_odd_input(odd, nothing):
     assert langid.keep_identified(odd).columns == odd.columns
 
 
+def test_many_languages(spark):
+    """More labels than a task holds at once, and than the model may have."""
+    rows = [(5 * k + 1, " ".join(chr(0x4E00 + 20 * k + j) * 3 for j in range(12)), f"l{k:03}", "s", 1) for k in range(300)]
+    df = spark.createDataFrame(rows, SCHEMA).repartition(2)
+    got = [r for r in langid.identify(df).collect() if not r.held_out]
+    assert len(got) > 200 and all(r.lang_pred == f"l{r.doc_id // 5:03}" for r in got)
+    with pytest.raises(ValueError, match="more than 100 labels"):
+        langid.identify(df, max_languages=100)
+
+
 def plain_words(text):
     return [w for w in re.findall(r"[^\W\d_]+", (text or "").lower())]
 
