@@ -539,11 +539,14 @@ def user_context_knn(spark, d):
     return history.context_knn(jobs(spark, d), user="user_id", order=["end_time", "job_id"], key="job_id", feature="k", target="runtime_seconds").select("job_id", "y_pred")
 
 
-@query(f"""WITH {JOBS}, r AS (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY end_time, job_id) AS p FROM jobs),
+OWN = f"""WITH {JOBS}, r AS (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY end_time, job_id) AS p FROM jobs),
 c AS (SELECT a.job_id, a.partition AS an, b.partition AS bn, a.k AS ak, b.k AS bk, a.requested_seconds AS ar, b.requested_seconds AS br, b.runtime_seconds AS y, b.p FROM r a JOIN r b ON a.user_id = b.user_id AND b.p BETWEEN a.p - 50 AND a.p - 1),
 l AS (SELECT job_id, count(*) AS n, list_sort(list(DISTINCT bn)) AS classes FROM c GROUP BY 1 HAVING count(*) >= 5),
-x AS (SELECT job_id, n, y, row_number() OVER (PARTITION BY job_id ORDER BY (coalesce(list_position(classes, bn), 0) - coalesce(list_position(classes, an), 0)) ^ 2 + (coalesce(bk, 0) - coalesce(ak, 0)) ^ 2 + (br - ar) ^ 2, p DESC) AS rk FROM c JOIN l USING (job_id))
-SELECT job_id, n AS n_context, round(avg(y), 5) AS y_pred FROM x WHERE rk <= 5 GROUP BY 1, 2""")
+x AS (SELECT job_id, n, y, row_number() OVER (PARTITION BY job_id ORDER BY (coalesce(list_position(classes, bn), 0) - coalesce(list_position(classes, an), 0)) ^ 2 + (coalesce(bk, 0) - coalesce(ak, 0)) ^ 2 + (br - ar) ^ 2, p DESC) AS rk FROM c JOIN l USING (job_id)),
+own AS (SELECT job_id, n AS n_context, avg(y) AS y_pred FROM x WHERE rk <= 5 GROUP BY 1, 2)"""
+
+
+@query(OWN + " SELECT job_id, n_context, round(y_pred, 5) AS y_pred FROM own")
 def own_history_knn(spark, d):
     j = jobs(spark, d)
     out = history.context_nearest(j, user="user_id", order=["end_time", "job_id"], name=F.col("partition"), numbers=[F.col("k"), F.col("requested_seconds")], target="runtime_seconds")
@@ -766,6 +769,15 @@ def recipe_fixed(spark, d):
     return report.where("window_id is null").select("n_test", F.round("mae", 5).alias("mae"), F.round("rmse", 5).alias("rmse"))
 
 
+@query(OWN + """, t AS (SELECT job_id, runtime_seconds AS y, row_number() OVER (ORDER BY end_time, job_id) - 1 AS i, count(*) OVER () AS n FROM jobs)
+SELECT count(*) AS n_test, round(avg(abs(y - y_pred)), 4) AS mae, round(sqrt(avg((y - y_pred) ^ 2)), 4) AS rmse FROM t JOIN own USING (job_id) WHERE i >= greatest(1, CAST(floor(t.n * 0.8) AS BIGINT))""")
+def recipe_own_history(spark, d):
+    """The recipe of users' own histories, on columns that bear other names of the same things."""
+    named = jobs(spark, d).select("job_id", F.col("user_id").alias("usr"), F.col("partition").alias("jnam"), F.col("k").alias("cnumr"), F.col("requested_seconds").alias("nnumr"), F.col("end_time").alias("edt"), "runtime_seconds")
+    report = evaluate.run(named, _recipe("own_history", "fixed", train_fraction=0.8))[1]
+    return report.where("window_id is null").select("n_test", F.round("mae", 4).alias("mae"), F.round("rmse", 4).alias("rmse"))
+
+
 @query(PRED + " SELECT 'run-1' AS run, 'mean' AS model, u.metric, u.value FROM (SELECT round(avg(abs(y_true - y_pred)), 5) AS mae, round(sqrt(avg((y_true - y_pred) ^ 2)), 5) AS rmse FROM p) x, LATERAL (VALUES ('mae', mae), ('rmse', rmse)) u(metric, value)")
 def result_bundles(spark, d):
     """A recipe run, its bundle written, and the folder read again."""
@@ -940,6 +952,18 @@ def stream_active_spells(spark, d):
     return spells.select("user", F.unix_micros("start").alias("start_us"), "n")
 
 
+@query("SELECT CAST(ts AS DATE) AS day, count(*) AS n, round(avg(value * 60), 5) AS mean FROM events GROUP BY 1")
+def stream_retrain(spark, d):
+    """Each micro-batch is fitted (here: a mean a day) and its model appended to a table."""
+    folder = _folder(spark)
+
+    def fit(batch: DataFrame, number: int) -> None:
+        batch.groupBy(F.col("submit_time").cast("date").alias("day")).agg(F.count(F.lit(1)).alias("n"), F.sum("runtime_seconds").alias("y")).write.mode("append").parquet(f"{folder}/models")
+
+    flows.retrain(_stream(spark, d), fit, f"{folder}/checkpoint").awaitTermination()
+    return spark.read.parquet(f"{folder}/models").groupBy("day").agg(F.sum("n").alias("n"), F.round(F.sum("y") / F.sum("n"), 5).alias("mean"))
+
+
 @query("SELECT event_id AS job_id, epoch_us(ts) AS start_us, epoch_us(ts) + (event_id % 50) * 60000000 AS end_us FROM events WHERE event_id % 7 <> 0")
 def stream_event_pairs(spark, d):
     """Starts and ends as two streams, joined while both go on."""
