@@ -28,7 +28,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, Window, functions as F
 
-from .common import BROADCAST_IDS, TEXT_KEY, WORD_SPLIT, Stages, text_key
+from .common import BROADCAST_IDS, TEXT_KEY, WORD_SPLIT, Stages, let, text_key
 
 NEW = ["n_lines", "n_removed", "runs"]
 
@@ -41,9 +41,10 @@ def _numbered(docs: DataFrame, stages: Stages, min_words: int | None) -> DataFra
     """A row a line: doc_id and text hashes of its document, pos, id (consecutive in a document), a, b (hashes), long (has it min_words words?)."""
     lines = "split(text, '\\n', -1)"
     words = rf"size(filter(split(l, '{WORD_SPLIT}', -1), w -> w <> ''))".replace("\\", "\\\\")
-    long = "cast(null AS array<boolean>)" if min_words is None else f"transform({lines}, l -> {words} >= {min_words})"
+    long = "cast(null AS array<boolean>)" if min_words is None else f"transform(ls, l -> {words} >= {min_words})"
     texts = text_key(docs.where("text is not null").select("doc_id", "text"))
-    hashed = texts.selectExpr("doc_id", *TEXT_KEY, f"transform({lines}, l -> xxhash64(l)) AS a", f"transform({lines}, l -> xxhash64(1, l)) AS b", f"{long} AS long")
+    both = let("ls", lines, f"named_struct('a', transform(ls, l -> xxhash64(l)), 'b', transform(ls, l -> xxhash64(1, l)), 'long', {long})")  # one split a text
+    hashed = texts.selectExpr("doc_id", *TEXT_KEY, f"{both} AS h").select("doc_id", *TEXT_KEY, "h.a", "h.b", "h.long")
     ordered = hashed.dropDuplicates(["doc_id", *TEXT_KEY]).orderBy(F.col("doc_id").asc_nulls_last(), *TEXT_KEY)
     rows = ordered.select("doc_id", *TEXT_KEY, "b", "long", F.posexplode("a").alias("pos", "a"))
     return stages.write("lines", rows.select("doc_id", *TEXT_KEY, "pos", F.monotonically_increasing_id().alias("id"), "a", F.get("b", F.col("pos")).alias("b"), F.get("long", F.col("pos")).alias("long")))
