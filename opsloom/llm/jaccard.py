@@ -27,7 +27,7 @@ either verified or joins two documents already connected.
 
 Defined results for odd input: a null text, or one without words, has an empty set and links with
 nothing; fewer words than a shingle make one token; rows with the same doc_id are counted each, but
-are one node for linking, for which one of their texts (the smallest, where sets are compared) stands;
+are one node for linking, for which the smallest of their texts stands;
 rows with a null ``doc_id`` link like others, by the number that their text makes above 2^62 (ids lie
 below), and have a null component if it holds no id; other columns are ignored.  Hashes of 64 bits
 stand for words, shingles and sets (128 bits for whole sets).
@@ -286,9 +286,9 @@ def _search(batches: Iterator[pa.RecordBatch], percent: int) -> Iterator[pa.Reco
 
 
 def _verified(pairs: DataFrame, texts: DataFrame, stages: Stages, name: str, words: int, percent: int) -> DataFrame:
-    """The pairs that link; only the texts that they name are read for their sets."""
+    """The pairs that link; only the texts that they name are read for their sets.  texts: one row a doc_id."""
     ids = stages.write(f"{name}-ids", pairs.select(F.explode(F.array("u", "v")).alias("doc_id")).distinct())
-    named = by_ids(texts, ids, "left_semi").groupBy("doc_id").agg(F.min("text").alias("text"))
+    named = by_ids(texts, ids, "left_semi").select("doc_id", "text")
     sets = stages.write(f"{name}-sets", named.mapInArrow(lean(partial(_sets, size=words)), SETS), batch_rows=2000)
     a = sets.select(F.col("doc_id").alias("u"), F.col("tokens").alias("ta"))
     b = sets.select(F.col("doc_id").alias("v"), F.col("tokens").alias("tb"))
@@ -342,10 +342,18 @@ def link(docs: DataFrame, *, words: int = 4, percent: int = 85, numbered: bool =
     without doc_id have the numbers of their nodes.
     """
     stages = Stages(docs.sparkSession)
-    texts = docs.select(node().alias("doc_id"), "text")
-    signed = stages.write("signed", texts.mapInArrow(lean(partial(_sign, size=words, percent=percent)), SIGN), batch_rows=2000)
-    sizes = stages.write("sizes", signed.select("doc_id", "n", "h1", "h2", "vec"))
-    known = sizes.where("n > 0")
+    rows = docs.select(node().alias("doc_id"), "text")
+    sign = lambda t: t.mapInArrow(lean(partial(_sign, size=words, percent=percent)), SIGN)
+    all_signed = stages.write("signed", sign(rows), batch_rows=2000)
+    sizes = stages.write("sizes", all_signed.select("doc_id", "n"))
+    texts, signed = rows, all_signed
+    # Where several rows have one doc_id, the smallest of their texts stands for them; only such texts are shuffled.
+    repeated = stages.write("repeated", sizes.groupBy("doc_id").agg(F.count(F.lit(1)).alias("c")).where("c > 1").select("doc_id"))
+    if not repeated.isEmpty():
+        several = stages.write("several", by_ids(rows, repeated, "left_semi").groupBy("doc_id").agg(F.min("text").alias("text")).select("doc_id", "text"))
+        texts = by_ids(rows, repeated, "left_anti").select("doc_id", "text").union(several)
+        signed = by_ids(all_signed, repeated, "left_anti").select(*all_signed.columns).union(stages.write("several-signed", sign(several), batch_rows=2000))
+    known = signed.select("doc_id", "n", "h1", "h2", "vec").where("n > 0")
     same = known.groupBy("n", "h1", "h2").agg(F.min("doc_id").alias("rep"), F.max("doc_id").alias("last")).where("rep < last")
     same = stages.write("same", same.drop("last"))
     equal = stages.write("equal", known.select("doc_id", "n", "h1", "h2").join(same, ["n", "h1", "h2"]).where("doc_id <> rep").select("doc_id", "rep").distinct())
@@ -356,10 +364,10 @@ def link(docs: DataFrame, *, words: int = 4, percent: int = 85, numbered: bool =
     shared = keyed.groupBy("key").agg(F.min("doc_id").alias("m"), F.max("doc_id").alias("x")).where("m < x").select("key", "m")
     shared = stages.write("shared", shared)
     members = stages.write("members", keyed.join(shared, "key").select("key", "doc_id", "m").distinct())
-    stages.drop("signed", "shared")
+    stages.drop("shared")
 
-    points = by_ids(known, copies, "left_anti").groupBy("doc_id").agg(F.min(F.struct("n", "vec")).alias("p")).select("doc_id", "p.n", "p.vec")
-    points = stages.write("points", points)
+    points = stages.write("points", by_ids(known, copies, "left_anti").select("doc_id", "n", "vec"))
+    stages.drop("signed")
 
     def verified(pairs: DataFrame, name: str) -> DataFrame:
         """The pairs that the bound lets pass and that link."""
@@ -369,22 +377,31 @@ def link(docs: DataFrame, *, words: int = 4, percent: int = 85, numbered: bool =
         stages.drop(f"{name}-near")
         return out
 
-    stars = verified(members.groupBy("doc_id").agg(F.min("m").alias("m")).where("m < doc_id").select(F.col("doc_id").alias("u"), F.col("m").alias("v")), "stars")
-    edges = stars
-    members = members.select("key", "doc_id")
-    for turn in range(ROUNDS + 1):
-        comps = components(edges, stages, f"comps-{turn}")
-        placed = stages.write(f"placed-{turn}", _placed(members, comps))
-        keys = stages.write(f"keys-{turn}", _open_keys(placed))
-        large = stages.write(f"large-{turn}", keys.where(F.col("n") > BLOCK))
-        if turn == ROUNDS or large.isEmpty():
+    edges = verified(members.groupBy("doc_id").agg(F.min("m").alias("m")).where("m < doc_id").select(F.col("doc_id").alias("u"), F.col("m").alias("v")), "stars")
+    comps = components(edges, stages, "comps")
+    placed = stages.write("placed", _placed(members.select("key", "doc_id"), comps))
+    # Keys within one component are done; only the documents of the others go on.
+    keys = stages.write("keys", _open_keys(placed))
+    open_ = stages.write("open", placed.join(keys.select("key"), "key", "left_semi"))
+    stages.drop("members", "placed")
+    large = keys.where(F.col("n") > BLOCK)
+    for turn in range(ROUNDS):
+        if large.isEmpty():
             break
-        new = verified(_pivots(placed, large, turn), f"stars-{turn}")
-        stages.drop(f"comps-{turn}", f"placed-{turn}", f"keys-{turn}", f"large-{turn}")
+        crowd = stages.write(f"crowd-{turn}", _placed(open_.join(large.select("key"), "key", "left_semi").select("key", "doc_id"), comps))
+        large = stages.write(f"large-{turn}", _open_keys(crowd))
+        new = verified(_pivots(crowd, large, turn), f"stars-{turn}")
         edges = edges.union(new)
+        comps = components(edges, stages, f"comps-{turn}")
+        stages.drop(f"crowd-{turn}")
+        if new.isEmpty():
+            break
+    placed = stages.write("placed", _placed(open_.select("key", "doc_id"), comps))
+    keys = stages.write("keys-left", _open_keys(placed))
     blocks = _blocks(placed, keys).join(points, "doc_id").repartition("key", "i", "j").sortWithinPartitions("key", "i", "j")
     blocks = blocks.select("key", "i", "j", "side", "doc_id", "component", "n", "vec")
     across = stages.write("across", blocks.mapInArrow(lean(partial(_search, percent=percent)), "u bigint, v bigint").distinct())
+    stages.drop("open", "placed")
     found = _verified(across, texts, stages, "found", words, percent)
 
     links = edges.union(found).union(equal.select("doc_id", "rep"))

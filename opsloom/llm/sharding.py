@@ -170,8 +170,11 @@ class ShardStore:
                 runs.append(run)
         return [r for r in runs if len(r) > 1]
 
-    def compact(self, *, target_bytes: int = 256 << 20, fan: int = 4) -> dict:
-        """Merges tiers until none has a run to merge; shards that arrived above twice the target are cut."""
+    def compact(self, *, target_bytes: int = 256 << 20, fan: int = 4, keep_seconds: float | None = None) -> dict:
+        """Merges tiers until none has a run to merge; shards that arrived above twice the target are cut.
+
+        keep_seconds: vacuums after each version, as vacuum() does; None keeps all.
+        """
         now = self.manifest()
         while True:
             runs = self.plan(now["shards"], target_bytes, fan)
@@ -198,6 +201,8 @@ class ShardStore:
                 if int(s["path"].partition(f"{GROUP}=")[2].partition("/")[0]) in whole:
                     s["cut"] = True
             now = self.commit(now, [s for s in now["shards"] if s["path"] not in gone] + made, None)
+            if keep_seconds is not None:
+                self.vacuum(keep_seconds=keep_seconds)
 
     def read(self, version: int | None = None) -> DataFrame:
         """The rows of a version, with the number of their shard, its rows and bytes in a column of structs."""
@@ -214,16 +219,14 @@ class ShardStore:
         return rows.join(F.broadcast(table) if len(m["shards"]) <= BROADCAST_SHARDS else table, "__path").drop("__path")
 
 
-def shard(docs: DataFrame, root: str, *, target_bytes: int = 256 << 20, fan: int = 4, single_writer: bool = False) -> DataFrame:
+def shard(docs: DataFrame, root: str, *, target_bytes: int = 256 << 20, fan: int = 4, single_writer: bool = False, keep_seconds: float | None = None) -> DataFrame:
     """Appends docs to the store at root, compacts it, and returns its rows with their shards."""
     store = ShardStore(docs.sparkSession, root, single_writer=single_writer)
     store.append(docs)
-    store.compact(target_bytes=target_bytes, fan=fan)
+    store.compact(target_bytes=target_bytes, fan=fan, keep_seconds=keep_seconds)
     return store.read()
 
 
 def shard_once(docs: DataFrame, root: str, **options) -> DataFrame:
     """shard() in a new folder that no one else writes to or reads from: only the last version stays."""
-    out = shard(docs, root, single_writer=True, **options)
-    ShardStore(docs.sparkSession, root, single_writer=True).vacuum(keep_seconds=0)
-    return out
+    return shard(docs, root, single_writer=True, keep_seconds=0, **options)

@@ -242,6 +242,14 @@ def test_near_copies_under_hot_keys(spark, monkeypatch):
     assert got == brute_links(docs, 4, 85) and len({c for _, c in got.values()}) > 5
 
 
+def test_repeated_ids(spark):
+    """Rows of one doc_id are one node, for which the smallest of their texts stands."""
+    rows = [(1, prose(1, 60)), (2, prose(1, 60) + " x"), (2, "~ " + prose(7, 60)), (3, prose(7, 60)), (4, prose(4, 60)), (4, prose(4, 60)), (5, prose(4, 60) + " y")]
+    for a, b in ((rows, 1), (rows[::-1], 1)):
+        got = Counter((r.doc_id, r.component_id) for r in jaccard.link(spark.createDataFrame(a, "doc_id bigint, text string").repartition(3)).collect())
+        assert got == Counter([(1, 1), (2, b), (2, b), (3, 3), (4, 4), (4, 4), (5, 4)])
+
+
 def test_links_of_odd_input(spark, odd, nothing):
     rows = jaccard.link(odd).collect()
     assert len(rows) == odd.count()
