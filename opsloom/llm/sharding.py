@@ -109,7 +109,7 @@ class ShardStore:
         before = time.time() - keep_seconds
         versions = {v: self.manifest(v) for v in self.versions()}
         last = max(versions, default=0)
-        kept = {v for v, m in versions.items() if v == last or m["committed_at"] >= before}
+        kept = {v for v, m in versions.items() if v == last or m.get("committed_at", 0) >= before}
         named = {s["path"] for v in kept for s in versions[v]["shards"]}
         gone = []
         fs, data = filesystem(self.spark, f"{self.root}/data")

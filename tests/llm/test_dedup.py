@@ -12,7 +12,7 @@ from opsloom.llm import graph, jaccard, linededup
 from opsloom.llm import suffixdedup as sd
 from opsloom.llm.common import Stages, settings
 
-from llm_samples import SCHEMA, prose
+from llm_samples import prose
 
 
 def brute_repeats(docs):
