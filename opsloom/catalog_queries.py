@@ -945,6 +945,13 @@ def stream_daily_volume(spark, d):
     return flows.run_table(flows.daily_volume(_stream(spark, d)), _folder(spark), "complete")
 
 
+@query("""SELECT epoch_us(day) AS start_us, epoch_us(day + INTERVAL 3 DAY) AS end_us, count(*) AS n FROM (SELECT date_trunc('day', ts)::TIMESTAMP - to_days(CAST(o AS INTEGER)) AS day FROM events, range(3) t(o)) GROUP BY day""")
+def stream_sliding_volume(spark, d):
+    """Three-day windows that begin every day."""
+    out = flows.run_table(flows.sliding_volume(_stream(spark, d)), _folder(spark), "complete")
+    return out.select(F.unix_micros("start").alias("start_us"), F.unix_micros("end").alias("end_us"), "n")
+
+
 @query("""WITH g AS (SELECT user_id, ts, coalesce(ts > lag(ts) OVER w + INTERVAL 2 DAY, true)::INT AS new FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts)), s AS (SELECT *, sum(new) OVER (PARTITION BY user_id ORDER BY ts) AS k FROM g)
 SELECT user_id AS "user", epoch_us(min(ts)) AS start_us, count(*) AS n FROM s GROUP BY user_id, k""")
 def stream_active_spells(spark, d):

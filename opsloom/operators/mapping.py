@@ -101,12 +101,13 @@ def apply_filters(df: DataFrame, filters: dict) -> DataFrame:
 
 
 def select(df: DataFrame, columns: list[str] | None, *, job_table: bool = True) -> DataFrame:
+    """The columns in their order; those that were dropped as empty are nulls."""
     if not columns:
         return df
     missing = [c for c in REQUIRED if c not in columns] if job_table else []
     if missing:
         raise ValueError(f"a job table needs {', '.join(missing)}")
-    return df.select(*columns)
+    return df.select(*(F.col(f"`{c}`") if c in df.columns else F.lit(None).cast(TYPES.get(c, "string")).alias(c) for c in columns))
 
 
 def sample(df: DataFrame, order: list[str], *, rows: int, strategy: str = "head", by: list[str] | None = None, seed: int = 0) -> DataFrame:

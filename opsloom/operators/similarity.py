@@ -9,10 +9,11 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window, functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
-from pyspark.sql.types import DoubleType, StructField, StructType
+from pyspark.sql.types import DoubleType, IntegerType, StructField, StructType
 
 from ..scratch import checkpoint
 from .models import ALLOWED
+from .ranks import row_index
 
 BLOCK = 1024
 
@@ -89,6 +90,40 @@ def dense_neighbours(test: DataFrame, train: DataFrame, *, key: str, vector: str
     return _nearest(test.select(*fields), train.select(*fields, F.col(value).cast("double").alias("y")), group, k, _cosines, -2.0)
 
 
+def _cosines_in_windows(left: pa.StructArray, right: pa.StructArray) -> np.ndarray:
+    """Cosines, and -3 where the row on the right does not train the window of the row on the left."""
+    w = left.field("w").to_numpy(zero_copy_only=False)[:, None]
+    lo, hi = (right.field(c).to_numpy(zero_copy_only=False)[None, :] for c in ("lo", "hi"))
+    return np.where((lo <= w) & (w <= hi), _cosines(left, right), -3.0)
+
+
+def windowed_neighbours(test: DataFrame, train: DataFrame, *, key: str, vector: str, value: str, window: str, lo: Column, hi: Column, k: int = 5) -> DataFrame:
+    """window, query, neighbour, similarity, value, rank: as dense_neighbours with windows as groups, without a copy of a training row for each window.
+
+    A training row says which windows it trains, from lo to hi.  Rows are put into blocks in the order
+    of their windows; only blocks whose windows touch meet, and inside the product each pair is checked.
+    """
+
+    def blocks(df: DataFrame, order: list[str], first: str, last: str, name: str) -> DataFrame:
+        numbered = row_index(df, order, "__i")
+        rows = F.sort_array(F.collect_list(F.struct("id", *(c for c in df.columns if c != "id"))))
+        return numbered.groupBy(F.floor(F.col("__i") / BLOCK).alias(name)).agg(rows.alias(f"rows_{name}"), F.min(first).alias(f"from_{name}"), F.max(last).alias(f"to_{name}"))
+
+    v = [F.col(key).alias("id"), F.col(vector).cast("array<double>").alias("v")]
+    a = checkpoint(blocks(test.select(*v, F.col(window).cast("int").alias("w")), ["w", "id"], "w", "w", "a"))
+    known = train.select(*v, F.col(value).cast("double").alias("y"), lo.cast("int").alias("lo"), hi.cast("int").alias("hi")).where("lo <= hi")
+    b = checkpoint(blocks(known, ["lo", "hi", "id"], "lo", "hi", "b"))
+    # Blocks are a thousandth of the rows, and what meets here are their numbers and windows alone.
+    meet = a.select("a", "from_a", "to_a").join(b.select("b", "from_b", "to_b"), (F.col("to_a") >= F.col("from_b")) & (F.col("from_a") <= F.col("to_b"))).select("a", "b")
+    pairs = meet.join(a.select("a", "rows_a"), "a").join(b.select("b", "rows_b"), "b").select(F.lit(0).alias("g"), "rows_a", "rows_b")
+    kinds = {f.name: f.dataType for f in known.schema}
+    schema = StructType([StructField("g", IntegerType()), StructField("query", kinds["id"]), StructField("neighbour", kinds["id"]), StructField("similarity", DoubleType()), StructField("value", DoubleType())])
+    near = checkpoint(pairs.mapInArrow(_best(_cosines_in_windows, schema, k, -2.0), schema), batch_rows=16)
+    rank = F.row_number().over(Window.partitionBy("query").orderBy(F.desc("similarity"), "neighbour"))
+    best = near.withColumn("rank", rank).where(F.col("rank") <= k).drop("g")
+    return best.join(test.select(F.col(key).alias("query"), F.col(window)), "query").select(window, "query", "neighbour", "similarity", "value", "rank")
+
+
 def weighted_prediction(neighbours: DataFrame, group: str, *, weighting: str = "similarity") -> DataFrame:
     """group, query, y_pred: the mean of the neighbours' values, weighted by similarity above 0; uniform if all are 0."""
     w = F.greatest(F.col("similarity"), F.lit(0.0)) if weighting == "similarity" else F.lit(1.0)

@@ -92,7 +92,8 @@ def _embedding(jobs, recipe, target):
     g, p = _rolling(jobs, recipe), recipe["model"].get("params", {})
     log = recipe["split"].get("log_target", False)
     known = jobs.where(F.col(target).isNotNull()).withColumn("__label", log_target(F.col(target)) if log else F.col(target))
-    near = similarity.dense_neighbours(windows.test_rows(known, g), windows.train_rows(known, g), key="job_id", vector=p.get("vector", "embedding"), value="__label", group="window_id", k=p.get("k", 5))
+    lo, hi = windows.train_range(g, F.col("end_time"))
+    near = similarity.windowed_neighbours(windows.test_rows(known, g), known, key="job_id", vector=p.get("vector", "embedding"), value="__label", window="window_id", lo=lo, hi=hi, k=p.get("k", 5))
     predicted = similarity.weighted_prediction(near, "window_id", weighting=p.get("weighting", "similarity")).withColumnRenamed("query", "job_id")
     predicted = predicted.withColumn("y_pred", unlog_target(F.col("y_pred"))) if log else predicted
     return windows.test_rows(known, g).withColumnRenamed(target, "y_true").join(predicted, ["window_id", "job_id"]).select("window_id", "job_id", "y_true", "y_pred")

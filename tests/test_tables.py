@@ -25,6 +25,11 @@ def test_projection_derives_and_numbers(spark):
     out = mapping.project(df, rule, ["n"])
     assert [(r.job_id, r.runtime_seconds, r.queue) for r in out.orderBy("job_id").collect()] == [(0, 100.0, None), (1, 300.0, None)]
     assert "queue" not in mapping.drop_empty_columns(out).columns
+    rule |= {"end_time": rule["end_time"], "runtime_seconds": {"derive": "end_minus_start"}}
+    made = prepare.target(df, {"mapping": rule, "select": ["queue", "job_id", "start_time", "end_time", "runtime_seconds"]}, ["n"])
+    assert made.columns[0] == "queue" and made.count() == 2 and made.where("queue is not null").count() == 0
+    with pytest.raises(ValueError, match="runtime_seconds"):
+        mapping.select(out, ["job_id", "start_time", "end_time"])
 
 
 def test_samples(spark):

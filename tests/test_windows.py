@@ -1,7 +1,7 @@
 import pytest
 from pyspark.sql import functions as F
 
-from opsloom.operators import history, metrics, models, windows
+from opsloom.operators import history, metrics, models, similarity, windows
 from opsloom.plans import evaluate
 from opsloom.sources.readers import tiny_embedded_jobs, tiny_jobs
 
@@ -183,3 +183,16 @@ def test_history_in_pieces(spark):
     a = history.context_knn(df, user="user", order=["at", "job_id"], key="job_id", feature="x", target="y", theta=10, piece=64)
     b = history.context_knn(df, user="user", order=["at", "job_id"], key="job_id", feature="x", target="y", theta=10)
     assert sorted(a.collect()) == sorted(b.collect())
+
+
+def test_neighbours_in_windows(spark, monkeypatch):
+    """Without a copy of a row for each window, and in small blocks, the same neighbours."""
+    j = tiny_embedded_jobs(spark)
+    g = windows.grid(j, n_windows=5, hours=5, lookback_days=1)
+    train, test = windows.train_rows(j, g), windows.test_rows(j, g)
+    wanted = similarity.dense_neighbours(test, train, key="job_id", vector="embedding", value="runtime_seconds", group="window_id", k=3)
+    lo, hi = windows.train_range(g, F.col("end_time"))
+    for block in (1024, 7):
+        monkeypatch.setattr(similarity, "BLOCK", block)
+        got = similarity.windowed_neighbours(test, j, key="job_id", vector="embedding", value="runtime_seconds", window="window_id", lo=lo, hi=hi, k=3)
+        assert sorted(map(tuple, got.collect())) == sorted(map(tuple, wanted.collect()))
