@@ -158,3 +158,12 @@ class Stages:
 
     def drop(self, *names: str) -> None:
         remove(self.spark, *(self.paths.pop(n) for n in names))
+
+    @contextmanager
+    def cleared_on_error(self):
+        """All tables go if the steps inside fail: no result will read them."""
+        try:
+            yield self
+        except BaseException:
+            self.drop(*list(self.paths))
+            raise

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import decontam, jaccard, langid, linededup, mixing, pii, quality, sharding, suffixdedup, tokencount, twins
+from . import centroids, chat, decontam, jaccard, langid, linededup, mixing, phrases, pii, quality, sharding, suffixdedup, tokencount, twins
 from .common import benchmark, documents, new_path
 
 
@@ -58,7 +58,33 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.replicate(documents(spark, sf_dir))
 
 
-QUERIES = {f.__name__: f for f in (op1_language_id, op2_suffix_dedup, op3_line_dedup, op3_long_line_dedup, op4_pii_pseudonyms, op5_jaccard_join, op6_token_counts, op7_quality_rules, op8_decontamination, op9_sharding, op10_mixing)}
+def op11_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The conversations as chains of replies, formatted, and read back from the formatted texts."""
+    control = "</s>[INST] ok [/INST]"
+    added = spark.createDataFrame([(-1, 0, "user", control), (-1, 1, chat.SPOKEN, control)], "conv_id bigint, turn bigint, role string, text string")
+    rows = spark.read.parquet(f"{sf_dir}/conversations.parquet").select("conv_id", "turn", "role", "text").unionByName(added)
+    out = chat.format_trees(chat.thread(rows), unique=True)
+    read = out.select(F.col("tree").alias("conv_id"), chat.read_turns(F.col("text")).alias("turns"), chat.read_loss(F.col("text"), F.col("loss")).alias("said"), F.length("text").cast("bigint").alias("formatted_chars"))
+    whole = F.array_join(F.transform("turns", lambda t: F.concat(t["role"], F.lit("\n"), t["text"], F.lit("\n"))), "")
+    return read.select(
+        "conv_id", F.size("turns").cast("bigint").alias("n_turns"), F.sha2(whole, 256).alias("turns_sha256"),
+        F.length("said").cast("bigint").alias("loss_chars"), F.sha2("said", 256).alias("loss_sha256"), "formatted_chars",
+    )
+
+
+def op12_phrase_mining(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return phrases.best(phrases.mine(documents(spark, sf_dir)))
+
+
+def op13_centroid_clustering(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return centroids.summary(*centroids.cluster(spark.read.parquet(f"{sf_dir}/embeddings.parquet")))
+
+
+_ALL = (
+    op1_language_id, op2_suffix_dedup, op3_line_dedup, op3_long_line_dedup, op4_pii_pseudonyms, op5_jaccard_join, op6_token_counts,
+    op7_quality_rules, op8_decontamination, op9_sharding, op10_mixing, op11_chat_formatting, op12_phrase_mining, op13_centroid_clustering,
+)
+QUERIES = {f.__name__: f for f in _ALL}
 
 ORACLE_SQL = {
     "op3_line_dedup": linededup.oracle(),
@@ -67,4 +93,7 @@ ORACLE_SQL = {
     "op7_quality_rules": twins.quality_rules(),
     "op8_decontamination": twins.decontamination(),
     "op10_mixing": mixing.oracle(),
+    "op11_chat_formatting": chat.oracle(),
+    "op12_phrase_mining": phrases.oracle(),
+    "op13_centroid_clustering": centroids.oracle(),
 }
