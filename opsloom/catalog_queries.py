@@ -895,11 +895,46 @@ def forest_rolling(spark, d):
 
 @query(None)
 def boosted_rolling(spark, d):
-    """All windows, with 10 rounds of depth 5 in place of 100 of depth 8, which take ten times as long."""
+    """All windows at once, with 100 rounds of depth 8."""
     from .operators import models
 
     j = jobs(spark, d)
-    return metrics.report(models.rolling_trees(j, _grid(j), "gbt", log=True, decay=0.05, maxIter=10, maxDepth=5), ["mae", "rmse"])
+    return metrics.report(models.rolling_boosted(j, _grid(j), log=True, decay=0.05), ["mae", "rmse"])
+
+
+@query(None)
+def boosted_absolute_rolling(spark, d):
+    """As boosted_rolling, but for absolute errors."""
+    from .operators import models
+
+    j = jobs(spark, d)
+    return metrics.report(models.rolling_boosted(j, _grid(j), objective="absolute", decay=0.05), ["mae", "rmse"])
+
+
+_GAIN = "0.5 * ((lg / s) * (lg / s) / (lh + 1) + ((g - lg) / s) * ((g - lg) / s) / (h - lh + 1) - (g / s) * (g / s) / (h + 1))"
+
+
+@query(f"""WITH {JOBS}, {GRID}, ok AS (SELECT window_id FROM tr WHERE window_id IN (SELECT window_id FROM te) GROUP BY 1 HAVING count(*) >= 2), t AS (SELECT tr.* FROM tr JOIN ok USING (window_id)),
+s AS (SELECT pow(2.0, 30 - ceil(log2(max(runtime_seconds)))) AS s FROM t), b AS (SELECT window_id, s, count(*) AS h, sum(round(runtime_seconds * s)::BIGINT) / s / count(*) AS base FROM t, s GROUP BY window_id, s),
+r AS (SELECT window_id, s, h, requested_seconds, partition, round((runtime_seconds - base) * s)::BIGINT AS q FROM t JOIN b USING (window_id)), u AS (SELECT window_id, sum(q) AS g FROM r GROUP BY 1),
+n AS (SELECT window_id, requested_seconds AS v, s, h, sum(sum(q)) OVER x AS lg, sum(count(*)) OVER x AS lh, count(*) AS own, max(max(requested_seconds)) OVER (PARTITION BY window_id) AS top FROM r GROUP BY window_id, requested_seconds, s, h WINDOW x AS (PARTITION BY window_id ORDER BY requested_seconds)),
+c AS (SELECT window_id, 'requested_seconds' AS feature, v::DOUBLE AS threshold, NULL::VARCHAR AS category, s, h, lg, lh, 0 AS f FROM n WHERE v < top AND len(list_filter(range(1, 256), lambda k: (k * h + 255) // 256 - 1 BETWEEN lh - own AND lh - 1)) > 0
+  UNION ALL SELECT window_id, 'partition', NULL, partition, s, h, sum(q), count(*), 1 FROM r GROUP BY window_id, partition, s, h HAVING count(*) >= 2),
+e AS (SELECT *, {_GAIN} AS gain FROM c JOIN u USING (window_id) WHERE lh >= 5 AND h - lh >= 5)
+SELECT window_id, feature, threshold, category, round(gain / 1e6, 6) AS gain, lh::BIGINT AS n_left, round(lg / s / (lh + 1), 6) AS "left", round((g - lg) / s / (h - lh + 1), 6) AS "right" FROM e QUALIFY row_number() OVER (PARTITION BY window_id ORDER BY gain DESC, f, threshold, category) = 1 AND gain > 0""")
+def boosted_stump(spark, d):
+    """One round of depth one in each window, all rows and columns seen: the split and both leaves."""
+    from .operators import boosting, models
+
+    j, spec = jobs(spark, d), boosting.Spec(rounds=1, depth=1, rate=1.0, subsample=1.0, columns=1.0, numeric=("requested_seconds",), categorical=("partition",))
+    g = _grid(j)
+    rows = windows.train_rows(j, g).join(models.window_statuses(j, g).where("status = 'ok'").select("window_id"), "window_id")
+    nodes = boosting.fit(rows.withColumns({"label": F.col("runtime_seconds"), "weight": F.lit(1.0), "rid": F.col("job_id")}), spec, keys=["window_id"])
+    split = nodes.where("feature is not null").select("window_id", "feature", "threshold", "category", F.round(F.col("gain") / 1e6, 6).alias("gain"))
+    leaf = lambda k, name: nodes.where((F.col("node") == k) & (F.col("tree") == 0) & F.col("feature").isNull()).select("window_id", F.round("value", 6).alias(name))
+    inside = F.when(F.col("threshold").isNotNull(), F.col("requested_seconds") <= F.col("threshold")).otherwise(F.col("partition") == F.col("category"))
+    counts = rows.join(split, "window_id").groupBy("window_id").agg(F.count_if(inside).alias("n_left"))
+    return split.join(leaf(1, "left"), "window_id").join(leaf(2, "right"), "window_id").join(counts, "window_id")
 
 
 @query(None)
@@ -910,13 +945,13 @@ def perceptron_rolling(spark, d):
     return metrics.report(models.rolling_perceptron(j, _grid(j)), ["mae", "rmse"])
 
 
-@query(f"SELECT window_id, route, count(*) AS n, round(sum(runtime_seconds), 3) AS y_true FROM ({ROUTED}) r JOIN (SELECT job_id AS j, runtime_seconds FROM ({{jobs}})) t ON r.job_id = t.j WHERE window_id >= {N - 3} GROUP BY ALL".replace("{jobs}", f"WITH {JOBS} SELECT * FROM jobs"))
+@query(f"SELECT window_id, route, count(*) AS n, round(sum(runtime_seconds), 3) AS y_true FROM ({ROUTED}) r JOIN (SELECT job_id AS j, runtime_seconds FROM ({{jobs}})) t ON r.job_id = t.j GROUP BY ALL".replace("{jobs}", f"WITH {JOBS} SELECT * FROM jobs"))
 def routed_experts_rolling(spark, d):
-    """Small boosted experts over the last three windows; the SQL knows their routes, not what they predict."""
+    """Boosted experts of all windows, with 100 rounds of depth 8; the SQL knows their routes, tests what they predict."""
     from .operators import models
 
     j = jobs(spark, d)
-    out = models.rolling_experts(j, _grid(j), user="user_id", value="requested_seconds", least=50, windows=[N - 3, N - 2, N - 1], maxIter=3, maxDepth=3)
+    out = models.rolling_experts(j, _grid(j), user="user_id", value="requested_seconds", least=50)
     checked = out.withColumn("route", F.when(F.col("y_pred").isNotNull() & ~F.isnan("y_pred"), F.col("route")).otherwise("no prediction"))
     return checked.groupBy("window_id", "route").agg(F.count(F.lit(1)).alias("n"), F.round(F.sum("y_true"), 3).alias("y_true"))
 

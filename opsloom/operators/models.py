@@ -26,9 +26,9 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ..functions.transforms import finite, log_target, unlog_target
 from ..scratch import checkpoint
-from . import history
+from . import boosting, history
 from .quality import categories, category_profile, one_hot_width
-from .windows import MICROS, Grid, micros, split_plan, test_rows, train_range
+from .windows import MICROS, Grid, micros, split_plan, test_rows, train_range, train_rows
 
 #: Columns known at submission, the only ones that may be features.
 ALLOWED = [
@@ -256,7 +256,10 @@ def rolling_trees(
 
     decay: rows that ended d days before their window weigh exp(-decay * d); variance: see encode();
     parallel: windows that are fitted at once; save: a folder for the fitted model of each window.
+    Boosted trees over the columns themselves (no variance) are fitted by rolling_boosted().
     """
+    if kind == "gbt" and variance is None:
+        return rolling_boosted(jobs, g, windows=windows, log=log, decay=decay, most=most, extra=extra, save=save, **params)
 
     def score(train: DataFrame, test: DataFrame, w: int) -> DataFrame:
         model = regressor(kind, weighted=decay > 0, **params).fit(train)
@@ -267,36 +270,81 @@ def rolling_trees(
     return _rolling(jobs, g, score, windows=windows, extra=extra, log=log, decay=decay, variance=variance, most=most, parallel=parallel)
 
 
+#: Options of fitted trees under the names that recipes use -> those of boosting.Spec.
+BOOST_NAMES = {"maxIter": "rounds", "maxDepth": "depth", "stepSize": "rate", "subsamplingRate": "subsample", "columnRate": "columns", "minInstancesPerNode": "least"}
+
+
+def boost_spec(numeric: list[str], categorical: list[str], *, objective: str = "squared", seed: int = 42, most: int = 2048, **params) -> boosting.Spec:
+    """objective: squared or absolute; params: options of boosting.Spec, also by their names in recipes."""
+    if objective not in ("squared", "absolute"):
+        raise ValueError(f"unknown objective {objective}")
+    named = {BOOST_NAMES.get(k, k): v for k, v in params.items()}
+    return boosting.Spec(squared=objective == "squared", seed=seed, most=most, numeric=tuple(numeric), categorical=tuple(categorical), **named)
+
+
+def _training_rows(known: DataFrame, g: Grid, plan: DataFrame, log: bool, decay: float) -> DataFrame:
+    """Rows of the windows that can be fitted, once for each, with label, weight and rid."""
+    age = F.greatest(F.lit(0.0), (F.lit(g.start) + F.col("window_id") * g.step - micros(F.col("end_time"))) / (86400.0 * MICROS))
+    cols = {"label": log_target(F.col("runtime_seconds")) if log else F.col("runtime_seconds").cast("double"), "weight": F.exp(-decay * age), "rid": F.xxhash64(F.col("job_id").cast("string"))}
+    fitted = plan.where("status = 'ok'").select("window_id")
+    return train_rows(known, g).join(F.broadcast(fitted), "window_id").withColumns(cols)  # a row a window
+
+
+def rolling_boosted(
+    jobs: DataFrame, g: Grid, *, windows: list[int] | None = None, log: bool = False, decay: float = 0.0, most: int = 2048, extra: tuple[str, ...] = (), task_rows: int = 1_000_000, save: str | None = None, **params
+) -> DataFrame:
+    """window_id, job_id, y_true, y_pred of the test rows, by boosted trees of all windows fitted at once.
+
+    decay: rows that ended d days before their window weigh exp(-decay * d); save: a folder for the
+    nodes of all models, a table that boosting.predict() reads; params: see boost_spec().
+    """
+    numeric, categorical, _ = feature_columns(jobs, extra)
+    known = checkpoint(prepared(jobs.where(finite(F.col("runtime_seconds")).isNotNull()), numeric, categorical))
+    plan = checkpoint(window_statuses(known, g, extra))
+    plan = plan if windows is None else plan.where(F.col("window_id").isin(windows))
+    spec = boost_spec(numeric, categorical, most=most, **params)
+    nodes = boosting.fit(_training_rows(known, g, plan, log, decay), spec, keys=["window_id"], task_rows=task_rows)
+    if save:
+        nodes.write.mode("overwrite").parquet(save)
+    scored = boosting.predict(test_rows(known, g), nodes, spec, keys=["window_id"], keep=["job_id", "runtime_seconds"])
+    return _told(scored, log).select("window_id", "job_id", "y_true", "y_pred")
+
+
 def rolling_experts(
-    jobs: DataFrame, g: Grid, *, user: str = "user", value: str = "requested_seconds", least: int = 100, power_users: bool = True, kind: str = "gbt", windows: list[int] | None = None, log: bool = False, decay: float = 0.0,
-    variance: float | None = None, most: int = 2048, extra: tuple[str, ...] = (), parallel: int = 4, **params,
+    jobs: DataFrame, g: Grid, *, user: str = "user", value: str = "requested_seconds", least: int = 100, power_users: bool = True, windows: list[int] | None = None, log: bool = False, decay: float = 0.0,
+    most: int = 2048, extra: tuple[str, ...] = (), task_rows: int = 1_000_000, save: str | None = None, **params,
 ) -> DataFrame:
-    """window_id, job_id, y_true, y_pred, route: a fitted expert for each power user and bin of the requested time, pooled ones for the others.
+    """window_id, job_id, y_true, y_pred, route: a boosted expert for each power user and bin of the requested time, pooled ones for the others.
 
     Routes come from the training rows.  A model of the whole window scores what has no expert, that is
-    fewer than least training rows.  Only routes that the test rows take are fitted.
+    fewer than least training rows.  Only what test rows need is fitted, all experts of all windows at once.
     """
-
-    def score(train: DataFrame, test: DataFrame, w: int) -> DataFrame:
-        def fitted(rows: DataFrame):
-            return regressor(kind, weighted=decay > 0, **params).fit(rows)
-
-        train, test = history.placed(train.withColumn("window_id", F.lit(w)), test, group="window_id", user=user, value=value, power=power_users)
-        train = train.persist()
-        counts = train.groupBy("__key", "__bin").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= least)
-        wanted = counts.join(test.select("__key", "__bin").distinct(), ["__key", "__bin"]).collect()  # routes of users at the top and a few bins
-        here = lambda r: (F.col("__key") == r["__key"]) & (F.col("__bin") == r["__bin"])
-        taken = F.lit(False)
-        for r in wanted:
-            taken = taken | here(r)
-        out = fitted(train).transform(test.where(~taken)).withColumn("route", F.lit("fallback"))
-        for r in sorted(wanted, key=lambda r: (r["__key"], r["__bin"])):
-            out = out.unionByName(fitted(train.where(here(r))).transform(test.where(here(r))).withColumn("route", F.lit("expert")))
-        out = checkpoint(_told(out, log).select("window_id", "job_id", "y_true", "y_pred", "route"))
-        train.unpersist()
-        return out
-
-    return _rolling(jobs, g, score, windows=windows, extra=(*extra, value, user), log=log, decay=decay, variance=variance, most=most, parallel=parallel)
+    extra = (*extra, value, user)
+    numeric, categorical, _ = feature_columns(jobs, extra)
+    ready = prepared(jobs.where(finite(F.col("runtime_seconds")).isNotNull()), numeric, categorical)
+    known = checkpoint(ready.withColumns({"__user": ready[user], "__value": ready[value]}))
+    plan = checkpoint(window_statuses(known, g, extra))
+    plan = plan if windows is None else plan.where(F.col("window_id").isin(windows))
+    test = test_rows(known, g).join(F.broadcast(plan.where("status = 'ok'").select("window_id")), "window_id")  # a row a window
+    train, test = history.placed(_training_rows(known, g, plan, log, decay), test, group="window_id", user="__user", value="__value", power=power_users)
+    route = F.concat_ws(":", F.col("__bin").cast("string"), "__key")
+    train, test = checkpoint(train.withColumn("route", route)), checkpoint(test.withColumn("route", route))
+    experts = train.groupBy("window_id", "route").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= least).select("window_id", "route")
+    wanted = checkpoint(test.select("window_id", "route").distinct().join(experts, ["window_id", "route"]).withColumn("expert", F.lit(True)))
+    routed = checkpoint(test.join(wanted, ["window_id", "route"], "left").withColumn("route", F.when(F.col("expert"), F.col("route"))))
+    pooled = routed.where("route is null").select("window_id").distinct()
+    columns = ["window_id", *spec_columns(numeric, categorical), "label", "weight", "rid"]
+    rows = train.join(wanted, ["window_id", "route"]).select("route", *columns).unionByName(train.join(F.broadcast(pooled), "window_id").select(F.lit(None).cast("string").alias("route"), *columns))  # a row a window
+    spec = boost_spec(numeric, categorical, most=most, **params)
+    nodes = boosting.fit(rows, spec, keys=["window_id", "route"], task_rows=task_rows)
+    if save:
+        nodes.write.mode("overwrite").parquet(save)
+    scored = boosting.predict(routed, nodes, spec, keys=["window_id", "route"], keep=["job_id", "runtime_seconds"])
+    return _told(scored, log).select("window_id", "job_id", "y_true", "y_pred", F.when(F.col("route").isNull(), "fallback").otherwise("expert").alias("route"))
+
+
+def spec_columns(numeric: list[str], categorical: list[str]) -> list[str]:
+    return [c for c in (*numeric, *categorical) if c not in ("window_id", "route")]
 
 
 def design(frame: pd.DataFrame, numeric: list[str], categories: dict[str, list[str]]) -> np.ndarray:
