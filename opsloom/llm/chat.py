@@ -61,21 +61,32 @@ def _links(stages: Stages, messages: DataFrame) -> DataFrame:
 
 
 def _doubled(stages: Stages, links: DataFrame) -> list[DataFrame]:
-    """links and their compositions with themselves: the k-th steps up 2^k messages, until no step leads on."""
+    """links and their compositions with themselves: the k-th steps up 2^k messages, until no step leads on.
+
+    Only messages that have not come to their root yet are in the next table, so the tables shrink as
+    fast as there are few deep trees; :func:`_ended` has those that have.
+    """
     tables, most = [links], links.count()
     while tables[-1].where("up is not null").limit(1).count() and 1 << (len(tables) - 1) <= most:
-        last = tables[-1]
-        on = last.select(F.col("n").alias("__n"), F.col("up").alias("__up"), F.col("score").alias("__score"), F.col("len").alias("__len"))
-        joined = last.join(on, last["up"] == on["__n"], "left")
-        step = joined.select("n", F.col("__up").alias("up"), (F.col("score") + F.coalesce("__score", F.lit(0.0))).alias("score"), (F.col("len") + F.coalesce("__len", F.lit(0))).alias("len"))
+        going = tables[-1].where("up is not null")
+        on = going.unionByName(_ended(tables)).select(F.col("n").alias("__n"), F.col("up").alias("__up"), F.col("score").alias("__score"), F.col("len").alias("__len"))
+        step = going.join(on, going["up"] == on["__n"]).select("n", F.col("__up").alias("up"), (F.col("score") + F.col("__score")).alias("score"), (F.col("len") + F.col("__len")).alias("len"))
         tables.append(stages.write(f"links-{len(tables)}", step))
     return tables
 
 
+def _ended(tables: list[DataFrame]) -> DataFrame:
+    """The messages that have come to their root, with the score and the length of the path to it."""
+    out = tables[0].where("up is null")
+    for t in tables[1:]:
+        out = out.unionByName(t.where("up is null"))
+    return out
+
+
 def branches(stages: Stages, messages: DataFrame, tables: list[DataFrame], keep: int | None) -> DataFrame:
     """leaf, tree, leaf_id, branch (rank by score within the tree, from 1), score, n_turns of the chosen leaves."""
     answered = tables[0].where("up is not null").select(F.col("up").alias("n")).distinct()
-    ended = tables[-1].where("up is null").join(answered, "n", "left_anti")
+    ended = _ended(tables).join(answered, "n", "left_anti")
     leaves = ended.join(messages.select("n", "tree", "id"), "n").select(F.col("n").alias("leaf"), "tree", F.col("id").alias("leaf_id"), "score", F.col("len").alias("n_turns"))
     leaves = stages.write("leaves", leaves)
     order = Window.partitionBy("tree").orderBy(F.desc("score"), F.desc("n_turns"), F.asc_nulls_last("leaf_id"), "leaf")
