@@ -9,7 +9,7 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window, functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
-from pyspark.sql.types import DoubleType, IntegerType, StructField, StructType
+from pyspark.sql.types import BinaryType, DoubleType, IntegerType, StructField, StructType
 
 from ..scratch import checkpoint
 from .models import ALLOWED
@@ -21,7 +21,7 @@ BLOCK = 1024
 def _blocks(df: DataFrame, group: str, block: int) -> tuple[DataFrame, DataFrame]:
     """(group, __b and rows, the rows sorted by id and gathered into blocks of about that many; group, __n: its blocks)."""
     sized = df.groupBy(group).agg(F.ceil(F.count(F.lit(1)) / block).cast("int").alias("__n"))
-    placed = df.join(F.broadcast(sized), group).withColumn("__b", F.pmod(F.xxhash64("id"), F.col("__n")).cast("int"))  # a row a group
+    placed = df.join(sized, group).withColumn("__b", F.pmod(F.xxhash64("id"), F.col("__n")).cast("int"))
     fields = [c for c in df.columns if c not in (group, "id")]
     return placed.groupBy(group, "__b").agg(F.sort_array(F.collect_list(F.struct("id", *fields))).alias("rows")), sized
 
@@ -34,7 +34,7 @@ def _pairs(test: DataFrame, train: DataFrame, group: str, block: int) -> DataFra
     """
     a, _ = _blocks(test, group, block)
     b, sized = _blocks(train, group, block)
-    copies = a.join(F.broadcast(sized), group).select(group, F.col("rows").alias("a"), F.explode(F.sequence(F.lit(0), F.col("__n") - 1)).alias("__b"))
+    copies = a.join(sized, group).select(group, F.col("rows").alias("a"), F.explode(F.sequence(F.lit(0), F.col("__n") - 1)).alias("__b"))
     return copies.join(b.withColumnRenamed("rows", "b"), [group, "__b"]).select(group, "a", "b")
 
 
@@ -70,13 +70,164 @@ def _nearest(test: DataFrame, train: DataFrame, group: str, k: int, similar: Cal
     return near.withColumn("rank", rank).where(F.col("rank") <= k)
 
 
-def _cosines(left: pa.StructArray, right: pa.StructArray) -> np.ndarray:
-    def unit(rows: pa.StructArray) -> np.ndarray:
-        m = rows.field("v").flatten().to_numpy(zero_copy_only=False).reshape(len(rows), -1)
-        n = np.sqrt((m * m).sum(axis=1, keepdims=True))
-        return m / np.where(n == 0, 1, n)
+#: Vectors that rows are ordered by and blocks are bounded by; the driver and each task hold them.
+PIVOTS = 48
+#: Blocks whose bounds are compared at once, and training blocks that each test block meets first.
+CHUNK, FIRST = 512, 2
+#: Bounds are wider than the rounding of angles and similarities.
+SLACK = 1e-6
 
-    return unit(left) @ unit(right).T
+
+def _unit(m: np.ndarray) -> np.ndarray:
+    n = np.sqrt((m * m).sum(axis=1, keepdims=True))
+    return m / np.where(n == 0, 1, n)
+
+
+def _matrix(v: pa.Array, n: int) -> np.ndarray:
+    return v.flatten().to_numpy(zero_copy_only=False).reshape(n, -1)
+
+
+def _pivots(rows: DataFrame) -> np.ndarray:
+    """The vectors of PIVOTS rows of least hash, scaled to length 1."""
+    found = rows.select("v", F.xxhash64("v").alias("h")).distinct().orderBy("h", "v").limit(PIVOTS).collect()
+    return _unit(np.array([r["v"] for r in found], dtype=float)) if found else np.zeros((0, 0))
+
+
+def _angles(v: np.ndarray, pivots: np.ndarray) -> np.ndarray:
+    return np.arccos(np.clip(_unit(v) @ pivots.T, -1, 1))
+
+
+def _by_cell(rows: DataFrame, pivots: np.ndarray) -> DataFrame:
+    """rows with the nearest pivot __cell and the angle __far to it."""
+    schema = StructType([*rows.schema.fields, StructField("__cell", IntegerType()), StructField("__far", DoubleType())])
+    arrow = to_arrow_schema(schema)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if batch.num_rows:
+                a = _angles(_matrix(batch.column("v"), batch.num_rows), pivots)
+                cell = a.argmin(axis=1)
+                yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(cell, pa.int32()), pa.array(a[np.arange(len(a)), cell])], schema=arrow)
+
+    return rows.mapInArrow(run, schema)
+
+
+def _near_blocks(rows: DataFrame, order: list[str], pivots: np.ndarray) -> tuple[DataFrame, DataFrame]:
+    """(g, block and rows; g, chunk and the bounds of its blocks), both written.
+
+    rows: g, id, v, lo, hi (windows) and more.  Rows are numbered in the order (then by cell and angle) and cut
+    into blocks of BLOCK, so a block holds near rows; a cell of BLOCK / 8 rows or more has blocks of its own.  A
+    block's bounds are its least and largest angle to each pivot and its first and last window.
+    """
+    keys = list(dict.fromkeys(["g", *order, "__cell"]))
+    numbered = checkpoint(row_index(_by_cell(rows, pivots), [*order, "__cell", "__far", "id"], "__i").drop("__far"))
+    cells = numbered.groupBy(*keys).agg(F.min("__i").alias("__first"), (F.count(F.lit(1)) >= BLOCK // 8).alias("__own"))
+    placed = numbered.join(checkpoint(cells), keys).drop("__cell")
+    # A block is named by the number of its first row, twice, and one more in a cell of its own.
+    own = 2 * (F.col("__first") + F.floor((F.col("__i") - F.col("__first")) / BLOCK) * BLOCK) + 1
+    block = F.when(F.col("__own"), own).otherwise(F.floor(F.col("__i") / BLOCK) * (2 * BLOCK)).cast("bigint")
+    fields = [c for c in rows.columns if c not in ("g", "id")]
+    blocks = checkpoint(placed.groupBy("g", block.alias("block")).agg(F.sort_array(F.collect_list(F.struct("id", *fields))).alias("rows")))
+    schema = StructType([blocks.schema["g"], blocks.schema["block"], *(StructField(c, BinaryType()) for c in ("near", "far")), StructField("from", IntegerType()), StructField("to", IntegerType())])
+    arrow = to_arrow_schema(schema)
+
+    def bounds(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for r in range(batch.num_rows):
+                own = batch.column("rows").slice(r, 1).flatten()
+                a = _angles(_matrix(own.field("v"), len(own)), pivots)
+                lo, hi = (own.field(c).to_numpy(zero_copy_only=False) for c in ("lo", "hi"))
+                values = [batch.column("g")[r].as_py(), batch.column("block")[r].as_py(), a.min(axis=0).tobytes(), a.max(axis=0).tobytes(), int(lo.min()), int(hi.max())]
+                yield pa.RecordBatch.from_arrays([pa.array([v], f.type) for v, f in zip(values, arrow)], schema=arrow)
+
+    told = checkpoint(blocks.mapInArrow(bounds, schema), batch_rows=16)
+    chunks = told.groupBy("g", F.floor(F.col("block") / (2 * BLOCK * CHUNK)).alias("chunk")).agg(F.sort_array(F.collect_list(F.struct("block", "near", "far", "from", "to"))).alias("bounds"))
+    return blocks, checkpoint(chunks)
+
+
+def _meetings(a: DataFrame, b: DataFrame, choose: Callable, more: str = "") -> DataFrame:
+    """What choose() picks of the pairs of blocks of each group: g, a, b (and more); chunks of bounds meet, not blocks."""
+    of_group = b.select("g", "chunk").groupBy("g").agg(F.collect_list("chunk").alias("chunks"))
+    copies = a.join(of_group, "g").select("g", F.col("bounds").alias("a"), F.explode("chunks").alias("chunk"))
+    pairs = copies.join(b.withColumnRenamed("bounds", "b"), ["g", "chunk"]).select("g", "a", "b")
+    schema = f"g {dict(a.dtypes)['g']}, a bigint, b bigint{more}"
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for r in range(batch.num_rows):
+                left, right = (batch.column(c).slice(r, 1).flatten() for c in (1, 2))
+                i, j, *others = choose(left, right)
+                g = pa.array(batch.column(0).slice(r, 1).to_pylist() * len(i), batch.column(0).type)
+                yield pa.RecordBatch.from_arrays([g, left.field("block").take(pa.array(i)), right.field("block").take(pa.array(j)), *map(pa.array, others)], names=["g", "a", "b", *(c.split()[0] for c in more.split(", ")[1:])])
+
+    return checkpoint(pairs.mapInArrow(run, schema), batch_rows=4)
+
+
+def _bounded(left: pa.StructArray, right: pa.StructArray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(least angle between rows of two blocks, how far their middles lie apart, whether their windows touch), each block against each."""
+    angles = {}
+    for side, rows in (("a", left), ("b", right)):
+        angles[side] = [np.array([np.frombuffer(x, dtype=float) for x in rows.field(c).to_pylist()]) for c in ("near", "far")]
+    (an, af), (bn, bf) = angles["a"], angles["b"]
+    apart, middle = np.zeros((len(left), len(right))), np.zeros((len(left), len(right)))
+    for p in range(an.shape[1]):
+        apart = np.maximum(apart, np.maximum(an[:, p, None] - bf[None, :, p], bn[None, :, p] - af[:, p, None]))
+        middle += np.abs((an[:, p] + af[:, p])[:, None] - (bn[:, p] + bf[:, p])[None, :])
+    first, last = (left.field(c).to_numpy()[:, None] for c in ("from", "to"))
+    touch = (last >= right.field("from").to_numpy()[None, :]) & (first <= right.field("to").to_numpy()[None, :])
+    return apart, middle, touch
+
+
+def _first_blocks(left: pa.StructArray, right: pa.StructArray):
+    """The FIRST training blocks that lie nearest to each test block."""
+    apart, middle, touch = _bounded(left, right)
+    order = np.lexsort((middle, apart, ~touch), axis=1)[:, :FIRST]
+    i, k = np.nonzero(np.take_along_axis(touch, order, axis=1))
+    j = order[i, k]
+    return i, j, apart[i, j], middle[i, j]
+
+
+def _further_blocks(left: pa.StructArray, right: pa.StructArray):
+    """The training blocks in which a test block may find rows at least as near as those it has."""
+    apart, _, touch = _bounded(left, right)
+    least = left.field("least").to_numpy()[:, None]
+    return np.nonzero(touch & (np.cos(np.maximum(apart - SLACK, 0)) >= least - SLACK))
+
+
+def _multiplied(pairs: DataFrame, a: DataFrame, b: DataFrame, schema: StructType, k: int) -> DataFrame:
+    """The k best of each query among the rows of the pairs of blocks."""
+    left, right = a.select("g", F.col("block").alias("a"), F.col("rows").alias("rows_a")), b.select("g", F.col("block").alias("b"), F.col("rows").alias("rows_b"))
+    joined = pairs.select("g", "a", "b").join(left, ["g", "a"]).join(right, ["g", "b"]).select("g", "rows_a", "rows_b", "a")
+    return checkpoint(joined.mapInArrow(_best(_cosines_in_windows, schema, k, -2.0), schema), batch_rows=16)
+
+
+def _nearest_in_windows(test: DataFrame, train: DataFrame, order_test: list[str], order_train: list[str], k: int) -> DataFrame:
+    """g, query, neighbour, similarity, value, rank of rows (g, id, v, lo, hi) and (g, id, v, lo, hi, y): the exact k best by cosine.
+
+    Rows at angles s and t to a pivot lie at least |s - t| apart, so bounds of blocks say how near their
+    rows can be.  Each test block first meets the FIRST blocks that lie nearest; the k-th best that its
+    rows find there bounds which other blocks it has to meet.
+    """
+    pivots = _pivots(train)
+    kinds = {f.name: f.dataType for f in test.schema}
+    schema = StructType([StructField("g", kinds["g"]), StructField("query", kinds["id"]), StructField("neighbour", kinds["id"]), StructField("similarity", DoubleType()), StructField("value", DoubleType())])
+    if not len(pivots):
+        return train.sparkSession.createDataFrame([], schema).withColumn("rank", F.lit(0))
+    (a, bounds_a), (b, bounds_b) = _near_blocks(test, order_test, pivots), _near_blocks(train, order_train, pivots)
+    near = _meetings(bounds_a, bounds_b, _first_blocks, ", apart double, middle double")
+    place = F.row_number().over(Window.partitionBy("g", "a").orderBy("apart", "middle", "b"))
+    first = checkpoint(near.withColumn("r", place).where(F.col("r") <= FIRST).select("g", "a", "b"))
+    found = _multiplied(first, a, b, schema, k)
+    # The k-th best of each query; of a block the least of them, and nothing if a row has fewer than k.
+    ranked = found.withColumn("r", F.row_number().over(Window.partitionBy("g", "query").orderBy(F.desc("similarity"), "neighbour"))).where(F.col("r") == k)
+    members = a.select("g", "block", F.explode("rows.id").alias("query"))
+    least = members.join(ranked.select("g", "query", "similarity"), ["g", "query"], "left").groupBy("g", "block").agg(F.min(F.coalesce("similarity", F.lit(-2.0))).alias("least"))
+    told = bounds_a.select("g", "chunk", F.explode("bounds").alias("s")).select("g", "chunk", "s.*").join(checkpoint(least), ["g", "block"])
+    told = checkpoint(told.groupBy("g", "chunk").agg(F.sort_array(F.collect_list(F.struct("block", "near", "far", "from", "to", "least"))).alias("bounds")))
+    further = checkpoint(_meetings(told, bounds_b, _further_blocks).join(first, ["g", "a", "b"], "left_anti"))
+    every = found.unionByName(_multiplied(further, a, b, schema, k))
+    rank = F.row_number().over(Window.partitionBy("g", "query").orderBy(F.desc("similarity"), "neighbour"))
+    return every.withColumn("rank", rank).where(F.col("rank") <= k)
 
 
 def dense_neighbours(test: DataFrame, train: DataFrame, *, key: str, vector: str, value: str, group: str, k: int = 5) -> DataFrame:
@@ -84,17 +235,19 @@ def dense_neighbours(test: DataFrame, train: DataFrame, *, key: str, vector: str
 
     Test and training rows of a group meet block by block; each pair of blocks is one matrix product
     that leaves k candidates a query, so no group is gathered in one task and pairs are never rows.
-    Zero vectors have similarity 0.  Ties go by id.
+    Blocks that provably hold no nearer row than those found are left out.  Zero vectors have similarity 0.  Ties go by id.
     """
-    fields = [group, F.col(key).alias("id"), F.col(vector).cast("array<double>").alias("v")]
-    return _nearest(test.select(*fields), train.select(*fields, F.col(value).cast("double").alias("y")), group, k, _cosines, -2.0)
+    fields = [F.col(group).alias("g"), F.col(key).alias("id"), F.col(vector).cast("array<double>").alias("v"), F.lit(0).alias("lo"), F.lit(0).alias("hi")]
+    out = _nearest_in_windows(test.select(*fields), train.select(*fields, F.col(value).cast("double").alias("y")), ["g"], ["g"], k)
+    return out.withColumnRenamed("g", group)
 
 
 def _cosines_in_windows(left: pa.StructArray, right: pa.StructArray) -> np.ndarray:
     """Cosines, and -3 where the row on the right does not train the window of the row on the left."""
-    w = left.field("w").to_numpy(zero_copy_only=False)[:, None]
+    a, b = (_unit(_matrix(x.field("v"), len(x))) for x in (left, right))
+    w = left.field("lo").to_numpy(zero_copy_only=False)[:, None]
     lo, hi = (right.field(c).to_numpy(zero_copy_only=False)[None, :] for c in ("lo", "hi"))
-    return np.where((lo <= w) & (w <= hi), _cosines(left, right), -3.0)
+    return np.where((lo <= w) & (w <= hi), a @ b.T, -3.0)
 
 
 def windowed_neighbours(test: DataFrame, train: DataFrame, *, key: str, vector: str, value: str, window: str, lo: Column, hi: Column, k: int = 5) -> DataFrame:
@@ -103,24 +256,10 @@ def windowed_neighbours(test: DataFrame, train: DataFrame, *, key: str, vector:
     A training row says which windows it trains, from lo to hi.  Rows are put into blocks in the order
     of their windows; only blocks whose windows touch meet, and inside the product each pair is checked.
     """
-
-    def blocks(df: DataFrame, order: list[str], first: str, last: str, name: str) -> DataFrame:
-        numbered = row_index(df, order, "__i")
-        rows = F.sort_array(F.collect_list(F.struct("id", *(c for c in df.columns if c != "id"))))
-        return numbered.groupBy(F.floor(F.col("__i") / BLOCK).alias(name)).agg(rows.alias(f"rows_{name}"), F.min(first).alias(f"from_{name}"), F.max(last).alias(f"to_{name}"))
-
-    v = [F.col(key).alias("id"), F.col(vector).cast("array<double>").alias("v")]
-    a = checkpoint(blocks(test.select(*v, F.col(window).cast("int").alias("w")), ["w", "id"], "w", "w", "a"))
-    known = train.select(*v, F.col(value).cast("double").alias("y"), lo.cast("int").alias("lo"), hi.cast("int").alias("hi")).where("lo <= hi")
-    b = checkpoint(blocks(known, ["lo", "hi", "id"], "lo", "hi", "b"))
-    # Blocks are a thousandth of the rows, and what meets here are their numbers and windows alone.
-    meet = a.select("a", "from_a", "to_a").join(b.select("b", "from_b", "to_b"), (F.col("to_a") >= F.col("from_b")) & (F.col("from_a") <= F.col("to_b"))).select("a", "b")
-    pairs = meet.join(a.select("a", "rows_a"), "a").join(b.select("b", "rows_b"), "b").select(F.lit(0).alias("g"), "rows_a", "rows_b")
-    kinds = {f.name: f.dataType for f in known.schema}
-    schema = StructType([StructField("g", IntegerType()), StructField("query", kinds["id"]), StructField("neighbour", kinds["id"]), StructField("similarity", DoubleType()), StructField("value", DoubleType())])
-    near = checkpoint(pairs.mapInArrow(_best(_cosines_in_windows, schema, k, -2.0), schema), batch_rows=16)
-    rank = F.row_number().over(Window.partitionBy("query").orderBy(F.desc("similarity"), "neighbour"))
-    best = near.withColumn("rank", rank).where(F.col("rank") <= k).drop("g")
+    v = [F.lit(0).alias("g"), F.col(key).alias("id"), F.col(vector).cast("array<double>").alias("v")]
+    asked = test.select(*v, F.col(window).cast("int").alias("lo"), F.col(window).cast("int").alias("hi"))
+    known = train.select(*v, lo.cast("int").alias("lo"), hi.cast("int").alias("hi"), F.col(value).cast("double").alias("y")).where("lo <= hi")
+    best = _nearest_in_windows(asked, known, ["lo"], ["lo", "hi"], k).drop("g")
     return best.join(test.select(F.col(key).alias("query"), F.col(window)), "query").select(window, "query", "neighbour", "similarity", "value", "rank")
 
 
