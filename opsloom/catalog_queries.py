@@ -693,14 +693,22 @@ def read_csv(spark, d):
     return out.select("o_orderkey", "o_totalprice", "o_orderstatus", F.unix_micros(T.iso8601(F.col("at"))).alias("us"))
 
 
-@query("SELECT r_name, n_name, CAST(n_nationkey AS BIGINT) AS n_nationkey FROM nation JOIN region ON n_regionkey = r_regionkey")
+@query("SELECT r_name, n_name, n_nationkey::BIGINT AS n_nationkey, CASE n_nationkey % 3 WHEN 0 THEN 'own' WHEN 1 THEN r_name END AS label, CASE WHEN n_nationkey % 2 = 0 THEN 'n' || n_nationkey ELSE (r_regionkey * 10)::VARCHAR END AS rank FROM nation JOIN region ON n_regionkey = r_regionkey")
 def read_json(spark, d):
-    """Nations as records below their regions; names, types and nested values of the parents as a source may have them."""
+    """Nations as records below their regions; some have the label and the rank of their own, some as null, others take their region's; types and nested values as a source may have them."""
     n, r = table(spark, d, "nation"), table(spark, d, "region")
-    rows = n.join(r, n["n_regionkey"] == r["r_regionkey"]).groupBy("r_name").agg(F.collect_list(F.struct("n_name", "n_nationkey", F.array(F.lit(1)).alias("nested"))).alias("records"))
-    whole = rows.agg(F.to_json(F.collect_list(F.struct("r_name", F.struct(F.lit(1).alias("x")).alias("own"), "records"))).alias("j")).first().j  # 25 nations
+    k = F.col("n_nationkey")
+    # A struct without the field: to_json leaves null fields out, so an explicit null is written by hand.
+    record = F.concat(
+        F.lit('{"nested":[1],"n_name":"'), "n_name", F.lit('","n_nationkey":'), k.cast("string"),
+        F.when(k % 3 == 0, ',"label":"own"').when(k % 3 == 2, ',"label":null').otherwise(""),
+        F.when(k % 2 == 0, F.concat(F.lit(',"rank":"n'), k.cast("string"), F.lit('"'))).otherwise(""), F.lit("}"),
+    )
+    rows = n.join(r, n["n_regionkey"] == r["r_regionkey"]).groupBy("r_name", "r_regionkey").agg(F.concat_ws(",", F.collect_list(record)).alias("records"))
+    group = F.concat(F.lit('{"r_name":"'), "r_name", F.lit('","label":"'), "r_name", F.lit('","rank":'), (F.col("r_regionkey") * 10).cast("string"), F.lit(',"own":{"x":1},"records":['), "records", F.lit("]}"))
+    whole = rows.agg(F.concat(F.lit("["), F.concat_ws(",", F.collect_list(group)), F.lit("]")).alias("j")).first().j  # 25 nations
     path = storage.write_text(spark, _scratch(spark, "nations.json"), whole)
-    return readers.json(spark, path, record_path="records").select("r_name", "n_name", "n_nationkey")
+    return readers.json(spark, path, record_path="records").select("r_name", "n_name", "n_nationkey", "label", "rank")
 
 
 @query("SELECT o_orderkey AS job_number, epoch_us(date_trunc('day', o_orderdate)) + CAST(o_orderkey % 100 AS BIGINT) * 1000000 AS start_us FROM orders")

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window, WindowSpec, functions as F
 
+from ..scratch import checkpoint
 from .ranks import row_index
 
 #: Names that sources give to the same thing.
@@ -23,13 +24,20 @@ PIECE = 100_000
 def past(jobs: DataFrame, user: str, order: list, theta: int, piece: int = PIECE) -> tuple[DataFrame, WindowSpec]:
     """(jobs in pieces, the window of the theta jobs of the same user before each); current() takes the copies out again.
 
-    All jobs are numbered by user and order and cut into pieces of equal size, so a user with many jobs
-    is spread over many tasks.  The last theta jobs of a piece are copied to the next one, where they
-    serve as history only.
+    A user with at most piece jobs is one piece.  The jobs of the others are numbered by user and order
+    and cut into pieces of equal size, so a user with many jobs is spread over many tasks; the last
+    theta jobs of a piece are copied to the next one, where they serve as history only.  order names each user's jobs in one way.
     """
-    numbered = row_index(jobs, [user, *order], "__i").withColumn("__piece", F.floor(F.col("__i") / piece)).withColumn("__copy", F.lit(False))
+    window = Window.partitionBy("__piece", user).orderBy("__i", *order).rowsBetween(-theta, -1)
+    marks = {"__i": F.lit(0).cast("bigint"), "__piece": F.lit(-1).cast("bigint"), "__copy": F.lit(False)}
+    busy = checkpoint(jobs.groupBy(F.col(user).alias("__busy")).agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > piece).select("__busy"))
+    if busy.isEmpty():
+        return jobs.withColumns(marks), window
+    same = jobs[user].eqNullSafe(busy["__busy"])
+    few = F.broadcast(busy)  # a row for each piece of jobs at most
+    numbered = row_index(jobs.join(few, same, "left_semi"), [user, *order], "__i").withColumn("__piece", F.floor(F.col("__i") / piece)).withColumn("__copy", F.lit(False))
     ahead = numbered.where(F.col("__i") % piece >= piece - theta).withColumn("__piece", F.col("__piece") + 1).withColumn("__copy", F.lit(True))
-    return numbered.union(ahead), Window.partitionBy("__piece", user).orderBy("__i").rowsBetween(-theta, -1)
+    return jobs.join(few, same, "left_anti").withColumns(marks).unionByName(numbered.union(ahead)), window
 
 
 def current(held: DataFrame) -> DataFrame:
@@ -76,12 +84,15 @@ def context_nearest(jobs: DataFrame, *, user: str, order: list, name: Column, nu
 
 
 def wallclock_edges(rows: DataFrame, group: str, value: str, *, bins: int = 5, least_share: float = 0.02) -> DataFrame:
-    """group, edges: the most requested values, if two have the share, else quantiles; the last edge is infinite."""
+    """group, edges: the most requested values, if two have the share, else quantiles; the last edge is infinite.
+
+    Quantiles come from the counts of the different values of a group, of which requested times have few.
+    """
     counts = rows.where(F.col(value) > 0).groupBy(group, value).agg(F.count(F.lit(1)).alias("n"))
     ranked = counts.withColumn("r", F.row_number().over(Window.partitionBy(group).orderBy(F.desc("n"), value))).withColumn("total", F.sum("n").over(Window.partitionBy(group)))
     modes = ranked.where((F.col("r") < bins) & (F.col("n") >= least_share * F.col("total"))).groupBy(group).agg(F.sort_array(F.collect_list(F.col(value).cast("double"))).alias("modes"))
     cuts = F.array(*(F.lit((i + 1) / bins) for i in range(bins - 1)))
-    quantiles = rows.where(F.col(value) > 0).groupBy(group).agg(F.array_distinct(F.percentile(value, cuts)).alias("q"))
+    quantiles = counts.groupBy(group).agg(F.array_distinct(F.percentile(value, cuts, F.col("n"))).alias("q"))
     edges = F.concat(F.when(F.size("modes") >= 2, F.col("modes")).otherwise(F.col("q")), F.array(F.lit(float("inf"))))
     return quantiles.join(modes, group, "left").select(group, edges.alias("edges"))
 
@@ -93,7 +104,10 @@ def bin_of(value: Column, edges: Column) -> Column:
 
 
 def power_users(rows: DataFrame, group: str, user: str, quantile: float = 0.99) -> DataFrame:
-    """group, user, n: the users whose number of jobs reaches the quantile of their group."""
+    """group, user, n: the users whose number of jobs reaches the quantile of their group.
+
+    The quantile's buffer holds different numbers of jobs, of which n jobs give at most sqrt(2 n).
+    """
     named = rows.where(F.col(user).isNotNull() & (F.col(user).cast("string") != ""))
     counts = named.groupBy(group, user).agg(F.count(F.lit(1)).alias("n"))
     cut = counts.groupBy(group).agg(F.percentile("n", F.lit(quantile)).alias("cut"))

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, Window, functions as F
 
-from ..operators.ranks import quantiles
+from ..operators.ranks import quantiles, stepped_quantiles
 
 DAY = 86400
 
@@ -13,7 +13,7 @@ def span(jobs: DataFrame, submit: str = "submit_time", q: float = 0.001) -> Data
     """lo_day, hi_day (days since 1970) of the submissions without the outer q on each side, and the full range."""
     s = F.floor(F.unix_micros(F.col(submit).cast("timestamp")) / 1_000_000)
     ends = jobs.agg(F.min(s).alias("lo"), F.max(s).alias("hi"))
-    return ends.join(F.broadcast(quantiles(jobs, s, [q, 1 - q]).withColumnRenamed("q", "p"))).selectExpr(
+    return ends.join(F.broadcast(stepped_quantiles(jobs, s, [q, 1 - q], 3600).withColumnRenamed("q", "p"))).selectExpr(
         f"cast(floor(cast(p[0] AS bigint) / {DAY}) AS int) AS lo_day", f"cast(floor(cast(p[1] AS bigint) / {DAY}) AS int) AS hi_day", f"cast(floor(lo / {DAY}) AS int) AS full_lo", f"cast(floor(hi / {DAY}) AS int) AS full_hi"
     )
 

@@ -10,7 +10,7 @@ import zipfile
 from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
-from pyspark.sql.types import ArrayType, MapType, StructType
+from pyspark.sql.types import ArrayType, MapType, StringType, StructType
 
 from ..functions.transforms import ticks
 from ..scratch import shared_dir
@@ -101,14 +101,35 @@ def csv(spark: SparkSession, *paths: str, delimiter: str = ",", columns: list[st
     return df.select(*(f"`{c}`" for c in columns if c in df.columns)) if columns else df
 
 
-def json(spark: SparkSession, *paths: str, record_path: str) -> DataFrame:
-    """Records below record_path with the scalars of their parents; a record's own value wins, nested values are dropped."""
-    df = spark.read.option("multiLine", True).json(list(paths))
+def json(spark: SparkSession, *paths: str, record_path: str | None = None) -> DataFrame:
+    """Records below record_path with the scalars of their parents; nested values are dropped.
+
+    A record's value wins where it has the key, even as null; elsewhere its parent's stands.  Without a
+    path the top-level objects are the records.  Types are those that all values of a key fit, at last strings.
+    """
+    reader = spark.read.option("multiLine", True)
+    df = reader.json(list(paths))
     nested = (ArrayType, MapType, StructType)
-    record = df.schema[record_path].dataType.elementType
-    own = [f.name for f in record if not isinstance(f.dataType, nested)]
-    parents = [f.name for f in df.schema if not isinstance(f.dataType, nested) and f.name not in own]
-    return df.select(*parents, F.explode(record_path).alias("__r")).select(*parents, *(F.col(f"__r.`{c}`").alias(c) for c in own))
+    scalar = lambda fields: {f.name: f.dataType.simpleString() for f in fields if not isinstance(f.dataType, nested)}
+    parents = scalar(df.schema)
+    if record_path is None:
+        return df.select(*(f"`{c}`" for c in parents))
+    kind = df.schema[record_path].dataType if record_path in df.columns else None
+    if not isinstance(kind, ArrayType) or not isinstance(kind.elementType, StructType):
+        raise ValueError(f"no lists of records below {record_path}")
+    own = scalar(kind.elementType)
+    # Read as maps, records show which keys they have.
+    schema = StructType([f for f in df.schema if f.name in parents]).add(record_path, ArrayType(MapType(StringType(), StringType())))
+    rows = reader.schema(schema).json(list(paths)).select(*(f"`{c}`" for c in parents), F.explode(F.col(f"`{record_path}`")).alias("__r")).where("__r is not null")
+
+    def column(c: str):
+        if c not in own:
+            return F.col(f"`{c}`")
+        wide = own[c] if parents.get(c, own[c]) == own[c] else "string"
+        mine = F.try_element_at("__r", F.lit(c)).cast(wide)
+        return F.when(F.map_contains_key("__r", F.lit(c)), mine).otherwise(F.col(f"`{c}`").cast(wide)).alias(c) if c in parents else mine.alias(c)
+
+    return rows.select(*(column(c) for c in [*parents, *(c for c in own if c not in parents)]))
 
 
 def swf(spark: SparkSession, *paths: str) -> DataFrame:

@@ -67,6 +67,13 @@ def test_sources(spark, tmp_path):
     (tmp_path / "j.json").write_text('[{"platform": "p", "w": {"x": 1}, "tasklist": [{"task_id": 1, "cpus": 2, "nodes": [1]}, {"task_id": "b", "cpus": 3, "nodes": []}]}]')
     out = readers.json(spark, str(tmp_path / "j.json"), record_path="tasklist")
     assert sorted(out.columns) == ["cpus", "platform", "task_id"] and sorted(r.task_id for r in out.collect()) == ["1", "b"]
+    # A record's value wins where it has the key, even as null; a nested one is none; else the parent's stands.
+    (tmp_path / "k.json").write_text('[{"g":"a","r":1,"tasklist":[{"x":1},{"x":2,"g":null},{"x":4,"r":"s"},null]},{"g":"b","tasklist":[{"x":3,"g":"own"}]},{"g":"c"},{"g":"d","tasklist":null}]')
+    rows = readers.json(spark, str(tmp_path / "k.json"), record_path="tasklist").collect()
+    assert sorted((r.x, r.g, r.r) for r in rows) == [(1, "a", "1"), (2, None, "1"), (3, "own", None), (4, "a", "s")]
+    assert [r.g for r in readers.json(spark, str(tmp_path / "k.json")).orderBy("g").collect()] == ["a", "b", "c", "d"]
+    with pytest.raises(ValueError):
+        readers.json(spark, str(tmp_path / "k.json"), record_path="none")
     (tmp_path / "c.log").write_text("[2024-01-01T00:00:00] x Allocate JobId=1 NodeList=node1 #CPUs=2 Partition=debug\n[2024-01-01T00:01:00] _job_complete: JobId=1 done\n[2024-01-01T00:01:00] _job_complete: JobId=2 done\n")
     assert [(r.job_id, r.runtime_seconds, r.node_list) for r in readers.scheduler_log_file(spark, str(tmp_path / "c.log")).collect()] == [(1, 60.0, "node1")]
 
