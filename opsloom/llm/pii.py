@@ -5,17 +5,19 @@ by a keyed permutation within their own format: an unbalanced Feistel network ov
 SHA-256 of key, kind, length, round and the other half as its round function.  A permutation keeps
 distinct values distinct and gives equal values equal pseudonyms in every document.  Where a format
 has invalid members (dates, security numbers), the permutation is applied again until it lands on a
-valid one, which keeps it a permutation.
+valid one, which keeps it a permutation.  A day has one pseudonym, in whatever notation it is written.
 
 Kinds: email (the name, by segments of letters and digits in base 36; lower-cased), phone (the last
 ten digits of (ddd) ddd-dddd, ddd-ddd-dddd, ddd.ddd.dddd and of + with 8 to 15 digits in groups or
 none), card (13 to 19 digits in one run, in fours, or as 4-6-5, that pass the Luhn test; its check digit
 is computed anew), ipv4, date (1900-01-01 to 2099-12-31: yyyy-mm-dd, also before a time, d/m/yyyy, and
-m/d/yyyy where the day is above 12, which then stays above 12), ssn (ddd-dd-dddd), secret (24 to 128
-hex digits).  Not recognised: bare runs of digits that are no card, IBANs, names, addresses, IPv6,
+m/d/yyyy where the day is above 12; if that of its pseudonym is not, it is written d/m/yyyy, as it would be read),
+ssn (ddd-dd-dddd), secret (24 to 128 hex digits; letters take the case of the secret, in mixed ones that of their
+place).  Not recognised: bare runs of digits that are no card, IBANs, names, addresses, IPv6,
 dates with month names or two-digit years.
 
-The key comes from the caller; who has it can invert the pseudonyms, so it is no constant here.
+The key comes from the caller; who has it can invert the pseudonyms, so it is no constant here.  It
+reaches the rows as a column of a one-row table, so no plan, log or page of Spark shows it.
 
 Only DataFrame functions are used: the text is split at the matches and joined again around their
 pseudonyms, row by row, without a shuffle.
@@ -29,7 +31,7 @@ from __future__ import annotations
 
 import secrets
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from .common import let
 
@@ -60,10 +62,10 @@ def _digits(n: str, size: str, radix: int) -> str:
 
 
 def feistel(s: str, radix: int, key: str, tweak: str) -> str:
-    """SQL: the keyed permutation of a digit string s of at most CHUNK[radix] digits, lower case."""
+    """SQL: the keyed permutation of a digit string s of at most CHUNK[radix] digits, lower case; key: SQL of the key."""
 
     def f(half: str) -> str:
-        return f"cast(conv(substr(sha2(concat_ws('|', {_quote(key)}, {tweak}, length(s), i, {half}), 256), 1, 15), 16, 10) AS bigint)"
+        return f"cast(conv(substr(sha2(concat_ws('|', {key}, {tweak}, length(s), i, {half}), 256), 1, 15), 16, 10) AS bigint)"
 
     left, right = "(length(s) div 2)", "(length(s) - length(s) div 2)"
     ml, mr = (f"cast(power({radix}, cast({x} AS int)) AS bigint)" for x in (left, right))
@@ -77,6 +79,13 @@ def feistel(s: str, radix: int, key: str, tweak: str) -> str:
 
 def permute(s: str, radix: int, key: str, tweak: str) -> str:
     """SQL: the permutation of a digit string of any length, by chunks."""
+    if radix == 36:  # one digit would only be rotated; as two of base 6 it has two halves
+        pair = f"lpad(conv({s}, 36, 6), 2, '0')"
+        return f"IF(length({s}) = 1, lower(conv({feistel(pair, 6, key, tweak)}, 6, 36)), {_chunks(s, radix, key, tweak)})"
+    return _chunks(s, radix, key, tweak)
+
+
+def _chunks(s: str, radix: int, key: str, tweak: str) -> str:
     size = CHUNK[radix]
     return (
         f"IF(length({s}) <= {size}, {feistel(s, radix, key, tweak)}, array_join(transform(sequence(0, cast((length({s}) - 1) div {size} AS int)), "
@@ -106,8 +115,12 @@ def luhn_sum(digits: str, doubled: int) -> str:
 DAYS = 73049  # from 1900-01-01 to 2099-12-31
 
 
-def pseudonyms(key: str) -> dict[str, tuple[str, str]]:
-    """For each kind the SQL of (is m valid, the pseudonym of m)."""
+#: The column that holds the key while texts are rewritten.
+KEY = "`__pseudonym_key`"
+
+
+def pseudonyms(key: str = KEY) -> dict[str, tuple[str, str]]:
+    """For each kind the SQL of (is m valid, the pseudonym of m); key: SQL of the key."""
     only = r"regexp_replace(m, '[^0-9]', '')"
     local = "substring_index(m, '@', 1)"
     email = (
@@ -126,14 +139,14 @@ def pseudonyms(key: str) -> dict[str, tuple[str, str]]:
     day = f"coalesce({first}, try_to_timestamp(m, 'M/d/yyyy'))"
     number = f"lpad(cast(datediff({day}, date'1900-01-01') AS string), 5, '0')"
 
-    def moved(valid: str) -> str:
-        return f"date_add(date'1900-01-01', cast({walk(number, lambda w: valid.replace('?', w), lambda w: permute(w, 10, key, _quote('date')))} AS int))"
-
-    own = "CASE WHEN m LIKE '____-__-__' THEN 'yyyy-MM-dd' WHEN length(m) = 10 THEN 'dd/MM/yyyy' ELSE 'd/M/yyyy' END"
-    date = f"IF({first} IS NOT NULL, date_format({moved(f'cast(? AS int) < {DAYS}')}, {own}), date_format({moved(f"cast(? AS int) < {DAYS} AND day(date_add(date'1900-01-01', cast(? AS int))) > 12")}, IF(length(m) = 10, 'MM/dd/yyyy', 'M/d/yyyy')))"
+    moved = f"date_add(date'1900-01-01', cast({walk(number, lambda w: f'cast({w} AS int) < {DAYS}', lambda w: permute(w, 10, key, _quote('date')))} AS int))"
+    day_first, month_first = "IF(length(m) = 10, 'dd/MM/yyyy', 'd/M/yyyy')", "IF(length(m) = 10, 'MM/dd/yyyy', 'M/d/yyyy')"
+    own = f"CASE WHEN m LIKE '____-__-__' THEN 'yyyy-MM-dd' WHEN {first} IS NULL AND day(t) > 12 THEN {month_first} ELSE {day_first} END"
+    date = let("t", moved, f"date_format(t, {own})")
     sound = lambda s: f"NOT ({s} RLIKE '^(000|666|9)') AND substr({s}, 4, 2) <> '00' AND substr({s}, 6) <> '0000'"
     ssn = fill("m", walk(only, sound, lambda w: permute(w, 10, key, _quote("ssn"))))
-    secret = permute("m", 16, key, _quote("secret"))
+    placed = "array_join(transform(sequence(1, length(m)), p -> IF(substr(m, p, 1) RLIKE '[A-Z]', upper(substr(x, p, 1)), substr(x, p, 1))), '')"
+    secret = let("x", permute("m", 16, key, _quote("secret")), f"CASE WHEN m = lower(m) THEN x WHEN m = upper(m) THEN upper(x) ELSE {placed} END")
     return {
         "email": ("true", email),
         "phone": (f"length({only}) BETWEEN 8 AND 15", phone),
@@ -146,8 +159,8 @@ def pseudonyms(key: str) -> dict[str, tuple[str, str]]:
 
 
 def session_key(spark: SparkSession) -> str:
-    """The key that the session names in spark.opsloom.pseudonyms.key; if it names none, a random one for the session."""
-    name = "spark.opsloom.pseudonyms.key"
+    """The key that the session names in spark.opsloom.pseudonyms.secret (Spark hides settings of that name); if it names none, a random one for the session."""
+    name = "spark.opsloom.pseudonyms.secret"
     if not spark.conf.get(name, None):
         spark.conf.set(name, secrets.token_hex(32))
     return spark.conf.get(name)
@@ -157,7 +170,7 @@ def pseudonymise(docs: DataFrame, *, key: str) -> DataFrame:
     """docs with text rewritten and findings, an array of (kind, pseudonym) in the order of the text."""
     pattern = "|".join(f"(?:{p})" for p in KINDS.values())
     cases = []
-    rules = pseudonyms(key)
+    rules = pseudonyms()
     for kind, regex in KINDS.items():
         valid, new = rules[kind]
         cases.append(f"WHEN m RLIKE {_quote('^(?:' + regex + ')$')} THEN IF({valid}, named_struct('kind', '{kind}', 'pseudonym', {new}), NULL)")
@@ -168,6 +181,7 @@ def pseudonymise(docs: DataFrame, *, key: str) -> DataFrame:
     joined = f"array_join(flatten(zip_with({parts}, zip_with(ms, ps, (m, p) -> coalesce(p.pseudonym, m)), (a, b) -> array(a, coalesce(b, '')))), '')"
     rewritten = let("ps", f"transform(ms, m -> {one})", f"named_struct('text', {joined}, 'findings', filter(ps, p -> p IS NOT NULL))")
     none = "named_struct('text', text, 'findings', cast(array() AS array<struct<kind:string,pseudonym:string>>))"
-    told = docs.selectExpr(*others, let("ms", f"IF(text RLIKE '[0-9@]', regexp_extract_all(text, {_quote(pattern)}, 0), array())", f"IF(size(ms) = 0, {none}, {rewritten})") + " AS __t")
+    known = docs.sparkSession.createDataFrame([(key,)], f"{KEY} string")
+    told = docs.crossJoin(F.broadcast(known)).selectExpr(*others, let("ms", f"IF(text RLIKE '[0-9@]', regexp_extract_all(text, {_quote(pattern)}, 0), array())", f"IF(size(ms) = 0, {none}, {rewritten})") + " AS __t")
     out = told.selectExpr(*others, "__t.text AS text", "__t.findings AS findings")
     return out.select(*(c for c in docs.columns if c.lower() != "findings"), "findings")

@@ -12,7 +12,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from opsloom.llm import decontam, langid, mixing, pii, quality, sharding, tokencount
-from opsloom.llm.common import new_path
+from opsloom.llm.common import documents, new_path
 
 from llm_samples import MOTS, SCHEMA, WORDS, prose
 
@@ -77,22 +77,42 @@ def plain_mixture(words, tables, langs, rounds=400):
 
 
 def plain_language(rows):
-    """A function that says of a text whether the language stage keeps it: some language, and a score of two outcomes of 0.2 or more."""
+    """A function that says of a text whether the language stage keeps it: some language, and at most a quarter of its words won by the background."""
+    from itertools import combinations
+
     tables = plain_tables(rows)
 
     def keep(text):
         words = Counter(plain_words(text))
         if not words or not tables or not any(c.isalpha() for c in text):
             return False
-        n = sum(words.values())
-        single = {x: sum(k * sum(tables[x](g) for g in langid.grams(w)) for w, k in words.items()) for x in tables}
-        top = max(single.values())
-        margin = 1 / sum(math.exp(min(0.0, v - top)) for v in single.values())
-        return margin * (n + 0.5) / (n + 1) >= 0.2 or len(tables) > 1
+        cost = 2.0 * math.log1p(sum(words.values()))
+        options = {x: plain_mixture(words, tables, x) for n in range(1, len(tables) + 1) for x in combinations(sorted(tables), n)}
+        best = max(options, key=lambda x: options[x][0] - (len(x) - 1) * cost)
+        like = {w: sum(options[best][1][x] * math.exp(sum(tables[x](g) + math.log(langid.BUCKETS) for g in langid.grams(w))) for x in best) for w in words}
+        share = 0.5
+        for _ in range(langid.BACKGROUND_ROUNDS):
+            share = sum(n * share / (share + (1 - share) * like[w]) for w, n in words.items()) / sum(words.values())
+        return share <= 0.25
 
     return keep
 
 
+def test_noise_and_unlearned_languages_go(spark):
+    """Random letters, letters with digits and an alphabet that was not learned; documents in learned languages stay."""
+    docs = documents(spark, "/root/testdata/sf0.001")
+    r = random.Random(4)
+    kinds = ["bcdfghjklmnpqrstvwxz", "abcdefghijklmnopqrstuvwxyz0123456789", "абвгдежзиклмноп"]
+    noise = [(10_000 + k, " ".join("".join(r.choice(kinds[k % 3]) for _ in range(r.randint(3, 9))) for _ in range(r.randint(5, 60))), None, "s", 1) for k in range(150)]
+    both = docs.unionByName(spark.createDataFrame(noise, SCHEMA).select(*docs.columns))
+    kept = {x.doc_id for x in langid.keep_identified(both).select("doc_id").collect()}
+    clean = {x.doc_id for x in docs.where(F.col("text").rlike("[a-z]")).select("doc_id").collect()}
+    assert clean <= kept and not any(k >= 10_000 for k in kept)
+    told = langid.identify(both).select("doc_id", "lang_pred", "score").collect()
+    assert all(x.lang_pred in ("en", "de", "fr", "es", "und") for x in told)
+    assert max(x.score for x in told if x.doc_id >= 10_000) < 0.3
+
+
 def test_languages_by_all_subsets(spark):
     """The nested sets that EM suggests give the set that all subsets of four languages give, and its shares."""
     from itertools import combinations
@@ -259,7 +279,7 @@ def test_pseudonyms_are_permutations(spark):
 
 def test_feistel_is_a_bijection(spark):
     df = spark.range(1000).selectExpr("lpad(cast(id AS string), 3, '0') AS x")
-    got = df.selectExpr(pii.permute("x", 10, "k", "'t'") + " AS y").distinct().collect()
+    got = df.selectExpr(pii.permute("x", 10, "'k'", "'t'") + " AS y").distinct().collect()
     assert len(got) == 1000 and all(re.fullmatch(r"\d{3}", r.y) for r in got)
 
 
@@ -268,7 +288,10 @@ DIGITS = "0123456789abcdefghijklmnopqrstuvwxyz"
 
 def plain_feistel(s, radix, key, tweak):
     """The permutation in plain Python."""
-    size = {10: 34, 16: 28, 36: 22}[radix]
+    if radix == 36 and len(s) == 1 and tweak == "email":
+        n = int(s, 36)
+        return DIGITS[int(plain_feistel(f"{n // 6}{n % 6}", 6, key, tweak), 6)]
+    size = {6: 34, 10: 34, 16: 28, 36: 22}[radix]
     if len(s) > size:
         return "".join(plain_feistel(s[k : k + size], radix, key, f"{tweak}{k // size}") for k in range(0, len(s), size))
     s = s.lower()
@@ -316,27 +339,28 @@ def plain_pseudonym(kind, m, key):
     if kind == "ssn":
         return fill(walk(only, lambda s: not re.match("000|666|9", s) and s[3:5] != "00" and s[5:] != "0000", kind))
     if kind == "secret":
-        return plain_feistel(m, 16, key, kind)
+        x = plain_feistel(m, 16, key, kind)
+        return x if m == m.lower() else x.upper() if m == m.upper() else "".join(b.upper() if a.isupper() else b for a, b in zip(m, x))
     day0 = date(1900, 1, 1)
     a, b, c = map(int, re.split("[-/]", m))
     iso = "-" in m
     day_first = iso or b <= 12
     day = date(a, b, c) if iso else date(c, b, a) if day_first else date(c, a, b)
-    n = walk(f"{(day - day0).days:05}", lambda s: int(s) < 73049 and (day_first or (day0 + timedelta(int(s))).day > 12), kind)
+    n = walk(f"{(day - day0).days:05}", lambda s: int(s) < 73049, kind)
     d = day0 + timedelta(int(n))
     if iso:
         return d.isoformat()
-    x, y = (d.day, d.month) if day_first else (d.month, d.day)
+    x, y = (d.day, d.month) if day_first or d.day <= 12 else (d.month, d.day)
     return f"{x:02}/{y:02}/{d.year}" if len(m) == 10 else f"{x}/{y}/{d.year}"
 
 
 VALUES = {
-    "email": ["a.b-c@x.org", "John.Smith42@mail.example.com", "x" * 40 + "@y.io"],
+    "email": ["a.b-c@x.org", "7@x.org", "z.z9@x.org", "John.Smith42@mail.example.com", "x" * 40 + "@y.io"],
     "phone": ["+1 (017) 555-7713", "(415) 555-2671", "415-555-2671", "415.555.2671", "+491701234567", "+44 20 7946 0958", "+33 6 12 34 56 78", "+49 30 123456"],
     "card": ["4111111111111111", "4111 1111 1111 1111", "5500-0000-0000-0004", "3782 822463 10005"],
     "ipv4": ["10.0.0.1", "255.254.1.0"],
     "ssn": ["123-45-6789", "899-99-9999"],
-    "secret": ["deadbeef00112233445566778899aabb", "0" * 23 + "f" * 77],
+    "secret": ["deadbeef00112233445566778899aabb", "0" * 23 + "f" * 77, "DEADBEEF00112233445566778899AABB", "DeadBeef00112233445566778899aAbB"],
     "date": ["2024-02-29", "31/12/1999", "12/25/2020", "1/2/2020", "2/30/1999".replace("30", "28"), "01/02/2020"],
 }
 
@@ -352,6 +376,37 @@ def test_pseudonyms_equal_plain_python(spark):
     assert len(set(row.text.split())) == len(days)
 
 
+def test_a_day_has_one_pseudonym(spark):
+    """In every notation, read back as the rule reads it."""
+    days = [date(1900, 1, 1) + timedelta(73 * k + k % 7) for k in range(1000)]
+    forms = [f"{d.isoformat()} {d.day}/{d.month}/{d.year} {d:%d/%m/%Y}" + (f" {d.month}/{d.day}/{d.year} {d:%m/%d/%Y}" if d.day > 12 else "") for d in days]
+
+    def plain_date(s):
+        if "-" in s:
+            return date.fromisoformat(s)
+        a, b, c = map(int, s.split("/"))
+        return date(c, b, a) if b <= 12 else date(c, a, b)
+
+    seen = set()
+    for d, row in zip(days, rewritten(spark, forms)):
+        (one,) = {plain_date(x) for x in row.text.split()}
+        assert "-" in row.text.split()[0] and len(row.text.split()[2]) == 10
+        seen.add(one)
+    assert len(seen) == len(days)
+
+
+def test_one_letter_names_are_permuted(spark):
+    names = "0123456789abcdefghijklmnopqrstuvwxyz"
+    got = [r.text.split("@")[0] for r in rewritten(spark, [f"{c}@x.org" for c in names])]
+    assert sorted(got) == list(names) and len({(names.index(b) - names.index(a)) % 36 for a, b in zip(names, got)}) > 5
+
+
+def test_no_plan_shows_the_key(spark):
+    out = pii.pseudonymise(spark.createDataFrame([(1, "a@b.org 2020-01-02")], "doc_id bigint, text string"), key="open sesame 1234")
+    out.collect()
+    assert "open sesame" not in out._jdf.queryExecution().toString() and "open sesame" not in out._jdf.queryExecution().executedPlan().toString()
+
+
 def test_the_key_is_the_callers(spark):
     with pytest.raises(TypeError):
         pii.pseudonymise(spark.createDataFrame([(1, "a")], "doc_id bigint, text string"))
