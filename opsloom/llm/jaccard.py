@@ -22,15 +22,17 @@ have to meet the others.  In keys of more than a block they are first verified a
 that component, another one in each round, which joins nearly all near copies of one text by a few
 rows a document.  What is left outside is searched with the R-tree against all documents of the key,
 in blocks of bounded size: so the copies of rows grow with the documents of a key times those still
-outside, not with the square of the key.  No links between different texts are lost, as each is
+outside, not with the square of the key.  A token that very many small sets hold among their least
+ones is no such key for long: sets that link over it share a second token among the least of both, one place
+further, and meet under the pair.  No links between different texts are lost, as each is
 either verified or joins two documents already connected.
 
 Defined results for odd input: a null text, or one without words, has an empty set and links with
 nothing; fewer words than a shingle make one token; rows with the same doc_id are counted each, but
 are one node for linking, for which the smallest of their texts stands;
-rows with a null ``doc_id`` link like others, by the number that their text makes above 2^62 (ids lie
-below), and have a null component if it holds no id; other columns are ignored.  Hashes of 64 bits
-stand for words, shingles and sets (128 bits for whole sets).
+rows with a null ``doc_id`` link like others, by a number above 2^62 that their text makes (ids from there on are
+renumbered in their order meanwhile), and have a null component if it holds no id; other columns are ignored.  Hashes of
+64 bits stand for words, shingles and sets (128 bits for whole sets).
 """
 
 from __future__ import annotations
@@ -43,7 +45,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from .common import Stages, by_ids, lean
+from .common import BROADCAST_IDS, Stages, by_ids, lean
 from .graph import components
 
 GROUPS = 128
@@ -54,8 +56,10 @@ SMALL = 64
 BLOCK = 2048
 #: Rounds in which documents outside the largest component of a large key meet one of its members.
 ROUNDS = 4
-#: Nodes of rows without doc_id lie from here on.
-NAMELESS = 1 << 62
+#: A key of more than a block with more documents than this outside its largest component is split by second tokens.
+CROWD = 256
+#: Nodes of rows without doc_id lie from UNNAMED on, those of ids from NAMELESS on between both, if there are such rows.
+NAMELESS, UNNAMED = 1 << 62, (1 << 62) + (1 << 61)
 LEAF = 32
 CACHE = 200_000
 _P1, _P2 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
@@ -330,9 +334,63 @@ def _blocks(placed: DataFrame, keys: DataFrame, size: int = BLOCK) -> DataFrame:
     return one.union(all_).union(few)
 
 
-def node(doc_id: str = "doc_id", text: str = "text"):
-    """The number for linking: the doc_id, or one that the text makes."""
-    return F.coalesce(F.col(doc_id), F.xxhash64(text).bitwiseAND((1 << 61) - 1) + F.lit(NAMELESS))
+def _second_keys(batches: Iterator[pa.RecordBatch], size: int, percent: int) -> Iterator[pa.RecordBatch]:
+    """(old, key, doc_id) of rows (doc_id, text, keys): the keys that are a least token of the set, each with the other tokens that may be common.
+
+    Sets that need two common tokens or more have two among one more of their least ones than the prefix
+    that must hold one; a set that may link by one token keeps that token as a key.
+    """
+    shingler = Shingler(size)
+    for batch in batches:
+        old, new, docs = [], [], []
+        for doc, text, keys in zip(*(batch.column(k).to_pylist() for k in range(3))):
+            tokens = shingler(text)
+            common = -(-percent * len(tokens) // 100)
+            least = tokens[: len(tokens) - common + 2]
+            first = least[: len(tokens) - common + 1]
+            own = mix(first + np.uint64(1))
+            asked = np.isin(own, np.array(keys, np.int64).view(np.uint64))
+            for t, key in zip(first[asked], own[asked].tolist()):
+                other = least[least != t]
+                pairs = mix(mix(np.minimum(other, t) + np.uint64(3)) + np.maximum(other, t))
+                if common == 1:
+                    pairs = np.append(pairs, mix(mix(t + np.uint64(5))))
+                old += [key] * len(pairs)
+                new += pairs.tolist()
+                docs += [doc] * len(pairs)
+        cols = [pa.array(np.array(old, np.uint64).view(np.int64)), pa.array(np.array(new, np.uint64).view(np.int64)), pa.array(docs, pa.int64())]
+        yield pa.RecordBatch.from_arrays(cols, names=["old", "key", "doc_id"])
+
+
+def nodes(docs: DataFrame, stages: Stages) -> tuple[DataFrame, bool, DataFrame | None]:
+    """(docs with the number __node for linking, whether rows have no doc_id, the numbers of large ids or none).
+
+    The node is the doc_id, or for rows without one a number that the text makes; only if there are such
+    rows and ids that reach into their numbers, these ids are numbered anew in their order.
+    """
+    seen = docs.agg(F.max("doc_id").alias("top"), F.count_if(F.col("doc_id").isNull()).alias("none")).first()
+    own = F.coalesce(F.col("doc_id"), F.xxhash64("text").bitwiseAND((1 << 60) - 1) + F.lit(UNNAMED))
+    if not seen["none"] or seen["top"] is None or seen["top"] < NAMELESS:
+        return docs.withColumn("__node", own), bool(seen["none"]), None
+    large = docs.where(F.col("doc_id") >= NAMELESS).select(F.col("doc_id").alias("__id")).distinct().orderBy("__id")
+    names = stages.write("names", large.withColumn("__number", F.monotonically_increasing_id() + F.lit(NAMELESS)))
+    joined = docs.join(_small(names), docs["doc_id"] == names["__id"], "left").withColumn("__node", F.coalesce("__number", own))
+    return joined.drop("__id", "__number"), True, names
+
+
+def _small(names: DataFrame) -> DataFrame:
+    return F.broadcast(names) if names.count() <= BROADCAST_IDS else names
+
+
+def _with_ids(told: DataFrame, names: DataFrame | None) -> DataFrame:
+    """told with ids in place of nodes; null for rows without one."""
+    for c in ("doc_id", "component_id"):
+        plain = F.when(F.col(c) < NAMELESS, F.col(c))
+        if names is None:
+            told = told.withColumn(c, plain)
+        else:
+            told = told.join(_small(names), told[c] == names["__number"], "left").withColumn(c, F.coalesce("__id", plain)).drop("__id", "__number")
+    return told
 
 
 def link(docs: DataFrame, *, words: int = 4, percent: int = 85, numbered: bool = False) -> DataFrame:
@@ -342,7 +400,11 @@ def link(docs: DataFrame, *, words: int = 4, percent: int = 85, numbered: bool =
     without doc_id have the numbers of their nodes.
     """
     stages = Stages(docs.sparkSession)
-    rows = docs.select(node().alias("doc_id"), "text")
+    nameless, names = False, None
+    rows = docs.select("doc_id", "text")
+    if not numbered:
+        rows, nameless, names = nodes(rows, stages)
+        rows = rows.select(F.col("__node").alias("doc_id"), "text")
     sign = lambda t: t.mapInArrow(lean(partial(_sign, size=words, percent=percent)), SIGN)
     all_signed = stages.write("signed", sign(rows), batch_rows=2000)
     sizes = stages.write("sizes", all_signed.select("doc_id", "n"))
@@ -398,6 +460,16 @@ def link(docs: DataFrame, *, words: int = 4, percent: int = 85, numbered: bool =
             break
     placed = stages.write("placed", _placed(open_.select("key", "doc_id"), comps))
     keys = stages.write("keys-left", _open_keys(placed))
+    crowded = keys.where((F.col("n") > BLOCK) & (F.col("outside") > CROWD))
+    if not crowded.isEmpty():
+        asked = stages.write("asked", placed.join(crowded.select("key"), "key", "left_semi").groupBy("doc_id").agg(F.collect_set("key").alias("keys")))  # a document has few keys
+        second = texts.join(asked, "doc_id").select("doc_id", "text", "keys").mapInArrow(lean(partial(_second_keys, size=words, percent=percent)), "old bigint, key bigint, doc_id bigint")
+        second = stages.write("second", second, batch_rows=1000)
+        split = stages.write("split", second.select(F.col("old").alias("key")).distinct())
+        shared = second.groupBy("key").agg(F.min("doc_id").alias("m"), F.max("doc_id").alias("x")).where("m < x").select("key")
+        further = stages.write("further", second.select("key", "doc_id").distinct().join(stages.write("second-shared", shared), "key"))
+        placed = stages.write("placed-again", placed.join(split, "key", "left_anti").unionByName(_placed(further, comps)))
+        keys = stages.write("keys-again", _open_keys(placed))
     blocks = _blocks(placed, keys).join(points, "doc_id").repartition("key", "i", "j").sortWithinPartitions("key", "i", "j")
     blocks = blocks.select("key", "i", "j", "side", "doc_id", "component", "n", "vec")
     across = stages.write("across", blocks.mapInArrow(lean(partial(_search, percent=percent)), "u bigint, v bigint").distinct())
@@ -407,11 +479,8 @@ def link(docs: DataFrame, *, words: int = 4, percent: int = 85, numbered: bool =
     links = edges.union(found).union(equal.select("doc_id", "rep"))
     final = components(links, stages, "components")
     told = stages.write("told", sizes.join(final, sizes["doc_id"] == final["node"], "left").select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component", "doc_id").alias("component_id")))
-    stages.drop(*(name for name in list(stages.paths) if name != "told"))
-    if numbered:
-        return told
-    named = lambda c: F.when(F.col(c) < NAMELESS, F.col(c)).alias(c)
-    return told.select(named("doc_id"), "n_shingles", named("component_id"))
+    stages.drop(*(name for name in list(stages.paths) if name not in ("told", "names")))
+    return _with_ids(told, names).select("doc_id", "n_shingles", "component_id") if nameless else told
 
 
 def keep_one(docs: DataFrame, *, words: int = 5, percent: int = 80) -> DataFrame:
@@ -422,7 +491,8 @@ def keep_one(docs: DataFrame, *, words: int = 5, percent: int = 80) -> DataFrame
     nameless = docs.where("doc_id is null")
     a_word = F.coalesce(F.col("text").rlike(r"[^\x20\x09-\x0D]"), F.lit(False))
     docs_ = docs.where("doc_id is not null").union(nameless.where(~a_word)).union(nameless.where(a_word).dropDuplicates(["text"]))
-    keyed = docs_.withColumn("__node", node())
+    stages = Stages(docs.sparkSession)
+    keyed, _, _ = nodes(docs_, stages)
     linked = link(keyed.select(F.col("__node").alias("doc_id"), "text"), words=words, percent=percent, numbered=True)
     gone = linked.where("doc_id <> component_id").select(F.col("doc_id").alias("__node")).distinct()
-    return by_ids(keyed, Stages(docs.sparkSession).write("gone", gone), "left_anti", "__node").select(*(f"`{c}`" for c in docs.columns))
+    return by_ids(keyed, stages.write("gone", gone), "left_anti", "__node").select(*(f"`{c}`" for c in docs.columns))

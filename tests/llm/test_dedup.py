@@ -242,6 +242,48 @@ def test_near_copies_under_hot_keys(spark, monkeypatch):
     assert got == brute_links(docs, 4, 85) and len({c for _, c in got.values()}) > 5
 
 
+def test_common_tokens_of_small_sets(spark, monkeypatch):
+    """Many small unlike sets with one passage in common, some with a near copy: no link is lost, and the search meets few of them."""
+    monkeypatch.setattr(jaccard, "BLOCK", 64)
+    monkeypatch.setattr(jaccard, "CROWD", 8)
+    made, blocks = [], jaccard._blocks
+
+    def counted(*args):
+        out = blocks(*args)
+        made.append(out.count())
+        return out
+
+    monkeypatch.setattr(jaccard, "_blocks", counted)
+    for percent, words, sizes in ((85, 4, (300, 600)), (40, 2, (150,))):
+        for n in sizes:
+            r = random.Random(n)
+            docs = []
+            for k in range(n):
+                own = [f"w{r.randrange(10**6)}" for _ in range(r.choice([1, 2, 12, 14]))]
+                docs.append((k, " ".join(["all", "rights", "are", "reserved", *own])))
+                if k % 9 == 0:
+                    docs.append((5000 + k, docs[-1][1] + " tail"))
+            df = spark.createDataFrame(docs, "doc_id bigint, text string").repartition(3)
+            got = {r.doc_id: (r.n_shingles, r.component_id) for r in jaccard.link(df, words=words, percent=percent).collect()}
+            assert got == brute_links(docs, words, percent)
+        if percent == 85:
+            assert made[1] < 3 * made[0] + 200
+
+
+@pytest.mark.parametrize("bare", [True, False])
+def test_ids_of_every_size(spark, bare):
+    """The least and the largest bigint are ids like others, also beside rows without one."""
+    top, low = (1 << 63) - 1, -(1 << 63)
+    rows = [(top, prose(1, 40)), (top - 1, prose(1, 40) + " x"), (low, prose(2, 40)), (0, prose(2, 40) + " x"), ((1 << 62) + 5, prose(3, 40)), ((1 << 62) + 9, prose(3, 40) + " x"), ((1 << 62) - 1, prose(4, 40)), ((1 << 62) + 7, None)]
+    rows += [] if bare else [(None, prose(1, 40)), (None, prose(5, 40)), (None, prose(4, 40) + " x"), (None, None)]
+    df = spark.createDataFrame(rows, "doc_id bigint, text string").repartition(3)
+    got = Counter((r.doc_id, r.component_id) for r in jaccard.link(df).collect())
+    want = [(top, top - 1), (top - 1, top - 1), (low, low), (0, low), ((1 << 62) + 5, (1 << 62) + 5), ((1 << 62) + 9, (1 << 62) + 5), ((1 << 62) - 1, (1 << 62) - 1), ((1 << 62) + 7, (1 << 62) + 7)]
+    assert got == Counter(want + ([] if bare else [(None, top - 1), (None, None), (None, (1 << 62) - 1), (None, None)]))
+    kept = Counter(r.doc_id for r in jaccard.keep_one(df).collect())
+    assert kept == Counter([top - 1, low, (1 << 62) + 5, (1 << 62) - 1, (1 << 62) + 7] + ([] if bare else [None, None]))
+
+
 def test_repeated_ids(spark):
     """Rows of one doc_id are one node, for which the smallest of their texts stands."""
     rows = [(1, prose(1, 60)), (2, prose(1, 60) + " x"), (2, "~ " + prose(7, 60)), (3, prose(7, 60)), (4, prose(4, 60)), (4, prose(4, 60)), (5, prose(4, 60) + " y")]
