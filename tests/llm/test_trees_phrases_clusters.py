@@ -113,9 +113,11 @@ def test_phrases(spark, odd, block, keys):
     rows = [(k, " ".join(r.choice(few) for _ in range(r.randint(0, 80))), r.choice(["en", "fr", None, "", "zz"]), "s", 1) for k in range(60)]
     rows += [(None, "a a a a a a", "en", None, None), (1, None, "en", "s", 1), (2, "", None, "s", 1), rows[0], rows[0]]
     df = spark.createDataFrame(rows, SCHEMA).withColumns({c: F.lit("x") for c in ("word", "lid", "block", "gid", "x", "y", "n")}).repartition(3)
-    for most, least in ((4, 5), (2, 2), (6, 4)):
+    for most, least in ((4, 5), (2, 2), (6, 4)) if block == 3000 else ((4, 5),):
         got = [tuple(x) for x in phrases.mine(df, most_words=most, least=least, block_bytes=block, part_keys=keys).select("lang", "phrase", "a", "l", "r", "k", "n", "score").collect()]
         assert len(got) == len(set(got)) and set(got) == brute_phrases(rows, most, least)
+    if block != 3000:
+        return
     ranked = phrases.best(phrases.mine(df, least=5), top=4).collect()
     for lang in {x.lang for x in ranked}:
         mine = sorted(((-s, -a, p.encode()) for g, p, a, _, _, _, _, s in brute_phrases(rows, 4, 5) if g == lang))[:4]
