@@ -10,12 +10,12 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
 from .functions import transforms as T
-from .operators import history, mapping, metrics, quality, similarity, summaries, windows
+from .operators import history, intervals, mapping, metrics, quality, similarity, summaries, windows
 from . import storage
 from .plans import catalog, characterize, evaluate, prepare, reports, validate
 from .scratch import shared_dir
 from .sources import readers
-from .streaming import flows
+from .streaming import flows, once
 
 N, H, L = 20, 6, 7
 JOBS = f"""jobs AS (SELECT event_id AS job_id, ts AS submit_time, value * 60 AS runtime_seconds, ts + to_microseconds(CAST(round(value * 60000000) AS BIGINT)) AS end_time,
@@ -892,6 +892,23 @@ def byte_texts(spark, d):
     return table(spark, d, "orders").select("o_orderkey", T.human_bytes(F.expr(_SIZE.replace("* 100000000000 ", "* 100000000000L "))).alias("t"))
 
 
+# -- many intervals ---------------------------------------------------------------------------
+_CARDS = "SELECT s_suppkey AS card, CASE WHEN s_suppkey % 10 <> 0 THEN DATE '1992-01-01' + CAST(s_suppkey * 37 % 2400 AS INTEGER) END AS first, CASE WHEN s_suppkey % 7 <> 0 THEN DATE '1992-01-01' + CAST(s_suppkey * 37 % 2400 + s_suppkey % 90 AS INTEGER) END AS last FROM supplier"
+
+
+@query(f"""WITH c AS ({_CARDS}), j AS (SELECT l_orderkey, l_linenumber, l_quantity, o_orderdate, l_shipdate FROM lineitem JOIN orders ON l_orderkey = o_orderkey)
+SELECT card, count(*) AS n, sum(l_quantity)::BIGINT AS quantity, min(l_orderkey) AS least FROM c JOIN j ON (first IS NULL OR last IS NULL OR first < last) AND (last IS NULL OR o_orderdate < last) AND (first IS NULL OR greatest(o_orderdate, l_shipdate) >= first) GROUP BY card""")
+def card_slices(spark, d):
+    """The line items under way in the window of every supplier's card, all cards in one pass; some windows are open, some empty."""
+    k = F.col("s_suppkey")
+    day = lambda n: F.date_add(F.lit("1992-01-01").cast("date"), n.cast("int"))
+    cards = table(spark, d, "supplier").select(k.alias("card"), F.when(k % 10 != 0, day(k * 37 % 2400)).alias("first"), F.when(k % 7 != 0, day(k * 37 % 2400 + k % 90)).alias("last"))
+    items = table(spark, d, "lineitem").join(table(spark, d, "orders").select(F.col("o_orderkey").alias("l_orderkey"), F.col("o_orderdate").alias("submit_time")), "l_orderkey")
+    items = items.select("l_orderkey", "l_quantity", "submit_time", F.col("l_shipdate").alias("end_time"))
+    out = intervals.slices(items, cards, first=F.col("first"), last=F.col("last"))
+    return out.groupBy("card").agg(F.count(F.lit(1)).alias("n"), F.sum("l_quantity").cast("bigint").alias("quantity"), F.min("l_orderkey").alias("least"))
+
+
 # -- fitted models and streams: values are not portable, so there is no SQL twin ----------------
 @query(None)
 def forest_rolling(spark, d):
@@ -1007,11 +1024,11 @@ def stream_retrain(spark, d):
     """Each micro-batch is fitted (here: a mean a day) and its model appended to a table."""
     folder = _folder(spark)
 
-    def fit(batch: DataFrame, number: int) -> None:
-        batch.groupBy(F.col("submit_time").cast("date").alias("day")).agg(F.count(F.lit(1)).alias("n"), F.sum("runtime_seconds").alias("y")).write.mode("append").parquet(f"{folder}/models")
+    def fit(batch: DataFrame, number: int) -> DataFrame:
+        return batch.groupBy(F.col("submit_time").cast("date").alias("day")).agg(F.count(F.lit(1)).alias("n"), F.sum("runtime_seconds").alias("y"))
 
-    flows.retrain(_stream(spark, d), fit, f"{folder}/checkpoint").awaitTermination()
-    return spark.read.parquet(f"{folder}/models").groupBy("day").agg(F.sum("n").alias("n"), F.round(F.sum("y") / F.sum("n"), 5).alias("mean"))
+    once.retrain(_stream(spark, d), fit, folder).awaitTermination()
+    return once.read(spark, f"{folder}/models").groupBy("day").agg(F.sum("n").alias("n"), F.round(F.sum("y") / F.sum("n"), 5).alias("mean"))
 
 
 @query("SELECT event_id AS job_id, epoch_us(ts) AS start_us, epoch_us(ts) + (event_id % 50) * 60000000 AS end_us FROM events WHERE event_id % 7 <> 0")

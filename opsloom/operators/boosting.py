@@ -383,7 +383,9 @@ def fit(rows: DataFrame, spec: Spec, *, keys: list[str], task_rows: int = 1_000_
         n = len(made["tree"])
         return pa.table([pa.array([v] * n, schema.field(k).type) for k, v in zip(keys, values)] + [pa.array(made[f], schema.field(f).type) for f in made], schema=schema)
 
-    out = small.groupBy(*keys).applyInArrow(one, _schema(rows, keys))
+    # Models take long and their rows little room, so partitions are not put together by their size.
+    tasks = max(1, min(sizes.count(), 4 * int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))))
+    out = small.repartition(tasks, *keys).groupBy(*keys).applyInArrow(one, _schema(rows, keys))
     if large:
         out = out.unionByName(_fit_large(rows.join(F.broadcast(picked), on).drop(*(f"__k_{k}" for k in keys)), spec, keys, large, schema))
     return checkpoint(out)

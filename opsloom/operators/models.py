@@ -19,6 +19,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.ml.feature import OneHotEncoder, StringIndexerModel, VectorAssembler
 from pyspark.ml.functions import array_to_vector
 from pyspark.ml.regression import GBTRegressor, RandomForestRegressor
@@ -154,18 +155,57 @@ def encode(train: DataFrame, numeric: list[str], categorical: list[str], *, floo
     return out
 
 
-def singular_vectors(e: Encoding, train: DataFrame, variance: float, most: int) -> tuple[np.ndarray, float]:
-    """(right singular vectors of the one-hot rows, the share of variance they explain), from counts of pairs of categories alone."""
+#: Rows of a matrix that are summed as one piece; vectors of the sketch beyond those wanted; power rounds.
+CHUNK, SPARE, POWERS = 256, 60, 4
+
+
+def singular_vectors(e: Encoding, train: DataFrame, variance: float, most: int, *, seed: int = 42, powers: int = POWERS) -> tuple[np.ndarray, float]:
+    """(right singular vectors of the one-hot rows, the share of variance they explain).
+
+    A randomized range finder: the product of the Gram matrix with most + SPARE seeded vectors, and with their
+    orthogonal basis in each power round, is summed by tasks from the different rows and their counts.  The driver
+    holds width times as many numbers, never width squared; with no more columns than that the result is exact.
+    """
     first = np.cumsum([0, *(len(v) + 1 for v in e.values.values())])
+    width = int(first[-1])
     places = F.array(*((F.col(f"{c}__i") + float(first[k])).cast("int") for k, c in enumerate(e.values)))
-    pairs = e.indexed(train).select(F.explode(places).alias("i"), places.alias("p")).select("i", F.explode("p").alias("j"))
-    gram = np.zeros((first[-1], first[-1]))
-    for r in pairs.groupBy("i", "j").agg(F.count(F.lit(1)).alias("n")).collect():  # at most the square of the width
-        gram[r.i, r.j] = r.n
-    n = max(1.0, np.trace(gram) / len(e.values))
-    mean = np.diag(gram) / n
-    values, vectors = np.linalg.eigh(gram / n)
-    values, vectors = values[::-1], vectors[:, ::-1]
+    rows = checkpoint(e.indexed(train).groupBy(places.alias("p")).agg(F.count(F.lit(1)).alias("n")))
+    n = max(1, rows.agg(F.sum("n")).first()[0] or 0)
+
+    def times(basis: np.ndarray) -> np.ndarray:
+        """The Gram matrix of the rows times the basis, over n."""
+
+        def partial(batches):
+            total = np.zeros_like(basis)
+            touched = np.zeros(width, dtype=bool)
+            for batch in batches:
+                if batch.num_rows:
+                    at = batch.column("p").flatten().to_numpy().reshape(batch.num_rows, -1)
+                    sums = sum(basis[at[:, k]] for k in range(at.shape[1])) * batch.column("n").to_numpy()[:, None]
+                    for k in range(at.shape[1]):
+                        np.add.at(total, at[:, k], sums)
+                    touched[at] = True
+            for c in np.unique(np.flatnonzero(touched) // CHUNK):
+                yield pa.RecordBatch.from_pydict({"c": pa.array([c], pa.int32()), "m": pa.array([total[c * CHUNK : (c + 1) * CHUNK].tobytes()], pa.binary())})
+
+        def added(key, t):
+            total = sum(np.frombuffer(m) for m in sorted(t.column("m").to_pylist()))
+            return pa.table({"c": pa.array([key[0].as_py()], pa.int32()), "m": pa.array([total.tobytes()], pa.binary())})
+
+        out = np.zeros_like(basis)
+        for r in rows.mapInArrow(partial, "c int, m binary").groupBy("c").applyInArrow(added, "c int, m binary").collect():  # the width over CHUNK
+            out[r["c"] * CHUNK : (r["c"] + 1) * CHUNK] = np.frombuffer(r["m"]).reshape(-1, basis.shape[1])
+        return out / n
+
+    size = min(width, most + SPARE)
+    q = np.eye(width) if size == width else np.linalg.qr(np.random.default_rng(seed).normal(size=(width, size)))[0]
+    for _ in range(0 if size == width else powers + 1):
+        q = np.linalg.qr(times(q))[0]
+    values, inner = np.linalg.eigh(q.T @ times(q))
+    values, vectors = values[::-1], (q @ inner)[:, ::-1]
+    mean = np.zeros(width)
+    for r in rows.select(F.explode("p").alias("i"), "n").groupBy("i").agg(F.sum("n").alias("n")).collect():  # at most the width
+        mean[r["i"]] = r["n"] / n
     total = (mean - mean**2).sum()
     share = np.cumsum(values - (mean @ vectors) ** 2) / max(total, 1e-12)
     k = min(int(np.searchsorted(share, variance) + 1), most, len(values))

@@ -12,6 +12,7 @@ from ..operators import mapping, quality
 from ..operators.summaries import UNIT_NAMES, unit_name
 from ..sources import fetch, readers
 from ..sources.readers import check_vectors
+from ..streaming import once
 from .validate import validate
 
 
@@ -123,9 +124,11 @@ def embed(df: DataFrame, path: str, make, *, form: str = "prose", column: str =
     texts = df.withColumn("__text", serialise(df, form=form, **options)).withColumn("__hash", F.sha2("__text", 256))
     wanted = texts.select("__hash", "__text").dropDuplicates(["__hash"])
     if storage.exists(spark, path):
-        wanted = wanted.join(spark.read.parquet(path).select("__hash"), "__hash", "left_anti")
-    wanted.select("__hash", make(F.col("__text")).alias(column)).write.mode("append").parquet(path)
-    vectors = spark.read.parquet(path)
+        wanted = wanted.join(once.read(spark, path).select("__hash"), "__hash", "left_anti")
+    # The missing texts name the batch, so a second writer of the same ones adds nothing.
+    missing = wanted.agg(F.hex(F.bit_xor(F.xxhash64("__hash"))).alias("x"), F.count(F.lit(1)).alias("n")).first()
+    once.append_once(wanted.select("__hash", make(F.col("__text")).alias(column)), path, "vectors", f"{missing.x or 0}-{missing.n}")
+    vectors = once.read(spark, path)
     digest = vectors.agg(F.hex(F.bit_xor(F.xxhash64("__hash"))).alias("x")).first().x
     told = {"form": form, "options": {k: list(v) if isinstance(v, tuple) else v for k, v in options.items()}, "concepts": concepts(df, submit=options.get("submit", "submit_time"), extra=options.get("extra", []))}
     storage.write_json(spark, f"{path.rstrip('/')}.manifest.json", told | {"texts": vectors.count(), "texts_digest": digest, "dim": check_vectors(vectors, column) if vectors.take(1) else None, "created_at": storage.now()}, overwrite=True)

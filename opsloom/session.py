@@ -9,6 +9,8 @@ SETTINGS = {
     "spark.sql.ansi.enabled": "true",
     "spark.sql.adaptive.enabled": "true",
     "spark.sql.adaptive.skewJoin.enabled": "true",
+    # Checkpoints of results that nothing refers to any more are removed.
+    "spark.cleaner.referenceTracking.cleanCheckpoints": "true",
     # Timestamps in nanoseconds come as whole numbers; readers.unify_temporal turns them into microseconds.
     "spark.sql.legacy.parquet.nanosAsLong": "true",
 }

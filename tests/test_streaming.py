@@ -1,10 +1,11 @@
 """Streams against the batch operators on the same input."""
 
+import pytest
 from pyspark.sql import functions as F
 
 from opsloom.operators import history
 from opsloom.sources.readers import tiny_jobs
-from opsloom.streaming import flows
+from opsloom.streaming import flows, once
 
 
 def stream(spark, tmp_path):
@@ -46,3 +47,36 @@ def test_pairs(spark, tmp_path):
 def test_duplicates_within_the_watermark(spark, tmp_path):
     _, s = stream(spark, tmp_path)
     assert flows.run_table(flows.first_seen(s.union(s)), str(tmp_path / "out")).count() == 30
+
+
+def test_a_retried_batch_adds_nothing(spark, tmp_path):
+    """A batch dies after its rows were committed and before its checkpoint; the retry leaves them single."""
+    _, s = stream(spark, tmp_path)
+    folder, died = str(tmp_path / "out"), []
+
+    def fit(batch, number):
+        return batch.select("job_id")
+
+    def dying(batch, number):
+        once.append_once(fit(batch, number), f"{folder}/models", "model", number)
+        died.append(number)
+        raise RuntimeError("killed")
+
+    with pytest.raises(Exception, match="killed"):
+        flows.retrain(s, dying, f"{folder}/checkpoint").awaitTermination()
+    assert died == [0]
+    once.retrain(s, fit, folder).awaitTermination()
+    rows = once.read(spark, f"{folder}/models").collect()
+    assert len(rows) == len({r.job_id for r in rows}) == 30
+
+
+def test_one_of_two_writers_wins(spark, tmp_path):
+    from concurrent.futures import ThreadPoolExecutor
+
+    folder = str(tmp_path / "t")
+    with ThreadPoolExecutor(4) as pool:
+        told = list(pool.map(lambda k: once.append_once(spark.range(k, k + 5), folder, "q", 7), range(4)))
+    assert told.count(True) == 1 and once.read(spark, folder).count() == 5
+    spark.range(3).write.parquet(f"{folder}/.draft-x")
+    assert once.read(spark, folder).count() == 5 and once.clear_drafts(spark, folder) == 1
+    assert once.append_once(spark.range(2), folder, "q", 8) and once.read(spark, folder).count() == 7

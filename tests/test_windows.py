@@ -1,3 +1,5 @@
+import numpy as np
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -179,7 +181,8 @@ def test_history_in_pieces(spark):
     cut = history.context_mean(df, user="user", order=["at", "job_id"], target="y", theta=10, piece=64)
     assert sorted(whole.collect()) == sorted(cut.collect()) and cut.columns == [*df.columns, "n_context", "y_pred"]
     held, _ = history.past(df, "user", ["at", "job_id"], 10, 64)
-    assert held.groupBy("__piece").count().agg(F.max("count")).first()[0] <= 74
+    assert held.where("__piece >= 0").groupBy("__piece").count().agg(F.max("count")).first()[0] <= 74 and held.where("__piece >= 0").select("__piece").distinct().count() > 10
+    assert held.where("__piece < 0").groupBy("user").count().agg(F.max("count")).first()[0] <= 64
     a = history.context_knn(df, user="user", order=["at", "job_id"], key="job_id", feature="x", target="y", theta=10, piece=64)
     b = history.context_knn(df, user="user", order=["at", "job_id"], key="job_id", feature="x", target="y", theta=10)
     assert sorted(a.collect()) == sorted(b.collect())
@@ -196,3 +199,26 @@ def test_neighbours_in_windows(spark, monkeypatch):
         monkeypatch.setattr(similarity, "BLOCK", block)
         got = similarity.windowed_neighbours(test, j, key="job_id", vector="embedding", value="runtime_seconds", window="window_id", lo=lo, hi=hi, k=3)
         assert sorted(map(tuple, got.collect())) == sorted(map(tuple, wanted.collect()))
+
+
+def test_randomized_singular_vectors(spark):
+    """Shares of variance as those of all eigenvectors, within 0.001, of more columns than the sketch has vectors."""
+    r = np.random.default_rng(3)
+    group = r.integers(0, 12, 3000)
+    frame = pd.DataFrame({"user": [f"u{g * 9 + k}" for g, k in zip(group, r.integers(0, 9, 3000))], "queue": [f"q{g % 5}" for g in group], "name": [f"n{k}" for k in r.zipf(1.6, 3000) % 90]})
+    df = spark.createDataFrame(frame).repartition(3)
+    cols = ["user", "queue", "name"]
+    e = models.encode(df, [], cols)
+    first = np.cumsum([0, *(len(v) + 1 for v in e.values.values())])
+    x = np.zeros((len(frame), first[-1]))
+    for k, c in enumerate(cols):
+        at = {v: j for j, v in enumerate(e.values[c])}
+        x[np.arange(len(frame)), [first[k] + at.get(v, len(at)) for v in frame[c]]] = 1
+    vt = np.linalg.svd(x, full_matrices=False)[2]
+    want = np.cumsum((x @ vt.T).var(axis=0)) / x.var(axis=0).sum()
+    for most in (20, 40, 1000):
+        basis, share = models.singular_vectors(e, df, 0.999999 if most < 1000 else 0.9, most)
+        k = basis.shape[1]
+        assert share == pytest.approx(want[k - 1], abs=1e-3) and np.allclose(basis.T @ basis, np.eye(k), atol=1e-8)
+        assert (x @ basis).var(axis=0).sum() / x.var(axis=0).sum() == pytest.approx(want[k - 1], abs=1e-3)
+        assert k == most or want[k - 1] >= 0.9 - 1e-3
