@@ -14,7 +14,7 @@ from .operators import history, intervals, mapping, metrics, quality, similarity
 from . import storage
 from .plans import catalog, characterize, evaluate, prepare, reports, validate
 from .scratch import shared_dir
-from .sources import readers
+from .sources import logs, readers
 from .streaming import flows, once
 
 N, H, L = 20, 6, 7
@@ -734,6 +734,49 @@ def read_logs(spark, d):
     return readers.scheduler_log_file(spark, f"{path}/1.log", f"{path}/2.log").select("job_id", "node_list", "runtime_seconds")
 
 
+def _log_lines(spark, d, day: int) -> DataFrame:
+    """Controller lines of the customers' jobs; those of the second day tell two thirds of them anew."""
+    i = F.col("c_custkey")
+    a = F.format_string(f"[2024-01-0{day}T00:00:00] x Allocate JobId=%d NodeList=n{day} #CPUs=2 Partition=%s", i, F.when(i % 2 == 0, "even").otherwise("odd"))
+    b = F.format_string(f"[2024-01-0{day}T00:0{day}:00] _job_complete: JobId=%d done", i)
+    return table(spark, d, "customer").where(F.lit(day == 1) | (i % 3 != 0)).select(F.explode(F.array(a, b)).alias("value"))
+
+
+@query("SELECT c_custkey AS job_id, 'n2' AS node_list, 120.0::DOUBLE AS runtime_seconds FROM customer WHERE c_custkey % 3 <> 0 UNION ALL SELECT c_custkey, 'n1', 60.0 FROM customer WHERE c_custkey % 3 = 0")
+def stream_logs(spark, d):
+    """A folder of controller logs as a stream that stops and goes on when a second log has come."""
+    path = _scratch(spark, "growing")
+    logs.register(spark)
+    for day in (1, 2):
+        _log_lines(spark, d, day).write.text(f"{path}/in/{day}")
+        events = flows.run_table(spark.readStream.format("controller_log").option("pieceBytes", 1 << 20).load(f"{path}/in"), f"{path}/out")
+    return logs.jobs(events).select("job_id", "node_list", "runtime_seconds")
+
+
+@query("SELECT 'n' || day AS node_list, count(*) AS jobs, sum(c_custkey)::BIGINT AS ids FROM customer, (VALUES (1), (2)) t(day) WHERE c_custkey % 2 = 0 AND (day = 1 OR c_custkey % 3 <> 0) GROUP BY day")
+def log_source(spark, d):
+    """Allocations of one partition, which the source itself picks."""
+    path = _scratch(spark, "source")
+    logs.register(spark)
+    for day in (1, 2):
+        _log_lines(spark, d, day).write.text(f"{path}/{day}")
+    events = spark.read.format("controller_log").option("pieceBytes", 1 << 20).load(path).where("event = 'allocate' AND partition = 'even'")
+    return events.groupBy("node_list").agg(F.count(F.lit(1)).alias("jobs"), F.sum("job_id").alias("ids"))
+
+
+@query("SELECT o_orderkey::BIGINT AS job_number, epoch_us(o_orderdate::TIMESTAMP) + (o_orderkey % 100) * 1000000 AS start_us, 60.0::DOUBLE AS run_time FROM orders")
+def workload_source(spark, d):
+    """Workload files, each with its header, read by pieces that each look up the header of their file."""
+    path, i = _scratch(spark, "workload"), F.col("o_orderkey")
+    logs.register(spark)
+    line = F.concat_ws(" ", i.cast("string"), (F.unix_timestamp(F.col("o_orderdate").cast("timestamp")) - 500).cast("string"), (i % 100).cast("string"), F.lit("60 4 -1 -1"))
+    # A folder for each remainder is one file: its header sorts before its lines.
+    head = spark.range(8).select(F.col("id").alias("part"), F.lit("; UnixStartTime: 500").alias("value"))
+    rows = table(spark, d, "orders").select(F.pmod(i, F.lit(8)).cast("bigint").alias("part"), line.alias("value")).unionByName(head)
+    rows.repartition(8, "part").sortWithinPartitions("part", F.desc(F.col("value").startswith(";"))).write.partitionBy("part").text(path)
+    return spark.read.format("workload_format").option("pieceBytes", 1 << 20).load(path).select(F.col("job_number").cast("bigint").alias("job_number"), F.unix_micros("start_time").alias("start_us"), "run_time")
+
+
 @query("""SELECT 1001 + i AS job_id, epoch_us(TIMESTAMP '2026-01-01 00:02:00') + i * 3600000000 AS submit_us, 600.0 + 120 * (i % 10) AS runtime_seconds, i % 8 + 1 AS allocated_cpus, CASE WHEN i % 2 = 0 THEN 'debug' ELSE 'compute' END AS partition FROM range(30) t(i)""")
 def synthetic_jobs(spark, d):
     return readers.tiny_jobs(spark).select("job_id", F.unix_micros("submit_time").alias("submit_us"), "runtime_seconds", "allocated_cpus", "partition")
