@@ -805,6 +805,32 @@ def row_validation(spark, d):
     return each.groupBy("issue").agg(F.count(F.lit(1)).alias("rows"), F.min("job_id").alias("first"))
 
 
+ORDER_RULES = {
+    "type": "object", "required": ["o_orderkey"],
+    "$defs": {"line": {"type": "object", "required": ["quantity"], "properties": {"quantity": {"type": "integer", "exclusiveMaximum": 50}, "flag": {"enum": ["A", "N"]}}}},
+    "properties": {"o_orderkey": {"type": "integer", "minimum": 1}, "lines": {"type": "array", "maxItems": 5, "items": {"$ref": "#/$defs/line"}}},
+    "if": {"properties": {"o_orderstatus": {"const": "F"}}}, "then": {"properties": {"o_totalprice": {"minimum": 100000}}},
+    "anyOf": [{"properties": {"o_orderstatus": {"enum": ["F", "P"]}}}, {"properties": {"o_totalprice": {"maximum": 300000}}}],
+}
+
+
+@query("""WITH l AS (SELECT l_orderkey, count(*) AS n, bool_or(l_quantity IS NULL) AS missing, bool_or(l_quantity >= 50) AS much, bool_or(l_quantity <> floor(l_quantity)) AS part, bool_or(l_returnflag NOT IN ('A', 'N')) AS flag FROM lineitem GROUP BY l_orderkey),
+o AS (SELECT * FROM orders LEFT JOIN l ON o_orderkey = l_orderkey),
+i AS (SELECT 'lines: more than 5 items' AS issue, o_orderkey FROM o WHERE n > 5 UNION ALL SELECT 'lines[].quantity: required', o_orderkey FROM o WHERE missing
+UNION ALL SELECT 'lines[].quantity: not below 50', o_orderkey FROM o WHERE much UNION ALL SELECT 'lines[].quantity: not integer', o_orderkey FROM o WHERE part
+UNION ALL SELECT 'lines[].flag: not allowed', o_orderkey FROM o WHERE flag UNION ALL SELECT 'o_orderkey: below 1', o_orderkey FROM o WHERE o_orderkey < 1
+UNION ALL SELECT 'o_totalprice: below 100000', o_orderkey FROM o WHERE coalesce(o_orderstatus, 'F') = 'F' AND o_totalprice < 100000
+UNION ALL SELECT 'row: fits no alternative', o_orderkey FROM o WHERE o_orderstatus NOT IN ('F', 'P') AND o_totalprice > 300000)
+SELECT issue, count(*) AS rows, min(o_orderkey) AS first FROM i GROUP BY issue""")
+def schema_rules(spark, d):
+    """Orders with their lines below them, checked by a nested schema with references and alternatives."""
+    line = F.struct(F.col("l_quantity").alias("quantity"), F.col("l_returnflag").alias("flag"))
+    lines = table(spark, d, "lineitem").groupBy(F.col("l_orderkey").alias("o_orderkey")).agg(F.collect_list(line).alias("lines"))
+    t = table(spark, d, "orders").join(lines, "o_orderkey", "left").select("o_orderkey", "o_orderstatus", "o_totalprice", "lines")
+    each = t.select("o_orderkey", F.explode(validate.row_issues(t, ORDER_RULES)).alias("issue"))
+    return each.groupBy("issue").agg(F.count(F.lit(1)).alias("rows"), F.min("o_orderkey").alias("first"))
+
+
 @query("SELECT count(*) AS rows, sum(('0x' || substr(sha256(concat_ws('|', o_orderkey, o_orderstatus, o_orderpriority)), 1, 13))::BIGINT)::VARCHAR AS digest FROM orders")
 def table_digest(spark, d):
     return summaries.portable_digest(table(spark, d, "orders"), ["o_orderkey", "o_orderstatus", "o_orderpriority"])

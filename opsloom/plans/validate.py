@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 from pyspark.sql.types import TimestampNTZType, TimestampType
 
 from ..operators import quality
+from . import rules
 
 #: The canonical job table: required columns, then types and bounds of known ones; others are free.
 JOB_SCHEMA = {
@@ -42,24 +43,13 @@ def type_issues(df: DataFrame, schema: dict) -> list[str]:
 
 
 def row_issues(df: DataFrame, schema: dict) -> Column:
-    """An array with what is wrong with a row."""
-    rules: list[Column] = []
-    for name in schema.get("required", []):
-        if name in df.columns:
-            rules.append(F.when(quality.missing(df, name), F.lit(f"{name}: required")))
-    for name, rule in schema.get("properties", {}).items():
-        if name not in df.columns:
-            continue
-        c = F.col(name)
-        if "minimum" in rule:
-            rules.append(F.when(c < rule["minimum"], F.lit(f"{name}: below {rule['minimum']}")))
-        if "maximum" in rule:
-            rules.append(F.when(c > rule["maximum"], F.lit(f"{name}: above {rule['maximum']}")))
-        if "enum" in rule:
-            rules.append(F.when(c.isNotNull() & ~c.isin(rule["enum"]), F.lit(f"{name}: not allowed")))
-        if "pattern" in rule:
-            rules.append(F.when(c.isNotNull() & ~c.cast("string").rlike(rule["pattern"]), F.lit(f"{name}: malformed")))
-    return F.array_compact(F.array(*rules)) if rules else F.array().cast("array<string>")
+    """An array with what is wrong with a row; empty texts count as missing in columns that are required.
+
+    The types of the columns themselves are type_issues' part, those below them are checked here.
+    """
+    needed = [F.when(quality.missing(df, c), F.lit(f"{c}: required")) for c in schema.get("required", []) if c in df.columns]
+    found = F.array_compact(F.array(*needed)) if needed else F.array().cast("array<string>")
+    return F.array_union(found, rules.row_issues(df, schema, types=False))
 
 
 def validate(df: DataFrame, schema: dict = JOB_SCHEMA, *, key: str | None = None, strict: bool = False) -> dict:
