@@ -734,6 +734,34 @@ def read_logs(spark, d):
     return readers.scheduler_log_file(spark, f"{path}/1.log", f"{path}/2.log").select("job_id", "node_list", "runtime_seconds")
 
 
+@query("SELECT c_custkey::BIGINT AS c_custkey, c_nationkey::BIGINT AS c_nationkey FROM customer WHERE (c_custkey // 1000) % 2 = 0")
+def read_archives(spark, d):
+    """Customers in zip archives of up to 10 members of 1,000 each; the members of every other thousand are read."""
+    root = _scratch(spark, "archives")
+
+    def pack(rows):
+        import io
+        import zipfile
+
+        import pandas as pd
+        from pyarrow import fs
+
+        packed = io.BytesIO()
+        with zipfile.ZipFile(packed, "w", zipfile.ZIP_DEFLATED) as z:
+            for part, some in rows.groupby("part"):
+                z.writestr(f"parts/{part}.csv", some[["c_custkey", "c_nationkey"]].to_csv(index=False))
+        store, path = fs.FileSystem.from_uri(f"{root}/{rows['archive'].iloc[0]}.zip")
+        store.create_dir(path.rsplit("/", 1)[0], recursive=True)
+        with store.open_output_stream(path) as out:
+            out.write(packed.getvalue())
+        return pd.DataFrame({"path": [f"{root}/{rows['archive'].iloc[0]}.zip"]})
+
+    k = F.col("c_custkey")
+    rows = table(spark, d, "customer").select("c_custkey", "c_nationkey", F.floor(k / 1000).alias("part"), F.floor(k / 10000).alias("archive"))
+    paths = [r.path for r in rows.groupBy("archive").applyInPandas(pack, "path string").collect()]  # a row an archive
+    return readers.decode(spark, "csv", paths, pattern="parts/*[02468].csv").select(k.cast("bigint").alias("c_custkey"), F.col("c_nationkey").cast("bigint").alias("c_nationkey"))
+
+
 def _log_lines(spark, d, day: int) -> DataFrame:
     """Controller lines of the customers' jobs; those of the second day tell two thirds of them anew."""
     i = F.col("c_custkey")

@@ -2,11 +2,7 @@
 
 from __future__ import annotations
 
-import fnmatch
-import tarfile
-import tempfile
 import uuid
-import zipfile
 from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
@@ -15,6 +11,7 @@ from pyspark.sql.types import ArrayType, MapType, StringType, StructType
 from ..functions.transforms import ticks
 from ..scratch import shared_dir
 from ..storage import filesystem
+from . import archives
 
 #: The columns of the Standard Workload Format.
 SWF = [
@@ -194,26 +191,6 @@ def accounting(lines: DataFrame, order: str) -> DataFrame:
     return rows.groupBy("job_id").agg(F.max_by("state", order).alias("state"))
 
 
-def expand(path: str, into: str, pattern: str = "*", suffixes: tuple[str, ...] = ()) -> list[str]:
-    """Members of a zip or tar archive that match by name or path, extracted below into; other files as they are."""
-    wanted = lambda n: (fnmatch.fnmatch(n, pattern) or fnmatch.fnmatch(Path(n).name, pattern)) and (not suffixes or n.endswith(suffixes))
-    out = []
-    if zipfile.is_zipfile(path):
-        with zipfile.ZipFile(path) as z:
-            for m in z.infolist():
-                if not m.is_dir() and wanted(m.filename):
-                    out.append(z.extract(m, into))
-    elif tarfile.is_tarfile(path):
-        with tarfile.open(path) as t:
-            for m in t.getmembers():
-                if m.isfile() and wanted(m.name):
-                    t.extract(m, into, filter="data")
-                    out.append(str(Path(into) / m.name))
-    else:
-        out.append(path)
-    return sorted(out)
-
-
 def shared(spark: SparkSession, local: str) -> str:
     """A file of the driver, copied to the folder that all executors share."""
     to = f"{shared_dir(spark)}/fetched/{uuid.uuid4().hex}/{Path(local).name}"
@@ -223,18 +200,15 @@ def shared(spark: SparkSession, local: str) -> str:
 
 
 def decode(spark: SparkSession, kind: str, paths: list[str], *, pattern: str = "*", **options) -> DataFrame:
-    """Archives expanded, then read by kind: parquet, csv, json or swf; times without a zone are taken as UTC.
+    """Archives unpacked by tasks, then read by kind: parquet, csv, json or swf; times without a zone are taken as UTC.
 
-    The driver extracts to a folder of its own.  What it found is copied to the shared one, fetched
-    files that are no archive too, as executors see neither.
+    Files of the driver are copied to the shared folder first, as executors don't see them.
     """
     kinds = {"parquet": (parquet, (".parquet",)), "csv": (csv, (".csv", ".tsv", ".txt", ".csv.gz")), "json": (json, (".json", ".json.gz")), "swf": (swf, (".swf", ".swf.gz", ".txt"))}
     if kind not in kinds:
         raise ValueError(f"unknown kind {kind!r}; known: {', '.join(kinds)}")
     read, suffixes = kinds[kind]
-    with tempfile.TemporaryDirectory(prefix="opsloom-") as own:
-        found = [f for p in paths for f in expand(p, own, pattern, suffixes)]
-        files = [shared(spark, f) if "://" not in f else f for f in found]
+    files = archives.unpack(spark, [shared(spark, p) if "://" not in p else p for p in paths], pattern, suffixes)
     if not files:
         raise FileNotFoundError(f"no {kind} file in {', '.join(paths)}")
     return unify_temporal(read(spark, *files, **options))
