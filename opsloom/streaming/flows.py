@@ -8,6 +8,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
@@ -39,22 +40,39 @@ def pair_events(starts: DataFrame, ends: DataFrame, *, key: str = "job_id", late
     return a.join(b, on).drop("__key")
 
 
+#: Rows that a user's history gives back at once.
+SLICE = 10_000
+
+
 def user_history_mean(jobs: DataFrame, *, user: str = "user", time: str = "submit_time", key: str = "job_id", target: str = "runtime_seconds", theta: int = 50) -> DataFrame:
-    """user, key, y_true, y_pred, n_context: the mean of the user's last theta jobs before each, kept as state."""
+    """user, key, y_true, y_pred, n_context: the mean of the user's last theta jobs before each, kept as state.
+
+    Means are over whole millionths, so they are those of history.context_mean (targets below 2^53 millionths); a job without a target counts as one of the
+    theta and not in the mean.  The state is theta numbers a user.  A user's rows of one batch are held as arrays of
+    32 bytes a row while they are sorted; maxFilesPerTrigger and the like bound a batch.
+    """
 
     def step(group: tuple, frames, state: GroupState):
         past = list(state.get[0]) if state.exists else []
         rows = pd.concat(list(frames)).sort_values([time, key])
-        out = []
-        for k, y in zip(rows[key], rows[target]):
-            out.append((group[0], k, y, sum(past) / len(past) if past else None, len(past)))
-            past = [*past, float(y)][-theta:]
-        state.update((past,))
-        yield pd.DataFrame(out, columns=["user", "key", "y_true", "y_pred", "n_context"])
+        known = np.concatenate([np.array([v is not None for v in past], bool), rows["micros"].notna().to_numpy()])
+        micros = np.concatenate([np.array([v or 0 for v in past], np.int64), rows["micros"].fillna(0).to_numpy(np.int64)])
+        # Sums of the rows before each place, whole numbers, so a difference of two is exact.
+        total, count = (np.concatenate([[0], np.cumsum(x)]) for x in (micros, known))
+        to = np.arange(len(past), len(micros))
+        start = np.maximum(0, to - theta)
+        n = count[to] - count[start]
+        mean = np.where(n > 0, (total[to] - total[start]) / 1e6 / np.maximum(n, 1), np.nan)
+        last = slice(max(0, len(micros) - theta), None)
+        state.update(([int(v) if there else None for v, there in zip(micros[last], known[last])],))
+        out = pd.DataFrame({"user": group[0], "key": rows[key].to_numpy(), "y_true": rows[target].to_numpy(), "y_pred": mean, "n_context": n.astype(np.int32)})
+        for at in range(0, len(out), SLICE):
+            yield out.iloc[at : at + SLICE]
 
     kinds = dict(jobs.dtypes)
     schema = f"user {kinds[user]}, key {kinds[key]}, y_true double, y_pred double, n_context int"
-    return jobs.select(user, time, key, target).groupBy(user).applyInPandasWithState(step, schema, "past array<double>", "append", GroupStateTimeout.NoTimeout)
+    micros = (F.col(target).cast("decimal(28,6)") * 1_000_000).cast("bigint")
+    return jobs.select(user, time, key, F.col(target).cast("double").alias(target), micros.alias("micros")).groupBy(user).applyInPandasWithState(step, schema, "past array<bigint>", "append", GroupStateTimeout.NoTimeout)
 
 
 def retrain(jobs: DataFrame, fit: Callable[[DataFrame, int], None], checkpoint: str, every: str | None = None):

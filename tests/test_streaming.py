@@ -27,6 +27,22 @@ def test_history(spark, tmp_path):
     assert got == {r.job_id: (r.n_context, r.y_pred) for r in batch.collect()}
 
 
+def test_history_of_a_busy_user_over_two_batches(spark, tmp_path):
+    """200,000 rows of one user, some without a target, in two batches: the means of the batch operator, to the last bit."""
+    i = F.col("id")
+    value = F.when(F.pmod(F.xxhash64(i), F.lit(10)) > 0, F.pmod(F.xxhash64(i, F.lit(1)), F.lit(10**9)) / 1e5)
+    jobs = spark.range(200_000).select(i.alias("job_id"), F.timestamp_seconds(F.floor(i / 3)).alias("submit_time"), F.when(i % 50 == 0, "b").otherwise("a").alias("user"), value.alias("runtime_seconds"))
+    source, got = str(tmp_path / "in"), None
+    s = None
+    for part in (jobs.where("job_id < 100000"), jobs.where("job_id >= 100000")):
+        part.write.mode("append").parquet(source)
+        s = s if s is not None else spark.readStream.schema(jobs.schema).parquet(source)
+        got = flows.run_table(flows.user_history_mean(s, theta=7), str(tmp_path / "out"))
+    batch = history.context_mean(jobs, user="user", order=["submit_time", "job_id"], target="runtime_seconds", theta=7)
+    same = got.join(batch, got["key"] == batch["job_id"]).where(got["y_pred"].eqNullSafe(batch["y_pred"]) & (got["n_context"] == batch["n_context"]))
+    assert got.count() == 200_000 and same.count() == 200_000
+
+
 def test_retrain(spark, tmp_path):
     _, s = stream(spark, tmp_path)
     seen = []
