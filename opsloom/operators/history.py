@@ -2,11 +2,22 @@
 
 from __future__ import annotations
 
+import sys
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame, Window, WindowSpec, functions as F
+from pyspark.sql.types import DoubleType, IntegerType, StructField, StructType
 
 from ..scratch import checkpoint
 from .ranks import row_index
 
+# Functions sent to Python workers carry their code along, so a cluster needs no copy of the package.
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
+
 #: Names that sources give to the same thing.
 FIELD_NAMES = {"user": ["user", "usr"], "name": ["name", "jnam"], "num_cores_req": ["processors_requested", "cnumr"], "num_nodes_req": ["nodes_requested", "nnumr"], "end_time": ["end_time", "edt"]}
 
@@ -66,21 +77,76 @@ def context_nearest(jobs: DataFrame, *, user: str, order: list, name: Column, nu
 
     The name counts as its place among the sorted names of the context, -1 if it is not there; missing
     numbers count as 0; the distance is Euclidean, and of equally near jobs the latest go first.  No
-    prediction below k jobs.  The order may hold Columns.
+    prediction below k jobs.  The order may hold Columns.  Spark sorts the histories; a task goes through
+    its own batch by batch and keeps the theta jobs before a batch.
     """
-    own = F.struct(F.coalesce(name.cast("string"), F.lit("")).alias("name"), F.array(*(F.coalesce(n.cast("string").try_cast("double"), F.lit(0.0)) for n in numbers)).alias("x"))
-    held, w = past(jobs.withColumn("__q", own), user, order, theta, piece)
-    held = held.withColumn("__c", F.collect_list(F.struct(F.col("__q.name").alias("name"), F.col("__q.x").alias("x"), F.col(target).cast("double").alias("y"))).over(w))
-    held = current(held)
-    classes = F.array_sort(F.array_distinct(F.transform("__c", lambda c: c["name"])))
-    held = held.withColumn("__n", classes)
-    place = lambda v: (F.array_position("__n", v) - 1).cast("double")
-    square = lambda v: v * v
-    away = lambda c: square(place(c["name"]) - place(F.col("__q.name"))) + F.aggregate(F.zip_with(c["x"], F.col("__q.x"), lambda a, b: square(a - b)), F.lit(0.0), lambda s, d: s + d)
-    ranked = F.array_sort(F.transform("__c", lambda c, i: F.struct(away(c).alias("d"), (-i).alias("late"), c["y"].alias("y"))))
-    total = F.aggregate(F.slice(ranked, 1, k), F.lit(0.0), lambda a, c: a + c["y"])
-    out = held.withColumn("n_context", F.size("__c")).withColumn("y_pred", F.when(F.size("__c") >= k, total / k))
-    return out.drop("__q", "__c", "__n")
+    own = {"__own_name": F.coalesce(name.cast("string"), F.lit("")), "__own_y": F.col(target).cast("double")} | {f"__own_x{i}": F.coalesce(n.cast("string").try_cast("double"), F.lit(0.0)) for i, n in enumerate(numbers)}
+    held, _ = past(jobs.withColumns(own), user, order, theta, piece)
+    keys, features = ["__piece", user], [f"__own_x{i}" for i in range(len(numbers))]
+    ordered = held.repartition(*keys).sortWithinPartitions(*keys, "__i", *order)
+    schema = StructType([*held.drop(*own).schema.fields, StructField("n_context", IntegerType()), StructField("y_pred", DoubleType())])
+    needed, kept = list(dict.fromkeys([*keys, *own])), schema.names[:-2]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        before = None
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            t = pa.Table.from_batches([batch])
+            seen = t.select(needed) if before is None else pa.concat_tables([before, t.select(needed)])
+            seen, first = seen.combine_chunks(), seen.num_rows - t.num_rows
+            before = seen.slice(max(0, seen.num_rows - theta))
+            n, y = _nearest_before(seen, first, keys, features, theta, k)
+            yield from t.select(kept).append_column("n_context", pa.array(n, pa.int32())).append_column("y_pred", y).combine_chunks().to_batches()
+
+    return current(ordered.mapInArrow(run, schema))
+
+
+def _nearest_before(t: pa.Table, first: int, keys: list[str], features: list[str], theta: int, k: int, step: int = 2048) -> tuple[np.ndarray, pa.Array]:
+    """(size of the context, mean of its k nearest) of the sorted rows from first on; the rows before are context only."""
+    code = lambda c: pc.dictionary_encode(t.column(c), null_encoding="encode").combine_chunks()
+    new = np.r_[True, np.zeros(t.num_rows - 1, dtype=bool)]
+    for c in keys:
+        at = code(c).indices.to_numpy()
+        new[1:] |= at[1:] != at[:-1]
+    start = np.maximum.accumulate(np.where(new, np.arange(t.num_rows), 0))
+    named = code("__own_name")
+    words = [w.encode() for w in named.dictionary.to_pylist()]  # sorted as Spark sorts, by bytes
+    rank = np.empty(len(words), dtype=np.int64)
+    rank[sorted(range(len(words)), key=words.__getitem__)] = np.arange(len(words))
+    names = rank[named.indices.to_numpy()]
+    x = [t.column(c).to_numpy() for c in features]
+    told = ~t.column("__own_y").is_null().to_numpy()
+    y = pc.fill_null(t.column("__own_y"), 0.0).to_numpy()
+    size, out, known = [], [], []
+    for lo in range(first, t.num_rows, step):
+        rows = np.arange(lo, min(lo + step, t.num_rows))
+        at = rows[:, None] - np.arange(1, theta + 1)  # latest first
+        there = at >= start[rows][:, None]
+        at = np.maximum(at, 0)
+        theirs = np.where(there, names[at], len(words))
+        order = np.argsort(theirs, axis=1)
+        placed = np.take_along_axis(theirs, order, axis=1)
+        fresh = np.c_[np.ones(len(rows), dtype=bool), placed[:, 1:] != placed[:, :-1]]
+        place = np.empty_like(theirs)
+        np.put_along_axis(place, order, np.cumsum(fresh, axis=1) - 1, axis=1)
+        mine = names[rows][:, None]
+        mine = np.where((theirs == mine).any(axis=1), (fresh & (placed < mine)).sum(axis=1), -1)
+        away = np.zeros(at.shape)
+        for v in x:
+            away += (v[at] - v[rows][:, None]) ** 2
+        away = (place - mine[:, None]).astype(float) ** 2 + away
+        # Rows that are not there come last, behind distances that are no number too.
+        near = np.lexsort((away, ~there), axis=1)[:, :k]
+        got = np.take_along_axis(at, near, axis=1)
+        total = np.zeros(len(rows))
+        for i in range(got.shape[1]):
+            total = total + y[got[:, i]]
+        n = there.sum(axis=1)
+        size.append(n)
+        out.append(total / k)
+        known.append((n >= k) & told[got].all(axis=1))
+    return np.concatenate(size), pa.array(np.concatenate(out), pa.float64(), mask=~np.concatenate(known))
 
 
 def wallclock_edges(rows: DataFrame, group: str, value: str, *, bins: int = 5, least_share: float = 0.02) -> DataFrame:

@@ -1,3 +1,4 @@
+import random
 import numpy as np
 import pandas as pd
 import pytest
@@ -222,3 +223,24 @@ def test_randomized_singular_vectors(spark):
         assert share == pytest.approx(want[k - 1], abs=1e-3) and np.allclose(basis.T @ basis, np.eye(k), atol=1e-8)
         assert (x @ basis).var(axis=0).sum() / x.var(axis=0).sum() == pytest.approx(want[k - 1], abs=1e-3)
         assert k == most or want[k - 1] >= 0.9 - 1e-3
+
+
+def test_own_history_goes_batch_by_batch(spark):
+    """Against plain Python, histories longer than a batch and than a piece, with null users, names and targets; no row holds its context."""
+    r = random.Random(5)
+    rows = [(i, r.choice(["u", "u", "v", None]), r.choice(["é", "z", "A", "", None]), r.choice([1.0, 2.0, 5.0, None]), r.choice([1.0, 7.5, 9.25, None])) for i in range(400)]
+    df = spark.createDataFrame(rows, "job_id int, user string, name string, x double, y double").repartition(5)
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "7")
+    try:
+        out = history.context_nearest(df, user="user", order=["job_id"], name=F.col("name"), numbers=[F.col("x")], target="y", theta=9, k=3, piece=50)
+        got = {x.job_id: (x.n_context, x.y_pred) for x in out.collect()}
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    assert out.columns == [*df.columns, "n_context", "y_pred"] and "collect_list" not in out._jdf.queryExecution().toString()
+    for i, user, name, x, _ in rows:
+        context = [c for c in rows[:i] if c[1] == user][-9:][::-1]
+        names = sorted({c[2] or "" for c in context}, key=str.encode)
+        place = lambda n: names.index(n or "") if (n or "") in names else -1
+        near = sorted(context, key=lambda c: (place(c[2]) - place(name)) ** 2 + ((c[3] or 0) - (x or 0)) ** 2)[:3]
+        whole = len(near) == 3 and all(c[4] is not None for c in near)
+        assert got[i] == (len(context), sum(c[4] for c in near) / 3 if whole else None)
