@@ -47,3 +47,23 @@ def test_pairs_are_found_once_and_few_rows_are_made(spark):
     assert out.count() == 3000 and out.select("id").distinct().count() == 3000
     placed = intervals._placed(intervals._bounded(a, F.col("lo"), F.col("hi"), 0, 1), [14])
     assert placed.count() <= 4 * 3000
+
+
+@pytest.mark.parametrize("seed", [1, 2])
+def test_totals_are_those_of_the_pairs(spark, seed):
+    """Counts, sums and least values over the overlaps, also of open, empty, reversed and equal intervals, without a pair."""
+    r = random.Random(seed)
+
+    def some(n):
+        lows = [r.choice([r.randint(-50, 50), r.randint(-(10**6), 10**6), r.randint(-(1 << 55), 1 << 55)]) for _ in range(n)]
+        return [(k, r.choice([lo, lo, lo, None]), r.choice([hi, hi, hi, None])) for k, lo in enumerate(lows) for hi in [lo + r.choice([0, 1, 2, 7, 8, 63, 64, 1000, 1 << 40, -1])]]
+
+    a = spark.createDataFrame(some(60), "i bigint, lo bigint, hi bigint").repartition(3)
+    b = spark.createDataFrame(some(45), "j bigint, first bigint, last bigint").repartition(2)
+    ends = {"a_from": F.col("lo"), "a_to": F.col("hi"), "b_from": F.col("first"), "b_to": F.col("last")}
+    totals = {"n": (F.lit(1).cast("bigint"), F.sum), "total": (F.col("i") * 3, F.sum), "least": (F.col("i"), F.min)}
+    made = intervals.overlap_totals(a, b, totals, **ends)
+    assert made.columns == [*b.columns, *totals]
+    pairs = intervals.overlap_join(a, b, **ends).groupBy("j").agg(F.count(F.lit(1)), F.sum(F.col("i") * 3), F.min("i"))
+    assert sorted(made.select("j", *totals).collect()) == sorted(pairs.collect())
+    assert intervals.overlap_totals(a.limit(0), b, totals, **ends).count() == 0
