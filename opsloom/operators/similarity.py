@@ -326,8 +326,9 @@ def tfidf_neighbours(train: DataFrame, test: DataFrame, *, k: int = 5, group: st
     """query, neighbour, similarity, value, rank (and group) by cosine of TF-IDF with smoothed idf, of (key, term, tf) tables.
 
     Only pairs with a common term count.  With a group, each has its own frequencies.  value: a column
-    of train that each neighbour brings along, the same for all terms of a key.  Rows meet in blocks
-    that are sparse matrices, so neither pairs nor the rows of a frequent term are ever gathered.
+    of train that each neighbour brings along, the same for all terms of a key.  Different vectors meet in blocks
+    that are sparse matrices, so neither pairs nor the rows of a frequent term are ever gathered.  Rows with equal
+    vectors meet once: a class has its least id and its k first members, as the k best rows lie in the k best classes.
     """
     by = [group] if group else []
     g = group or "__g"
@@ -343,9 +344,31 @@ def tfidf_neighbours(train: DataFrame, test: DataFrame, *, k: int = 5, group: st
         norm = F.sqrt(F.aggregate("tw", F.lit(0.0), lambda a, x: a + x["w"] * x["w"]))
         return rows.select(g, "id", *extra, F.col("tw.t").alias("t"), F.transform("tw.w", lambda x: x / norm).alias("w"))
 
+    same = [g, "t", "w"]
     known = weighed(train.withColumn("y", F.col(value).cast("double") if value else F.lit(None).cast("double")), ["y"])
-    near = _nearest(weighed(test, []), known, g, k, _overlaps, 1e-9)
-    return near if group else near.drop(g)
+    place = F.row_number().over(Window.partitionBy(*same).orderBy("id"))
+    firsts = known.withColumn("__r", place).where(F.col("__r") <= k).groupBy(*same).agg(F.min("id").alias("id"), F.sort_array(F.collect_list(F.struct(F.col("id").alias("neighbour"), F.col("y").alias("value")))).alias("members"))
+    classes = checkpoint(firsts)
+    asked = checkpoint(weighed(test, []))
+    queries = checkpoint(asked.groupBy(*same).agg(F.min("id").alias("id")))
+    near = _nearest(queries.select(g, "id", "t", "w"), classes.select(g, "id", "t", "w", F.lit(None).cast("double").alias("y")), g, k, _overlaps, 1e-9)
+    members = classes.select(g, F.col("id").alias("neighbour"), "members")
+    rows = near.select(g, "query", "neighbour", "similarity").join(members, [g, "neighbour"]).select(g, "query", "similarity", F.explode("members").alias("m")).select(g, "query", "m.neighbour", "similarity", "m.value")
+    rank = F.row_number().over(Window.partitionBy(g, "query").orderBy(F.desc("similarity"), "neighbour"))
+    best = checkpoint(rows.withColumn("rank", rank).where(F.col("rank") <= k).withColumnRenamed("query", "__class"))
+    # Every query has its class, and with that its neighbours; written tables on both sides, so that a large class can be split.
+    of = checkpoint(_same_vector(asked, queries, same).select(g, F.col("id").alias("query"), F.col("__class")))
+    out = of.join(best, [g, "__class"]).select(g, "query", "neighbour", "similarity", "value", "rank")
+    return out if group else out.drop(g)
+
+
+def _same_vector(rows: DataFrame, classes: DataFrame, same: list[str]) -> DataFrame:
+    """rows with the id of their class; the group may be null."""
+    named = classes.select(*(F.col(c).alias(f"__{c}") for c in same), F.col("id").alias("__class"))
+    on = F.xxhash64("t", "w") == F.xxhash64("__t", "__w")
+    for c in same:
+        on = on & F.col(c).eqNullSafe(F.col(f"__{c}"))
+    return rows.join(named, on)
 
 
 def hash_encode(texts: Column, dim: int = 256) -> Column:

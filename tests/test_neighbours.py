@@ -78,3 +78,39 @@ def test_windows_and_few_rows(spark, monkeypatch):
     assert found(similarity.windowed_neighbours(a, b, **options)) == {k: v for k, v in brute(test, train, 3).items() if v}
     assert similarity.windowed_neighbours(a, b.limit(0), **options).count() == 0
     assert similarity.windowed_neighbours(a.limit(0), b, **options).count() == 0
+
+
+@pytest.mark.parametrize("group", [None, "g"])
+def test_copies_of_a_text_meet_once(spark, monkeypatch, group):
+    """Many copies of few texts: the neighbours of all pairs, with ties by id across copies and texts, from one row a text."""
+    words = ["red", "blue", "hot", "cold", "ring", "bolt"]
+    texts = [(i, i % 2, [words[i * 7 % 4], words[4 + i * 5 % 3 % 2], words[i % 3]], float(i)) for i in range(240)]
+    rows = spark.createDataFrame(texts, "key bigint, g int, words array<string>, y double").select("key", "g", "y", F.explode("words").alias("term")).groupBy("key", "g", "y", "term").agg(F.count(F.lit(1)).alias("tf"))
+    train, test = rows.where("key % 3 <> 0"), rows.where("key % 3 = 0")
+    met = []
+    nearest = similarity._nearest
+    monkeypatch.setattr(similarity, "_nearest", lambda a, b, *more: met.append((a.count(), b.count())) or nearest(a, b, *more))
+    found = similarity.tfidf_neighbours(train, test, k=4, group=group, value="y")
+    got = {}
+    for r in found.orderBy("query", "rank").collect():
+        got.setdefault(r.query, []).append((r.neighbour, round(r.similarity, 6), r.value))
+    assert met[0][0] <= 24 and met[0][1] <= 24
+
+    def vectors(part, idf):
+        out = {}
+        for i, gg, ws, _ in part:
+            w = {t: ws.count(t) * idf[gg if group else 0][t] for t in set(ws) if t in idf[gg if group else 0]}
+            n = sum(x * x for x in w.values()) ** 0.5
+            out[i] = {t: x / n for t, x in w.items()}
+        return out
+
+    known, asked = [t for t in texts if t[0] % 3], [t for t in texts if t[0] % 3 == 0]
+    idf = {}
+    for gg in (0, 1):
+        own = [t for t in known if not group or t[1] == gg]
+        idf[gg] = {w: np.log((1 + len(own)) / (1 + sum(w in t[2] for t in own))) + 1 for w in words if any(w in t[2] for t in own)}
+    a, b = vectors(asked, idf), vectors(known, idf)
+    for i, gg, *_ in asked:
+        sims = [(round(sum(x * b[j].get(t, 0.0) for t, x in a[i].items()), 9), j) for j, hh, *_ in known if not group or gg == hh]
+        want = sorted(((-s, j) for s, j in sims if s >= 1e-9))[:4]
+        assert got.get(i, []) == [(j, round(-s, 6), float(j)) for s, j in want]
