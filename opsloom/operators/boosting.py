@@ -14,6 +14,9 @@ the order of rows nor on how they are spread.  That allows two ways with the sam
   Rows lie in written tables of packed pieces; what the trees add to a row is written every
   ``REFRESH`` trees.  A level is one chain of jobs for all large models.
 
+Rows in the same bins of all columns (a cell) have one prediction.  Models in memory grow from the sums of their cells, and
+so do large ones with at most ``CELLS`` of them: one job a tree for all large models, two more for leaves of absolute errors.
+
 What the driver holds is the trees in work of the models above ``task_rows`` rows, so at most a node for each
 ``task_rows / 2^depth`` rows.
 """
@@ -30,7 +33,7 @@ import pyarrow as pa
 from pyspark import cloudpickle
 from pyspark.sql import DataFrame, Window, functions as F
 
-from ..scratch import checkpoint
+from ..scratch import BATCH_ROWS, checkpoint
 from .ranks import grouped_places
 
 # Functions sent to Python workers carry their code along, so a cluster needs no copy of the package.
@@ -42,6 +45,10 @@ UNIT = 1 << 20
 REFRESH = 10
 #: Rows of a packed piece.
 PIECE = 1 << 16
+#: Cells (rows in the same bins of all columns) up to which a large model's trees grow from the sums of its cells.
+CELLS = 1 << 16
+#: Bits of a residual that the second pass over the leaves' medians settles.
+STEP = 21
 #: The columns of a model's nodes; a leaf has no column.
 NODES = "tree int, node int, feature string, threshold double, category string, gain double, value double"
 
@@ -295,21 +302,40 @@ def set_medians(spec: Spec, tree: Tree, node: np.ndarray, residual: np.ndarray,
             tree.value[node[own[0]]] = spec.rate * (median_of(residual[own], h[own]) / spec.scale)
 
 
+def cells_of(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(the different columns of x: rows that are in the same bins, the place of each row's among them)."""
+    at = np.zeros(x.shape[1], dtype=np.int64)
+    for own in x:
+        at = np.unique(at * (int(own.max(initial=-1)) + 2) + own + 1, return_inverse=True)[1].reshape(-1)
+    first = np.unique(at, return_index=True)[1]
+    return x[:, first], at
+
+
 def boosted(spec: Spec, name: str, x: np.ndarray, y: np.ndarray, w: np.ndarray, rid: np.ndarray) -> tuple[float, list[Tree]]:
-    """(base, trees) of one model in memory."""
+    """(base, trees) of one model in memory; rows of one cell have one prediction, so trees grow over the sums of cells."""
     h = whole_weights(w)
     base = base_of(spec, y, h)
-    pred, trees = np.full(len(y), base), []
+    cells, cell = cells_of(x)
+    pred, trees = np.full(cells.shape[1], base), []
     for t in range(spec.rounds):
-        seen = taken(spec, rid, t)
-        tree, node = grow(spec, name, t, x, gradients(spec, y, pred, h), h, seen)
+        rows = np.flatnonzero(taken(spec, rid, t))
+        own, own_y, own_h = cell[rows], y[rows], h[rows]
+        found, g, weight = sums_by(own, len(pred), gradients(spec, own_y, pred[own], own_h), own_h)
+        tree, node = grow_cells(spec, name, t, cells, found, g, weight)
         if not spec.squared:
-            set_medians(spec, tree, node[seen], whole_residuals(spec, y, pred)[seen], h[seen])
+            set_medians(spec, tree, node[own], whole_residuals(spec, own_y, pred[own]), own_h)
         pred = pred + tree.value[node]
         trees.append(tree)
     return base, trees
 
 
+def grow_cells(spec: Spec, name: str, tree_no: int, cells: np.ndarray, found: np.ndarray, g: np.ndarray, h: np.ndarray) -> tuple[Tree, np.ndarray]:
+    """(one tree, the node of each cell) from the sums of the cells in which the tree sees rows."""
+    all_g, all_h, seen = np.zeros(cells.shape[1], dtype=np.int64), np.zeros(cells.shape[1], dtype=np.int64), np.zeros(cells.shape[1], dtype=bool)
+    all_g[found], all_h[found], seen[found] = g, h, True
+    return grow(spec, name, tree_no, cells, all_g, all_h, seen)
+
+
 def node_rows(spec: Spec, bins: Bins, base: float, trees: list[Tree], first: int = 0) -> dict[str, list]:
     """The columns of NODES; tree -1 holds the base."""
     out: dict[str, list] = {c.split()[0]: [] for c in NODES.split(", ")}
@@ -549,7 +575,8 @@ def _median_pass(spec: Spec, pieces: DataFrame, tree_no: int, growing: list[Tree
 def _fit_large(rows: DataFrame, spec: Spec, keys: list[str], large: list[tuple], schema: pa.Schema) -> DataFrame:
     n, names = len(large), [_name(k) for k in large]
     bins = _large_bins(rows, spec, n)
-    spread = rows.repartition(max(rows.sparkSession.sparkContext.defaultParallelism, rows.rdd.getNumPartitions()))
+    # Sorted by model, so that pieces are full.
+    spread = rows.repartition(max(rows.sparkSession.sparkContext.defaultParallelism, rows.rdd.getNumPartitions())).sortWithinPartitions("__model")
     pieces = checkpoint(spread.mapInArrow(_packed(spec, bins), PACKED), batch_rows=PIECE)
     if spec.squared:
         sums = _sums_pass(spec, pieces)
@@ -557,8 +584,21 @@ def _fit_large(rows: DataFrame, spec: Spec, keys: list[str], large: list[tuple],
     else:
         found = _median_pass(spec, pieces, -1, None, None)
         base = [found.get((m, 0), 0) / spec.scale for m in range(n)]
+    cells = _cells_pass(spec, pieces, n)
+    made = _grown_by_level(spec, pieces, names, base) if cells is None else _grown_by_cells(spec, pieces, names, base, cells)
+    parts = []
+    for m, k in enumerate(large):
+        rows_of = node_rows(spec, bins[m], base[m], made[m])
+        size = len(rows_of["tree"])
+        parts.append(pa.table([pa.array([v] * size, schema.field(c).type) for c, v in zip(keys, k)] + [pa.array(rows_of[c], schema.field(c).type) for c in rows_of], schema=schema))
+    return rows.sparkSession.createDataFrame(pa.concat_tables(parts))
+
+
+def _grown_by_level(spec: Spec, pieces: DataFrame, names: list[str], base: list[float]) -> list[list[Tree]]:
+    """The trees of each model, level by level over all rows."""
+    n = len(names)
     pending: list[list[Tree]] = [[_constant(b)] for b in base]
-    spark, made = rows.sparkSession, [[] for _ in range(n)]
+    made: list[list[Tree]] = [[] for _ in range(n)]
     for t in range(spec.rounds):
         growing = [Tree.empty(spec.depth) for _ in range(n)]
         for level in range(spec.depth):
@@ -580,12 +620,150 @@ def _fit_large(rows: DataFrame, spec: Spec, keys: list[str], large: list[tuple],
         if len(pending[0]) > REFRESH:
             pieces = checkpoint(pieces.mapInArrow(_written(spec, pending), PACKED), batch_rows=16)
             pending = [[] for _ in range(n)]
-    parts = []
-    for m, k in enumerate(large):
-        rows_of = node_rows(spec, bins[m], base[m], made[m])
-        size = len(rows_of["tree"])
-        parts.append(pa.table([pa.array([v] * size, schema.field(c).type) for c, v in zip(keys, k)] + [pa.array(rows_of[c], schema.field(c).type) for c in rows_of], schema=schema))
-    return spark.createDataFrame(pa.concat_tables(parts))
+    return made
+
+
+# -- models above task_rows whose rows lie in few cells: a job a tree -----------------------------
+def _cells_pass(spec: Spec, pieces: DataFrame, n: int) -> list[np.ndarray] | None:
+    """The cells of each model (columns x cells), or None if a model has more than CELLS or all have 16 times that."""
+
+    def run(batches):
+        for batch in batches:
+            for r in batch.to_pylist():
+                rows = len(r["y"]) // 8
+                own = cells_of(np.frombuffer(r["x"], dtype=np.int16).astype(np.int32).reshape(len(spec.features), rows))[0] if rows else np.zeros((len(spec.features), 0), dtype=np.int32)
+                yield pa.RecordBatch.from_pydict({"model": pa.array(np.full(own.shape[1], r["model"]), pa.int32()), "x": pa.array([c.astype(np.int16).tobytes() for c in own.T], pa.binary())})
+
+    found = checkpoint(pieces.mapInArrow(run, "model int, x binary").distinct(), batch_rows=16)
+    sizes = [r["n"] for r in found.groupBy("model").agg(F.count(F.lit(1)).alias("n")).collect()]
+    if max(sizes, default=0) > CELLS or sum(sizes) > 16 * CELLS:
+        return None
+    held: list[list[bytes]] = [[] for _ in range(n)]
+    for r in found.collect():  # at most 16 CELLS
+        held[r["model"]].append(bytes(r["x"]))
+    return [np.array([np.frombuffer(x, dtype=np.int16) for x in sorted(own)], dtype=np.int32).reshape(len(own), len(spec.features)).T for own in held]
+
+
+def _in_cells(spec: Spec, cells):
+    """Pieces with the cell of each row instead of its bins, and whole weights."""
+
+    def run(batches):
+        known: dict[int, dict[bytes, int]] = {}
+        for batch in batches:
+            for r in batch.to_pylist():
+                m = r["model"]
+                if m not in known:
+                    known[m] = {c.astype(np.int16).tobytes(): k for k, c in enumerate(cells.value[m].T)}
+                own, at = cells_of(np.frombuffer(r["x"], dtype=np.int16).astype(np.int32).reshape(len(spec.features), len(r["y"]) // 8))
+                named = np.array([known[m][c.astype(np.int16).tobytes()] for c in own.T], dtype=np.int32)
+                yield pa.RecordBatch.from_pydict({
+                    "model": pa.array([m], pa.int32()), "cell": pa.array([named[at].tobytes()], pa.binary()), "y": pa.array([r["y"]], pa.binary()),
+                    "h": pa.array([whole_weights(np.frombuffer(r["w"])).tobytes()], pa.binary()), "rid": pa.array([r["rid"]], pa.binary()),
+                })
+
+    return run
+
+
+def _seen(spec: Spec, batches: Iterator[pa.RecordBatch], tree_no: int):
+    """(model, cells, labels, whole weights) of the rows that a tree sees, piece by piece."""
+    for batch in batches:
+        for r in batch.to_pylist():
+            rows = np.flatnonzero(taken(spec, np.frombuffer(r["rid"], dtype=np.int64), tree_no))
+            yield r["model"], np.frombuffer(r["cell"], dtype=np.int32)[rows], np.frombuffer(r["y"])[rows], np.frombuffer(r["h"], dtype=np.int64)[rows]
+
+
+def _tree_pass(spec: Spec, pieces: DataFrame, names: list[str], tree_no: int, cells, preds: list[np.ndarray]) -> list[Tree]:
+    """The next tree of each model: tasks send the sums of their cells, a model's are added up in one task and its tree grown there."""
+
+    def run(batches):
+        held: dict[int, np.ndarray] = {}
+        for m, cell, y, h in _seen(spec, batches, tree_no):
+            size = len(preds[m])
+            found, g, weight = sums_by(cell, size, gradients(spec, y, preds[m][cell], h), h)
+            total = held.setdefault(m, np.zeros((3, size), dtype=np.int64))
+            total[0, found] += g
+            total[1, found] += weight
+            total[2, found] = 1
+        for m, total in held.items():
+            yield pa.RecordBatch.from_pydict({"model": pa.array([m], pa.int32()), "sums": pa.array([total.tobytes()], pa.binary())})
+
+    def added(key, t):
+        m = key[0].as_py()
+        total = sum(np.frombuffer(b, dtype=np.int64).reshape(3, -1) for b in t.column("sums").to_pylist())
+        found = np.flatnonzero(total[2])
+        tree = grow_cells(spec, names[m], tree_no, cells.value[m], found, total[0, found], total[1, found])[0]
+        kept = np.flatnonzero((tree.feature >= 0) | (tree.value != 0))
+        return pa.table({"model": pa.array(np.full(len(kept), m), pa.int32()), "node": pa.array(kept, pa.int32()), "feature": pa.array(tree.feature[kept], pa.int32()), "bin": pa.array(tree.bin[kept], pa.int32()), "gain": pa.array(tree.gain[kept]), "value": pa.array(tree.value[kept])})
+
+    grown = [Tree.empty(spec.depth) for _ in names]
+    told = pieces.mapInArrow(run, "model int, sums binary").groupBy("model").applyInArrow(added, "model int, node int, feature int, bin int, gain double, value double")
+    for r in told.collect():  # the trees
+        tree, k = grown[r["model"]], r["node"]
+        tree.feature[k], tree.bin[k], tree.gain[k], tree.value[k] = r["feature"], r["bin"], r["gain"], r["value"]
+    return grown
+
+
+def _leaf_medians(spec: Spec, pieces: DataFrame, tree_no: int, leaves: list[np.ndarray], preds: list[np.ndarray]) -> dict[tuple[int, int], int]:
+    """(model, leaf) -> weighted median of the whole residuals: first the step of 2^STEP that it lies in, then its place there."""
+    at: dict[tuple[int, int], tuple[int, int, int]] = {}
+    for last in (False, True):
+        def run(batches, last=last, at=dict(at)):
+            steps = [np.full(int(own.max(initial=0)) + 1, 1 << 62, dtype=np.int64) for own in leaves]
+            for (m, k), (step, _, _) in at.items():
+                steps[m][k] = step
+            for m, cell, y, h in _seen(spec, batches, tree_no):
+                node, r = leaves[m][cell], whole_residuals(spec, y, preds[m][cell])
+                digit = r >> STEP
+                if last:
+                    use = digit == steps[m][node]
+                    node, digit, h = node[use], r[use] & ((1 << STEP) - 1), h[use]
+                if not len(digit):
+                    continue
+                least = int(digit.min())
+                wide = int(digit.max()) - least + 1
+                found, hs, _ = sums_by(node * wide + digit - least, (int(node.max()) + 1) * wide, h, h)
+                yield pa.RecordBatch.from_pydict({"model": pa.array(np.full(len(found), m), pa.int32()), "node": pa.array(found // wide, pa.int32()), "digit": pa.array(found % wide + least, pa.int64()), "h": pa.array(hs, pa.int64())})
+
+        digits = pieces.mapInArrow(run, "model int, node int, digit bigint, h bigint").groupBy("model", "node", "digit").agg(F.sum("h").alias("h"))
+        own = Window.partitionBy("model", "node")
+        upto = digits.withColumn("upto", F.sum("h").over(own.orderBy("digit").rowsBetween(Window.unboundedPreceding, 0))).withColumn("all", F.sum("h").over(own))  # at most 2^STEP digits a leaf
+        if last:
+            known = pieces.sparkSession.createDataFrame([(m, k, total, below) for (m, k), (_, below, total) in at.items()], "model int, node int, total bigint, below bigint")
+            hits = upto.join(F.broadcast(known), ["model", "node"]).where(2 * (F.col("below") + F.col("upto")) >= F.col("total"))
+        else:
+            hits = upto.where(2 * F.col("upto") >= F.col("all"))
+        first = hits.groupBy("model", "node").agg(F.min(F.struct("digit", (F.col("upto") - F.col("h")).alias("before"), "all")).alias("s")).select("model", "node", "s.*").collect()
+        if last:
+            return {(r["model"], r["node"]): (at[r["model"], r["node"]][0] << STEP) + r["digit"] for r in first}
+        at = {(r["model"], r["node"]): (r["digit"], r["before"], r["all"]) for r in first if r["all"]}
+        if not at:
+            break
+    return {}
+
+
+def _grown_by_cells(spec: Spec, packed: DataFrame, names: list[str], base: list[float], cells: list[np.ndarray]) -> list[list[Tree]]:
+    """The trees of each model: rows of one cell have one prediction, so a tree takes one pass, and leaves of absolute errors two more."""
+    spark = packed.sparkSession
+    sent = spark.sparkContext.broadcast(cells)
+    pieces = checkpoint(packed.mapInArrow(_in_cells(spec, sent), "model int, cell binary, y binary, h binary, rid binary"), batch_rows=16)
+    preds = [np.full(own.shape[1], b) for own, b in zip(cells, base)]
+    made: list[list[Tree]] = [[] for _ in names]
+    before = spark.conf.get(BATCH_ROWS)
+    spark.conf.set(BATCH_ROWS, "16")
+    try:
+        for t in range(spec.rounds):
+            grown = _tree_pass(spec, pieces, names, t, sent, preds)
+            leaves = [tree.walk(own, len(spec.numeric)) for tree, own in zip(grown, cells)]
+            if not spec.squared:
+                for (m, k), v in _leaf_medians(spec, pieces, t, leaves, preds).items():
+                    grown[m].value[k] = spec.rate * (v / spec.scale)
+            for m, tree in enumerate(grown):
+                preds[m] = preds[m] + tree.value[leaves[m]]
+                made[m].append(tree)
+    finally:
+        spark.conf.set(BATCH_ROWS, before)
+        sent.unpersist()
+    return made
 
 
 def _constant(value: float) -> Tree:

@@ -145,3 +145,18 @@ def test_absolute_errors_follow_the_median(spark):
     median = models.rolling_boosted(j, g, objective="absolute", **options).agg(F.avg("y_pred")).first()[0]
     mean = models.rolling_boosted(j, g, **options).agg(F.avg("y_pred")).first()[0]
     assert median == pytest.approx(100.0, abs=1) and mean > 500
+
+
+@pytest.mark.parametrize("squared", [True, False])
+def test_large_models_by_cells_and_by_level(spark, monkeypatch, squared):
+    """Few cells: a pass a tree, no pass a level; the same trees as in memory and as level by level."""
+    df = spark.range(400).select((F.col("id") % 2).cast("int").alias("model"), (F.col("id") * 37 % 11 * 1.0).alias("a"), F.concat(F.lit("c"), (F.col("id") % 5).cast("string")).alias("c"), (F.col("id") * 7919 % 211 * 1.5).alias("label"), (1.0 / (1 + F.col("id") % 3)).alias("weight"), F.col("id").alias("rid"))
+    spec = boosting.Spec(rounds=4, depth=3, squared=squared, numeric=("a",), categorical=("c",))
+    told = lambda d: sorted(map(repr, d.collect()))
+    levels = []
+    level_pass = boosting._level_pass
+    monkeypatch.setattr(boosting, "_level_pass", lambda *a: levels.append(1) or level_pass(*a))
+    small = told(boosting.fit(df, spec, keys=["model"]))
+    assert told(boosting.fit(df, spec, keys=["model"], task_rows=100)) == small and not levels
+    monkeypatch.setattr(boosting, "CELLS", 3)
+    assert told(boosting.fit(df, spec, keys=["model"], task_rows=100)) == small and levels
