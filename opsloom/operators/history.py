@@ -149,12 +149,12 @@ def _nearest_before(t: pa.Table, first: int, keys: list[str], features: list[str
     return np.concatenate(size), pa.array(np.concatenate(out), pa.float64(), mask=~np.concatenate(known))
 
 
-def wallclock_edges(rows: DataFrame, group: str, value: str, *, bins: int = 5, least_share: float = 0.02) -> DataFrame:
+def wallclock_edges(rows: DataFrame, group: str, value: str, *, bins: int = 5, least_share: float = 0.02, weight: Column | None = None) -> DataFrame:
     """group, edges: the most requested values, if two have the share, else quantiles; the last edge is infinite.
 
     Quantiles come from the counts of the different values of a group, of which requested times have few.
     """
-    counts = rows.where(F.col(value) > 0).groupBy(group, value).agg(F.count(F.lit(1)).alias("n"))
+    counts = rows.where(F.col(value) > 0).groupBy(group, value).agg((F.count(F.lit(1)) if weight is None else F.sum(weight)).alias("n"))
     ranked = counts.withColumn("r", F.row_number().over(Window.partitionBy(group).orderBy(F.desc("n"), value))).withColumn("total", F.sum("n").over(Window.partitionBy(group)))
     modes = ranked.where((F.col("r") < bins) & (F.col("n") >= least_share * F.col("total"))).groupBy(group).agg(F.sort_array(F.collect_list(F.col(value).cast("double"))).alias("modes"))
     cuts = F.array(*(F.lit((i + 1) / bins) for i in range(bins - 1)))
@@ -169,13 +169,13 @@ def bin_of(value: Column, edges: Column) -> Column:
     return F.when(value > 0, F.coalesce(F.when(at >= 0, at), F.size(edges) - 1)).otherwise(-1)
 
 
-def power_users(rows: DataFrame, group: str, user: str, quantile: float = 0.99) -> DataFrame:
+def power_users(rows: DataFrame, group: str, user: str, quantile: float = 0.99, *, weight: Column | None = None) -> DataFrame:
     """group, user, n: the users whose number of jobs reaches the quantile of their group.
 
     The quantile's buffer holds different numbers of jobs, of which n jobs give at most sqrt(2 n).
     """
     named = rows.where(F.col(user).isNotNull() & (F.col(user).cast("string") != ""))
-    counts = named.groupBy(group, user).agg(F.count(F.lit(1)).alias("n"))
+    counts = named.groupBy(group, user).agg((F.count(F.lit(1)) if weight is None else F.sum(weight)).alias("n"))
     cut = counts.groupBy(group).agg(F.percentile("n", F.lit(quantile)).alias("cut"))
     return counts.join(cut, group).where(F.col("n") >= F.col("cut")).select(group, user, "n")
 
@@ -201,9 +201,25 @@ def routed_means(train: DataFrame, test: DataFrame, *, group: str, user: str, va
 
     Routes come from training rows only; experts below least rows don't exist.
     """
-    whole = train.groupBy(group).agg((F.sum(F.col(target).cast("decimal(28,6)")).cast("double") / F.count(target)).alias("__all"))
-    train, test = placed(train, test, group=group, user=user, value=value)
-    sums = [F.count(F.lit(1)).alias("n_expert"), (F.sum(F.col(target).cast("decimal(28,6)")).cast("double") / F.count(target)).alias("__mean")]
-    experts = train.groupBy(group, "__key", "__bin").agg(*sums).where(F.col("n_expert") >= least)
-    joined = test.join(experts, [group, "__key", "__bin"], "left").join(F.broadcast(whole), group)
-    return joined.withColumn("route", F.when(F.col("__mean").isNotNull(), "expert").otherwise("fallback")).withColumn("y_pred", F.coalesce("__mean", "__all")).drop("__mean", "__all", "n_expert")
+    # Everything that is learned comes from the sums of (group, user, value), so training rows are added up where they are read.
+    parts = train.groupBy(group, F.col(user).alias("__user"), F.col(value).alias("__value")).agg(F.count(F.lit(1)).alias("__n"), F.count(target).alias("__known"), F.sum(F.col(target).cast("decimal(28,6)")).alias("__sum"))
+    parts = checkpoint(parts)
+    mean = F.sum("__sum").cast("double") / F.sum("__known")
+    edges = checkpoint(wallclock_edges(parts, group, "__value", weight=F.col("__n")))
+    users = checkpoint(power_users(parts, group, "__user", weight=F.col("__n")).select(group, "__user", F.lit(True).alias("__power")))
+    whole = parts.groupBy(group).agg(mean.alias("__all"))
+    routed = parts.join(users, [group, "__user"], "left").join(F.broadcast(edges), group, "left")  # a row a group
+    routed = routed.withColumn("__bin", bin_of(F.col("__value"), F.col("edges"))).withColumn("__own", F.when(F.col("__power"), F.col("__user")))
+    experts = checkpoint(routed.groupBy(group, "__own", "__bin").agg(F.sum("__n").alias("__n"), mean.alias("__mean")).where(F.col("__n") >= least))
+    by_bin = lambda name: F.map_from_entries(F.collect_list(F.struct("__bin", F.struct("__mean")))).alias(name)
+    # A row a group for the pooled experts, a row a power user for the others: no key of the join is shared by more rows than a user has.
+    pooled = experts.where("__own is null").groupBy(group).agg(by_bin("__pooled"))
+    own = users.join(experts.where("__own is not null").groupBy(group, F.col("__own").alias("__user")).agg(by_bin("__experts")), [group, "__user"], "left")
+    own = checkpoint(own.select(F.col(group).alias("__g"), F.col("__user").alias("__u"), "__power", "__experts"))
+    joined = test.join(own, (F.col(group) == F.col("__g")) & (F.col(user) == F.col("__u")), "left")
+    joined = joined.join(F.broadcast(edges), group, "left").join(F.broadcast(pooled), group, "left").join(F.broadcast(whole), group)
+    found = F.get(F.filter(F.map_entries(F.when(F.col("__power"), F.col("__experts")).otherwise(F.col("__pooled"))), lambda e: e["key"] == F.col("__at")), F.lit(0))
+    joined = joined.withColumn("__at", bin_of(F.col(value), F.col("edges"))).withColumn("__mean", found["value"]["__mean"])
+    key = F.when(F.col("__power"), F.col(user).cast("string")).otherwise("*")
+    out = joined.withColumn("route", F.when(F.col("__mean").isNotNull(), "expert").otherwise("fallback")).withColumn("y_pred", F.coalesce("__mean", "__all")).withColumn("__key", key).withColumn("__bin", F.col("__at"))
+    return out.drop("__mean", "__all", "__g", "__u", "__power", "__experts", "__pooled", "__at", "edges")

@@ -244,3 +244,23 @@ def test_own_history_goes_batch_by_batch(spark):
         near = sorted(context, key=lambda c: (place(c[2]) - place(name)) ** 2 + ((c[3] or 0) - (x or 0)) ** 2)[:3]
         whole = len(near) == 3 and all(c[4] is not None for c in near)
         assert got[i] == (len(context), sum(c[4] for c in near) / 3 if whole else None)
+
+
+def test_routed_means_add_up_before_they_join(spark, monkeypatch):
+    """Routes and means as from the rows one by one, with null users, values and targets; training rows are never joined."""
+    u = F.when(F.col("id") % 13 != 0, F.when(F.col("id") % 3 == 0, F.lit("big")).otherwise(F.concat(F.lit("u"), (F.col("id") % 40).cast("string"))))
+    v = F.when(F.col("id") % 17 != 0, F.element_at(F.array(*map(F.lit, (60, 600, 3600, 0))), (F.col("id") % 4 + 1).cast("int")))
+    rows = spark.range(900).select("id", (F.col("id") % 2).cast("int").alias("g"), u.alias("user"), v.alias("v"), F.when(F.col("id") % 11 != 0, F.col("id") * 1.25).alias("y"))
+    train, test = rows.where("id < 700"), rows.where("id >= 700")
+    a, b = history.placed(train, test, group="g", user="user", value="v")
+    a, b = a.toPandas(), b.toPandas()
+    mean = a.groupby(["g", "__key", "__bin"])["y"].agg(["size", "mean"])
+    mean = mean[mean["size"] >= 20]["mean"].to_dict()
+    want = {r["id"]: mean.get((r["g"], r["__key"], r["__bin"])) for _, r in b.iterrows()}
+    whole = a.groupby("g")["y"].mean()
+    monkeypatch.setattr(history, "placed", lambda *a, **k: pytest.fail("rows are joined"))
+    got = history.routed_means(train, test, group="g", user="user", value="v", target="y", least=20).collect()
+    assert len(got) == 200 and {r.route for r in got} == {"expert", "fallback"}
+    for r in got:
+        assert r.route == ("fallback" if want[r.id] is None else "expert")
+        assert r.y_pred == pytest.approx(whole[r.g] if want[r.id] is None else want[r.id])
