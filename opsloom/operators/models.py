@@ -1,8 +1,8 @@
 """Regressors fitted in each evaluation window.
 
 Training and test rows of a window meet under its number.  Windows are independent, so several are
-fitted at once: trees by Spark ML over the distributed rows of one window, from a few threads of the
-driver that only start jobs; small models by a group map with the training rows bounded by
+fitted at once: forests of few cells for all windows by one pass (see forest), other trees by Spark ML over the
+distributed rows of one window, from a few threads of the driver that only start jobs; small models by a group map with the training rows bounded by
 ``max_rows`` (a documented sample by hash beyond it).
 
 Categories are prepared once a day, by the first window of the day that has training rows: values
@@ -27,7 +27,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ..functions.transforms import finite, log_target, unlog_target
 from ..scratch import checkpoint
-from . import boosting, history
+from . import boosting, forest, history
 from .quality import categories, category_profile, one_hot_width
 from .windows import MICROS, Grid, micros, split_plan, test_rows, train_range, train_rows
 
@@ -246,12 +246,16 @@ def window_statuses(jobs: DataFrame, g: Grid, extra: tuple[str, ...] = ()) -> Da
     return plan.withColumn("status", status.otherwise("ok" if numeric + categorical else "no_features_after_preprocessing"))
 
 
-def _rolling(jobs: DataFrame, g: Grid, score: Callable, *, windows: list[int] | None, extra: tuple[str, ...], log: bool, decay: float, variance: float | None, most: int, parallel: int) -> DataFrame:
-    """The rows that score(train, test, window) gives in each window; both have features, label and weight."""
+def _rolling(jobs: DataFrame, g: Grid, score: Callable, *, windows: list[int] | None, extra: tuple[str, ...], log: bool, decay: float, variance: float | None, most: int, parallel: int, cells: forest.Options | None = None) -> DataFrame:
+    """The rows that score(train, test, window) gives in each window; both have features, label and weight.
+
+    cells: a forest in place of score, where the features are few enough.
+    """
     numeric, categorical, _ = feature_columns(jobs, extra)
     known = checkpoint(prepared(jobs.where(finite(F.col("runtime_seconds")).isNotNull()), numeric, categorical))
     plan = [r for r in window_statuses(known, g, extra).orderBy("window_id").collect() if windows is None or r.window_id in windows]
     lo, hi = train_range(g, F.col("end_time"))
+    label = log_target(F.col("runtime_seconds")) if log else F.col("runtime_seconds").cast("double")
 
     def train_of(w: int) -> DataFrame:
         return known.where((lo <= w) & (hi >= w))
@@ -264,7 +268,7 @@ def _rolling(jobs: DataFrame, g: Grid, score: Callable, *, windows: list[int] |
     def one(w: int, e: Encoding) -> DataFrame:
         start = F.lit(g.start + w * g.step)
         age = F.greatest(F.lit(0.0), (start - micros(F.col("end_time"))) / (86400.0 * MICROS))
-        cols = {"label": log_target(F.col("runtime_seconds")) if log else F.col("runtime_seconds").cast("double"), "weight": F.exp(-decay * age)}
+        cols = {"label": label, "weight": F.exp(-decay * age)}
         train = e.features(train_of(w).withColumns(cols)).persist()
         try:
             test = e.features(test_rows(known, g).where(F.col("window_id") == w))
@@ -277,6 +281,8 @@ def _rolling(jobs: DataFrame, g: Grid, score: Callable, *, windows: list[int] |
         raise ValueError("no window has enough rows")
     with ThreadPoolExecutor(parallel) as pool:
         made = dict(pool.map(lambda d: (d[0], encode(train_of(d[1]), numeric, categorical, most=most, variance=variance)), days.items()))
+        if cells is not None and (found := _cells(known, numeric + categorical)) is not None:
+            return _forest_rows(known, g, found, numeric + categorical, label, {r.window_id: made[r.day] for r in todo}, cells)
         scored = list(pool.map(lambda r: one(r.window_id, made[r.day]), todo))
     out = scored[0]
     for x in scored[1:]:
@@ -284,6 +290,25 @@ def _rolling(jobs: DataFrame, g: Grid, score: Callable, *, windows: list[int] |
     return out
 
 
+def _cells(known: DataFrame, features: list[str]) -> DataFrame | None:
+    """cell and the features of each different row; None if there are more than forest.CELLS."""
+    rows = known.select(*features).distinct().limit(forest.CELLS + 1).collect()
+    if len(rows) > forest.CELLS:
+        return None
+    kinds = dict(known.dtypes)
+    rows = sorted(rows, key=lambda r: [(v is not None, v) for v in r])
+    return known.sparkSession.createDataFrame([(k, *r) for k, r in enumerate(rows)], "cell int, " + ", ".join(f"`{c}` {kinds[c]}" for c in features))
+
+
+def _forest_rows(known: DataFrame, g: Grid, cells: DataFrame, features: list[str], label: Column, encodings: dict[int, Encoding], options: forest.Options) -> DataFrame:
+    """Test rows of the windows with the prediction of each window's forest."""
+    lo, hi = train_range(g, F.col("end_time"))
+    train = known.join(F.broadcast(cells), features).select(lo.cast("int").alias("lo"), hi.cast("int").alias("hi"), "cell", F.xxhash64(F.col("job_id").cast("string")).alias("rid"), label.alias("label")).where("lo <= hi")  # at most CELLS
+    test = test_rows(known, g).where(F.col("window_id").isin(list(encodings))).join(F.broadcast(cells), features).withColumn("window_id", F.col("window_id").cast("int"))
+    predicted = forest.predictions(train, test.select("window_id", "cell").distinct(), cells, encodings, options)
+    return test.join(F.broadcast(predicted), ["window_id", "cell"])  # at most CELLS a window
+
+
 def _told(scored: DataFrame, log: bool) -> DataFrame:
     p = F.col("prediction")
     return scored.withColumn("y_true", F.col("runtime_seconds")).withColumn("y_pred", unlog_target(p) if log else p)
@@ -296,7 +321,8 @@ def rolling_trees(
 
     decay: rows that ended d days before their window weigh exp(-decay * d); variance: see encode();
     parallel: windows that are fitted at once; save: a folder for the fitted model of each window.
-    Boosted trees over the columns themselves (no variance) are fitted by rolling_boosted().
+    Boosted trees over the columns themselves (no variance) are fitted by rolling_boosted().  Forests of unweighted rows that
+    aren't saved grow from sums over cells, if there are at most forest.CELLS of them.
     """
     if kind == "gbt" and variance is None:
         return rolling_boosted(jobs, g, windows=windows, log=log, decay=decay, most=most, extra=extra, save=save, **params)
@@ -307,7 +333,11 @@ def rolling_trees(
             model.write().overwrite().save(f"{save}/window-{w:05}")
         return _told(model.transform(test), log).select("window_id", "job_id", "y_true", "y_pred")
 
-    return _rolling(jobs, g, score, windows=windows, extra=extra, log=log, decay=decay, variance=variance, most=most, parallel=parallel)
+    cells = None
+    if kind == "forest" and variance is None and not decay and not save and set(params) <= set(forest.Options.__dataclass_fields__):
+        cells = forest.Options(**params)
+    out = _rolling(jobs, g, score, windows=windows, extra=extra, log=log, decay=decay, variance=variance, most=most, parallel=parallel, cells=cells)
+    return out if "y_pred" in out.columns else _told(out, log).select("window_id", "job_id", "y_true", "y_pred")
 
 
 #: Options of fitted trees under the names that recipes use -> those of boosting.Spec.
