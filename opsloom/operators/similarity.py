@@ -8,6 +8,7 @@ from collections.abc import Callable, Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame, Window, functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
@@ -79,6 +80,8 @@ def _nearest(test: DataFrame, train: DataFrame, group: str, k: int, similar: Cal
 PIVOTS = 48
 #: Blocks whose bounds are compared at once, and training blocks that each test block meets first.
 CHUNK, FIRST = 512, 2
+#: Bytes of single-precision vectors in a pack of blocks; a task holds two packs.
+PACK = 4 << 20
 #: Bounds are wider than the rounding of angles and similarities.
 SLACK = 1e-6
 
@@ -89,7 +92,12 @@ def _unit(m: np.ndarray) -> np.ndarray:
 
 
 def _matrix(v: pa.Array, n: int) -> np.ndarray:
-    return v.flatten().to_numpy(zero_copy_only=False).reshape(n, -1)
+    return v.flatten().to_numpy(zero_copy_only=False).astype(float, copy=False).reshape(n, -1)
+
+
+def _vectors(df: DataFrame, column: str) -> Column:
+    """Vectors in the precision that they have, as they take less room; tasks calculate in double."""
+    return F.col(column).cast("array<float>" if dict(df.dtypes).get(column) == "array<float>" else "array<double>").alias("v")
 
 
 def _pivots(rows: DataFrame) -> np.ndarray:
@@ -199,11 +207,65 @@ def _further_blocks(left: pa.StructArray, right: pa.StructArray):
     return np.nonzero(touch & (np.cos(np.maximum(apart - SLACK, 0)) >= least - SLACK))
 
 
-def _multiplied(pairs: DataFrame, a: DataFrame, b: DataFrame, schema: StructType, k: int) -> DataFrame:
-    """The k best of each query among the rows of the pairs of blocks."""
-    left, right = a.select("g", F.col("block").alias("a"), F.col("rows").alias("rows_a")), b.select("g", F.col("block").alias("b"), F.col("rows").alias("rows_b"))
-    joined = pairs.select("g", "a", "b").join(left, ["g", "a"]).join(right, ["g", "b"]).select("g", "rows_a", "rows_b", "a")
-    return checkpoint(joined.mapInArrow(_best(_cosines_in_windows, schema, k, -2.0), schema), batch_rows=16)
+def _best_of_packs(similar: Callable[[pa.StructArray, pa.StructArray], np.ndarray], schema: StructType, k: int, least: float):
+    """A function of batches of g, the pairs of blocks and the blocks of two packs; it leaves the k best of each query, similarities of least or more."""
+    arrow = to_arrow_schema(schema)
+
+    def unpacked(blocks: pa.StructArray) -> tuple[pa.StructArray, dict[int, tuple[int, int]]]:
+        """(the rows of all blocks, block -> its first row and number of rows)."""
+        sizes = blocks.field("rows").value_lengths().to_pylist()
+        firsts = np.cumsum([0, *sizes]).tolist()
+        return blocks.field("rows").flatten(), {b: (f, n) for b, f, n in zip(blocks.field("block").to_pylist(), firsts, sizes)}
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for r in range(batch.num_rows):
+                pairs, lefts, rights = (batch.column(c).slice(r, 1).flatten() for c in (1, 2, 3))
+                (left, in_left), (right, in_right) = unpacked(lefts), unpacked(rights)
+                by_id = np.empty(len(right), dtype=np.int64)
+                by_id[pc.sort_indices(right.field("id")).to_numpy()] = np.arange(len(right))
+                todo: dict[int, list[int]] = {}
+                for a, b in zip(pairs.field("a").to_pylist(), pairs.field("b").to_pylist()):
+                    todo.setdefault(a, []).append(b)
+                for a, others in todo.items():
+                    first, n = in_left[a]
+                    own, cut = left.slice(first, n), np.full(n, least)
+                    q, at, best = np.zeros(0, dtype=np.int64), np.zeros(0, dtype=np.int64), np.zeros(0)
+                    for b in others:
+                        start, m = in_right[b]
+                        sims = np.round(similar(own, right.slice(start, m)), 9)
+                        # What is below the k-th best of the block, or of those before, is not among the k best.
+                        floor = np.maximum(cut, np.partition(sims, m - k, axis=1)[:, m - k]) if m > k else cut
+                        i, j = np.nonzero(sims >= floor[:, None])
+                        q, at, best = np.r_[q, i], np.r_[at, start + j], np.r_[best, sims[i, j]]
+                        order = np.lexsort((by_id[at], -best, q))
+                        place = np.arange(len(order)) - np.searchsorted(q[order], q[order], side="left")
+                        order, place = order[place < k], place[place < k]
+                        q, at, best = q[order], at[order], best[order]
+                        full = place == k - 1
+                        cut[q[full]] = best[full]
+                    ids = left.field("id").take(pa.array(first + q)), right.field("id").take(pa.array(at))
+                    values = [pa.array(batch.column(0).slice(r, 1).to_pylist() * len(q), arrow.field(0).type), *ids, pa.array(best), right.field("y").take(pa.array(at))]
+                    yield pa.RecordBatch.from_arrays([v.cast(f.type) for v, f in zip(values, arrow)], schema=arrow)
+
+    return run
+
+
+def _multiplied(pairs: DataFrame, a: DataFrame, b: DataFrame, schema: StructType, k: int, width: int = 1) -> DataFrame:
+    """The k best of each query among the rows of the pairs of blocks, width: the length of vectors.
+
+    Blocks of neighbouring rows are a pack of about PACK bytes.  A block is copied once for each pack that it has to meet, not for
+    each block, and a pair of packs leaves k candidates a query.
+    """
+    rows = max(BLOCK, PACK // (4 * max(1, width)))
+    pack = {side: F.floor(F.col(side) / (2 * rows)).cast("bigint") for side in ("a", "b")}
+    named = pairs.select("g", "a", "b", pack["a"].alias("pa"), pack["b"].alias("pb"))
+    keys = ["g", "pa", "pb"]
+    out = named.groupBy(*keys).agg(F.sort_array(F.collect_list(F.struct("a", "b"))).alias("pairs"))
+    for side, blocks in (("a", a), ("b", b)):
+        met = named.select(*keys, F.col(side).alias("block")).distinct().join(blocks, ["g", "block"])
+        out = out.join(met.groupBy(*keys).agg(F.collect_list(F.struct("block", "rows")).alias(f"of_{side}")), keys)
+    return checkpoint(out.select("g", "pairs", "of_a", "of_b").mapInArrow(_best_of_packs(_cosines_in_windows, schema, k, -2.0), schema), batch_rows=1)
 
 
 def _nearest_in_windows(test: DataFrame, train: DataFrame, order_test: list[str], order_train: list[str], k: int) -> DataFrame:
@@ -222,7 +284,7 @@ def _nearest_in_windows(test: DataFrame, train: DataFrame, order_test: list[str]
     near = _meetings(bounds_a, bounds_b, _first_blocks, ", apart double, middle double")
     place = F.row_number().over(Window.partitionBy("g", "a").orderBy("apart", "middle", "b"))
     first = checkpoint(near.withColumn("r", place).where(F.col("r") <= FIRST).select("g", "a", "b"))
-    found = _multiplied(first, a, b, schema, k)
+    found = _multiplied(first, a, b, schema, k, pivots.shape[1])
     # The k-th best of each query; of a block the least of them, and nothing if a row has fewer than k.
     ranked = found.withColumn("r", F.row_number().over(Window.partitionBy("g", "query").orderBy(F.desc("similarity"), "neighbour"))).where(F.col("r") == k)
     members = a.select("g", "block", F.explode("rows.id").alias("query"))
@@ -230,7 +292,7 @@ def _nearest_in_windows(test: DataFrame, train: DataFrame, order_test: list[str]
     told = bounds_a.select("g", "chunk", F.explode("bounds").alias("s")).select("g", "chunk", "s.*").join(checkpoint(least), ["g", "block"])
     told = checkpoint(told.groupBy("g", "chunk").agg(F.sort_array(F.collect_list(F.struct("block", "near", "far", "from", "to", "least"))).alias("bounds")))
     further = checkpoint(_meetings(told, bounds_b, _further_blocks).join(first, ["g", "a", "b"], "left_anti"))
-    every = found.unionByName(_multiplied(further, a, b, schema, k))
+    every = found.unionByName(_multiplied(further, a, b, schema, k, pivots.shape[1]))
     rank = F.row_number().over(Window.partitionBy("g", "query").orderBy(F.desc("similarity"), "neighbour"))
     return every.withColumn("rank", rank).where(F.col("rank") <= k)
 
@@ -238,12 +300,12 @@ def _nearest_in_windows(test: DataFrame, train: DataFrame, order_test: list[str]
 def dense_neighbours(test: DataFrame, train: DataFrame, *, key: str, vector: str, value: str, group: str, k: int = 5) -> DataFrame:
     """group, query, neighbour, similarity, value, rank: the k nearest training rows of each test row by cosine.
 
-    Test and training rows of a group meet block by block; each pair of blocks is one matrix product
-    that leaves k candidates a query, so no group is gathered in one task and pairs are never rows.
+    Test and training rows of a group meet block by block, each pair of blocks as one matrix product; packs of
+    blocks leave k candidates a query, so no group is gathered in one task and pairs are never rows.
     Blocks that provably hold no nearer row than those found are left out.  Zero vectors have similarity 0.  Ties go by id.
     """
-    fields = [F.col(group).alias("g"), F.col(key).alias("id"), F.col(vector).cast("array<double>").alias("v"), F.lit(0).alias("lo"), F.lit(0).alias("hi")]
-    out = _nearest_in_windows(test.select(*fields), train.select(*fields, F.col(value).cast("double").alias("y")), ["g"], ["g"], k)
+    fields = lambda df: [F.col(group).alias("g"), F.col(key).alias("id"), _vectors(df, vector), F.lit(0).alias("lo"), F.lit(0).alias("hi")]
+    out = _nearest_in_windows(test.select(*fields(test)), train.select(*fields(train), F.col(value).cast("double").alias("y")), ["g"], ["g"], k)
     return out.withColumnRenamed("g", group)
 
 
@@ -261,9 +323,9 @@ def windowed_neighbours(test: DataFrame, train: DataFrame, *, key: str, vector:
     A training row says which windows it trains, from lo to hi.  Rows are put into blocks in the order
     of their windows; only blocks whose windows touch meet, and inside the product each pair is checked.
     """
-    v = [F.lit(0).alias("g"), F.col(key).alias("id"), F.col(vector).cast("array<double>").alias("v")]
-    asked = test.select(*v, F.col(window).cast("int").alias("lo"), F.col(window).cast("int").alias("hi"))
-    known = train.select(*v, lo.cast("int").alias("lo"), hi.cast("int").alias("hi"), F.col(value).cast("double").alias("y")).where("lo <= hi")
+    v = lambda df: [F.lit(0).alias("g"), F.col(key).alias("id"), _vectors(df, vector)]
+    asked = test.select(*v(test), F.col(window).cast("int").alias("lo"), F.col(window).cast("int").alias("hi"))
+    known = train.select(*v(train), lo.cast("int").alias("lo"), hi.cast("int").alias("hi"), F.col(value).cast("double").alias("y")).where("lo <= hi")
     best = _nearest_in_windows(asked, known, ["lo"], ["lo", "hi"], k).drop("g")
     return best.join(test.select(F.col(key).alias("query"), F.col(window)), "query").select(window, "query", "neighbour", "similarity", "value", "rank")
 

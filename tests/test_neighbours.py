@@ -114,3 +114,27 @@ def test_copies_of_a_text_meet_once(spark, monkeypatch, group):
         sims = [(round(sum(x * b[j].get(t, 0.0) for t, x in a[i].items()), 9), j) for j, hh, *_ in known if not group or gg == hh]
         want = sorted(((-s, j) for s, j in sims if s >= 1e-9))[:4]
         assert got.get(i, []) == [(j, round(-s, 6), float(j)) for s, j in want]
+
+
+def test_blocks_travel_in_packs(spark, monkeypatch):
+    """A pair of packs leaves k candidates a query, whatever the number of blocks; small packs and single precision give the same rows."""
+    monkeypatch.setattr(similarity, "BLOCK", 32)
+    rng = np.random.default_rng(5)
+    train = [(i, v, 0, 0, float(i)) for i, v in enumerate(rng.integers(-2, 3, (600, 8)).astype(float).tolist())]
+    test = [(i, v, 0) for i, v in enumerate(rng.integers(-2, 3, (200, 8)).astype(float).tolist())]
+    left, multiplied = [], similarity._multiplied
+
+    def count_left(*args):
+        out = multiplied(*args)
+        left.append(out.count())
+        return out
+
+    monkeypatch.setattr(similarity, "_multiplied", count_left)
+    a = spark.createDataFrame(test, "q bigint, v array<float>, w int").repartition(3)
+    b = spark.createDataFrame(train, "i bigint, v array<float>, lo int, hi int, y double").repartition(3)
+    options = {"key": "q", "vector": "v", "value": "y", "group": "w", "k": 4}
+    expected = brute(test, train, 4)
+    assert found(similarity.dense_neighbours(a, b.withColumns({"w": F.lit(0), "q": F.col("i")}), **options)) == expected
+    assert all(n <= 4 * 200 for n in left), left  # one pack each
+    monkeypatch.setattr(similarity, "PACK", 4 * 8 * 64)
+    assert found(similarity.dense_neighbours(a, b.withColumns({"w": F.lit(0), "q": F.col("i").cast("string")}), **(options | {"k": 700}))).keys() == expected.keys()
