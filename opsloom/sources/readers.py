@@ -2,15 +2,17 @@
 
 from __future__ import annotations
 
+import re
 import uuid
 from pathlib import Path
+from urllib.parse import unquote
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 from pyspark.sql.types import ArrayType, MapType, StringType, StructType
 
 from ..functions.transforms import ticks
 from ..scratch import shared_dir
-from ..storage import filesystem
+from ..storage import filesystem, is_folder, qualified
 from . import archives
 
 #: The columns of the Standard Workload Format.
@@ -92,12 +94,36 @@ def unify_temporal(df: DataFrame, nanos: tuple[str, ...] = ()) -> DataFrame:
     return df.withColumns(cols) if cols else df
 
 
-def csv(spark: SparkSession, *paths: str, delimiter: str = ",", columns: list[str] | None = None, schema: str | None = None) -> DataFrame:
+def csv(spark: SparkSession, *paths: str, delimiter: str = ",", columns: list[str] | None = None, schema: str | None = None, plain: bool = False) -> DataFrame:
+    """Files with the same header are read together, so jobs and the plan grow with the different headers, not with the files.
+
+    A column has the type that its values in all files of a header fit.  plain: all paths are known to be files, not folders.
+    """
     reader = spark.read.option("header", True).option("sep", delimiter)
-    df = union([(reader.schema(schema) if schema else reader.option("inferSchema", True)).csv(p) for p in paths])
+    reader = reader.schema(schema) if schema else reader.option("inferSchema", True)
+    df = union([reader.csv(some) for some in _alike(spark, paths, plain, by_header=schema is None)])
     return df.select(*(f"`{c}`" for c in columns if c in df.columns)) if columns else df
 
 
+def _alike(spark: SparkSession, paths: tuple[str, ...], plain: bool, by_header: bool) -> list[list[str]]:
+    """The paths, files with the same first line together; folders and what has no line stay by themselves."""
+    files = list(dict.fromkeys(p for p in paths if plain or not is_folder(spark, p))) if len(paths) > 1 else []
+    heads: dict[str, str] = dict.fromkeys(files, "")
+    if by_header and files:
+        at = F.struct(F.monotonically_increasing_id().alias("nr"))
+        lines = spark.read.text(files).where(F.col("value").rlike(r"[^\x00-\x20]") & (F.col("_metadata.file_block_start") == 0))
+        found = lines.select("value", F.col("_metadata.file_path").alias("file"), at.alias("at")).groupBy("file").agg(F.min_by("value", "at").alias("head")).collect()  # a row a file
+        # Spark tells the file's place encoded, and with one slash where there is no host.
+        told = {re.sub("^([^:/]+):/+", r"\1:/", unquote(r.file)): r.head for r in found}
+        place = lambda p: re.sub("^([^:/]+):/+", r"\1:/", p if "://" in p else qualified(spark, p))
+        heads = {p: told[place(p)] for p in files if place(p) in told}
+    groups: dict[tuple, list[str]] = {}
+    for k, p in enumerate(paths):
+        # A file that is named twice is read twice.
+        groups.setdefault((True, heads.pop(p)) if p in heads else (False, k), []).append(p)
+    return list(groups.values())
+
+
 def json(spark: SparkSession, *paths: str, record_path: str | None = None) -> DataFrame:
     """Records below record_path with the scalars of their parents; nested values are dropped.
 
@@ -211,7 +237,7 @@ def decode(spark: SparkSession, kind: str, paths: list[str], *, pattern: str = "
     files = archives.unpack(spark, [shared(spark, p) if "://" not in p else p for p in paths], pattern, suffixes)
     if not files:
         raise FileNotFoundError(f"no {kind} file in {', '.join(paths)}")
-    return unify_temporal(read(spark, *files, **options))
+    return unify_temporal(read(spark, *files, **(options | ({"plain": True} if kind == "csv" else {}))))
 
 
 def head(df: DataFrame, rows: int = 5, width: int = 120) -> DataFrame:

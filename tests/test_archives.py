@@ -70,3 +70,24 @@ def test_files_that_are_no_archive_stay_and_bad_names_are_refused(spark, tmp_pat
     open(whole, "wb").write(cut)
     with pytest.raises(Exception, match="unexpected end of data|truncated|ReadError"):
         archives.unpack(spark, [f"file://{whole}"])
+
+
+def test_files_with_one_header_are_read_together(spark, tmp_path, monkeypatch):
+    """As many reads as headers; an odd name, blank lines before a header, no rows, a folder and a file named twice are read too."""
+    members = {f"part {k}.csv": f"a,b\n{k},{k}.5\n" for k in range(20)} | {"none.csv": "a,b\n", "late.csv": "\n \na,b\n20,1\n", "é%20+.csv": "a,b\n21,1\n", "other.csv": "b,a,c\n1.5,5000000000,x\n", "empty.csv": ""}
+    path = zipped(tmp_path / "many.zip", members)
+    asked, union = [], readers.union
+    monkeypatch.setattr(readers, "union", lambda frames: asked.append(len(frames)) or union(frames))
+    got = readers.decode(spark, "csv", [path])
+    assert asked == [3]  # two headers and the empty file
+    assert dict(got.dtypes) == {"a": "bigint", "b": "double", "c": "string"}
+    assert sorted((r.a, r.b, r.c) for r in got.collect()) == [*((k, k + 0.5, None) for k in range(20)), (20, 1.0, None), (21, 1.0, None), (5000000000, 1.5, "x")]
+    (tmp_path / "folder").mkdir()
+    for name in ("x.csv", "y.csv", "folder/z.csv"):
+        (tmp_path / name).write_text(f"a,b\n1,{name}\n")
+    local = [str(tmp_path / n) for n in ("x.csv", "y.csv", "folder", "x.csv")]
+    for schema in (None, "a int, b string"):
+        rows = readers.csv(spark, *local, schema=schema)
+        assert dict(rows.dtypes) == {"a": "int", "b": "string"}
+        assert sorted(r.b for r in rows.collect()) == ["folder/z.csv", "x.csv", "x.csv", "y.csv"]
+        assert asked[-1] == 3
