@@ -236,7 +236,13 @@ def _best_of_packs(similar: Callable[[pa.StructArray, pa.StructArray], np.ndarra
                         sims = np.round(similar(own, right.slice(start, m)), 9)
                         # What is below the k-th best of the block, or of those before, is not among the k best.
                         floor = np.maximum(cut, np.partition(sims, m - k, axis=1)[:, m - k]) if m > k else cut
-                        i, j = np.nonzero(sims >= floor[:, None])
+                        fits = sims >= floor[:, None]
+                        if np.count_nonzero(fits) > 4 * k * n:  # many ties; ids are sorted, so a stable sort settles them
+                            top = np.argsort(-sims, axis=1, kind="stable")[:, :k]
+                            i, place = np.nonzero(np.take_along_axis(fits, top, axis=1))
+                            j = top[i, place]
+                        else:
+                            i, j = np.nonzero(fits)
                         q, at, best = np.r_[q, i], np.r_[at, start + j], np.r_[best, sims[i, j]]
                         order = np.lexsort((by_id[at], -best, q))
                         place = np.arange(len(order)) - np.searchsorted(q[order], q[order], side="left")
